@@ -116,14 +116,14 @@ VOICED_FROM = 12.0
 
 @query(
     f"""
-    WITH v AS (SELECT event_id, user_id, value, CASE WHEN value >= {VOICED_FROM} THEN event_id END AS at,
+    WITH v AS (SELECT event_id, user_id, value, CASE WHEN value >= {VOICED_FROM} THEN event_id END AS here,
                       CASE WHEN value >= {VOICED_FROM} THEN value END AS level FROM events),
-    w AS (SELECT *, last_value(at IGNORE NULLS) OVER p AS pa, last_value(level IGNORE NULLS) OVER p AS pv,
-                 first_value(at IGNORE NULLS) OVER n AS na, first_value(level IGNORE NULLS) OVER n AS nv
+    w AS (SELECT *, last_value(here IGNORE NULLS) OVER p AS pa, last_value(level IGNORE NULLS) OVER p AS pv,
+                 first_value(here IGNORE NULLS) OVER n AS na, first_value(level IGNORE NULLS) OVER n AS nv
           FROM v WINDOW
             p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
             n AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT event_id, user_id, round(CASE WHEN at IS NOT NULL OR (pa IS NULL AND na IS NULL) THEN value
+    SELECT event_id, user_id, round(CASE WHEN here IS NOT NULL OR (pa IS NULL AND na IS NULL) THEN value
         WHEN pa IS NULL THEN nv WHEN na IS NULL THEN pv
         ELSE pv + (nv - pv) * ((event_id - pa) / (na - pa)::DOUBLE) END, 6) AS value
     FROM w

@@ -2,6 +2,8 @@
 
 Statistics are scalar subqueries: one row, computed once per query and then a
 constant inside the compiled stage. No join and no collected column is involved.
+Each subquery is bound to one helper column, so it is planned once however many
+expressions use it.
 """
 
 from __future__ import annotations
@@ -47,11 +49,16 @@ def near_mean(value: Column, stats: Column, tolerance: float | None) -> Column:
     return F.abs(value - stats["mean"]) < F.lit(float(tolerance)) * stats["std"]
 
 
+def bound(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
+    """``df`` with the single row of another table as a struct column ``name``."""
+    return df.withColumn(name, one_row.select(F.struct("*")).scalar())
+
+
 def without_outliers(df: DataFrame, column: str, tolerance: float) -> DataFrame:
     """Rows whose value lies near the column mean; rows without a value go."""
     value = B.finite(F.col(column))
-    stats = df.agg(moments(value).alias("stats")).scalar()
-    return df.where(near_mean(value, stats, tolerance))
+    stats = df.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return bound(df, "__stats", stats).where(near_mean(value, F.col("__stats"), tolerance)).drop("__stats")
 
 
 def fit_bin_edges(df: DataFrame, specs: Sequence[BinSpec]) -> DataFrame:
@@ -62,13 +69,14 @@ def fit_bin_edges(df: DataFrame, specs: Sequence[BinSpec]) -> DataFrame:
     """
     clean = df.select(*[B.finite(F.col(f"`{spec.value}`")).alias(f"v{i}") for i, spec in enumerate(specs)])
     fields = [moments(F.col(f"v{i}")).alias(f"s{i}") for i in range(len(specs))]
-    stats = clean.agg(F.struct(*fields).alias("stats")).scalar()
+    stats = F.col("__stats")
     bounds = []
     for i, spec in enumerate(specs):
         value = F.col(f"v{i}")
         kept = F.when(near_mean(value, stats[f"s{i}"], spec.tolerance), value)
         bounds += [F.min(kept).alias(f"lo{i}"), F.max(kept).alias(f"hi{i}")]
-    return clean.agg(*bounds).select(
+    measured = bound(clean, "__stats", clean.agg(*fields)) if any(spec.tolerance is not None for spec in specs) else clean
+    return measured.agg(*bounds).select(
         *[
             B.equal_width_edges(F.col(f"lo{i}"), F.col(f"hi{i}"), len(spec.labels), spec.lower_range).alias(spec.label)
             for i, spec in enumerate(specs)
@@ -87,25 +95,22 @@ def label_columns(
     """
     given = edges or {}
     open_specs = [spec for spec in specs if spec.label not in given]
-    fitted = None
-    if open_specs:
-        table = fit_bin_edges(df if fit_on is None else fit_on, open_specs)
-        fitted = table.select(F.struct("*").alias("edges")).scalar()
+    table = bound(df, "__edges", fit_bin_edges(df if fit_on is None else fit_on, open_specs)) if open_specs else df
     added = {}
     for spec in specs:
         value = F.col(f"`{spec.value}`")
-        source = given[spec.label] if spec.label in given else fitted[spec.label]
+        source = given[spec.label] if spec.label in given else F.col("__edges")[spec.label]
         added[spec.label] = B.interval_label(value, source, spec.labels)
-    return df.withColumns(added)
+    return table.withColumns(added).drop("__edges")
 
 
 def histogram_before_after(df: DataFrame, column: str, tolerance: float, bins: int = 100) -> DataFrame:
     """Equal-width counts of a column, once with and once without its outliers."""
     values = df.select(B.finite(F.col(column)).alias("value")).where(F.col("value").isNotNull())
-    stats = values.agg(moments(F.col("value")).alias("stats")).scalar()
-    kept = near_mean(F.col("value"), stats, tolerance)
+    stats = values.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    kept = near_mean(F.col("value"), F.col("__stats"), tolerance)
     member = F.when(kept, F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("before")))
-    return _histogram(values.select(F.explode(member).alias("series"), "value"), ("before", "after"), bins)
+    return _histogram(bound(values, "__stats", stats).select(F.explode(member).alias("series"), "value"), ("before", "after"), bins)
 
 
 def histogram_by(df: DataFrame, series: str, column: str, names: Sequence[str], bins: int = 100) -> DataFrame:
@@ -125,23 +130,28 @@ def _histogram(values: DataFrame, names: Sequence[str], bins: int) -> DataFrame:
     for i, name in enumerate(names):
         value = F.when(F.col("series") == name, F.col("value"))
         bounds += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-    ranges = values.agg(F.struct(*bounds).alias("ranges")).scalar()
+    ranges = values.agg(*bounds)
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for i, name in enumerate(names):
-        lo, hi = F.coalesce(ranges[f"lo{i}"], F.lit(0.0)), F.coalesce(ranges[f"hi{i}"], F.lit(1.0))
+        lo = F.coalesce(F.col(f"__ranges.lo{i}"), F.lit(0.0))
+        hi = F.coalesce(F.col(f"__ranges.hi{i}"), F.lit(1.0))
         low = F.when(F.col("series") == name, F.when(lo == hi, lo - 0.5).otherwise(lo)).otherwise(low)
         high = F.when(F.col("series") == name, F.when(lo == hi, hi + 0.5).otherwise(hi)).otherwise(high)
-    counts = values.groupBy("series", B.histogram_slot(F.col("value"), low, high, bins).alias("slot")).agg(
-        F.count(F.lit(1)).alias("rows")
-    )
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        return bound(rows, "__ranges", ranges).withColumns({"lo": low, "hi": high}).drop("__ranges")
+
+    counts = ranged(values).groupBy(
+        "series", B.histogram_slot(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("slot")
+    ).agg(F.count(F.lit(1)).alias("rows"))
     slots = values.sparkSession.range(bins).select(
         F.explode(F.array(*[F.lit(name) for name in names])).alias("series"), F.col("id").alias("slot")
     )
-    width = (high - low) / F.lit(bins)
-    return slots.join(counts, ["series", "slot"], "left").select(
+    width = (F.col("hi") - F.col("lo")) / F.lit(bins)
+    return ranged(slots.join(counts, ["series", "slot"], "left")).select(
         "series",
         "slot",
-        (low + F.col("slot") * width).alias("slot_from"),
-        F.when(F.col("slot") == bins - 1, high).otherwise(low + (F.col("slot") + 1) * width).alias("slot_to"),
+        (F.col("lo") + F.col("slot") * width).alias("slot_from"),
+        F.when(F.col("slot") == bins - 1, F.col("hi")).otherwise(F.col("lo") + (F.col("slot") + 1) * width).alias("slot_to"),
         F.coalesce("rows", F.lit(0)).alias("rows"),
     )

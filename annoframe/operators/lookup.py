@@ -1,8 +1,9 @@
 """Joins on a key: side labels, tags, verified merges, unfinished rows.
 
-No side is broadcast by hint. Spark broadcasts a side whose size it has checked
-against its threshold, before the query or after the shuffle; beyond that the
-joins below are shuffles on the key. ``lookup_join`` also splits hot keys.
+Spark broadcasts a side whose size it has checked against its threshold, before
+the query or after the shuffle; beyond that the joins below are shuffles on the
+key. ``lookup_join`` also splits hot keys. Only ``small_or_lookup_join`` asks for
+a broadcast, of a side it has measured.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ SLICES = 1000
 HOT_KEYS = 256
 SKETCH_ITEMS = 65536
 
+# A dictionary up to this measured size is copied to every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 64
+
 
 def hot_key_slices(df: DataFrame, key: Column) -> Column:
     """Map from the hash of each hot key to the number of slices its rows are dealt to.
@@ -60,6 +65,19 @@ def lookup_join(
     return dealt.join(repeated, [*on, "__slice"], how).drop("__slice")
 
 
+def measured_bytes(table: DataFrame) -> int:
+    """Size of a table of strings: all characters in bytes plus ``ROW_BYTES`` per row."""
+    size = reduce(lambda total, name: total + F.coalesce(F.octet_length(F.col(name)), F.lit(0)), table.columns, F.lit(ROW_BYTES))
+    return table.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def small_or_lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str]) -> DataFrame:
+    """Left join to a dictionary: broadcast if it measures at most ``BROADCAST_BYTES``, else by ``lookup_join``."""
+    if measured_bytes(right) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), list(on), "left")
+    return lookup_join(left, right, on, "left", spread)
+
+
 def failing_unless(df: DataFrame, condition: Column, message: Column) -> DataFrame:
     """``df``, with an error at run time for any row that breaks ``condition``."""
     return df.where(F.when(condition, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,51 +16,44 @@ MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 16
 
 
-def _range_bounds(df: DataFrame, key: Column) -> Column:
-    """Sorted cut points that part the keys into ranges of similar size, as an array of sorted arrays.
+def range_cuts(df: DataFrame, key: Column) -> Column:
+    """Sorted cut points that part the keys into ranges of similar size, as a constant array of sorted arrays.
 
-    A hash of the key picks about ``SAMPLES_PER_BUCKET`` distinct keys per range.
-    They only place the cuts: all rows are numbered, and the same rows give the
-    same cuts on every run.
+    Computed when the plan is built, like the bounds of a range partitioning: a
+    hash of the key picks about ``SAMPLES_PER_BUCKET`` distinct keys per range and
+    every so manieth of them becomes a cut, at most ``MAX_BUCKETS`` in all. Cuts
+    only place rows; every row is numbered, whatever the cuts are.
     """
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    buckets = F.least(F.greatest(F.ceil(F.col("rows") / ROWS_PER_BUCKET), F.lit(1)), F.lit(MAX_BUCKETS))
-    plan = rows.select(
-        F.struct(
-            buckets.alias("buckets"),
-            F.greatest(F.floor(F.col("rows") / (buckets * SAMPLES_PER_BUCKET)), F.lit(1)).alias("one_in"),
-        )
-    ).scalar()
+    keys = df.select(key.alias("key"))
+    rows = keys.count()
+    buckets = min(max(math.ceil(rows / ROWS_PER_BUCKET), 1), MAX_BUCKETS)
+    none = F.from_json(F.lit("[[]]"), _cuts_type(keys))
+    if buckets == 1:
+        return none
+    one_in = max(rows // (buckets * SAMPLES_PER_BUCKET), 1)
+    group = math.ceil(math.sqrt(buckets))
     picked = (
-        df.select(key.alias("key"))
-        .where((F.pmod(F.xxhash64("key"), plan["one_in"]) == 0) & (plan["buckets"] > 1))
+        keys.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0)
         .distinct()
         .agg(F.sort_array(F.collect_list("key")).alias("keys"))
     )
-    every = F.greatest(F.size("keys") / plan["buckets"], F.lit(1.0))
-    cuts = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(plan["buckets"] - 1, F.lit(1)).cast("int")),
-            lambda i: F.get("keys", F.floor(i * every).cast("int")),
-        ),
-        lambda cut: cut.isNotNull(),
-    )
-    group = F.greatest(F.ceil(F.sqrt(F.size("cuts").cast("double"))), F.lit(1)).cast("int")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("cuts"), F.lit(1)), F.col("group"))
-    return (
-        picked.select(cuts.alias("cuts"))
-        .select("cuts", group.alias("group"))
-        .select(F.transform(starts, lambda start: F.slice("cuts", start, F.col("group"))))
-        .scalar()
-    )
+    step = F.greatest(F.size("keys") / buckets, F.lit(1.0))
+    cut_at = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("keys", F.floor(i * step).cast("int")))
+    cuts = picked.select(F.filter(cut_at, lambda cut: cut.isNotNull()).alias("cuts"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("cuts"), F.lit(1)), F.lit(group))
+    text = cuts.select(F.to_json(F.transform(starts, lambda start: F.slice("cuts", start, F.lit(group))))).first()[0]
+    return F.from_json(F.lit(text), _cuts_type(keys))
+
+
+def _cuts_type(keys: DataFrame) -> str:
+    return f"array<array<{keys.schema['key'].dataType.simpleString()}>>"
 
 
-def _range_of(key: Column, bounds: Column) -> Column:
+def range_of(key: Column, cuts: Column) -> Column:
     """Number of the range that holds ``key``: first among the groups of cuts, then within one group."""
-    groups_below = F.size(F.filter(bounds, lambda group: F.get(group, F.lit(0)) <= key))
-    size = F.size(bounds[0])
-    inside = F.size(F.filter(F.get(bounds, groups_below - 1), lambda cut: cut <= key))
-    return F.when(groups_below == 0, 0).otherwise((groups_below - 1) * size + inside)
+    groups_below = F.size(F.filter(cuts, lambda group: F.get(group, F.lit(0)) <= key))
+    inside = F.size(F.filter(F.get(cuts, groups_below - 1), lambda cut: cut <= key))
+    return F.when(groups_below == 0, 0).otherwise((groups_below - 1) * F.size(cuts[0]) + inside)
 
 
 def row_index(
@@ -71,11 +65,11 @@ def row_index(
     Rows are parted into key ranges, numbered inside their range and moved up by
     the rows of all lower ranges. ``order_by`` must identify a row, so no range
     can be much larger than the others. ``total`` also adds the number of rows
-    of the split. Everything derives from column values: a rerun gives the same
+    of the split. Ranges derive from column values alone: a rerun gives the same
     numbers, and nothing has to be cached.
     """
     key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    ranged = df.withColumn("__range", _range_of(key, _range_bounds(df, key)))
+    ranged = df.withColumn("__range", range_of(key, range_cuts(df, key)))
     split = [] if within is None else [within]
     sizes = ranged.groupBy(*split, "__range").agg(F.count(F.lit(1)).alias("__rows"))
     # At most MAX_BUCKETS rows per split: this window runs over range sizes, not over data.

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import lookup_join
+from .lookup import small_or_lookup_join
 
-# A word and what follows it up to the next word; leading signs form a piece without a word.
+# The signs a word is made of, and those between words.
 WORD = "[A-Za-z']+"
-PIECE = "[A-Za-z']+[^A-Za-z']*|^[^A-Za-z']+"
+BETWEEN = "[^A-Za-z']+"
 
 
 def word_pieces(df: DataFrame, on: str, text: str) -> DataFrame:
-    """One row per word of the whole text: its position, its lower-case form and the signs after it.
+    """One row per word of the whole text: position, word as written and in lower case, signs after it.
 
-    A row without words gives one piece without position.
+    The text is split once at its words and once between them; both lists line up,
+    with an empty word for the signs before the first. A row without text gives
+    one piece without position.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
-    pieces = df.select(on, F.col(text).isNotNull().alias("has_text"), F.posexplode_outer(found).alias("pos", "piece"))
-    written = F.regexp_extract("piece", f"^{WORD}", 0)
-    return pieces.select(
-        on, "has_text", "pos", written.alias("written"), F.lower(written).alias("word"),
-        F.substr(F.col("piece"), F.length(written) + 1).alias("tail"),
+    words = F.concat(F.array(F.lit("")), F.array_remove(F.split(F.col(text), BETWEEN, -1), ""))
+    signs = F.split(F.col(text), WORD, -1)
+    pieces = df.select(
+        on, F.posexplode_outer(F.arrays_zip(words.alias("written"), signs.alias("tail"))).alias("pos", "piece")
     )
+    return pieces.select(on, "pos", "piece.written", F.lower("piece.written").alias("word"), "piece.tail")
 
 
 def transcribe(
@@ -32,20 +33,17 @@ def transcribe(
 ) -> DataFrame:
     """Key and transcription of every row: known words become their sounds, all else stays as written.
 
-    The pieces of a row are put together again by its key, so a group is as large
-    as one text. Rows without text have no transcription.
+    A lexicon whose measured size is small is broadcast, so words are not shuffled;
+    a larger one is joined by word with frequent words split. The pieces of a row
+    are put together again by its key, so a group is as large as one text. Rows
+    without text have no transcription.
     """
     entries = lexicon.groupBy(F.lower(F.col(word)).alias("word")).agg(F.min(F.col(sounds)).alias("sounds"))
-    found = lookup_join(word_pieces(df, on, text), entries, ["word"], "left", [on, "pos"])
+    found = small_or_lookup_join(word_pieces(df, on, text), entries, ["word"], [on, "pos"])
     spoken = F.concat(F.coalesce("sounds", "written"), F.col("tail"))
-    pieces = F.array_sort(F.collect_list(F.struct("pos", spoken.alias("spoken"))))
+    pieces = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", spoken.alias("spoken")))))
     return (
         found.groupBy(on)
-        .agg(pieces.alias("pieces"), F.bool_or("has_text").alias("has_text"))
-        .select(
-            on,
-            F.when(
-                F.col("has_text"), F.array_join(F.transform("pieces", lambda piece: piece["spoken"]), "")
-            ).alias(output),
-        )
+        .agg(pieces.alias("pieces"))
+        .select(on, F.when(F.size("pieces") > 0, F.array_join("pieces.spoken", "")).alias(output))
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from annoframe.functions import binning as B
 from annoframe.functions import vocabulary as V
 
-from .bins import moments, near_mean
+from .bins import bound, moments, near_mean
 from .lookup import failing_unless, lookup_join
 
 
@@ -38,14 +38,12 @@ def fit_category_edges(
 ) -> DataFrame:
     """One row with an edge array per category, fitted on the speaker means of that category."""
     mine = {name: F.when(F.col("category") == name, F.col("mean")) for name in categories}
-    stats = speakers.agg(
-        F.struct(*[moments(value).alias(f"s{i}") for i, value in enumerate(mine.values())]).alias("stats")
-    ).scalar()
+    stats = speakers.agg(*[moments(value).alias(f"s{i}") for i, value in enumerate(mine.values())])
     bounds = []
     for i, value in enumerate(mine.values()):
-        kept = F.when(near_mean(value, stats[f"s{i}"], tolerance), value)
+        kept = F.when(near_mean(value, F.col("__stats")[f"s{i}"], tolerance), value)
         bounds += [F.min(kept).alias(f"lo{i}"), F.max(kept).alias(f"hi{i}")]
-    return speakers.agg(*bounds).select(
+    return bound(speakers, "__stats", stats).agg(*bounds).select(
         *[
             B.equal_width_edges(F.col(f"lo{i}"), F.col(f"hi{i}"), bins).alias(name)
             for i, name in enumerate(categories)
@@ -70,15 +68,14 @@ def speaker_labels(
 ) -> DataFrame:
     """Speaker table plus the label column; ``strict`` fails on a category without edges."""
     if edges is None:
-        table = fit_category_edges(speakers, len(labels), categories, tolerance)
-        fitted = table.select(F.struct("*").alias("edges")).scalar()
-        edges = {name: fitted[name] for name in categories}
+        speakers = bound(speakers, "__edges", fit_category_edges(speakers, len(labels), categories, tolerance))
+        edges = {name: F.col("__edges")[name] for name in categories}
     if strict:
         known = F.coalesce(F.col("category").isin(*edges), F.lit(False))
         speakers = failing_unless(
             speakers, known, F.concat(F.lit("no edges for the category of speaker "), F.col("speaker").cast("string"))
         )
-    return speakers.withColumn(label, category_label(F.col("mean"), F.col("category"), edges, labels))
+    return speakers.withColumn(label, category_label(F.col("mean"), F.col("category"), edges, labels)).drop("__edges")
 
 
 def label_by_speaker(

@@ -76,8 +76,8 @@ def described_edges(
         return edges
     table = speakers.speaker_table(annotated, speaker, category, "utterance_pitch_mean", "segment_id")
     own = speakers.fit_category_edges(table, len(V.PITCH_LABELS))
-    packed = own.select(F.struct("*").alias("own")).scalar()
-    return edges.withColumns({V.PITCH_EDGE_KEY.format(category=name): packed[name] for name in V.GENDERS})
+    named = {V.PITCH_EDGE_KEY.format(category=name): F.col("__own")[name] for name in V.GENDERS}
+    return bins.bound(edges, "__own", own).withColumns(named).drop("__own")
 
 
 def describe(
