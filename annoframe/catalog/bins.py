@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annoframe.functions import binning as B
 from annoframe.functions import vocabulary as V
-from annoframe.operators import bins, lookup, speakers
+from annoframe.operators import bins, speakers
 from annoframe.plans import stages
 
 from .registry import Tables, case_label, query
@@ -155,19 +155,14 @@ def histogram_by_category(t: Tables) -> DataFrame:
     )
 
 
-def utterances(t: Tables) -> DataFrame:
-    """Orders with their customer's segment."""
-    segments = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return lookup.lookup_join(
-        t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), segments, ["o_custkey"], "left", ["o_orderkey"]
-    )
-
-
-FITTED_SEGMENTS = ("BUILDING", "MACHINERY")
+FITTED_CATEGORIES = ("2-HIGH", "5-LOW")
 
+# The category of a speaker is the one of its first utterance that has any; status P stands for "unknown".
 SPEAKERS_SQL = """
-u AS (SELECT o_orderkey, o_custkey, o_totalprice, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
-sp AS (SELECT o_custkey AS speaker, avg(o_totalprice) AS mean, min(c_mktsegment) AS category
+u AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS category
+      FROM orders),
+sp AS (SELECT o_custkey AS speaker, avg(o_totalprice) AS mean,
+              arg_min(category, o_orderkey) FILTER (WHERE category IS NOT NULL) AS category
        FROM u WHERE o_custkey IS NOT NULL GROUP BY o_custkey),
 st AS (SELECT category, avg(mean) AS m, stddev_pop(mean) AS s FROM sp GROUP BY category),
 bd AS (SELECT category, min(mean) AS lo, max(mean) AS hi FROM sp JOIN st USING (category)
@@ -175,18 +170,25 @@ bd AS (SELECT category, min(mean) AS lo, max(mean) AS hi FROM sp JOIN st USING (
 """
 
 
+def utterances(t: Tables) -> DataFrame:
+    """Orders as utterances of their customer, with a category some of them lack."""
+    category = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    return t.orders.select("o_orderkey", "o_custkey", "o_totalprice", category.alias("category"))
+
+
 @query(
     f"""
     WITH {SPEAKERS_SQL}
     SELECT u.o_orderkey, u.o_custkey,
-      CASE WHEN sp.category IN ('BUILDING', 'MACHINERY')
+      CASE WHEN sp.category IN ('2-HIGH', '5-LOW')
            THEN {case_label('sp.mean', fitted('bd.lo', 'bd.hi', 7), V.PITCH_LABELS)} END AS pitch
     FROM u LEFT JOIN sp ON u.o_custkey = sp.speaker LEFT JOIN bd ON sp.category = bd.category
     """
 )
 def speaker_level_bins(t: Tables) -> DataFrame:
     return speakers.label_by_speaker(
-        utterances(t), "o_custkey", "c_mktsegment", "o_totalprice", categories=FITTED_SEGMENTS, spread=["o_orderkey"]
+        utterances(t), "o_custkey", "category", "o_totalprice", categories=FITTED_CATEGORIES, order_by="o_orderkey",
+        spread=["o_orderkey"],
     ).select("o_orderkey", "o_custkey", "pitch")
 
 
@@ -194,32 +196,32 @@ def speaker_level_bins(t: Tables) -> DataFrame:
     f"""
     WITH {SPEAKERS_SQL}
     SELECT category, i AS edge_no, round(CASE WHEN i = 7 THEN hi ELSE lo + i * ((hi - lo) / 7) END, 4) AS edge
-    FROM bd, range(8) AS r(i) WHERE category IN ('BUILDING', 'MACHINERY')
+    FROM bd, range(8) AS r(i) WHERE category IN ('2-HIGH', '5-LOW')
     """
 )
 def category_edges(t: Tables) -> DataFrame:
-    table = speakers.speaker_table(utterances(t), "o_custkey", "c_mktsegment", "o_totalprice")
-    edges = speakers.fit_category_edges(table, 7, FITTED_SEGMENTS)
-    named = F.create_map(*[part for name in FITTED_SEGMENTS for part in (F.lit(name), F.col(name))])
+    table = speakers.speaker_table(utterances(t), "o_custkey", "category", "o_totalprice", "o_orderkey")
+    edges = speakers.fit_category_edges(table, 7, FITTED_CATEGORIES)
+    named = F.create_map(*[part for name in FITTED_CATEGORIES for part in (F.lit(name), F.col(name))])
     return edges.select(F.explode(named).alias("category", "edges")).select(
         "category", F.posexplode("edges").alias("edge_no", "edge")
     ).select("category", F.col("edge_no").cast("long").alias("edge_no"), F.round("edge", 4).alias("edge"))
 
 
 def measured_orders(t: Tables) -> DataFrame:
-    """Orders in the layout of a measured table: exact numbers per order, a gender per customer."""
-    lines = t.lineitem.groupBy("l_orderkey").agg(
+    """Orders in the layout of a measured table: exact numbers per order, a gender for most."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("segment_id")).agg(
         F.sum("l_quantity").alias("speaking_rate_value"),
         F.max("l_extendedprice").alias("snr"),
         F.min("l_extendedprice").alias("c50"),
         F.max("l_quantity").alias("utterance_pitch_std"),
     )
-    gender = F.when(F.col("c_mktsegment") == "BUILDING", "male").when(F.col("c_mktsegment") == "MACHINERY", "female")
-    return utterances(t).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "inner").select(
-        F.col("o_orderkey").alias("segment_id"), F.col("o_custkey").alias("speaker"), gender.alias("gender_ori"),
-        F.col("o_totalprice").alias("utterance_pitch_mean"),
-        "speaking_rate_value", "snr", "c50", "utterance_pitch_std",
+    gender = F.when(F.col("o_orderstatus") == "F", "female").when(F.col("o_orderstatus") == "O", "male")
+    orders = t.orders.select(
+        F.col("o_orderkey").alias("segment_id"), F.col("o_custkey").alias("speaker"),
+        gender.alias("gender_ori"), F.col("o_totalprice").alias("utterance_pitch_mean"),
     )
+    return orders.join(lines, "segment_id", "left")
 
 
 def _described_sql() -> str:
@@ -236,9 +238,11 @@ def _described_sql() -> str:
                        min(l_extendedprice) AS c50, max(l_quantity) AS utterance_pitch_std
                 FROM lineitem GROUP BY l_orderkey),
     m AS (SELECT o_orderkey AS segment_id, o_custkey AS speaker, o_totalprice AS utterance_pitch_mean, li.*,
-            CASE c_mktsegment WHEN 'BUILDING' THEN 'male' WHEN 'MACHINERY' THEN 'female' END AS gender_ori
-          FROM orders JOIN li ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey),
-    sp AS (SELECT speaker, avg(utterance_pitch_mean) AS mean, min(gender_ori) AS category FROM m GROUP BY speaker),
+            CASE o_orderstatus WHEN 'O' THEN 'male' WHEN 'F' THEN 'female' END AS gender_ori
+          FROM orders LEFT JOIN li ON o_orderkey = l_orderkey),
+    sp AS (SELECT speaker, avg(utterance_pitch_mean) AS mean,
+                  arg_min(gender_ori, segment_id) FILTER (WHERE gender_ori IS NOT NULL) AS category
+           FROM m GROUP BY speaker),
     st AS (SELECT category, avg(mean) AS m, stddev_pop(mean) AS s FROM sp GROUP BY category),
     bd AS (SELECT category, min(mean) AS lo, max(mean) AS hi FROM sp JOIN st USING (category)
            WHERE abs(mean - m) < 2 * s GROUP BY category),

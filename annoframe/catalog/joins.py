@@ -56,40 +56,25 @@ def threshold_label(t: Tables) -> DataFrame:
     return side.select("doc_id", lookup.confident_label(F.col("toxicity"), F.col("toxicity_value")).alias("toxicity"))
 
 
-def shared_orders(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Orders that have lines, and one row of line facts for each of them."""
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("order_id")).agg(
-        F.max("l_returnflag").alias("flag"), F.max("l_discount").alias("flag_value"), F.count(F.lit(1)).alias("lines")
-    )
-    orders = t.orders.select(F.col("o_orderkey").alias("order_id"), "o_totalprice", "o_orderpriority")
-    return orders.join(lines, "order_id", "left_semi"), lines.join(orders, "order_id", "left_semi")
-
-
 @query(
     """
-    WITH li AS (SELECT l_orderkey, max(l_returnflag) AS flag_ori, max(l_discount) AS flag_value
-                FROM lineitem GROUP BY l_orderkey)
-    SELECT o_orderkey AS order_id, o_totalprice, o_orderpriority, flag_ori, flag_value,
-           CASE WHEN flag_value > 0.08::DOUBLE THEN flag_ori ELSE 'None' END AS flag
-    FROM orders JOIN li ON o_orderkey = l_orderkey
+    SELECT l_orderkey AS order_id, count(*) AS lines, max(l_returnflag) AS flag_ori, max(l_discount) AS flag_value,
+           CASE WHEN max(l_discount) > 0.08::DOUBLE THEN max(l_returnflag) ELSE 'None' END AS flag
+    FROM lineitem GROUP BY l_orderkey
     """
 )
 def annotate_strict_join(t: Tables) -> DataFrame:
-    orders, lines = shared_orders(t)
-    return lookup.annotate(orders, {"flag": lines.drop("lines")}, "order_id", confidence=0.08, strict=True)
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "order_id")
+    orders = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"))
+    flags = lines.groupBy("order_id").agg(F.max("l_returnflag").alias("flag"), F.max("l_discount").alias("flag_value"))
+    return lookup.annotate(orders, {"flag": flags}, "order_id", confidence=0.08, strict=True)
 
 
-@query(
-    """
-    WITH li AS (SELECT l_orderkey, max(l_returnflag) AS flag, max(l_discount) AS flag_value
-                FROM lineitem GROUP BY l_orderkey)
-    SELECT o_orderkey AS order_id, o_totalprice, o_orderpriority, flag, flag_value, l_orderkey AS metadata_order_id
-    FROM orders JOIN li ON o_orderkey = l_orderkey
-    """
-)
+@query("SELECT lang, doc_id, n_chars, source, length(text) AS written, doc_id AS metadata_doc_id FROM documents")
 def merge_verified(t: Tables) -> DataFrame:
-    orders, lines = shared_orders(t)
-    return lookup.merge_verified(orders, lines, "order_id", drop="lines")
+    texts = t.documents.select("lang", "doc_id", "n_chars", F.length("text").cast("long").alias("written"))
+    metadata = t.documents.select("lang", "doc_id", "source", "n_chars")
+    return lookup.merge_verified(texts, metadata, "doc_id", split="lang", drop="n_chars")
 
 
 @query(

@@ -26,7 +26,12 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 64
 
 
-def hot_key_slices(df: DataFrame, key: Column) -> Column:
+def _share(rows: Column, total: Column) -> Column:
+    """Number of slices for a key with ``rows`` of all ``total`` rows."""
+    return F.ceil(rows * F.lit(SLICES) / total).cast("int")
+
+
+def sketched_slices(df: DataFrame, key: Column) -> Column:
     """Map from the hash of each hot key to the number of slices its rows are dealt to.
 
     One pass over the key column with a frequent-items sketch: every task keeps a
@@ -36,21 +41,31 @@ def hot_key_slices(df: DataFrame, key: Column) -> Column:
     top = df.select(key.alias("key")).agg(
         F.expr(f"approx_top_k(key, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("rows")
     )
-    share = lambda item: F.ceil(item["count"] * F.lit(SLICES) / F.col("rows")).cast("int")
-    hot = F.filter("top", lambda item: share(item) > 1)
-    return top.select(F.map_from_entries(F.transform(hot, lambda item: F.struct(item["item"], share(item))))).scalar()
+    hot = F.transform("top", lambda item: F.struct(item["item"], _share(item["count"], F.col("rows")).alias("slices")))
+    return top.select(F.map_from_entries(F.filter(hot, lambda item: item["slices"] > 1))).scalar()
+
+
+def counted_slices(counts: DataFrame, key: Column, rows: str = "rows") -> Column:
+    """The same map from known row counts per key; at most ``SLICES`` keys can be hot."""
+    total = counts.agg(F.sum(rows)).scalar()
+    hot = counts.select(key.alias("key"), _share(F.col(rows), total).alias("slices")).where(F.col("slices") > 1)
+    entries = F.collect_list(F.struct("key", "slices"))
+    return hot.groupBy("key").agg(F.max("slices").alias("slices")).agg(F.map_from_entries(entries)).scalar()
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] | None = None
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join every left row to the right rows of its key, with hot left keys split over many tasks.
 
     The rows of a hot key are dealt to slices by a hash of the ``spread``
-    columns, and the right rows of that key are repeated once per slice: at most
-    ``SLICES + HOT_KEYS`` repeats in all for a right side with one row per key.
-    Each left row still meets each right row of its key exactly once. Dealing by
-    content, not by row number, gives the same slices when a lost task is run again.
+    columns, and the right rows of that key are repeated once per slice: about
+    twice ``SLICES`` repeats in all for a right side with one row per key. Each
+    left row still meets each right row of its key exactly once. Dealing by
+    content, not by row number, gives the same slices when a lost task is run
+    again. ``counts`` (the key columns and ``rows``) spares the pass that looks
+    for hot keys.
     """
     if how not in ("left", "inner"):
         raise ValueError("only left and inner lookups keep one slice per left row")
@@ -58,7 +73,7 @@ def lookup_join(
     plain = ("map", "array", "struct", "binary", "variant")
     spread = spread or [name for name, kind in left.dtypes if name not in on and not kind.startswith(plain)] or on
     key = F.xxhash64(*[F.col(name) for name in on])
-    slices = hot_key_slices(left, key)
+    slices = sketched_slices(left, key) if counts is None else counted_slices(counts, key)
     parts = F.coalesce(F.try_element_at(slices, key), F.lit(1))
     dealt = left.withColumn("__slice", F.pmod(F.xxhash64(*[F.col(name) for name in spread]), parts).cast("int"))
     repeated = right.withColumn("__slice", F.explode(F.sequence(F.lit(0), parts - 1)))

@@ -17,7 +17,7 @@ from .lookup import failing_unless, lookup_join
 def speaker_table(
     df: DataFrame, speaker: str, category: str, value: str, order_by: str | None = None
 ) -> DataFrame:
-    """Per speaker: mean value and first known category (first by ``order_by``).
+    """Per speaker: mean value, first known category (first by ``order_by``) and number of rows.
 
     Rows without a speaker are left out. Both aggregates combine map-side, so a
     speaker with very many utterances costs one partial row per task.
@@ -29,6 +29,7 @@ def speaker_table(
         .agg(
             F.avg(B.finite(F.col(value))).alias("mean"),
             F.min_by(F.col(category), F.when(F.col(category).isNotNull(), order)).alias("category"),
+            F.count(F.lit(1)).alias("rows"),
         )
     )
 
@@ -87,10 +88,12 @@ def label_by_speaker(
     """Every utterance with the label of its speaker's mean.
 
     Statistics, edges and labels share the shuffle of the speaker aggregation; the
-    utterances then look their speaker up, with hot speakers split.
+    utterances then look their speaker up, with hot speakers split by the row
+    counts of that aggregation.
     """
     speakers = speaker_table(df, speaker, category, value, order_by)
     labelled = speaker_labels(speakers, label, labels, categories, tolerance, edges, strict)
+    counts = speakers.select(F.col("speaker").alias(speaker), "rows")
     return lookup_join(
-        df, labelled.select(F.col("speaker").alias(speaker), label), [speaker], "left", spread
+        df, labelled.select(F.col("speaker").alias(speaker), label), [speaker], "left", spread, counts
     )
