@@ -44,7 +44,7 @@ def interval_label(
         edge_count = len(edges)
         edges = [F.lit(float(edge)) for edge in edges]
     count = len(labels) + 1 if edge_count is None else edge_count
-    top = min(len(labels), max(count - 1, 1)) - 1
+    top = min(len(labels), max(count, 1)) - 1
     label = F.when(value.isNull(), F.lit(None).cast("string"))
     for i in range(top):
         label = label.when(value <= edges[i + 1], F.lit(labels[i]))
