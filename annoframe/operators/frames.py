@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoframe.functions import vocabulary as V
@@ -76,10 +76,6 @@ def speech_duration(
     return table.join(spoken, on, "left").withColumn(output, F.coalesce(F.col(output), F.lit(0.0)))
 
 
-def _mark(frame: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.struct(F.col(frame).alias("at"), value.alias("value")))
-
-
 def interpolate_unvoiced(
     frames: DataFrame, value: str, periodicity: str, on: str = "segment_id", frame: str = "frame_idx",
     threshold: float = V.PERIODICITY_THRESHOLD, space: str = "linear", output: str | None = None,
@@ -99,47 +95,49 @@ def interpolate_unvoiced(
         raise ValueError("space is linear or log2")
     level = F.col(value).cast("double") if space == "linear" else F.log2(F.col(value))
     voiced = F.when(F.col(periodicity) >= threshold, level)
-    runs = frames.withColumn("__run", F.floor(F.col(frame) / RUN))
+    runs = frames.withColumns({"__run": F.floor(F.col(frame) / RUN), "__level": voiced}).withColumn(
+        "__at", F.when(F.col("__level").isNotNull(), F.col(frame))
+    )
 
     ends = runs.groupBy(on, "__run").agg(
-        F.min_by(_mark(frame, voiced), F.when(voiced.isNotNull(), F.col(frame))).alias("first"),
-        F.max_by(_mark(frame, voiced), F.when(voiced.isNotNull(), F.col(frame))).alias("last"),
+        F.min("__at").alias("first_at"), F.min_by("__level", "__at").alias("first_level"),
+        F.max("__at").alias("last_at"), F.max_by("__level", "__at").alias("last_level"),
     )
+    # The next mark is the last one of the reversed order: a frame that only grows costs one step per row.
     earlier_runs = Window.partitionBy(on).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     later_runs = Window.partitionBy(on).orderBy(F.col("__run").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(
         on, "__run",
-        F.last("last", ignorenulls=True).over(earlier_runs).alias("__carried_prev"),
-        F.last("first", ignorenulls=True).over(later_runs).alias("__carried_next"),
+        F.last("last_at", ignorenulls=True).over(earlier_runs).alias("__carried_prev_at"),
+        F.last("last_level", ignorenulls=True).over(earlier_runs).alias("__carried_prev"),
+        F.last("first_at", ignorenulls=True).over(later_runs).alias("__carried_next_at"),
+        F.last("first_level", ignorenulls=True).over(later_runs).alias("__carried_next"),
     )
 
-    # The later mark is the last one of the reversed order: a frame that only grows is linear in the run.
     so_far = Window.unboundedPreceding, Window.currentRow
     forward = Window.partitionBy(on, "__run").orderBy(frame).rowsBetween(*so_far)
     backward = Window.partitionBy(on, "__run").orderBy(F.col(frame).desc()).rowsBetween(*so_far)
     marked = runs.withColumns(
         {
-            "__prev": F.last(_mark(frame, voiced), ignorenulls=True).over(forward),
-            "__next": F.last(_mark(frame, voiced), ignorenulls=True).over(backward),
+            "__prev_at": F.last("__at", ignorenulls=True).over(forward),
+            "__prev": F.last("__level", ignorenulls=True).over(forward),
+            "__next_at": F.last("__at", ignorenulls=True).over(backward),
+            "__next": F.last("__level", ignorenulls=True).over(backward),
         }
     ).join(carried, [on, "__run"], "left")
-    prev = F.coalesce("__prev", "__carried_prev")
-    following = F.coalesce("__next", "__carried_next")
-    share = (F.col(frame) - prev["at"]) / (following["at"] - prev["at"])
-    line = prev["value"] + (following["value"] - prev["value"]) * share
+    prev_at, prev = F.coalesce("__prev_at", "__carried_prev_at"), F.coalesce("__prev", "__carried_prev")
+    next_at, following = F.coalesce("__next_at", "__carried_next_at"), F.coalesce("__next", "__carried_next")
+    share = (F.col(frame) - prev_at) / (next_at - prev_at)
     filled = (
-        F.when(prev.isNull(), following["value"])
-        .when(following.isNull(), prev["value"])
-        .when(following["at"] == prev["at"], prev["value"])
-        .otherwise(line)
+        F.when(prev.isNull(), following)
+        .when(following.isNull() | (next_at == prev_at), prev)
+        .otherwise(prev + (following - prev) * share)
     )
     if space == "log2":
         filled = F.pow(F.lit(2.0), filled)
     keep = (F.col(periodicity) >= threshold) | filled.isNull()
     result = F.when(keep, F.col(value).cast("double")).otherwise(filled)
-    return marked.withColumn(output or value, result).drop(
-        "__run", "__prev", "__next", "__carried_prev", "__carried_next"
-    )
+    return marked.withColumn(output or value, result).drop(*[name for name in marked.columns if name.startswith("__")])
 
 
 def stem_mixdown(

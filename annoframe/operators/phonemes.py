@@ -33,17 +33,20 @@ def transcribe(
 ) -> DataFrame:
     """Key and transcription of every row: known words become their sounds, all else stays as written.
 
-    A lexicon whose measured size is small is broadcast, so words are not shuffled;
-    a larger one is joined by word with frequent words split. The pieces of a row
-    are put together again by its key, so a group is as large as one text. Rows
-    without text have no transcription.
+    The texts are dealt out by key before they are taken apart. With a lexicon
+    that measures small enough to be broadcast, splitting, lookup and putting
+    together then stay in one task per text, and the only thing shuffled is the
+    plain text; the result is already partitioned for joins on the key. A larger
+    lexicon is joined by word, with frequent words split. Rows without text have
+    no transcription.
     """
     entries = lexicon.groupBy(F.lower(F.col(word)).alias("word")).agg(F.min(F.col(sounds)).alias("sounds"))
-    found = small_or_lookup_join(word_pieces(df, on, text), entries, ["word"], [on, "pos"])
+    pieces = word_pieces(df.select(on, text).repartition(on), on, text)
+    found = small_or_lookup_join(pieces, entries, ["word"], [on, "pos"])
     spoken = F.concat(F.coalesce("sounds", "written"), F.col("tail"))
-    pieces = F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", spoken.alias("spoken")))))
+    own = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", spoken.alias("spoken"))))
     return (
         found.groupBy(on)
-        .agg(pieces.alias("pieces"))
+        .agg(F.sort_array(own).alias("pieces"))
         .select(on, F.when(F.size("pieces") > 0, F.array_join("pieces.spoken", "")).alias(output))
     )
