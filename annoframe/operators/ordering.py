@@ -17,21 +17,20 @@ SAMPLES_PER_BUCKET = 16
 
 
 def range_cuts(df: DataFrame, key: Column) -> Column:
-    """Sorted cut points that part the keys into ranges of similar size, as a constant array of sorted arrays.
+    """Sorted keys that part all keys into ranges of similar size, as a constant array.
 
     Computed when the plan is built, like the bounds of a range partitioning: a
     hash of the key picks about ``SAMPLES_PER_BUCKET`` distinct keys per range and
-    every so manieth of them becomes a cut, at most ``MAX_BUCKETS`` in all. Cuts
-    only place rows; every row is numbered, whatever the cuts are.
+    every so manieth of them becomes a cut, fewer than ``MAX_BUCKETS`` in all.
+    Cuts only place rows; every row is numbered, whatever the cuts are.
     """
     keys = df.select(key.alias("key"))
+    kind = f"array<{keys.schema['key'].dataType.simpleString()}>"
     rows = keys.count()
     buckets = min(max(math.ceil(rows / ROWS_PER_BUCKET), 1), MAX_BUCKETS)
-    none = F.from_json(F.lit("[[]]"), _cuts_type(keys))
     if buckets == 1:
-        return none
+        return F.from_json(F.lit("[]"), kind)
     one_in = max(rows // (buckets * SAMPLES_PER_BUCKET), 1)
-    group = math.ceil(math.sqrt(buckets))
     picked = (
         keys.where(F.pmod(F.xxhash64("key"), F.lit(one_in)) == 0)
         .distinct()
@@ -39,21 +38,16 @@ def range_cuts(df: DataFrame, key: Column) -> Column:
     )
     step = F.greatest(F.size("keys") / buckets, F.lit(1.0))
     cut_at = F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: F.get("keys", F.floor(i * step).cast("int")))
-    cuts = picked.select(F.filter(cut_at, lambda cut: cut.isNotNull()).alias("cuts"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("cuts"), F.lit(1)), F.lit(group))
-    text = cuts.select(F.to_json(F.transform(starts, lambda start: F.slice("cuts", start, F.lit(group))))).first()[0]
-    return F.from_json(F.lit(text), _cuts_type(keys))
-
-
-def _cuts_type(keys: DataFrame) -> str:
-    return f"array<array<{keys.schema['key'].dataType.simpleString()}>>"
+    text = picked.select(F.to_json(F.filter(cut_at, lambda cut: cut.isNotNull()))).first()[0]
+    return F.from_json(F.lit(text), kind)
 
 
 def range_of(key: Column, cuts: Column) -> Column:
-    """Number of the range that holds ``key``: first among the groups of cuts, then within one group."""
-    groups_below = F.size(F.filter(cuts, lambda group: F.get(group, F.lit(0)) <= key))
-    inside = F.size(F.filter(F.get(cuts, groups_below - 1), lambda cut: cut <= key))
-    return F.when(groups_below == 0, 0).otherwise((groups_below - 1) * F.size(cuts[0]) + inside)
+    """Number of cuts at or below ``key``, found by halving steps: one comparison per power of two."""
+    steps = F.array(*[F.lit(2**power) for power in range(MAX_BUCKETS.bit_length() - 1, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0), lambda low, step: F.when(F.get(cuts, low + step - 1) <= key, low + step).otherwise(low)
+    )
 
 
 def row_index(
