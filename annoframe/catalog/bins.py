@@ -9,6 +9,7 @@ from annoframe.functions import binning as B
 from annoframe.functions import vocabulary as V
 from annoframe.operators import bins, speakers
 from annoframe.plans import stages
+from annoframe.sources import tables
 
 from .registry import Tables, case_label, query
 
@@ -138,7 +139,7 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 @query(
     """
     WITH ranges AS (SELECT c_mktsegment AS series, min(c_acctbal) AS lo, max(c_acctbal) AS hi
-                    FROM customer GROUP BY c_mktsegment),
+                    FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment),
     slots AS (SELECT series, i AS slot, lo + i * ((hi - lo) / 20) AS slot_from,
                      CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 20) END AS slot_to
               FROM ranges, range(20) AS r(i))
@@ -242,7 +243,7 @@ def _described_sql() -> str:
           FROM orders LEFT JOIN li ON o_orderkey = l_orderkey),
     sp AS (SELECT speaker, avg(utterance_pitch_mean) AS mean,
                   arg_min(gender_ori, segment_id) FILTER (WHERE gender_ori IS NOT NULL) AS category
-           FROM m GROUP BY speaker),
+           FROM m WHERE speaker IS NOT NULL GROUP BY speaker),
     st AS (SELECT category, avg(mean) AS m, stddev_pop(mean) AS s FROM sp GROUP BY category),
     bd AS (SELECT category, min(mean) AS lo, max(mean) AS hi FROM sp JOIN st USING (category)
            WHERE abs(mean - m) < 2 * s GROUP BY category),
@@ -257,6 +258,6 @@ def _described_sql() -> str:
 
 @query(_described_sql())
 def describe_stage(t: Tables) -> DataFrame:
-    return stages.describe(measured_orders(t)).select(
+    return stages.describe(tables.settled(measured_orders(t))).select(
         "segment_id", "speaking_rate", "noise", "reverberation", "speech_monotony", "pitch"
     )

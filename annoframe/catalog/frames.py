@@ -44,7 +44,8 @@ def frame_mean_std_long(t: Tables) -> DataFrame:
 
 @query(f"SELECT vec_id, len(embedding) / {RATE}::DOUBLE AS seconds FROM embeddings")
 def array_duration(t: Tables) -> DataFrame:
-    return t.embeddings.select("vec_id", S.sample_seconds(F.col("embedding"), F.lit(RATE)).alias("seconds"))
+    samples = S.flat_samples(F.array("embedding"), nested=True)
+    return t.embeddings.select("vec_id", S.sample_seconds(samples, F.lit(RATE)).alias("seconds"))
 
 
 @query(

@@ -92,7 +92,7 @@ def prompt_sql() -> str:
         f"|| '3. ' || ex[c + 1] || {words([PARTS.end])}"
     )
     for key in V.PROMPT_KEYS:
-        text = f"replace({text}, '[{key}]', {PROMPT_SOURCES[key]}::VARCHAR)"
+        text = f"replace({text}, '[{key}]', coalesce({PROMPT_SOURCES[key]}::VARCHAR, 'None'))"
     return text
 
 

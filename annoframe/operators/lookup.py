@@ -64,8 +64,8 @@ def lookup_join(
     twice ``SLICES`` repeats in all for a right side with one row per key. Each
     left row still meets each right row of its key exactly once. Dealing by
     content, not by row number, gives the same slices when a lost task is run
-    again. ``counts`` (the key columns and ``rows``) spares the pass that looks
-    for hot keys.
+    again. Rows without a key match nothing and are simply dealt out. ``counts``
+    (the key columns and ``rows``) spares the pass that looks for hot keys.
     """
     if how not in ("left", "inner"):
         raise ValueError("only left and inner lookups keep one slice per left row")
@@ -75,7 +75,9 @@ def lookup_join(
     key = F.xxhash64(*[F.col(name) for name in on])
     slices = sketched_slices(left, key) if counts is None else counted_slices(counts, key)
     parts = F.coalesce(F.try_element_at(slices, key), F.lit(1))
-    dealt = left.withColumn("__slice", F.pmod(F.xxhash64(*[F.col(name) for name in spread]), parts).cast("int"))
+    keyless = reduce(lambda found, name: found | F.col(name).isNull(), on, F.lit(False))
+    deal = F.when(keyless, F.lit(SLICES)).otherwise(parts)
+    dealt = left.withColumn("__slice", F.pmod(F.xxhash64(*[F.col(name) for name in spread]), deal).cast("int"))
     repeated = right.withColumn("__slice", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.join(repeated, [*on, "__slice"], how).drop("__slice")
 

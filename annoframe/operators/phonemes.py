@@ -45,8 +45,11 @@ def transcribe(
     found = small_or_lookup_join(pieces, entries, ["word"], [on, "pos"])
     spoken = F.concat(F.coalesce("sounds", "written"), F.col("tail"))
     own = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", spoken.alias("spoken"))))
-    return (
-        found.groupBy(on)
-        .agg(F.sort_array(own).alias("pieces"))
-        .select(on, F.when(F.size("pieces") > 0, F.array_join("pieces.spoken", "")).alias(output))
+    whole = found.groupBy(on).agg(F.sort_array(own).alias("pieces"), F.max("pos").alias("last"))
+    twice = F.raise_error(F.concat(F.lit("more than one text for id "), F.col(on).cast("string")))
+    return whole.select(
+        on,
+        F.when(F.size("pieces") > F.col("last") + 1, twice)
+        .when(F.col("last").isNotNull(), F.array_join("pieces.spoken", ""))
+        .alias(output),
     )

@@ -22,13 +22,16 @@ def clean_transcripts(segments: DataFrame, text: str = "text") -> DataFrame:
 def measure(
     segments: DataFrame, pitch_frames: DataFrame, voice_frames: DataFrame, voice_ranges: DataFrame,
     lexicon: DataFrame, quality: DataFrame | None = None, duration: str = "speech", pitch_space: str = "linear",
+    keep_audio: bool = True,
 ) -> DataFrame:
     """Add pitch, noise, reverberation, speech duration, phonemes and speaking rate to clean segments.
 
     Frame tables come from the user's models (``batches.map_batches``). Every
     branch is aggregated by ``segment_id`` and joined on it, so the wide table is
     partitioned by id once. ``duration`` chooses seconds of speech or of audio for
-    the speaking rate. A segment without a branch result has NULL there.
+    the speaking rate. A segment without a branch result has NULL there. With
+    ``keep_audio=False`` the signals never enter a shuffle: only their length is
+    taken along, and the result can be merged with the audio table where needed.
     """
     if duration not in ("speech", "audio"):
         raise ValueError("duration is speech or audio")
@@ -37,6 +40,12 @@ def measure(
         frames.interpolate_unvoiced(pitch_frames, "f0", "periodicity", space=pitch_space), "f0", "utterance_pitch"
     )
     table = clean
+    if duration == "audio":
+        nested = segments.schema["audio"].dataType["array"].dataType.simpleString().startswith("array<array")
+        samples = S.flat_samples(F.col("audio.array"), nested)
+        table = table.withColumn("__seconds", S.sample_seconds(samples, F.col("audio.sampling_rate")))
+    if not keep_audio:
+        table = table.drop("audio")
     for branch in (
         pitch,
         frames.masked_means(voice_frames, voice_ranges),
@@ -47,11 +56,8 @@ def measure(
     if duration == "speech":
         rate = S.speaking_rate(F.col("phonemes"), F.col("speech_duration"))
     else:
-        nested = segments.schema["audio"].dataType["array"].dataType.simpleString().startswith("array<array")
-        samples = S.flat_samples(F.col("audio.array"), nested)
-        seconds = S.sample_seconds(samples, F.col("audio.sampling_rate"))
-        rate = F.try_divide(F.length("phonemes").cast("double"), seconds)
-    table = table.withColumn("speaking_rate_value", rate)
+        rate = F.try_divide(F.length("phonemes").cast("double"), F.col("__seconds"))
+    table = table.withColumn("speaking_rate_value", rate).drop("__seconds")
     if quality is not None:
         scores = columns.rename_columns(quality.select("segment_id", "stoi", "sdr", "pesq"), {"sdr": "si-sdr"})
         table = table.join(scores, "segment_id", "left")
@@ -123,7 +129,7 @@ def noisy_ids(described: DataFrame) -> DataFrame:
 
 def caption(
     table: DataFrame, parts: prompts.PromptParts, generator: Callable[[], batches.BatchFunction], path: str,
-    variants: int = V.VARIANTS, batch_size: int = 64, rounds: int = 1,
+    variants: int = V.VARIANTS, batch_size: int = 64, rounds: int = 1, name: str = "text_description",
 ) -> DataFrame:
     """Write ``variants`` captions per segment and return the table with one column per variant.
 
@@ -146,4 +152,4 @@ def caption(
 
     kept = StructType([todo.schema["segment_id"], todo.schema["variant"]]).add("text", "string")
     rows = batches.run_resumable(todo, generate, path, kept, ["segment_id", "variant"], rounds)
-    return table.join(prompts.variants_to_columns(rows, "text", variants=variants), "segment_id", "left")
+    return table.join(prompts.variants_to_columns(rows, "text", variants=variants, name=name), "segment_id", "left")

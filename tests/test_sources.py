@@ -91,3 +91,10 @@ def test_publish_and_read_a_split(spark):
     assert "PartitionFilters: [isnotnull(split" in plan
     tables.publish(df, "plain")
     assert tables.read_split(spark, "plain").count() == 3
+
+
+def test_settled_table_is_read_from_the_shared_folder(spark):
+    df = spark.range(50).select("id", (F.col("id") * 2).alias("twice"))
+    again = tables.settled(df)
+    assert again.exceptAll(df).isEmpty() and again.dtypes == df.dtypes
+    assert spark.conf.get("spark.checkpoint.dir") in again.inputFiles()[0]

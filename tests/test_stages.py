@@ -75,7 +75,8 @@ def test_rate_by_audio_length(spark, segments):
     frames = spark.createDataFrame([], none)
     ranges = spark.createDataFrame([], "segment_id string, start double, end double")
     lexicon = spark.createDataFrame([], "word string, phonemes string")
-    table = stages.measure(segments, frames, frames, ranges, lexicon, duration="audio")
+    table = stages.measure(segments, frames, frames, ranges, lexicon, duration="audio", keep_audio=False)
+    assert "audio" not in table.columns
     rows = {row["segment_id"]: row["speaking_rate_value"] for row in table.collect()}
     assert rows["s04"] == pytest.approx(len("HELLO  WORLD ") / 5)
 

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from annoframe.functions import draw
@@ -96,6 +97,13 @@ def test_transcription(spark, monkeypatch, limit):
     }
 
 
+def test_transcription_rejects_two_texts_for_an_id(spark):
+    df = spark.createDataFrame([("a", "x y"), ("a", "z")], "segment_id string, text string")
+    lexicon = spark.createDataFrame([("x", "y")], "word string, phonemes string")
+    with pytest.raises(PySparkException, match="more than one text for id a"):
+        phonemes.transcribe(df, lexicon).collect()
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, 2, "noisy"), (2, 9, "clean"), (3, 5, None)], "segment_id int, n int, noise string")
     assert columns.drop_columns(df, "n+noise").columns == ["segment_id"]
