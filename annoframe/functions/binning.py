@@ -14,19 +14,15 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def equal_width_edges(low: Column, high: Column, bins: int, lower_range: float | None = None) -> Column:
-    """``bins + 1`` edges from ``low`` to ``high``.
+def widened(first: Column, last: Column) -> tuple[Column, Column]:
+    """A range of length zero grows by a half on each side; a range that runs backwards is an error."""
+    message = F.concat(F.lit("lower range above the largest value "), last.cast("string"))
+    low = F.when(first > last, F.raise_error(message)).when(first == last, first - 0.5).otherwise(first)
+    return low, F.when(first == last, last + 0.5).otherwise(last)
 
-    NULL bounds (nothing to fit on) give 0..1 and equal bounds are widened by a
-    half on each side. ``lower_range`` replaces the low end.
-    """
-    nothing = high.isNull()
-    start = F.when(nothing, 0.0).otherwise(low if lower_range is None else F.lit(float(lower_range)))
-    stop = F.when(nothing, 1.0).otherwise(high)
-    message = F.concat(F.lit("lower range above the largest value "), stop.cast("string"))
-    flat = start == stop
-    first = F.when(start > stop, F.raise_error(message)).when(flat, start - 0.5).otherwise(start)
-    last = F.when(flat, stop + 0.5).otherwise(stop)
+
+def equal_width_edges(first: Column, last: Column, bins: int) -> Column:
+    """``bins + 1`` edges from ``first`` to ``last``."""
     width = (last - first) / F.lit(bins)
     return F.array(*[first + F.lit(i) * width for i in range(bins)], last)
 

@@ -61,6 +61,29 @@ def without_outliers(df: DataFrame, column: str, tolerance: float) -> DataFrame:
     return bound(df, "__stats", stats).where(near_mean(value, F.col("__stats"), tolerance)).drop("__stats")
 
 
+def edge_row(bounds: DataFrame, wanted: Sequence[tuple[str, int, float | None]]) -> DataFrame:
+    """Edge arrays from a one-row table of ranges ``lo0, hi0, lo1, ...``.
+
+    ``wanted`` gives name, number of bins and lower range in the same order. Empty
+    ranges (nothing to fit on) give 0..1. The steps are separate projections, which
+    keeps every expression small.
+    """
+    numbers = range(len(wanted))
+    other = [name for name in bounds.columns if name not in {f"{end}{i}" for i in numbers for end in ("lo", "hi")}]
+    filled, wide = [], []
+    for i, (_, _, lower_range) in enumerate(wanted):
+        low = F.col(f"lo{i}") if lower_range is None else F.lit(float(lower_range))
+        filled.append(F.when(F.col(f"hi{i}").isNull(), 0.0).otherwise(low).alias(f"lo{i}"))
+        filled.append(F.coalesce(f"hi{i}", F.lit(1.0)).alias(f"hi{i}"))
+        first, last = B.widened(F.col(f"lo{i}"), F.col(f"hi{i}"))
+        wide += [first.alias(f"lo{i}"), last.alias(f"hi{i}")]
+    edges = [
+        B.equal_width_edges(F.col(f"lo{i}"), F.col(f"hi{i}"), count).alias(name)
+        for i, (name, count, _) in enumerate(wanted)
+    ]
+    return bounds.select(*other, *filled).select(*other, *wide).select(*other, *edges)
+
+
 def fit_bin_edges(df: DataFrame, specs: Sequence[BinSpec]) -> DataFrame:
     """One row with an edge array per label column, named after the label.
 
@@ -76,12 +99,7 @@ def fit_bin_edges(df: DataFrame, specs: Sequence[BinSpec]) -> DataFrame:
         kept = F.when(near_mean(value, stats[f"s{i}"], spec.tolerance), value)
         bounds += [F.min(kept).alias(f"lo{i}"), F.max(kept).alias(f"hi{i}")]
     measured = bound(clean, "__stats", clean.agg(*fields)) if any(spec.tolerance is not None for spec in specs) else clean
-    return measured.agg(*bounds).select(
-        *[
-            B.equal_width_edges(F.col(f"lo{i}"), F.col(f"hi{i}"), len(spec.labels), spec.lower_range).alias(spec.label)
-            for i, spec in enumerate(specs)
-        ]
-    )
+    return edge_row(measured.agg(*bounds), [(spec.label, len(spec.labels), spec.lower_range) for spec in specs])
 
 
 def label_columns(

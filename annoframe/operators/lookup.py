@@ -26,7 +26,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 64
 
 
-def _share(rows: Column, total: Column) -> Column:
+def slice_count(rows: Column, total: Column) -> Column:
     """Number of slices for a key with ``rows`` of all ``total`` rows."""
     return F.ceil(rows * F.lit(SLICES) / total).cast("int")
 
@@ -41,47 +41,56 @@ def sketched_slices(df: DataFrame, key: Column) -> Column:
     top = df.select(key.alias("key")).agg(
         F.expr(f"approx_top_k(key, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("rows")
     )
-    hot = F.transform("top", lambda item: F.struct(item["item"], _share(item["count"], F.col("rows")).alias("slices")))
+    hot = F.transform(
+        "top", lambda item: F.struct(item["item"], slice_count(item["count"], F.col("rows")).alias("slices"))
+    )
     return top.select(F.map_from_entries(F.filter(hot, lambda item: item["slices"] > 1))).scalar()
 
 
-def counted_slices(counts: DataFrame, key: Column, rows: str = "rows") -> Column:
-    """The same map from known row counts per key; at most ``SLICES`` keys can be hot."""
-    total = counts.agg(F.sum(rows)).scalar()
-    hot = counts.select(key.alias("key"), _share(F.col(rows), total).alias("slices")).where(F.col("slices") > 1)
-    entries = F.collect_list(F.struct("key", "slices"))
-    return hot.groupBy("key").agg(F.max("slices").alias("slices")).agg(F.map_from_entries(entries)).scalar()
+def key_hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(name) for name in on])
 
 
-def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] | None = None,
-    counts: DataFrame | None = None,
+def slices_of(slices: Column, on: Sequence[str]) -> Column:
+    """Slices of a row's key; keys the map does not list have one."""
+    return F.coalesce(F.try_element_at(slices, key_hash(on)), F.lit(1))
+
+
+def sliced_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, left_slices: Column, right_slices: Column,
+    spread: Sequence[str],
 ) -> DataFrame:
-    """Join every left row to the right rows of its key, with hot left keys split over many tasks.
+    """Join with the rows of a key dealt to slices on the left and repeated per slice on the right.
 
-    The rows of a hot key are dealt to slices by a hash of the ``spread``
-    columns, and the right rows of that key are repeated once per slice: about
-    twice ``SLICES`` repeats in all for a right side with one row per key. Each
-    left row still meets each right row of its key exactly once. Dealing by
-    content, not by row number, gives the same slices when a lost task is run
-    again. Rows without a key match nothing and are simply dealt out. ``counts``
-    (the key columns and ``rows``) spares the pass that looks for hot keys.
+    Each left row meets each right row of its key exactly once. Rows are dealt by
+    the content of ``spread``, not by row number, so a task that is run again
+    gives the same slices. Left rows without a key match nothing and are simply
+    dealt out.
     """
     if how not in ("left", "inner"):
         raise ValueError("only left and inner lookups keep one slice per left row")
     on = list(on)
-    plain = ("map", "array", "struct", "binary", "variant")
-    spread = spread or [name for name, kind in left.dtypes if name not in on and not kind.startswith(plain)] or on
-    key = F.xxhash64(*[F.col(name) for name in on])
-    slices = sketched_slices(left, key) if counts is None else counted_slices(counts, key)
-    parts = F.coalesce(F.try_element_at(slices, key), F.lit(1))
     keyless = reduce(lambda found, name: found | F.col(name).isNull(), on, F.lit(False))
-    deal = F.when(keyless, F.lit(SLICES)).otherwise(parts)
+    deal = F.when(keyless, F.lit(SLICES)).otherwise(left_slices)
     dealt = left.withColumn("__slice", F.pmod(F.xxhash64(*[F.col(name) for name in spread]), deal).cast("int"))
-    repeated = right.withColumn("__slice", F.explode(F.sequence(F.lit(0), parts - 1)))
+    repeated = right.withColumn("__slice", F.explode(F.sequence(F.lit(0), right_slices - 1)))
     return dealt.join(repeated, [*on, "__slice"], how).drop("__slice")
 
 
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] | None = None
+) -> DataFrame:
+    """Join every left row to the right rows of its key, with hot left keys split over many tasks.
+
+    A sketch of the left keys finds the hot ones. With one right row per key the
+    repeats on the right add at most ``SLICES + HOT_KEYS`` rows.
+    """
+    plain = ("map", "array", "struct", "binary", "variant")
+    spread = spread or [name for name, kind in left.dtypes if name not in on and not kind.startswith(plain)] or on
+    slices = sketched_slices(left, key_hash(on))
+    return sliced_join(left, right, on, how, slices_of(slices, on), slices_of(slices, on), spread)
+
+
 def measured_bytes(table: DataFrame) -> int:
     """Size of a table of strings: all characters in bytes plus ``ROW_BYTES`` per row."""
     size = reduce(lambda total, name: total + F.coalesce(F.octet_length(F.col(name)), F.lit(0)), table.columns, F.lit(ROW_BYTES))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from annoframe.functions import binning as B
 from annoframe.functions import vocabulary as V
 
-from .bins import bound, moments, near_mean
-from .lookup import failing_unless, lookup_join
+from .bins import bound, edge_row, moments, near_mean
+from .lookup import failing_unless, key_hash, slice_count, sliced_join, slices_of
 
 
 def speaker_table(
@@ -34,22 +34,28 @@ def speaker_table(
     )
 
 
+def _moments(categories: Sequence[str]) -> list[Column]:
+    return [
+        moments(F.when(F.col("category") == name, F.col("mean"))).alias(f"s{i}") for i, name in enumerate(categories)
+    ]
+
+
+def _bounds(categories: Sequence[str], tolerance: float | None) -> list[Column]:
+    bounds = []
+    for i, name in enumerate(categories):
+        mean = F.when(F.col("category") == name, F.col("mean"))
+        kept = F.when(near_mean(mean, F.col("__stats")[f"s{i}"], tolerance), mean)
+        bounds += [F.min(kept).alias(f"lo{i}"), F.max(kept).alias(f"hi{i}")]
+    return bounds
+
+
 def fit_category_edges(
     speakers: DataFrame, bins: int, categories: Sequence[str] = V.GENDERS, tolerance: float | None = V.PITCH_TOLERANCE
 ) -> DataFrame:
     """One row with an edge array per category, fitted on the speaker means of that category."""
-    mine = {name: F.when(F.col("category") == name, F.col("mean")) for name in categories}
-    stats = speakers.agg(*[moments(value).alias(f"s{i}") for i, value in enumerate(mine.values())])
-    bounds = []
-    for i, value in enumerate(mine.values()):
-        kept = F.when(near_mean(value, F.col("__stats")[f"s{i}"], tolerance), value)
-        bounds += [F.min(kept).alias(f"lo{i}"), F.max(kept).alias(f"hi{i}")]
-    return bound(speakers, "__stats", stats).agg(*bounds).select(
-        *[
-            B.equal_width_edges(F.col(f"lo{i}"), F.col(f"hi{i}"), bins).alias(name)
-            for i, name in enumerate(categories)
-        ]
-    )
+    stats = speakers.agg(*_moments(categories))
+    bounds = bound(speakers, "__stats", stats).agg(*_bounds(categories, tolerance))
+    return edge_row(bounds, [(name, bins, None) for name in categories])
 
 
 def category_label(
@@ -62,23 +68,6 @@ def category_label(
     return label
 
 
-def speaker_labels(
-    speakers: DataFrame, label: str, labels: Sequence[str], categories: Sequence[str] = V.GENDERS,
-    tolerance: float | None = V.PITCH_TOLERANCE, edges: Mapping[str, Sequence[float]] | None = None,
-    strict: bool = False,
-) -> DataFrame:
-    """Speaker table plus the label column; ``strict`` fails on a category without edges."""
-    if edges is None:
-        speakers = bound(speakers, "__edges", fit_category_edges(speakers, len(labels), categories, tolerance))
-        edges = {name: F.col("__edges")[name] for name in categories}
-    if strict:
-        known = F.coalesce(F.col("category").isin(*edges), F.lit(False))
-        speakers = failing_unless(
-            speakers, known, F.concat(F.lit("no edges for the category of speaker "), F.col("speaker").cast("string"))
-        )
-    return speakers.withColumn(label, category_label(F.col("mean"), F.col("category"), edges, labels)).drop("__edges")
-
-
 def label_by_speaker(
     df: DataFrame, speaker: str = "speaker", category: str = "gender_ori", value: str = "utterance_pitch_mean",
     label: str = "pitch", labels: Sequence[str] = V.PITCH_LABELS, categories: Sequence[str] = V.GENDERS,
@@ -87,13 +76,33 @@ def label_by_speaker(
 ) -> DataFrame:
     """Every utterance with the label of its speaker's mean.
 
-    Statistics, edges and labels share the shuffle of the speaker aggregation; the
-    utterances then look their speaker up, with hot speakers split by the row
-    counts of that aggregation.
+    Two small aggregations over the speaker table find the moments and the number
+    of rows, then the edges and the hot speakers. They and the labels need the
+    same columns of the speaker table, so all three share its one shuffle. The
+    utterances then look their speaker up, with hot speakers split. ``strict``
+    fails on a speaker whose category has no edges; otherwise it has no label.
     """
-    speakers = speaker_table(df, speaker, category, value, order_by)
-    labelled = speaker_labels(speakers, label, labels, categories, tolerance, edges, strict)
-    counts = speakers.select(F.col("speaker").alias(speaker), "rows")
-    return lookup_join(
-        df, labelled.select(F.col("speaker").alias(speaker), label), [speaker], "left", spread, counts
+    table = speaker_table(df, speaker, category, value, order_by).withColumnRenamed("speaker", speaker)
+    fitted = () if edges is not None else tuple(categories)
+    stats = table.agg(F.sum("rows").alias("total"), *_moments(fitted))
+    counted = bound(table, "__stats", stats).withColumn(
+        "__slices", slice_count(F.col("rows"), F.col("__stats.total"))
+    )
+    hot = F.when(F.col("__slices") > 1, F.struct(key_hash([speaker]).alias("key"), F.col("__slices").alias("slices")))
+    # A hot speaker has more than one row in SLICES, so this list has fewer than SLICES entries.
+    bounds = counted.agg(F.map_from_entries(F.collect_list(hot)).alias("__hot"), *_bounds(fitted, tolerance))
+    fit = edge_row(bounds, [(name, len(labels), None) for name in fitted])
+    known = edges if edges is not None else {name: F.col("__fit")[name] for name in categories}
+    labelled = bound(counted, "__fit", fit).withColumn(
+        label, category_label(F.col("mean"), F.col("category"), known, labels)
+    )
+    if strict:
+        listed = F.coalesce(F.col("category").isin(*known), F.lit(False))
+        message = F.concat(F.lit("no edges for the category of speaker "), F.col(speaker).cast("string"))
+        labelled = failing_unless(labelled, listed, message)
+    spread = spread or [name for name in df.columns if name in ("segment_id", value)] or [speaker]
+    joined = sliced_join(
+        bound(df, "__fit", fit), labelled.select(speaker, label, "__slices"), [speaker], "left",
+        slices_of(F.col("__fit")["__hot"], [speaker]), F.col("__slices"), spread,
     )
+    return joined.drop("__fit", "__slices")
