@@ -91,7 +91,7 @@ def combine_branches(t: Tables) -> DataFrame:
         "vec_id", F.round(S.array_mean(signal), 6).alias("mean"), F.round(S.array_sample_std(signal), 6).alias("std")
     )
     heads = t.embeddings.select(
-        "vec_id", F.round(signal[0].cast("double"), 6).alias("first_value"), F.size(signal).alias("samples")
+        "vec_id", F.round(F.get(signal, F.lit(0)).cast("double"), 6).alias("first_value"), F.size(signal).alias("samples")
     )
     return lookup.combine_branches(t.embeddings.select("vec_id", "label"), [levels, heads], "vec_id")
 

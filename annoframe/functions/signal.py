@@ -16,7 +16,8 @@ def speaking_rate(phonemes: Column, speech_seconds: Column) -> Column:
 
 def sample_seconds(samples: Column, sampling_rate: Column) -> Column:
     """Length of a flat sample array in seconds; NULL where the sampling rate is zero."""
-    return F.try_divide(F.size(samples).cast("double"), sampling_rate.cast("double"))
+    count = F.when(samples.isNotNull(), F.size(samples))
+    return F.try_divide(count.cast("double"), sampling_rate.cast("double"))
 
 
 def first_seconds(samples: Column, sampling_rate: Column, seconds: int = V.QUALITY_SECONDS) -> Column:
