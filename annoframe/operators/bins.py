@@ -128,7 +128,8 @@ def histogram_before_after(df: DataFrame, column: str, tolerance: float, bins: i
     stats = values.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     kept = near_mean(F.col("value"), F.col("__stats"), tolerance)
     member = F.when(kept, F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("before")))
-    return _histogram(bound(values, "__stats", stats).select(F.explode(member).alias("series"), "value"), ("before", "after"), bins)
+    both = bound(values, "__stats", stats).select(F.explode(member).alias("series"), "value")
+    return _histogram(both, ("before", "after"), bins)
 
 
 def histogram_by(df: DataFrame, series: str, column: str, names: Sequence[str], bins: int = 100) -> DataFrame:

@@ -93,7 +93,8 @@ def lookup_join(
 
 def measured_bytes(table: DataFrame) -> int:
     """Size of a table of strings: all characters in bytes plus ``ROW_BYTES`` per row."""
-    size = reduce(lambda total, name: total + F.coalesce(F.octet_length(F.col(name)), F.lit(0)), table.columns, F.lit(ROW_BYTES))
+    texts = [F.coalesce(F.octet_length(F.col(name)), F.lit(0)) for name in table.columns]
+    size = reduce(Column.__add__, texts, F.lit(ROW_BYTES))
     return table.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
 
 

@@ -103,7 +103,8 @@ def describe(
     chosen = [
         bins.BinSpec(
             spec.value, spec.label, tuple(words.get(V.VOCABULARY_KEYS.get(spec.label, ""), spec.labels)),
-            spec.tolerance, noise_lower_range if spec.label == "noise" and noise_lower_range is not None else spec.lower_range,
+            spec.tolerance,
+            noise_lower_range if spec.label == "noise" and noise_lower_range is not None else spec.lower_range,
         )
         for spec in specs
     ]
