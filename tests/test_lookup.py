@@ -82,6 +82,26 @@ def test_hot_keys_are_dealt_to_many_slices(spark):
     assert 330 <= next(iter(found.values())) <= 340
 
 
+def test_a_hot_key_does_not_end_in_one_partition(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    left = spark.range(40000).select("id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"))
+    left = left.withColumn("k", F.when(F.col("id") % 5 != 1, F.col("k")))
+    right = spark.range(40000).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        joined = lookup.lookup_join(left, right, ["k"], "left", ["id"])
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        sizes = [row["count"] for row in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(sizes) == 40000
+    assert len(sizes) == 8
+    assert max(sizes) < 1.3 * 40000 / 8
+
+
 def test_small_side_is_broadcast_and_large_side_is_not(spark, monkeypatch):
     left = spark.range(100).select("id", (F.col("id") % 9).cast("string").alias("k"))
     right = spark.range(5).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("w"))
