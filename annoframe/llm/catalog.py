@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import decontam, lines
+from annoframe.llm import decontam, jaccard, lines
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -57,15 +57,15 @@ def _word_list(text: str) -> str:
 WITH item AS (SELECT item_id, {_word_list("text")} AS words FROM benchmark WHERE text IS NOT NULL),
 sized AS (SELECT item_id, words, least(10, len(words)) AS size FROM item WHERE len(words) > 0),
 win AS (
-  SELECT DISTINCT item_id, size, array_to_string(list_slice(words, at, at + size - 1), ' ') AS win
-  FROM (SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS at FROM sized)),
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS win
+  FROM (SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM sized)),
 sizes AS (SELECT DISTINCT size FROM win),
 doc AS (SELECT doc_id, {_word_list("text")} AS words FROM documents),
 place AS (
-  SELECT doc_id, size, at, array_to_string(list_slice(words, at, at + size - 1), ' ') AS win
-  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS at FROM doc, sizes WHERE len(words) >= size)),
-found AS (SELECT p.doc_id, p.at, p.size, w.item_id FROM place p JOIN win w ON p.size = w.size AND p.win = w.win),
-hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(at, at + size)) AS word FROM found) GROUP BY doc_id),
+  SELECT doc_id, size, pos, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM doc, sizes WHERE len(words) >= size)),
+found AS (SELECT p.doc_id, p.pos, p.size, w.item_id FROM place p JOIN win w ON p.size = w.size AND p.win = w.win),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS word FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
@@ -77,3 +77,26 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
         F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("__n_hit") > 0).alias("contaminated"),
     )
+
+
+_SETS = f"""
+doc AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ') ELSE array_to_string(list_slice(words, pos, pos + 4), ' ') END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS pos FROM doc WHERE len(words) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id)"""
+
+
+@query(f"""
+WITH RECURSIVE {_SETS.strip()},
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingle x JOIN shingle y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM common JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 100 * common.n >= 80 * (sa.n + sb.n - common.n)),
+reach AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM link) UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.component_id, d.doc_id) AS component_id
+FROM doc d LEFT JOIN size s ON d.doc_id = s.doc_id LEFT JOIN least r ON d.doc_id = r.doc_id""")
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, folder, "documents").select("doc_id", "text"))
