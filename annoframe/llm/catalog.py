@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import decontam, jaccard, lines
+from annoframe.llm import decontam, jaccard, language, lines, quality, shared, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), toxicity.not_held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", shared.held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query(f"""
 WITH line AS (
   SELECT doc_id, generate_subscripts(parts, 1) AS place, unnest(parts) AS line
@@ -100,3 +109,20 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.component_id, d.doc_
 FROM doc d LEFT JOIN size s ON d.doc_id = s.doc_id LEFT JOIN least r ON d.doc_id = r.doc_id""")
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, folder, "labels"), toxicity.not_held_out())
+    names = {f"__{name}": name for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")}
+    return quality.judge(docs, model).select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))
+
+
+@query()
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, toxicity.not_held_out())
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", shared.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")
+    )
