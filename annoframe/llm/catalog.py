@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import decontam, jaccard, language, lines, quality, shared, toxicity
+from annoframe.llm import attribution, decontam, jaccard, language, licenses, lines, packing, quality, shared, token_files, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,45 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _words(text: str) -> str:
+    """SQL for the words of the licence and benchmark scans, in order."""
+    return f"regexp_extract_all({_LOWER.format(f"coalesce({text}, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text.replace("'", "''")}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+
+
+@query(f"""
+WITH template AS (SELECT number, name, {_words("text")} AS words FROM (VALUES {_TEMPLATE_ROWS}) AS t(number, name, text)),
+own AS (
+  SELECT DISTINCT number, name, list_extract(words, pos) || ' ' || list_extract(words, pos + 1) AS pair
+  FROM (SELECT number, name, words, unnest(range(1, len(words))) AS pos FROM template)),
+own_size AS (SELECT number, name, count(*) AS n FROM own GROUP BY number, name),
+unit AS (
+  SELECT doc_id, kind, place, {_words("unit")} AS words FROM (
+    SELECT doc_id, 'whole' AS kind, 1 AS place, text AS unit FROM documents
+    UNION ALL SELECT doc_id, 'line', generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM documents
+    UNION ALL SELECT doc_id, 'paragraph', generate_subscripts(string_split(text, chr(10) || chr(10)), 1), unnest(string_split(text, chr(10) || chr(10))) FROM documents)),
+pair AS (
+  SELECT DISTINCT doc_id, kind, place, list_extract(words, pos) || ' ' || list_extract(words, pos + 1) AS pair
+  FROM (SELECT doc_id, kind, place, words, unnest(range(1, len(words))) AS pos FROM unit WHERE len(words) > 1)),
+unit_size AS (SELECT doc_id, kind, place, count(*) AS n FROM pair GROUP BY doc_id, kind, place),
+common AS (
+  SELECT p.doc_id, p.kind, p.place, o.number, o.name, count(*) AS n
+  FROM pair p JOIN own o ON p.pair = o.pair GROUP BY p.doc_id, p.kind, p.place, o.number, o.name),
+dice AS (
+  SELECT c.doc_id, c.kind, c.place, c.name, 2 * c.n / CAST(u.n + o.n AS DOUBLE) AS dice
+  FROM common c JOIN unit_size u ON c.doc_id = u.doc_id AND c.kind = u.kind AND c.place = u.place JOIN own_size o ON c.number = o.number),
+matched AS (SELECT * FROM dice WHERE dice >= {licenses.LEAST_DICE}),
+best AS (SELECT doc_id, name, dice FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS r FROM matched) WHERE r = 1),
+counted AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, kind, place FROM matched) GROUP BY doc_id)
+SELECT d.doc_id, b.name AS license, b.dice, coalesce(c.n, 0) AS n_matches
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN counted c ON d.doc_id = c.doc_id""")
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("__license").alias("license"), F.col("__dice").alias("dice"), F.col("__n_matches").alias("n_matches"))
+
+
 @query()
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -56,20 +95,14 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-def _word_list(text: str) -> str:
-    """SQL for the words of the benchmark contract, in order."""
-    lowered = _LOWER.format(f"coalesce({text}, '')")
-    return f"regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
-
 @query(f"""
-WITH item AS (SELECT item_id, {_word_list("text")} AS words FROM benchmark WHERE text IS NOT NULL),
+WITH item AS (SELECT item_id, {_words("text")} AS words FROM benchmark WHERE text IS NOT NULL),
 sized AS (SELECT item_id, words, least(10, len(words)) AS size FROM item WHERE len(words) > 0),
 win AS (
   SELECT DISTINCT item_id, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS win
   FROM (SELECT item_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM sized)),
 sizes AS (SELECT DISTINCT size FROM win),
-doc AS (SELECT doc_id, {_word_list("text")} AS words FROM documents),
+doc AS (SELECT doc_id, {_words("text")} AS words FROM documents),
 place AS (
   SELECT doc_id, size, pos, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS win
   FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM doc, sizes WHERE len(words) >= size)),
@@ -126,3 +159,20 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select(
         "doc_id", shared.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")
     )
+
+
+@query()
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query()
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return attribution.attribute(table(spark, folder, "documents"), ("source", "lang", "text"))
+
+
+@query()
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = shared.new_path(spark, "tokens")
+    manifest = token_files.write_files(table(spark, folder, "documents"), files)
+    return token_files.read_files(spark, files, manifest).select(F.col("__id").alias("doc_id"), F.col("__start").alias("start"), F.col("__n_tokens").alias("n_tokens"), F.col("__crc32").alias("ids_crc32"))
