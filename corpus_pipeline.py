@@ -1,4 +1,10 @@
-"""A corpus from raw documents to packed sequences."""
+"""A corpus from raw documents to packed sequences.
+
+Every stage works on all documents that the one before kept, and its decisions take
+effect: toxic documents go, shared lines stay in one document, one document of each
+group of near copies stays, passages of benchmark items are cut out (and documents that
+are mostly such passages go), what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import decontam, lines, shared
+from annoframe.llm import decontam, jaccard, lines, packing, shared, toxicity as toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,17 +26,44 @@ def _as_documents(cleaned: DataFrame, docs: DataFrame) -> DataFrame:
     return cleaned.select(docs.columns)
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the threshold; the models learn from labelled rows that aren't held out."""
+    model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxic.not_held_out())
+    return toxic.score(docs, model).where(F.col("__score") < toxic.THRESHOLD).select(docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that five or more share; the largest id keeps each."""
     return _as_documents(lines.dedup_lines(docs), docs)
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: that with the smallest id, once if it is repeated. Rows without an id stay."""
+    groups = jaccard.similar_documents(docs)
+    keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the passages of items, but for those that are mostly such passages."""
     return _as_documents(decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", line_dedup), ("benchmark_decontamination", benchmark_decontamination)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and its place there."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: SQL expresses neither the toxicity model nor the packing.
+#: SQL expresses neither the toxicity models nor the packing.
 ORACLE_SQL: str | None = None
 
 
