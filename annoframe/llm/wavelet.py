@@ -123,7 +123,8 @@ class WaveletMatrix:
         """How often an id stands in places from start to before stop."""
         if token >> self.bits:
             return 0
-        a, b = self._range(token, start, self.n if stop is None else stop)
+        stop = self.n if stop is None else min(stop, self.n)
+        a, b = self._range(token, min(start, stop), stop)
         return b - a
 
     def occurrence(self, token: int, k: int) -> int:
