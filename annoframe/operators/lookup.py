@@ -2,8 +2,8 @@
 
 Spark broadcasts a side whose size it has checked against its threshold, before
 the query or after the shuffle; beyond that the joins below are shuffles on the
-key. ``lookup_join`` also splits hot keys. Only ``small_or_lookup_join`` asks for
-a broadcast, of a side it has measured.
+key. ``lookup_join`` also splits keys with very many rows. Only
+``small_or_lookup_join`` asks for a broadcast, of a side it has measured.
 """
 
 from __future__ import annotations
@@ -16,79 +16,69 @@ from pyspark.sql import functions as F
 
 from annoframe.functions import vocabulary as V
 
-# A key with more than one row in SLICES is hot. One bounded sketch finds the hot keys.
-SLICES = 1000
-HOT_KEYS = 256
-SKETCH_ITEMS = 65536
+# Rows of one key that a task joins; a key with more rows is dealt to several slices.
+TARGET_ROWS = 1_000_000
 
 # A dictionary up to this measured size is copied to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_BYTES = 64
 
 
-def slice_count(rows: Column, total: Column) -> Column:
-    """Number of slices for a key with ``rows`` of all ``total`` rows."""
-    return F.ceil(rows * F.lit(SLICES) / total).cast("int")
-
-
-def sketched_slices(df: DataFrame, key: Column) -> Column:
-    """Map from the hash of each hot key to the number of slices its rows are dealt to.
-
-    One pass over the key column with a frequent-items sketch: every task keeps a
-    bounded number of counters and the result is one row with at most
-    ``HOT_KEYS`` entries. It decides only how work is spread, never the result.
-    """
-    top = df.select(key.alias("key")).agg(
-        F.expr(f"approx_top_k(key, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("rows")
-    )
-    hot = F.transform(
-        "top", lambda item: F.struct(item["item"], slice_count(item["count"], F.col("rows")).alias("slices"))
-    )
-    return top.select(F.map_from_entries(F.filter(hot, lambda item: item["slices"] > 1))).scalar()
-
-
-def key_hash(on: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(name) for name in on])
-
-
-def slices_of(slices: Column, on: Sequence[str]) -> Column:
-    """Slices of a row's key; keys the map does not list have one."""
-    return F.coalesce(F.try_element_at(slices, key_hash(on)), F.lit(1))
+def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Exact ``rows`` per key, rows without a key included; counts combine before the shuffle."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def sliced_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, left_slices: Column, right_slices: Column,
-    spread: Sequence[str],
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, counts: DataFrame, spread: Sequence[str]
 ) -> DataFrame:
-    """Join with the rows of a key dealt to slices on the left and repeated per slice on the right.
-
-    Each left row meets each right row of its key exactly once. Rows are dealt by
-    the content of ``spread``, not by row number, so a task that is run again
-    gives the same slices. Left rows without a key match nothing and are simply
-    dealt out.
+    """Join with the rows of a frequent key dealt to slices on the left and repeated per slice on the right.
+
+    ``counts`` holds the left rows per key. A key gets a slice for each ``TARGET_ROWS``
+    rows, so a slice stays of one size however large the table and however many keys
+    are frequent; rows without a key, which match nothing, are dealt out alike. There is
+    at most one such key per ``TARGET_ROWS`` rows, and Spark decides by size how to send
+    their list. Each left row meets each right row of its key exactly once. Rows are
+    dealt by the content of ``spread``, not by row number, so a task that is run again
+    gives the same slices.
     """
     if how not in ("left", "inner"):
         raise ValueError("only left and inner lookups keep one slice per left row")
     on = list(on)
-    keyless = reduce(lambda found, name: found | F.col(name).isNull(), on, F.lit(False))
-    deal = F.when(keyless, F.lit(SLICES)).otherwise(left_slices)
-    dealt = left.withColumn("__slice", F.pmod(F.xxhash64(*[F.col(name) for name in spread]), deal).cast("int"))
-    repeated = right.withColumn("__slice", F.explode(F.sequence(F.lit(0), right_slices - 1)))
+    if not set(spread) - set(on):
+        raise ValueError("a key cannot be spread by itself")
+    frequent = counts.where(F.col("rows") > TARGET_ROWS).select(
+        *[F.col(name).alias(f"__{name}") for name in on], F.ceil(F.col("rows") / TARGET_ROWS).cast("int").alias("__slices")
+    )
+    deal = F.coalesce(F.col("__slices"), F.lit(1))
+
+    def with_slices(table: DataFrame) -> DataFrame:
+        same = reduce(Column.__and__, [table[name].eqNullSafe(frequent[f"__{name}"]) for name in on])
+        return table.join(frequent, same, "left")
+
+    hidden = [f"__{name}" for name in on] + ["__slices"]
+    dealt = with_slices(left).withColumn("__slice", F.pmod(F.xxhash64(*[F.col(name) for name in spread]), deal).cast("int")).drop(*hidden)
+    repeated = with_slices(right).withColumn("__slice", F.explode(F.sequence(F.lit(0), deal - 1))).drop(*hidden)
     return dealt.join(repeated, [*on, "__slice"], how).drop("__slice")
 
 
+def spreading_columns(df: DataFrame, on: Sequence[str]) -> list[str]:
+    """Columns by whose content the rows of a key can be dealt out."""
+    plain = ("map", "array", "struct", "binary", "variant")
+    return [name for name, kind in df.dtypes if name not in on and not kind.startswith(plain)]
+
+
 def lookup_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] | None = None
 ) -> DataFrame:
-    """Join every left row to the right rows of its key, with hot left keys split over many tasks.
+    """Join every left row to the right rows of its key, with frequent left keys split over many tasks.
 
-    A sketch of the left keys finds the hot ones. With one right row per key the
-    repeats on the right add at most ``SLICES + HOT_KEYS`` rows.
+    A table of keys alone has nothing to be dealt by; it takes part in a plain join.
     """
-    plain = ("map", "array", "struct", "binary", "variant")
-    spread = spread or [name for name, kind in left.dtypes if name not in on and not kind.startswith(plain)] or on
-    slices = sketched_slices(left, key_hash(on))
-    return sliced_join(left, right, on, how, slices_of(slices, on), slices_of(slices, on), spread)
+    spread = spread or spreading_columns(left, on)
+    if not spread:
+        return left.join(right, list(on), how)
+    return sliced_join(left, right, on, how, key_counts(left, on), spread)
 
 
 def measured_bytes(table: DataFrame) -> int:
@@ -151,14 +141,14 @@ def annotate(
     The sides are aggregated to one row per id first, so the wide table takes part
     in a single join however many attributes there are. An id without a side row
     reads "None" and 0; with ``strict`` every side must cover exactly the ids of
-    ``df``, or the query fails. A side with two rows for an id is an error.
+    ``df``, each once, or the query fails. One aggregation checks all sides. A side
+    with two rows for an id is an error, and so is a NULL id under ``strict``.
     """
     wide = stack_sides(sides, on)
     if strict:
-        for name, side in sides.items():
-            df = same_ids(df, side, [on], f"attribute {name}")
+        df = covered(df, wide, list(sides), on)
     joined = df.drop(*[f"{name}{end}" for name in sides for end in ("", "_ori", "_value")]).join(
-        wide.drop(*[f"__{name}_rows" for name in sides]), on, "inner" if strict else "left"
+        wide.drop(*[f"__{name}_rows" for name in sides]), on, "left"
     )
     filled = {}
     for name in sides:
@@ -171,18 +161,36 @@ def annotate(
     )
 
 
+def covered(df: DataFrame, wide: DataFrame, names: Sequence[str], on: str) -> DataFrame:
+    """``df``, failing unless every side has exactly its ids, each once and none of them NULL."""
+    rows = [f"__{name}_rows" for name in names]
+    mine = df.select(on, F.lit(1).alias("__main"), *[F.lit(0).cast("long").alias(name) for name in rows])
+    both = mine.unionByName(wide.select(on, F.lit(0).alias("__main"), *rows))
+    counted = both.groupBy(on).agg(F.sum("__main").alias("__main"), *[F.sum(name).alias(name) for name in rows])
+    bad = reduce(Column.__or__, [F.col(name) != 1 for name in rows], (F.col("__main") != 1) | F.col(on).isNull())
+    wrong = counted.where(bad).agg(F.count(F.lit(1))).scalar()
+    return without_wrong(df, wrong, f"attributes {', '.join(names)}")
+
+
 def same_ids(left: DataFrame, right: DataFrame, on: Sequence[str], what: str = "tables") -> DataFrame:
-    """``left``, failing unless both tables hold the same keys, each exactly once.
+    """``left``, failing unless both tables hold the same keys, each exactly once and none of them NULL.
 
-    One aggregation over the keys alone answers for missing keys on either side
-    and for duplicates; it runs as a scalar subquery before the rows are read.
+    One aggregation over the keys alone answers for missing keys on either side, for
+    duplicates and for NULL keys; it runs as a scalar subquery before the rows are read.
     """
     both = left.select(*on, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
         right.select(*on, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
     counted = both.groupBy(*on).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    wrong = counted.where((F.col("l") != 1) | (F.col("r") != 1)).agg(F.count(F.lit(1))).scalar()
-    return failing_unless(left, wrong == 0, F.concat(F.lit(f"{what}: ids that do not match: "), wrong.cast("string")))
+    missing = reduce(Column.__or__, [F.col(name).isNull() for name in on])
+    wrong = counted.where((F.col("l") != 1) | (F.col("r") != 1) | missing).agg(F.count(F.lit(1))).scalar()
+    return without_wrong(left, wrong, what)
+
+
+def without_wrong(df: DataFrame, wrong: Column, what: str) -> DataFrame:
+    """``df``, failing unless the scalar ``wrong`` is 0; it is bound to one column and so computed once."""
+    message = F.concat(F.lit(f"{what}: ids that do not match: "), F.col("__wrong").cast("string"))
+    return failing_unless(df.withColumn("__wrong", wrong), F.col("__wrong") == 0, message).drop("__wrong")
 
 
 def merge_verified(
@@ -190,7 +198,7 @@ def merge_verified(
 ) -> DataFrame:
     """Put two tables with the same ids side by side; the right id stays as ``metadata_{id}``.
 
-    Any id missing on either side, any duplicate and any missing split is an error.
+    Any id missing on either side, any duplicate, any missing split and any NULL is an error.
     """
     names = drop.split("+") if isinstance(drop, str) else list(drop)
     right = right.drop(*names)
@@ -209,21 +217,38 @@ def last_tags(tags: DataFrame, on: str, tag: str, position: str) -> DataFrame:
 
 def add_tag(
     df: DataFrame, tags: DataFrame, on: str = "segment_id", tag: str = "tag", position: str = "position",
-    output: str = "background", spread: Sequence[str] | None = None,
+    output: str = "background",
 ) -> DataFrame:
-    """Look every row's tag up by id; no tag reads "None"."""
+    """Look every row's tag up by id; no tag reads "None". The tags are one row per id, so this is a plain join."""
     lookup = last_tags(tags, on, tag, position).withColumnRenamed(tag, "__tag")
-    joined = lookup_join(df, lookup, [on], "left", spread)
+    joined = df.join(lookup, on, "left")
     return joined.withColumn(output, F.coalesce(F.col("__tag"), F.lit(V.MISSING_LABEL))).drop("__tag")
 
 
+def one_row_each(table: DataFrame, on: str, what: str) -> DataFrame:
+    """The table by key, with an error for a key that stands twice."""
+    values = [name for name in table.columns if name != on]
+    rows = table.groupBy(on).agg(*[F.first(name).alias(name) for name in values], F.count(F.lit(1)).alias("__rows"))
+    message = F.concat(F.lit(f"{what}: more than one row for id "), F.coalesce(F.col(on).cast("string"), F.lit("NULL")))
+    return failing_unless(rows, F.col("__rows") == 1, message).drop("__rows")
+
+
 def combine_branches(base: DataFrame, branches: Sequence[DataFrame], on: str = "segment_id") -> DataFrame:
     """Side by side results of independent measurements of the same rows.
 
-    Every branch keeps only the key and its own columns, so all joins share one
-    partitioning of the base table by key.
+    Every branch must have exactly one row for each row of the base table: a base row
+    without a branch row, a key that a branch repeats, and a NULL key are errors. Every
+    branch keeps only the key and its own columns, so the checks and all joins share one
+    partitioning by key.
     """
-    return reduce(lambda table, branch: table.join(branch, on, "inner"), branches, base)
+    table = base
+    for number, branch in enumerate(branches, 1):
+        found = f"__found{number}"
+        marked = one_row_each(branch, on, f"branch {number}").withColumn(found, F.lit(True))
+        joined = table.join(marked, on, "left")
+        message = F.concat(F.lit(f"branch {number}: no row for id "), F.coalesce(F.col(on).cast("string"), F.lit("NULL")))
+        table = failing_unless(joined, F.col(found).isNotNull(), message).drop(found)
+    return table
 
 
 def unfinished(df: DataFrame, done: DataFrame, on: Sequence[str] = ("segment_id",)) -> DataFrame:

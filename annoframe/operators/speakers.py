@@ -11,7 +11,7 @@ from annoframe.functions import binning as B
 from annoframe.functions import vocabulary as V
 
 from .bins import bound, edge_row, moments, near_mean
-from .lookup import failing_unless, key_hash, slice_count, sliced_join, slices_of
+from .lookup import failing_unless, key_counts, sliced_join, spreading_columns
 
 
 def speaker_table(
@@ -76,33 +76,26 @@ def label_by_speaker(
 ) -> DataFrame:
     """Every utterance with the label of its speaker's mean.
 
-    Two small aggregations over the speaker table find the moments and the number
-    of rows, then the edges and the hot speakers. They and the labels need the
-    same columns of the speaker table, so all three share its one shuffle. The
-    utterances then look their speaker up, with hot speakers split. ``strict``
-    fails on a speaker whose category has no edges; otherwise it has no label.
+    Two small aggregations over the speaker table find the moments, then the edges.
+    They, the labels and the rows per speaker need the same columns of the speaker
+    table, so all share its one shuffle. The utterances then look their speaker up,
+    with speakers of very many rows split, and so the rows without a speaker.
+    ``strict`` fails on a speaker whose category has no edges; otherwise it has no label.
     """
     table = speaker_table(df, speaker, category, value, order_by).withColumnRenamed("speaker", speaker)
     fitted = () if edges is not None else tuple(categories)
-    stats = table.agg(F.sum("rows").alias("total"), *_moments(fitted))
-    counted = bound(table, "__stats", stats).withColumn(
-        "__slices", slice_count(F.col("rows"), F.col("__stats.total"))
-    )
-    hot = F.when(F.col("__slices") > 1, F.struct(key_hash([speaker]).alias("key"), F.col("__slices").alias("slices")))
-    # A hot speaker has more than one row in SLICES, so this list has fewer than SLICES entries.
-    bounds = counted.agg(F.map_from_entries(F.collect_list(hot)).alias("__hot"), *_bounds(fitted, tolerance))
-    fit = edge_row(bounds, [(name, len(labels), None) for name in fitted])
-    known = edges if edges is not None else {name: F.col("__fit")[name] for name in categories}
-    labelled = bound(counted, "__fit", fit).withColumn(
-        label, category_label(F.col("mean"), F.col("category"), known, labels)
-    )
+    labelled = table
+    known = edges
+    if edges is None:
+        stats = table.agg(*_moments(fitted))
+        bounds = bound(table, "__stats", stats).agg(*_bounds(fitted, tolerance))
+        labelled = bound(table, "__fit", edge_row(bounds, [(name, len(labels), None) for name in fitted]))
+        known = {name: F.col("__fit")[name] for name in categories}
+    labelled = labelled.withColumn(label, category_label(F.col("mean"), F.col("category"), known, labels))
     if strict:
         listed = F.coalesce(F.col("category").isin(*known), F.lit(False))
         message = F.concat(F.lit("no edges for the category of speaker "), F.col(speaker).cast("string"))
         labelled = failing_unless(labelled, listed, message)
-    spread = spread or [name for name in df.columns if name in ("segment_id", value)] or [speaker]
-    joined = sliced_join(
-        bound(df, "__fit", fit), labelled.select(speaker, label, "__slices"), [speaker], "left",
-        slices_of(F.col("__fit")["__hot"], [speaker]), F.col("__slices"), spread,
-    )
-    return joined.drop("__fit", "__slices")
+    spread = spread or [name for name in df.columns if name in ("segment_id", value)] or spreading_columns(df, [speaker])
+    counts = table.select(speaker, "rows").unionByName(key_counts(df.where(F.col(speaker).isNull()), [speaker]))
+    return sliced_join(df, labelled.select(speaker, label), [speaker], "left", counts, spread)

@@ -40,7 +40,20 @@ def test_strict_annotate_needs_full_cover(spark, segments):
     assert lookup.annotate(segments, {"age": side(spark, "age", full)}, strict=True).count() == 5
     for wrong in (full[1:], [*full, ("s9", "x", 1.0)]):
         with pytest.raises(PySparkException, match="ids that do not match: 1"):
-            lookup.annotate(segments, {"age": side(spark, "age", wrong)}, strict=True).collect()
+            lookup.annotate(segments, {"age": side(spark, "age", wrong), "sex": side(spark, "sex", full)}, strict=True).collect()
+
+
+def test_no_row_without_an_id_is_lost_silently(spark, segments):
+    nameless = segments.unionAll(spark.createDataFrame([(None, 9)], segments.schema))
+    full = [(f"s{i}", "x", 1.0) for i in range(5)] + [(None, "x", 1.0)]
+    with pytest.raises(PySparkException, match="ids that do not match: 1"):
+        lookup.annotate(nameless, {"age": side(spark, "age", full)}, strict=True).collect()
+    assert lookup.annotate(nameless, {"age": side(spark, "age", full[:5])}).count() == 6
+    right = nameless.select("segment_id", F.lit(1).alias("y"))
+    with pytest.raises(PySparkException, match="merge: ids that do not match: 1"):
+        lookup.merge_verified(nameless, right, "segment_id").collect()
+    with pytest.raises(PySparkException, match="no row for id NULL"):
+        lookup.combine_branches(nameless, [right]).collect()
 
 
 def test_merge(spark):
@@ -63,7 +76,8 @@ def test_merge(spark):
             lookup.merge_verified(left, case, split="split").collect()
 
 
-def test_lookup_join_with_hot_and_null_keys(spark):
+def test_lookup_join_with_hot_and_null_keys(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "TARGET_ROWS", 300)
     keys = F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 500)
     left = spark.range(20000).select("id", keys.alias("k"))
     right = spark.range(450).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
@@ -75,14 +89,30 @@ def test_lookup_join_with_hot_and_null_keys(spark):
         assert plain.exceptAll(split).isEmpty()
 
 
-def test_hot_keys_are_dealt_to_many_slices(spark):
-    left = spark.range(30000).select("id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"))
-    found = spark.range(1).select(lookup.sketched_slices(left, F.xxhash64("k")).alias("m")).first()["m"]
-    assert len(found) == 1
-    assert 330 <= next(iter(found.values())) <= 340
-
-
-def test_a_hot_key_does_not_end_in_one_partition(spark):
+@pytest.mark.parametrize("rows", [8000, 32000])
+@pytest.mark.parametrize("case", ["one hot key", "many warm keys", "half without a key"])
+def test_a_slice_has_the_target_size_whatever_the_table(spark, monkeypatch, rows, case):
+    monkeypatch.setattr(lookup, "TARGET_ROWS", 500)
+    key = {
+        "one hot key": F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")),
+        "many warm keys": F.col("id") % 10,
+        "half without a key": F.when(F.col("id") % 2 == 0, F.col("id")),
+    }[case]
+    left = spark.range(rows).select("id", key.alias("k"))
+    right = spark.range(rows).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+    sliced = lookup.sliced_join(left, right, ["k"], "left", lookup.key_counts(left, ["k"]), ["id"])
+    assert sliced.exceptAll(left.join(right, "k", "left")).isEmpty() and sliced.count() == rows
+    # The same dealing, looked at before the join.
+    counts = {row["k"]: row["rows"] for row in lookup.key_counts(left, ["k"]).collect()}
+    slices = {k: -(-n // 500) if n > 500 else 1 for k, n in counts.items()}
+    deal = F.create_map(*[x for k, n in slices.items() if n > 1 for x in (F.lit(-1 if k is None else k), F.lit(n))]) if any(n > 1 for n in slices.values()) else None
+    own = F.lit(1) if deal is None else F.coalesce(F.try_element_at(deal, F.coalesce("k", F.lit(-1))), F.lit(1))
+    sizes = left.groupBy("k", F.pmod(F.xxhash64("id"), own)).count().agg(F.max("count")).first()[0]
+    assert sizes <= 1.35 * 500
+
+
+def test_a_hot_key_does_not_end_in_one_partition(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "TARGET_ROWS", 200)
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     before = {name: spark.conf.get(name) for name in settings}
     left = spark.range(40000).select("id", F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id")).alias("k"))
@@ -102,6 +132,14 @@ def test_a_hot_key_does_not_end_in_one_partition(spark):
     assert max(sizes) < 1.3 * 40000 / 8
 
 
+def test_a_key_cannot_be_spread_by_itself(spark):
+    keys = spark.range(10).select((F.col("id") % 3).alias("k"))
+    right = spark.createDataFrame([(0, "x")], "k long, w string")
+    assert lookup.lookup_join(keys, right, ["k"]).where("w = 'x'").count() == 4
+    with pytest.raises(ValueError, match="spread by itself"):
+        lookup.sliced_join(keys, right, ["k"], "left", lookup.key_counts(keys, ["k"]), ["k"])
+
+
 def test_small_side_is_broadcast_and_large_side_is_not(spark, monkeypatch):
     left = spark.range(100).select("id", (F.col("id") % 9).cast("string").alias("k"))
     right = spark.range(5).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("w"))
@@ -130,3 +168,11 @@ def test_combine_branches(spark, segments):
     rows = lookup.combine_branches(segments, [a, b]).collect()
     assert all(row["a"] == 2 * row["n"] and row["b"] == 3 * row["n"] for row in rows)
     assert len(rows) == 5
+
+
+def test_combine_branches_needs_every_row_once(spark, segments):
+    branch = segments.select("segment_id", (F.col("n") * 2).alias("a"))
+    with pytest.raises(PySparkException, match="branch 1: no row for id s4"):
+        lookup.combine_branches(segments, [branch.where("a < 8")]).collect()
+    with pytest.raises(PySparkException, match="branch 2: more than one row for id s1"):
+        lookup.combine_branches(segments, [branch, branch.where("a = 2").unionAll(branch).withColumnRenamed("a", "b")]).collect()
