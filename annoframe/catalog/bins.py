@@ -258,6 +258,76 @@ def _described_sql() -> str:
 
 @query(_described_sql())
 def describe_stage(t: Tables) -> DataFrame:
-    return stages.describe(tables.settled(measured_orders(t))).select(
+    return stages.describe(measured_orders(t)).select(
         "segment_id", "speaking_rate", "noise", "reverberation", "speech_monotony", "pitch"
     )
+
+
+def _histogram_all_sql() -> str:
+    stats, vals, wanted = [], [], []
+    for spec in MANY_SPECS:
+        stats.append(f"avg({spec.value}) AS {spec.label}_m, stddev_pop({spec.value}) AS {spec.label}_s")
+        near = "" if spec.tolerance is None else f" AND abs({spec.value} - {spec.label}_m) < {spec.tolerance} * {spec.label}_s"
+        for series, where in (("before", ""), ("after", near)):
+            vals.append(f"SELECT '{spec.label}' AS label, '{series}' AS series, {spec.value} AS value FROM lineitem, stats WHERE {spec.value} IS NOT NULL{where}")
+        low = "lo" if spec.lower_range is None else f"{spec.lower_range}::DOUBLE"
+        edges = ", ".join(f"round({edge}, 6)" for edge in fitted(low, "hi", len(spec.labels)))
+        wanted.append(f"WHEN label = '{spec.label}' THEN [{edges}]")
+    return f"""
+    WITH stats AS (SELECT {', '.join(stats)} FROM lineitem),
+    vals AS ({' UNION ALL '.join(vals)}),
+    ranges AS (SELECT label, series, min(value) AS lo, max(value) AS hi FROM vals GROUP BY label, series),
+    slots AS (SELECT label, series, i AS slot, lo + i * ((hi - lo) / 100) AS slot_from,
+                CASE WHEN i = 99 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 100) END AS slot_to,
+                CASE {' '.join(wanted)} END AS edges
+              FROM ranges, range(100) AS r(i))
+    SELECT s.label, s.series, s.slot, round(s.slot_from, 6) AS slot_from, round(s.slot_to, 6) AS slot_to, s.edges, count(v.value) AS "rows"
+    FROM slots s LEFT JOIN vals v ON v.label = s.label AND v.series = s.series AND v.value >= s.slot_from
+      AND (v.value < s.slot_to OR (s.slot = 99 AND v.value = s.slot_to))
+    GROUP BY ALL
+    """
+
+
+@query(_histogram_all_sql())
+def histogram_all_columns(t: Tables) -> DataFrame:
+    return bins.histogram_all(t.lineitem, MANY_SPECS).withColumns(
+        {"slot_from": F.round("slot_from", 6), "slot_to": F.round("slot_to", 6), "edges": F.transform("edges", lambda e: F.round(e, 6))}
+    )
+
+
+@query(
+    """
+    WITH c AS (SELECT c_mktsegment AS category, c_acctbal AS value FROM customer WHERE c_mktsegment IS NOT NULL AND c_acctbal IS NOT NULL),
+    stats AS (SELECT category, avg(value) AS m, stddev_pop(value) AS s FROM c GROUP BY category),
+    vals AS (SELECT category, 'before' AS series, value FROM c
+             UNION ALL SELECT c.category, 'after', value FROM c JOIN stats ON c.category = stats.category WHERE abs(value - m) < 1.5 * s),
+    ranges AS (SELECT category, series, min(value) AS lo, max(value) AS hi FROM vals GROUP BY category, series),
+    slots AS (SELECT category, series, i AS slot, lo + i * ((hi - lo) / 20) AS slot_from,
+                     CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 20) END AS slot_to
+              FROM ranges, range(20) AS r(i))
+    SELECT s.category, s.series, s.slot, round(s.slot_from, 6) AS slot_from, round(s.slot_to, 6) AS slot_to, count(v.value) AS "rows"
+    FROM slots s LEFT JOIN vals v ON v.category = s.category AND v.series = s.series AND v.value >= s.slot_from
+      AND (v.value < s.slot_to OR (s.slot = 19 AND v.value = s.slot_to))
+    GROUP BY ALL
+    """
+)
+def histogram_by_category_before_after(t: Tables) -> DataFrame:
+    counted = bins.histogram_by_before_after(t.customer, "c_mktsegment", "c_acctbal", SEGMENTS, 1.5, 20)
+    return counted.withColumns({"slot_from": F.round("slot_from", 6), "slot_to": F.round("slot_to", 6)})
+
+
+LENGTH_SPEC = bins.BinSpec("n_chars", "size", V.SPEAKING_RATE_LABELS, 2.0)
+
+
+@query(
+    f"""
+    WITH lead AS (SELECT n_chars FROM documents WHERE lang LIKE '%f%' OR lang LIKE '%de%'),
+    stats AS (SELECT avg(n_chars) AS m, stddev_pop(n_chars) AS s FROM lead),
+    bounds AS (SELECT min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi FROM lead, stats WHERE abs(n_chars - m) < 2 * s)
+    SELECT doc_id, lang, {case_label('n_chars', fitted('lo', 'hi', 7), V.SPEAKING_RATE_LABELS)} AS size FROM documents, bounds
+    """
+)
+def fit_on_leading_split(t: Tables) -> DataFrame:
+    documents = t.documents.select("doc_id", "lang", "n_chars")
+    leading = tables.leading_splits(documents, ["f", "de"], "lang")
+    return bins.label_columns(documents, [LENGTH_SPEC], fit_on=leading).select("doc_id", "lang", "size")

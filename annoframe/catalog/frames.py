@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annoframe.functions import signal as S
 from annoframe.functions import vocabulary as V
 from annoframe.operators import frames
+from annoframe.plans import stages
 
 from .registry import Tables, query
 
@@ -137,19 +138,80 @@ def interpolate_unvoiced(t: Tables) -> DataFrame:
     return line.select("event_id", "user_id", F.round("value", 6).alias("value"))
 
 
+@query(
+    f"""
+    WITH v AS (SELECT event_id, user_id, value + 1 AS value, CASE WHEN value >= {VOICED_FROM} THEN event_id END AS here,
+                      CASE WHEN value >= {VOICED_FROM} THEN log2(value + 1) END AS level FROM events),
+    w AS (SELECT *, last_value(here IGNORE NULLS) OVER p AS pa, last_value(level IGNORE NULLS) OVER p AS pv,
+                 first_value(here IGNORE NULLS) OVER n AS na, first_value(level IGNORE NULLS) OVER n AS nv
+          FROM v WINDOW
+            p AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+            n AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, user_id, round(CASE WHEN here IS NOT NULL OR (pa IS NULL AND na IS NULL) THEN value
+        WHEN pa IS NULL THEN pow(2::DOUBLE, nv) WHEN na IS NULL THEN pow(2::DOUBLE, pv)
+        ELSE pow(2::DOUBLE, pv + (nv - pv) * ((event_id - pa) / (na - pa)::DOUBLE)) END, 6) AS value
+    FROM w
+    """
+)
+def interpolate_unvoiced_log2(t: Tables) -> DataFrame:
+    levels = t.events.select("event_id", "user_id", (F.col("value") + 1).alias("value"))
+    line = frames.interpolate_unvoiced(levels, "value", "value", "user_id", "event_id", VOICED_FROM + 1, space="log2")
+    return line.select("event_id", "user_id", F.round("value", 6).alias("value"))
+
+
 @query(
     """
-    WITH c AS (SELECT l_orderkey AS segment_id, l_partkey % 8 AS t, l_suppkey % 2 AS channel,
+    WITH c AS (SELECT l_orderkey AS segment_id, l_partkey % 8 AS t, l_suppkey AS channel,
                  sum(CASE WHEN l_linenumber % 4 = 3 THEN l_quantity END) AS vocals,
                  sum(CASE WHEN l_linenumber % 4 <> 3 THEN l_quantity END) AS others
-               FROM lineitem GROUP BY ALL)
+               FROM lineitem WHERE l_partkey % 8 < 4 + l_orderkey % 4 GROUP BY ALL)
     SELECT segment_id, t, round(avg(vocals), 6) AS vocals, round(avg(others), 6) AS others FROM c GROUP BY segment_id, t
     """
 )
 def stem_mixdown(t: Tables) -> DataFrame:
     stems = t.lineitem.select(
         F.col("l_orderkey").alias("segment_id"), (F.col("l_linenumber") % 4).alias("stem"),
-        (F.col("l_suppkey") % 2).alias("channel"), (F.col("l_partkey") % 8).alias("t"), F.col("l_quantity").alias("amp"),
+        F.col("l_suppkey").alias("channel"), (F.col("l_partkey") % 8).alias("t"), F.col("l_quantity").alias("amp"),
+        (4 + F.col("l_orderkey") % 4).alias("length"),
     )
-    mixed = frames.stem_mixdown(stems, 3)
+    mixed = frames.stem_mixdown(stems, 3, length="length")
     return mixed.select("segment_id", "t", F.round("vocals", 6).alias("vocals"), F.round("others", 6).alias("others"))
+
+
+SOUNDS = {"urgent": "ɜːdʒənt", "high": "haɪ", "medium": "miːdiəm", "low": "loʊ"}
+TRANSCRIBED_SQL = "o_orderpriority"
+for word, sounds in SOUNDS.items():
+    TRANSCRIBED_SQL = f"replace({TRANSCRIBED_SQL}, '{word.upper()}', '{sounds}')"
+
+
+@query(
+    f"""
+    WITH {SPEECH_RANGES_SQL},
+    f AS (SELECT l_orderkey, l_discount, l_tax, NOT (l_discount = 0 AND l_tax = 0) AND EXISTS (
+            SELECT 1 FROM seg WHERE k = l_orderkey
+              AND l_linenumber >= trunc("start" * {V.VAD_FRAMES_PER_SECOND}::DOUBLE)
+              AND l_linenumber < trunc("end" * {V.VAD_FRAMES_PER_SECOND}::DOUBLE)) AS speech FROM lineitem),
+    means AS (SELECT l_orderkey, avg(CASE WHEN speech THEN l_discount END) AS snr, avg(CASE WHEN speech THEN l_tax END) AS c50
+              FROM f GROUP BY l_orderkey),
+    pitch AS (SELECT l_orderkey, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std FROM lineitem GROUP BY l_orderkey),
+    spoken AS (SELECT k, sum("end" - "start") AS seconds FROM seg GROUP BY k)
+    SELECT o_orderkey AS segment_id, round(mean, 6) AS utterance_pitch_mean, round(std, 6) AS utterance_pitch_std,
+      round(snr, 6) AS snr, round(c50, 6) AS c50, {TRANSCRIBED_SQL} AS phonemes, round(seconds, 6) AS speech_duration,
+      round(length({TRANSCRIBED_SQL}) / seconds, 4) AS speaking_rate_value
+    FROM orders LEFT JOIN pitch p ON o_orderkey = p.l_orderkey LEFT JOIN means m ON o_orderkey = m.l_orderkey
+      LEFT JOIN spoken ON o_orderkey = k
+    """
+)
+def measure_stage(t: Tables) -> DataFrame:
+    by_order = t.lineitem.withColumnRenamed("l_orderkey", "segment_id").withColumnRenamed("l_linenumber", "frame_idx")
+    sounds = F.create_map(*[F.lit(x) for pair in SOUNDS.items() for x in pair])
+    lexicon = t.orders.select(F.explode(F.split(F.lower("o_orderpriority"), "[^a-z]+")).alias("word")).distinct()
+    measured = stages.measure(
+        t.orders.select(F.col("o_orderkey").alias("segment_id"), F.col("o_orderpriority").alias("text")),
+        by_order.select("segment_id", "frame_idx", F.col("l_quantity").alias("f0"), F.lit(1.0).alias("periodicity")),
+        by_order.select("segment_id", "frame_idx", F.col("l_discount").alias("snr"), F.col("l_tax").alias("c50")),
+        speech_ranges(t).withColumnRenamed("l_orderkey", "segment_id"),
+        lexicon.select("word", F.try_element_at(sounds, F.col("word")).alias("phonemes")).where("phonemes IS NOT NULL"),
+    )
+    rounded = {name: F.round(name, 6) for name in ("utterance_pitch_mean", "utterance_pitch_std", "snr", "c50", "speech_duration")}
+    return measured.withColumns({**rounded, "speaking_rate_value": F.round("speaking_rate_value", 4)}).drop("text")

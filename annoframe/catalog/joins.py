@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annoframe.functions import signal as S
 from annoframe.operators import lookup
+from annoframe.plans import stages
 
 from .registry import Tables, query
 
@@ -105,11 +106,30 @@ def combine_branches(t: Tables) -> DataFrame:
 )
 def tag_lookup_last_wins(t: Tables) -> DataFrame:
     tags = t.events.select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("tag"), "event_id")
-    return lookup.add_tag(
-        t.customer.select("c_custkey", "c_name"), tags, "c_custkey", "tag", "event_id", spread=["c_name"]
-    )
+    return lookup.add_tag(t.customer.select("c_custkey", "c_name"), tags, "c_custkey", "tag", "event_id")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def resume_anti_join(t: Tables) -> DataFrame:
     return lookup.unfinished(t.documents.select("doc_id", "lang", "n_chars"), t.labels, ["doc_id"])
+
+
+@query(
+    """
+    WITH s AS (SELECT d.doc_id, n_chars,
+        coalesce(CASE WHEN toxic IS NULL THEN NULL WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END, 'None') AS toxicity_ori,
+        coalesce(quality::DOUBLE, 0.0::DOUBLE) AS toxicity_value,
+        coalesce(CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN 'good' ELSE 'poor' END, 'None') AS grade_ori,
+        coalesce(CASE WHEN toxic IS NULL THEN NULL WHEN toxic = 1 THEN 0.95::DOUBLE ELSE 0.96::DOUBLE END,
+                 0.0::DOUBLE) AS grade_value
+      FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+    SELECT doc_id AS segment_id, n_chars, toxicity_ori, toxicity_value, grade_ori, grade_value,
+              'TmpSpeaker_' || row_number() OVER (ORDER BY doc_id) AS speaker,
+              CASE WHEN toxicity_value > 0.95::DOUBLE THEN toxicity_ori ELSE 'None' END AS toxicity,
+              CASE WHEN grade_value > 0.95::DOUBLE THEN grade_ori ELSE 'None' END AS grade FROM s
+    """
+)
+def annotate_stage(t: Tables) -> DataFrame:
+    measured = t.documents.select(F.col("doc_id").alias("segment_id"), "n_chars")
+    sides = {name: side.withColumnRenamed("doc_id", "segment_id") for name, side in label_sides(t).items()}
+    return stages.annotate(measured, sides)

@@ -27,19 +27,17 @@ def equal_width_edges(first: Column, last: Column, bins: int) -> Column:
     return F.array(*[first + F.lit(i) * width for i in range(bins)], last)
 
 
-def interval_label(
-    value: Column, edges: Column | Sequence[float], labels: Sequence[str], edge_count: int | None = None
-) -> Column:
+def interval_label(value: Column, edges: Column | Sequence[float], labels: Sequence[str]) -> Column:
     """Label of the interval ``(edge[i], edge[i+1]]`` that holds ``value``.
 
     Values outside the edges take the first or last label, NaN the last, NULL
     none. Only inner edges are compared, as one CASE chain, so the expression is
     compiled with the rest of its stage.
     """
+    count = len(labels) + 1
     if not isinstance(edges, Column):
-        edge_count = len(edges)
+        count = len(edges)
         edges = [F.lit(float(edge)) for edge in edges]
-    count = len(labels) + 1 if edge_count is None else edge_count
     top = min(len(labels), max(count, 1)) - 1
     label = F.when(value.isNull(), F.lit(None).cast("string"))
     for i in range(top):

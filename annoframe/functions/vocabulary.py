@@ -96,9 +96,11 @@ QUALITY_SECONDS = 15
 PROMPT_KEYS = (
     "gender", "age", "reverberation", "noise", "speech_monotony", "pitch", "speaking_rate", "background",
 )
-PROMPT_KEY_LINE = (
+PROMPT_END = (
+    "\nKeywords:\n"
     "'[gender]', '[age]', '[reverberation]', '[noise]', '[speech_monotony]', '[pitch]', "
     "'[speaking_rate]', '[background]'"
+    "\nThe corresponding description is:\n\n"
 )
 PROMPT_EXAMPLES_HEADING = "Examples:\n"
 EXAMPLES_PER_PROMPT = 3

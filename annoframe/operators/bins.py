@@ -138,6 +138,62 @@ def histogram_by(df: DataFrame, series: str, column: str, names: Sequence[str],
     return _histogram(values.where(F.col("series").isin(*names) & F.col("value").isNotNull()), names, bins)
 
 
+def histogram_all(df: DataFrame, specs: Sequence[BinSpec], bins: int = 100) -> DataFrame:
+    """Counts of all columns in one call, with and without outliers, and the edges of each column's bins as markers.
+
+    One row per ``label``, ``series`` ("before" or "after" the outlier filter) and slot, with
+    ``edges`` fitted on the values of that series; ``lower_range`` holds for both. A column
+    without a tolerance is the same before and after.
+    """
+    clean = df.select(*[B.finite(F.col(f"`{spec.value}`")).alias(f"v{i}") for i, spec in enumerate(specs)])
+    measured = bound(clean, "__stats", clean.agg(*[moments(F.col(f"v{i}")).alias(f"s{i}") for i in range(len(specs))]))
+    members, wanted = [], []
+    for i, spec in enumerate(specs):
+        value = F.col(f"v{i}")
+        kept = near_mean(value, F.col("__stats")[f"s{i}"], spec.tolerance)
+        for series, mine in (("before", value.isNotNull()), ("after", kept)):
+            members.append(F.when(mine, F.struct(F.lit(f"{i} {series}").alias("series"), value.alias("value"))))
+            wanted.append((f"{i} {series}", len(spec.labels), spec.lower_range))
+    values = measured.select(F.explode(F.filter(F.array(*members), lambda m: m.isNotNull())).alias("m")).select("m.series", "m.value")
+    counted = _histogram(values, [name for name, _, _ in wanted], bins)
+    parts = F.split("series", " ")
+    label = F.element_at(F.array(*[F.lit(spec.label) for spec in specs]), parts[0].cast("int") + 1)
+    return _marked(counted, values, wanted).select(label.alias("label"), parts[1].alias("series"), "slot", "slot_from", "slot_to", "rows", "edges")
+
+
+def histogram_by_before_after(
+    df: DataFrame, series: str, column: str, names: Sequence[str], tolerance: float, bins: int = 100
+) -> DataFrame:
+    """Counts of a column for each named series, with and without the outliers of that series, such as pitch per gender."""
+    values = df.select(F.col(series).alias("name"), B.finite(F.col(column)).alias("value"))
+    values = values.where(F.col("name").isin(*names) & F.col("value").isNotNull())
+    stats = values.agg(*[moments(F.when(F.col("name") == name, F.col("value"))).alias(f"s{i}") for i, name in enumerate(names)])
+    kept = F.lit(False)
+    for i, name in enumerate(names):
+        kept = F.when(F.col("name") == name, near_mean(F.col("value"), F.col("__stats")[f"s{i}"], tolerance)).otherwise(kept)
+    number = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("name")) - 1
+    states = F.when(kept, F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("before")))
+    both = bound(values, "__stats", stats).select(F.explode(states).alias("state"), number.cast("string").alias("number"), "value")
+    both = both.select(F.concat_ws(" ", "number", "state").alias("series"), "value")
+    counted = _histogram(both, [f"{i} {state}" for i in range(len(names)) for state in ("before", "after")], bins)
+    parts = F.split("series", " ")
+    name = F.element_at(F.array(*[F.lit(name) for name in names]), parts[0].cast("int") + 1)
+    return counted.select(name.alias("category"), parts[1].alias("series"), "slot", "slot_from", "slot_to", "rows")
+
+
+def _marked(counted: DataFrame, values: DataFrame, wanted: Sequence[tuple[str, int, float | None]]) -> DataFrame:
+    """The counts with the equal-width edges of their series, fitted on its values."""
+    bounds = []
+    for i, (name, _, _) in enumerate(wanted):
+        value = F.when(F.col("series") == name, F.col("value"))
+        bounds += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
+    marked = bound(counted, "__edges", edge_row(values.agg(*bounds), wanted))
+    own = F.lit(None).cast("array<double>")
+    for name, _, _ in wanted:
+        own = F.when(F.col("series") == name, F.col("__edges")[name]).otherwise(own)
+    return marked.withColumn("edges", own).drop("__edges")
+
+
 def _histogram(values: DataFrame, names: Sequence[str], bins: int) -> DataFrame:
     """Counts per series and slot: ``series, slot, slot_from, slot_to, rows``.
 

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from annoframe.functions import vocabulary as V
 
-from .lookup import failing_unless, lookup_join
-
 WORD = 64
 RUN = 4096
 
@@ -51,15 +49,15 @@ def masked_means(
 ) -> DataFrame:
     """Per segment: mean of each value over its speech frames, leaving out frames where all values are zero.
 
-    Frames meet the mask by an equality join on segment and word, so a very long
-    segment is spread over many tasks. Segments without such a frame have NULL means.
+    Frames meet the mask by an equality join on segment and word: a key has at most 64
+    frames, so a very long segment is spread over many tasks. Segments without such a frame have NULL means.
     """
     placed = frames.select(
         on, *values,
         F.expr(f"`{frame}` div {WORD}").alias("word"),
         F.pmod(F.col(frame), F.lit(WORD)).cast("int").alias("bit"),
     )
-    masked = lookup_join(placed, speech_words(segments, on, start, end, rate), [on, "word"], "left", ["bit", *values])
+    masked = placed.join(speech_words(segments, on, start, end, rate), [on, "word"], "left")
     speech = F.call_function("shiftright", F.col("bits"), F.col("bit")).bitwiseAND(F.lit(1)) == 1
     silent = F.lit(True)
     for value in values:
@@ -146,24 +144,14 @@ def stem_mixdown(
 ) -> DataFrame:
     """Per segment and sample: ``vocals`` (the last stem) and ``others`` (the sum of the rest), mean over channels.
 
-    Channels are counted as bits next to the sums, so one aggregation that combines
-    before its single shuffle does both steps; channel numbers must lie in 0..62.
-    ``length`` names a column with the true number of samples; padding beyond it is cut.
+    Sums per channel come first, then the mean over the channels that a part is heard in;
+    both aggregations combine before their shuffle. ``length`` names a column with the
+    true number of samples; padding beyond it is cut.
     """
     if length is not None:
         stems = stems.where(F.col(sample) < F.col(length))
-    stems = failing_unless(
-        stems, F.coalesce(F.col(channel).between(0, 62), F.lit(False)), F.lit("channel numbers must lie in 0..62")
-    )
-    flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(channel).cast("int"))
-    parts = {"vocals": F.col(stem) == last_stem, "others": F.col(stem) != last_stem}
-    sums = []
-    for name, mine in parts.items():
-        heard = mine & F.col(amplitude).isNotNull()
-        sums += [
-            F.sum(F.when(heard, F.col(amplitude))).alias(f"{name}_sum"),
-            F.bit_count(F.bit_or(F.when(heard, flag))).alias(f"{name}_channels"),
-        ]
-    return stems.groupBy(on, sample).agg(*sums).select(
-        on, sample, *[(F.col(f"{name}_sum") / F.col(f"{name}_channels")).alias(name) for name in parts]
+    vocals = F.col(stem) == last_stem
+    by_channel = stems.groupBy(on, sample, channel).agg(
+        F.sum(F.when(vocals, F.col(amplitude))).alias("vocals"), F.sum(F.when(~vocals, F.col(amplitude))).alias("others")
     )
+    return by_channel.groupBy(on, sample).agg(F.avg("vocals").alias("vocals"), F.avg("others").alias("others"))

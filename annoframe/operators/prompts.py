@@ -20,12 +20,12 @@ class PromptParts:
     """Text before the examples, text after them, and the keys replaced in both.
 
     ``front`` and ``examples`` are the user's own wording, read from a settings file
-    or given in code; the layout around them is fixed.
+    (``sidefiles.read_prompt_parts``) or given in code; the layout around them is fixed.
     """
 
     front: str
     examples: tuple[str, ...]
-    end: str = f"\nKeywords:\n{V.PROMPT_KEY_LINE}\nThe corresponding description is:\n\n"
+    end: str = V.PROMPT_END
     keys: tuple[str, ...] = V.PROMPT_KEYS
 
 

@@ -22,16 +22,16 @@ def clean_transcripts(segments: DataFrame, text: str = "text") -> DataFrame:
 def measure(
     segments: DataFrame, pitch_frames: DataFrame, voice_frames: DataFrame, voice_ranges: DataFrame,
     lexicon: DataFrame, quality: DataFrame | None = None, duration: str = "speech", pitch_space: str = "linear",
-    keep_audio: bool = True,
+    keep_audio: bool = False,
 ) -> DataFrame:
     """Add pitch, noise, reverberation, speech duration, phonemes and speaking rate to clean segments.
 
     Frame tables come from the user's models (``batches.map_batches``). Every
     branch is aggregated by ``segment_id`` and joined on it, so the wide table is
     partitioned by id once. ``duration`` chooses seconds of speech or of audio for
-    the speaking rate. A segment without a branch result has NULL there. With
-    ``keep_audio=False`` the signals never enter a shuffle: only their length is
-    taken along, and the result can be merged with the audio table where needed.
+    the speaking rate. A segment without a branch result has NULL there. The
+    signals never enter a shuffle: only their length is taken along, and the result
+    can be merged with the audio table by id; ``keep_audio`` carries them along.
     """
     if duration not in ("speech", "audio"):
         raise ValueError("duration is speech or audio")
@@ -44,7 +44,7 @@ def measure(
         nested = segments.schema["audio"].dataType["array"].dataType.simpleString().startswith("array<array")
         samples = S.flat_samples(F.col("audio.array"), nested)
         table = table.withColumn("__seconds", S.sample_seconds(samples, F.col("audio.sampling_rate")))
-    if not keep_audio:
+    if not keep_audio and "audio" in table.columns:
         table = table.drop("audio")
     for branch in (
         pitch,
@@ -67,9 +67,15 @@ def measure(
 def annotate(
     measured: DataFrame, sides: Mapping[str, DataFrame], confidence: float = V.CONFIDENCE, strict: bool = False
 ) -> DataFrame:
-    """Add the thresholded side attributes and a running speaker name."""
-    labelled = lookup.annotate(measured, sides, "segment_id", confidence, strict)
-    return ordering.sequential_ids(labelled.drop("speaker"), ["segment_id"])
+    """Add the thresholded side attributes and a running speaker name.
+
+    ``segment_id`` must identify a row. The names are given to the bare ids, so the
+    wide table and its joins are not read again for the numbering.
+    """
+    names = ordering.sequential_ids(measured.select("segment_id"), ["segment_id"])
+    labelled = lookup.annotate(measured.drop("speaker"), sides, "segment_id", confidence, strict)
+    same = F.col("segment_id").eqNullSafe(F.col("__id"))
+    return labelled.join(names.select(F.col("segment_id").alias("__id"), "speaker"), same, "left").drop("__id")
 
 
 def described_edges(
@@ -120,7 +126,7 @@ def describe(
 
 def background(described: DataFrame, tags: DataFrame) -> DataFrame:
     """Add the background tag of every segment."""
-    return lookup.add_tag(described, tags, spread=["segment_id"])
+    return lookup.add_tag(described, tags)
 
 
 def noisy_ids(described: DataFrame) -> DataFrame:

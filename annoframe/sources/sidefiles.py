@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoframe.functions import vocabulary as V
+from annoframe.operators.prompts import PromptParts
 
 # Characters cut from both ends of a tag line.
 LINE_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
-def read_attribute_csv(spark: SparkSession, path: str, attribute: str, id_column: str = "segment_id") -> DataFrame:
+def read_attribute_csv(
+    spark: SparkSession, path: str, attribute: str, id_column: str = "segment_id", multi_line: bool = False,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
     """One attribute file with the columns id, ``attribute`` and ``attribute_value``.
 
-    Columns are found by name, so a file may hold more of them or in another
-    order. Cells that spell a missing value become NULL.
+    Columns are found by name, so a file may hold more of them or in another order;
+    ``columns`` names all of them in the order of the file, which spares the look at its
+    first line, and must equal it. Quotes in a quoted cell are doubled. ``multi_line``
+    allows line breaks in cells; such a file cannot be split among tasks. Cells that
+    spell a missing value become NULL.
     """
-    cells = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    reader = spark.read.option("header", True).option("mode", "FAILFAST").option("quote", '"').option("escape", '"')
+    reader = reader.option("multiLine", multi_line)
+    if columns is not None:
+        reader = reader.option("enforceSchema", False).schema(", ".join(f"`{name}` string" for name in columns))
+    cells = reader.csv(path)
     label = F.col(attribute)
     score = F.col(f"{attribute}_value")
     return cells.select(
@@ -67,6 +80,20 @@ def _read_lists(spark: SparkSession, path: str, schema: str) -> dict:
     return row["lists"]
 
 
+def read_prompt_parts(spark: SparkSession, path: str) -> PromptParts:
+    """Prompt wording from a JSON object with ``front``, ``examples`` and, if they differ, ``end`` and ``keys``."""
+    text = spark.read.text(path, wholetext=True)
+    schema = "front string, examples array<string>, end string, keys array<string>"
+    row = text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("parts")).first()
+    if row is None or row["parts"] is None or row["parts"]["front"] is None or row["parts"]["examples"] is None:
+        raise ValueError(f"{path} holds no JSON object with front and examples")
+    given = row["parts"]
+    more = {name: given[name] for name in ("end",) if given[name] is not None}
+    if given["keys"] is not None:
+        more["keys"] = tuple(given["keys"])
+    return PromptParts(given["front"], tuple(given["examples"]), **more)
+
+
 def write_bin_edges(edges: DataFrame, path: str, overwrite: bool = False) -> None:
     """Save a one-row edge table as one JSON object, ready for ``read_number_lists``."""
     edges.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").json(path)

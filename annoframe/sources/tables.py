@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -28,9 +29,12 @@ def only_split(table: DataFrame, split: str, split_column: str = "split") -> Dat
     return table.where(F.col(split_column) == F.lit(split))
 
 
-def leading_splits(table: DataFrame, name_part: str | None, split_column: str = "split") -> DataFrame:
-    """The splits whose name contains ``name_part``; every split if it is None."""
-    return table if name_part is None else table.where(F.col(split_column).contains(name_part))
+def leading_splits(table: DataFrame, name_part: str | Sequence[str] | None, split_column: str = "split") -> DataFrame:
+    """The splits whose name contains ``name_part``, or one of several; every split if it is None."""
+    if name_part is None:
+        return table
+    parts = [name_part] if isinstance(name_part, str) else list(name_part)
+    return table.where(reduce(Column.__or__, [F.col(split_column).contains(part) for part in parts], F.lit(False)))
 
 
 def read_shards(spark: SparkSession, root: str, name_part: str = "stage8") -> DataFrame:
@@ -38,22 +42,6 @@ def read_shards(spark: SparkSession, root: str, name_part: str = "stage8") -> Da
     return spark.read.parquet(f"{root.rstrip('/')}/*{name_part}*")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A table that several later steps read, written once to the shared folder ``spark.checkpoint.dir``.
-
-    Unlike a cached table it survives lost executors, and unlike a checkpoint it is
-    read by column. Where the cluster names no such folder the table stays lazy and
-    every step computes what it needs of it.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    path = f"{folder.rstrip('/')}/annoframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def save_table(df: DataFrame, path: str, overwrite: bool = False, partition_by: tuple[str, ...] = ()) -> None:
     """Save; an existing folder is an error unless it is to be replaced."""
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")

@@ -109,8 +109,13 @@ def test_stems(spark):
     assert len(mixed) == 15
     np.testing.assert_allclose(mixed.vocals, stems[-1].mean(0)[:15])
     np.testing.assert_allclose(mixed.others, stems[:-1].sum(0).mean(0)[:15])
-    with pytest.raises(PySparkException, match="channel numbers"):
-        frames.stem_mixdown(df.withColumn("channel", F.lit(63)), 3).collect()
+
+
+def test_mixdown_of_many_channels(spark):
+    rows = [("s", stem, channel * 1000, t, float(stem * 100 + channel + t)) for stem in range(2) for channel in range(100) for t in range(3)]
+    df = spark.createDataFrame(rows, "segment_id string, stem int, channel int, t int, amp double")
+    for row in frames.stem_mixdown(df, 1).collect():
+        assert (row["others"], row["vocals"]) == (49.5 + row["t"], 149.5 + row["t"])
 
 
 def test_rates_and_durations(spark):

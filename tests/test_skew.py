@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from annoframe.catalog import QUERIES, SQL
 from tests.oracle import assert_same, connect
 
 SMALL = "/root/testdata/sf0.001"
@@ -40,6 +40,6 @@ def duck(skewed):
     return connect(skewed)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(name, spark, duck, skewed):
-    assert_same(contract.queries()[name](spark, skewed), duck, contract.oracle_sql()[name])
+    assert_same(QUERIES[name](spark, skewed), duck, SQL[name])

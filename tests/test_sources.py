@@ -1,5 +1,6 @@
 import json
 
+import pandas as pd
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -16,6 +17,42 @@ def test_attribute_csv(spark, tmp_path):
     assert rows == [("s1", "teens", 0.97), ("s2", None, 0.5), ("s3", None, None), ("s4", None, None), ("s5", "a, b", 1.0)]
 
 
+def test_attribute_csv_as_pandas_reads_it(spark, tmp_path):
+    labels = ['a "b" c', 'say ""hi"", ok', "two\nlines", "comma, here", 'quote "', "back\\slash", " spaced ", "é", *V.CSV_MISSING]
+    frame = pd.DataFrame({"age_value": [k / 4 for k in range(len(labels))], "age": labels, "segment_id": [f"s{k}" for k in range(len(labels))], "more": "x"})
+    file = tmp_path / "age.csv"
+    frame.to_csv(file, index=False)
+    want = [(r.segment_id, None if pd.isna(r.age) else r.age, r.age_value) for r in pd.read_csv(file).itertuples()]
+    for columns in (None, list(frame.columns)):
+        rows = sidefiles.read_attribute_csv(spark, str(file), "age", multi_line=True, columns=columns).collect()
+        assert sorted(map(tuple, rows)) == sorted(want)
+    flat = tmp_path / "flat.csv"
+    frame[~frame.age.str.contains("\n")].to_csv(flat, index=False)
+    assert sidefiles.read_attribute_csv(spark, str(flat), "age").count() == len(labels) - 1
+    with pytest.raises(Exception, match="header does not conform"):
+        sidefiles.read_attribute_csv(spark, str(file), "age", multi_line=True, columns=["segment_id", "age", "age_value", "more"]).collect()
+
+
+def test_prompt_parts(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps({"front": "Describe.\n", "examples": ["a\n", "b\n"]}, indent=2))
+    parts = sidefiles.read_prompt_parts(spark, str(tmp_path / "p.json"))
+    assert (parts.front, parts.examples, parts.end, parts.keys) == ("Describe.\n", ("a\n", "b\n"), V.PROMPT_END, V.PROMPT_KEYS)
+    (tmp_path / "q.json").write_text(json.dumps({"front": "x", "examples": [], "end": "[age]", "keys": ["age"]}))
+    parts = sidefiles.read_prompt_parts(spark, str(tmp_path / "q.json"))
+    assert (parts.end, parts.keys) == ("[age]", ("age",))
+    (tmp_path / "r.json").write_text("{}")
+    with pytest.raises(ValueError, match="front and examples"):
+        sidefiles.read_prompt_parts(spark, str(tmp_path / "r.json"))
+
+
+def test_leading_splits_by_several_names(spark):
+    df = spark.createDataFrame([("train.clean",), ("train.other",), ("dev",)], "split string")
+    assert tables.leading_splits(df, ["clean", "dev"]).count() == 2
+    assert tables.leading_splits(df, "train").count() == 2
+    assert tables.leading_splits(df, None).count() == 3
+    assert tables.leading_splits(df, []).count() == 0
+
+
 def python_tags(text):
     """Last line wins; one field means no tag."""
     found = {}
@@ -93,8 +130,3 @@ def test_publish_and_read_a_split(spark):
     assert tables.read_split(spark, "plain").count() == 3
 
 
-def test_settled_table_is_read_from_the_shared_folder(spark):
-    df = spark.range(50).select("id", (F.col("id") * 2).alias("twice"))
-    again = tables.settled(df)
-    assert again.exceptAll(df).isEmpty() and again.dtypes == df.dtypes
-    assert spark.conf.get("spark.checkpoint.dir") in again.inputFiles()[0]

@@ -39,6 +39,7 @@ def measured(spark, segments):
         spark.createDataFrame(ranges, "segment_id string, start double, end double"),
         lexicon,
         quality,
+        keep_audio=True,
     )
 
 
