@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from annoframe.functions import vocabulary as V
 
+from .bins import bound
+from .lookup import failing_unless
+
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 16_384
 SAMPLES_PER_BUCKET = 16
@@ -50,6 +53,22 @@ def range_of(key: Column, cuts: Column) -> Column:
     )
 
 
+def lower_rows(ranged: DataFrame, cuts: Column, split: Sequence[str], key: Column) -> DataFrame:
+    """One row: a map from each split to the rows below each of its ranges, by range number, and its total."""
+    sizes = ranged.groupBy(*[F.col(name).alias(f"__{name}") for name in split], "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    sizes = sizes.withColumn("__key", key)
+    # One row per split and range, empty ranges included: this window runs over range sizes, not over data.
+    splits = sizes.select("__key").distinct().withColumn("__range", F.explode(F.sequence(F.lit(0), F.size(cuts))))
+    every = splits.join(sizes.select("__key", "__range", "__rows"), ["__key", "__range"], "left").fillna(0, ["__rows"])
+    lower = Window.partitionBy("__key").orderBy("__range")
+    below = every.withColumn("__below", F.sum("__rows").over(lower) - F.col("__rows"))
+    arrays = below.groupBy("__key").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("__range", "__below"))), lambda entry: entry["__below"]).alias("below"),
+        F.sum("__rows").alias("total"),
+    )
+    return arrays.agg(F.map_from_entries(F.collect_list(F.struct("__key", F.struct("below", "total")))).alias("splits"))
+
+
 def row_index(
     df: DataFrame, order_by: Sequence[str], output: str = "row_index", within: str | None = None,
     total: str | None = None,
@@ -57,34 +76,30 @@ def row_index(
     """Zero-based row number by ``order_by``, optionally counted anew ``within`` each split.
 
     Rows are parted into key ranges, numbered inside their range and moved up by
-    the rows of all lower ranges. ``order_by`` must identify a row, so no range
-    can be much larger than the others. ``total`` also adds the number of rows
-    of the split. Ranges derive from column values alone: a rerun gives the same
-    numbers, and nothing has to be cached.
+    the rows of all lower ranges, which each row looks up in one constant, so the
+    data is shuffled once. ``order_by`` must identify a row (within its split); a
+    repeated key is an error, so no range can be much larger than the others.
+    ``total`` also adds the number of rows of the split. Ranges derive from column
+    values alone: a rerun gives the same numbers, and nothing has to be cached.
     """
     key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
-    ranged = df.withColumn("__range", range_of(key, range_cuts(df, key)))
+    cuts = range_cuts(df, key)
+    ranged = df.withColumn("__range", range_of(key, cuts))
     split = [] if within is None else [within]
-    sizes = ranged.groupBy(*split, "__range").agg(F.count(F.lit(1)).alias("__rows"))
-    # At most MAX_BUCKETS rows per split: this window runs over range sizes, not over data.
-    lower = Window.partitionBy(*(split or [F.lit(0)])).orderBy("__range")
-    offsets = sizes.select(
-        *[F.col(name).alias(f"__{name}") for name in split],
-        F.col("__range").alias("__range_id"),
-        (F.sum("__rows").over(lower) - F.col("__rows")).alias("__offset"),
-        F.sum("__rows").over(Window.partitionBy(*(split or [F.lit(0)]))).alias("__total"),
-    )
-    same = F.col("__range") == F.col("__range_id")
-    for name in split:
-        same = same & F.col(name).eqNullSafe(F.col(f"__{name}"))
-    position = F.row_number().over(Window.partitionBy(*split, "__range").orderBy(*order_by))
-    numbered = ranged.withColumn("__position", position).join(offsets, same, "inner")
-    added = {output: F.col("__offset") + F.col("__position") - 1}
+    # The name of a split as text, NULL included.
+    own = F.to_json(F.struct(*[F.col(name).alias("split") for name in split])) if split else F.lit("")
+    named = F.to_json(F.struct(*[F.col(f"__{name}").alias("split") for name in split])) if split else F.lit("")
+    ordered = Window.partitionBy(*split, "__range").orderBy(*order_by)
+    repeated = F.lag(F.struct(*order_by)).over(ordered) == F.struct(*order_by)
+    numbered = ranged.withColumns({"__position": F.row_number().over(ordered), "__repeated": repeated})
+    message = F.concat(F.lit(f"{', '.join(order_by)} does not identify a row: "), F.to_json(F.struct(*order_by)))
+    unique = failing_unless(numbered, ~F.coalesce(F.col("__repeated"), F.lit(False)), message)
+    counted = bound(unique, "__lower", lower_rows(ranged, cuts, split, named))
+    mine = F.element_at(F.col("__lower.splits"), own)
+    added = {output: F.get(mine["below"], F.col("__range")) + F.col("__position") - 1}
     if total is not None:
-        added[total] = F.col("__total")
-    return numbered.withColumns(added).drop(
-        "__range", "__range_id", "__position", "__offset", "__total", *[f"__{name}" for name in split]
-    )
+        added[total] = mine["total"]
+    return counted.withColumns(added).drop("__range", "__position", "__repeated", "__lower")
 
 
 def sequential_ids(

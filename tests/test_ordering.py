@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from annoframe.operators import ordering
@@ -67,3 +68,25 @@ def test_union_matches_columns_by_name(spark):
     b = spark.createDataFrame([("y", 2, 0.5)], "t string, id int, s double")
     rows = {tuple(row) for row in ordering.union_shards([a, b]).select("id", "t", "s").collect()}
     assert rows == {(1, "x", None), (2, "y", 0.5)}
+
+
+def test_a_repeated_key_is_an_error(spark, bucket_rows):
+    df = spark.range(100).select((F.col("id") % 99).alias("k"), F.floor(F.col("id") / 99).cast("string").alias("split"))
+    with pytest.raises(PySparkException, match="k does not identify a row"):
+        ordering.row_index(df, ["k"]).collect()
+    assert ordering.row_index(df, ["k"], within="split").count() == 100
+
+
+def test_the_data_is_shuffled_once(spark, bucket_rows):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        df = spark.range(1000).select("id", F.md5(F.col("id").cast("string")).alias("wide"), (F.col("id") % 2).alias("split"))
+        plan = ordering.row_index(df, ["id"], within="split")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum("Exchange hashpartitioning(split#" in line for line in plan.splitlines()) == 1
+    assert "Join" not in plan.split("Subquery")[0]
