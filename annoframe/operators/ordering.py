@@ -53,20 +53,19 @@ def range_of(key: Column, cuts: Column) -> Column:
     )
 
 
-def lower_rows(ranged: DataFrame, cuts: Column, split: Sequence[str], key: Column) -> DataFrame:
-    """One row: a map from each split to the rows below each of its ranges, by range number, and its total."""
+def lower_rows(ranged: DataFrame, split: Sequence[str], key: Column) -> DataFrame:
+    """One row: a map from each split to its ranges in order, the rows below each of them, and all its rows."""
     sizes = ranged.groupBy(*[F.col(name).alias(f"__{name}") for name in split], "__range").agg(F.count(F.lit(1)).alias("__rows"))
-    sizes = sizes.withColumn("__key", key)
-    # One row per split and range, empty ranges included: this window runs over range sizes, not over data.
-    splits = sizes.select("__key").distinct().withColumn("__range", F.explode(F.sequence(F.lit(0), F.size(cuts))))
-    every = splits.join(sizes.select("__key", "__range", "__rows"), ["__key", "__range"], "left").fillna(0, ["__rows"])
+    # This window runs over range sizes, not over data.
     lower = Window.partitionBy("__key").orderBy("__range")
-    below = every.withColumn("__below", F.sum("__rows").over(lower) - F.col("__rows"))
+    below = sizes.withColumn("__key", key).withColumn("__below", F.sum("__rows").over(lower) - F.col("__rows"))
+    entries = F.sort_array(F.collect_list(F.struct("__range", "__below")))
     arrays = below.groupBy("__key").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("__range", "__below"))), lambda entry: entry["__below"]).alias("below"),
+        F.transform(entries, lambda entry: entry["__range"]).alias("ranges"),
+        F.transform(entries, lambda entry: entry["__below"]).alias("below"),
         F.sum("__rows").alias("total"),
     )
-    return arrays.agg(F.map_from_entries(F.collect_list(F.struct("__key", F.struct("below", "total")))).alias("splits"))
+    return arrays.agg(F.map_from_entries(F.collect_list(F.struct("__key", F.struct("ranges", "below", "total")))).alias("splits"))
 
 
 def row_index(
@@ -94,9 +93,10 @@ def row_index(
     numbered = ranged.withColumns({"__position": F.row_number().over(ordered), "__repeated": repeated})
     message = F.concat(F.lit(f"{', '.join(order_by)} does not identify a row: "), F.to_json(F.struct(*order_by)))
     unique = failing_unless(numbered, ~F.coalesce(F.col("__repeated"), F.lit(False)), message)
-    counted = bound(unique, "__lower", lower_rows(ranged, cuts, split, named))
+    counted = bound(unique, "__lower", lower_rows(ranged, split, named))
     mine = F.element_at(F.col("__lower.splits"), own)
-    added = {output: F.get(mine["below"], F.col("__range")) + F.col("__position") - 1}
+    place = range_of(F.col("__range"), mine["ranges"]) - 1
+    added = {output: F.get(mine["below"], place) + F.col("__position") - 1}
     if total is not None:
         added[total] = mine["total"]
     return counted.withColumns(added).drop("__range", "__position", "__repeated", "__lower")
