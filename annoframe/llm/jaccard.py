@@ -7,8 +7,10 @@ a longer prefix costs a few rows and spares many verifications, as a pair then h
 share l of them. A pair must share as many as the smaller of both asks for.
 
 Pairs are not listed within groups. First every posting is held against one head of its
-list, then lists are searched for pairs of documents that are not yet connected. So a
-group of thousands of near copies costs its size, and no link between groups is lost.
+list, the document whose rare end is the most frequent. Then lists are searched for pairs
+of documents that are not yet connected. So a group of thousands of near copies costs
+its size, and no link between groups is lost. A pair counts a shared shingle only where
+its places in both prefixes leave room for the overlap that both sizes ask for.
 """
 
 from __future__ import annotations
@@ -25,10 +27,15 @@ from annoframe.llm.components import components
 from annoframe.llm.words import NOT_SPACE, runs, whole, words_of
 
 WIDTH = 5
-#: Counters of the sketch (8 MB on the driver, 4 MB in a task).
-SKETCH = 1 << 20
+#: Counters of the sketch (32 MB on the driver, 16 MB in a task).
+SKETCH_BITS = 22
+SKETCH = 1 << SKETCH_BITS
 #: The longest multiple of prefix tokens a document may ask for.
 MOST_SHARED = 8
+#: What a verification costs, in postings of a list walked.
+VERIFICATION = 0.5
+#: Parts of the hash space by which sets are counted; the smaller counts of two sets bound their overlap.
+PARTS = 64
 #: Postings of a list that are held against one head; longer lists are dealt to several.
 LIST_ROWS = 4096
 #: Up to so many ids are broadcast to the scan that fetches sets (16 bytes each); beyond, they are joined.
@@ -47,7 +54,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64) & (SKETCH - 1)
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def sketch_of(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -78,45 +85,49 @@ def needed_overlap(size: int) -> int:
     return -(-4 * size // 5)
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int]:
-    """A document's prefix, and how many of its shingles a linked document shares at least.
+def prefix(shingles: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, int, int]:
+    """A document's prefix, how many of its shingles a linked document shares at least, and the postings it meets.
 
-    With l shared, the expected work is a row for each shingle of the prefix, one for each
-    posting it meets there, and a verification of the set for each l-th posting met.
-    Postings met: the sketch's counts above what chance collisions put there.
+    With l shared, the expected work is a row for each shingle of the prefix, a step for
+    each posting it meets there, and a verification for each l-th posting met. Postings
+    met: the sketch's counts above what chance collisions put there.
     """
-    own = counts[_bucket(shingles)]
+    own = counts[_bucket(shingles)].astype(np.float64)
     order = np.lexsort((shingles, own))
     need = needed_overlap(len(shingles))
     base = len(shingles) - need
     most = min(MOST_SHARED, need)
     met = np.cumsum(np.maximum(own[order[: base + most]] - noise, 0))[base:]
-    l = np.arange(1, most + 1)
-    cost = l + met * (1 + len(shingles) / 8 / l)
-    best = int(np.argmin(cost)) + 1
-    return shingles[order[: base + best]], best
+    shared = np.arange(1, most + 1)
+    best = int(np.argmin(shared + met * (1 + VERIFICATION / shared))) + 1
+    return shingles[order[: base + best]], best, int(met[best - 1])
 
 
 def _signed(docs: DataFrame, id: str, text: str, counts, noise: float) -> DataFrame:
-    """id, set size, signature, prefix and multiple of each row."""
+    """id, set size, signature, counts by part, prefix, multiple and postings met of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in shared.slices(batch, text, 2 << 20):
-                sizes, a, b, least, prefixes = [], [], [], [], []
+                sizes, a, b, least, met, prefixes, parts = [], [], [], [], [], [], []
                 for shingles in shingle_sets(shared.column(piece, text)):
                     x, y = signature(shingles)
-                    tokens, multiple = prefix(shingles, counts.value, noise) if len(shingles) else (shingles, 0)
-                    sizes.append(len(shingles)), a.append(x), b.append(y), least.append(multiple), prefixes.append(tokens.astype(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
+                    tokens, multiple, postings = prefix(shingles, counts.value, noise) if len(shingles) else (shingles, 0, 0)
+                    sizes.append(len(shingles)), a.append(x), b.append(y), least.append(multiple), met.append(postings)
+                    prefixes.append(tokens.astype(np.int64))
+                    parts.append(np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [shared.column(piece, id), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(least, pa.int32()), tokens],
-                    names=["__id", "__size", "__a", "__b", "__least", "__prefix"],
+                    [shared.column(piece, id), *(pa.array(x, pa.int64()) for x in (sizes, a, b)), pa.array(least, pa.int32()), pa.array(met, pa.int64()), _lists(prefixes, np.int64), _lists(parts, np.int32)],
+                    names=["__id", "__size", "__a", "__b", "__least", "__met", "__prefix", "__parts"],
                 )
 
     kind = dict(docs.dtypes)[id]
-    return shared.in_batches(docs.select(id, text), sign, f"__id {kind}, __size long, __a long, __b long, __least int, __prefix array<long>")
+    return shared.in_batches(docs.select(id, text), sign, f"__id {kind}, __size long, __a long, __b long, __least int, __met long, __prefix array<long>, __parts array<int>")
+
+
+def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, kind)))
 
 
 def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -132,16 +143,18 @@ def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
                 for name, a, b, shingles in zip(*(shared.column(piece, c).to_pylist() for c in ("__class", "__a", "__b")), shingle_sets(shared.column(piece, text)), strict=True):
                     if signature(shingles) == (a, b):  # an id may stand at several texts
                         classes.append(name), sets.append(shingles.astype(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["__class", "__set"])
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), _lists(sets, np.int64)], names=["__class", "__set"])
 
     return shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, "__class long, __set array<long>")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
-    """The pairs (__x, __y) whose sets are similar enough, by exact comparison."""
-    pairs = shared.kept(pairs, f"pairs-{label}")
+    """The pairs (__x, __y) whose sets are similar enough: first by the bound of their parts, then by exact comparison."""
+    one = classes.select(F.col("__class").alias("__x"), F.col("__size").alias("__size_x"), F.col("__parts").alias("__parts_x"))
+    other = classes.select(F.col("__class").alias("__y"), F.col("__size").alias("__size_y"), F.col("__parts").alias("__parts_y"))
+    most = F.aggregate(F.zip_with("__parts_x", "__parts_y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, n: total + n)
+    likely = pairs.join(one, "__x").join(other, "__y").where(9 * most >= 4 * (F.col("__size_x") + F.col("__size_y")))
+    pairs = shared.kept(likely.select("__x", "__y"), f"pairs-{label}")
     ends = pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
     wanted = classes.join(ends, "__class").select("__class", "__first", "__a", "__b")
     sets = shared.kept(_sets(docs, id, text, wanted), f"sets-{label}")
@@ -149,11 +162,33 @@ def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: Data
     other = sets.select(F.col("__class").alias("__y"), F.col("__set").alias("__set_y"))
     both = F.size(F.array_intersect("__set_x", "__set_y"))
     joined = pairs.join(one, "__x").join(other, "__y")
-    return joined.where(100 * both >= 80 * (F.size("__set_x") + F.size("__set_y") - both)).select("__x", "__y").distinct()
+    linked = joined.where(100 * both >= 80 * (F.size("__set_x") + F.size("__set_y") - both)).select("__x", "__y").distinct()
+    return shared.kept(linked, f"links-{label}")
 
 
-def _alike_in_size(a: str, b: str):
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+def _may_link(x: str, y: str):
+    """Whether a shingle that two prefixes share, at its places there, can count for a pair of these sizes.
+
+    Linked sets overlap in t = 4/9 of both sizes, rounded up; they share l shingles among the
+    first (size - t + l) of each.
+    """
+    size_x, size_y = F.col(f"{x}.size"), F.col(f"{y}.size")
+    least = F.least(F.col(f"{x}.least"), F.col(f"{y}.least"))
+    overlap = F.ceil(4 * (size_x + size_y) / 9)
+    return (
+        (5 * F.least(size_x, size_y) >= 4 * F.greatest(size_x, size_y))
+        & (F.col(f"{x}.at") <= size_x - overlap + least) & (F.col(f"{y}.at") <= size_y - overlap + least)
+    )
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(__x, __y) of the rows (x, y), one for each shingle shared, that share as many as both ask for."""
+    least = F.least("x.least", "y.least").alias("__least")
+    return (
+        rows.select(F.least("x.class", "y.class").alias("__x"), F.greatest("x.class", "y.class").alias("__y"), least)
+        .groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__shared"), F.min("__least").alias("__least"))
+        .where("__shared >= __least").select("__x", "__y")
+    )
 
 
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -162,74 +197,66 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     shared.ship(spark)
     sketch = sketch_of(docs, text)
     noise = float(sketch.mean() + 4 * np.sqrt(sketch.mean()) + 1)
-    counts = spark.sparkContext.broadcast(sketch.astype(np.uint32))
+    counts = spark.sparkContext.broadcast(np.minimum(sketch, 0xFFFFFFFF).astype(np.uint32))
     signed = shared.kept(_signed(docs.where(F.col(id).isNotNull()), id, text, counts, noise), "signed")
+    own = ["__a", "__b", "__size", "__least", "__met", "__parts"]  # equal for equal sets
     classes = shared.kept(
-        signed.where("__size > 0").groupBy("__a", "__b", "__size").agg(F.min("__id").alias("__first"), F.min("__least").alias("__least"))
+        signed.where("__size > 0").groupBy("__a", "__b").agg(F.min("__id").alias("__first"), *(F.first(c).alias(c) for c in own[2:]))
         .withColumn("__class", F.monotonically_increasing_id()),
         "classes",
     )
     # One document of each class sends its prefix. Very frequent shingles are dealt to several lists.
-    postings = (
-        signed.join(classes.select("__a", "__b", F.col("__first").alias("__id"), "__class"), ["__a", "__b", "__id"])
-        .select("__class", "__size", F.explode("__prefix").alias("__token"))
+    reps = signed.where("__size > 0").select("__a", "__b", "__id", "__prefix").join(
+        classes.select("__a", "__b", F.col("__first").alias("__id"), "__class", "__size", "__least", "__met"), ["__a", "__b", "__id"]
     )
+    postings = reps.select("__class", "__size", "__least", "__met", F.posexplode("__prefix").alias("__at", "__token"))
     frequent = np.flatnonzero(sketch > LIST_ROWS + noise)
-    met = spark.createDataFrame([(int(k), -(-int(sketch[k]) // LIST_ROWS)) for k in frequent], "__bucket int, __lists int")
-    bucket = F.shiftrightunsigned("__token", 44).cast("int").bitwiseAND(SKETCH - 1)
+    lists = spark.createDataFrame([(int(k), -(-int(sketch[k]) // LIST_ROWS)) for k in frequent], "__bucket int, __lists int")
+    bucket = F.shiftrightunsigned("__token", 64 - SKETCH_BITS).cast("int")
     postings = (
-        postings.withColumn("__bucket", bucket).join(F.broadcast(met), "__bucket", "left").drop("__bucket")
+        postings.withColumn("__bucket", bucket).join(F.broadcast(lists), "__bucket", "left").drop("__bucket")
         .withColumn("__lists", F.coalesce("__lists", F.lit(1))).withColumn("__deal", F.pmod("__class", "__lists").cast("int"))
     )
+    posting = F.struct(*(F.col(f"__{c}").alias(c) for c in ("met", "class", "size", "least")), (F.col("__at") + 1).alias("at"))
     whole_list = Window.partitionBy("__token", "__deal")
+    # Rows of one class may repeat (documents that repeat an id and a text); each counts once.
     listed = shared.kept(
-        postings.select(
-            "__token", "__deal", "__lists", "__class", "__size",
-            F.min("__class").over(whole_list).alias("__head"), F.max("__class").over(whole_list).alias("__tail"),
-        ).where("__head < __tail OR __lists > 1").drop("__tail"),
+        postings.select("__token", "__deal", "__lists", posting.alias("y")).select(
+            "*", F.max("y").over(whole_list).alias("x"), F.min("y.class").over(whole_list).alias("__lo"), F.max("y.class").over(whole_list).alias("__hi")
+        ).where("__lo < __hi OR __lists > 1").select("__token", "__deal", "__lists", "x", "y").distinct(),
         "postings",
     )
-    info = classes.select("__class", "__size", "__least")
 
     # Every posting against the head of its list; heads of the lists of one shingle against the first of them.
-    heads = listed.where("__lists > 1").groupBy("__token", "__deal").agg(F.min("__head").alias("__y"))
-    firsts = heads.groupBy("__token").agg(F.min("__y").alias("__x"))
-    near = listed.select(F.col("__head").alias("__x"), F.col("__class").alias("__y")).unionByName(heads.join(firsts, "__token").select("__x", "__y"))
-    near = near.where("__x <> __y").groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__shared"))
-    pairs = _enough(near, info)
-    links = _linked(pairs, docs, id, text, classes, "near")
+    heads = listed.where("__lists > 1").groupBy("__token", "__deal").agg(F.max("x").alias("y"))
+    tops = heads.groupBy("__token").agg(F.max("y").alias("x"))
+    near = listed.select("x", "y").unionByName(heads.join(tops, "__token").select("x", "y"))
+    links = _linked(_pairs(near.where((F.col("x.class") != F.col("y.class")) & _may_link("x", "y"))), docs, id, text, classes, "near")
     found = components(classes.select(F.col("__class").alias("__node")), links, "__x", "__y")
 
-    # Lists that still hold several components: all pairs across components, none within.
-    colored = listed.join(found.select(F.col("__node").alias("__class"), F.col("__component").alias("__color")), "__class")
-    mixed = colored.groupBy("__token").agg(F.min("__color").alias("__lo"), F.max("__color").alias("__hi")).where("__lo < __hi").select("__token")
-    colored = shared.kept(colored.join(mixed, "__token").select("__token", "__class", "__size", "__color"), "colored")
-    colors = colored.groupBy("__token", F.col("__color").alias("__other")).agg(F.min("__size").alias("__small"), F.max("__size").alias("__large"))
-    reach = (
-        colored.join(colors, "__token").where("__color < __other AND 5 * __large >= 4 * __size AND 4 * __small <= 5 * __size")
-        .select("__token", F.col("__class").alias("__x"), F.col("__size").alias("__size_x"), "__other")
-    )
-    across = (
-        reach.join(colored.select("__token", F.col("__color").alias("__other"), F.col("__class").alias("__y"), F.col("__size").alias("__size_y")), ["__token", "__other"])
-        .where(_alike_in_size("__size_x", "__size_y"))
-        .groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("__shared"))
+    # Lists that still hold several components: each document that isn't of the largest one there
+    # against all documents of other components.
+    colors = found.select(F.col("__node").alias("__of"), F.col("__component").alias("__color"))
+    colored = listed.select("__token", "y").join(colors, F.col("y.class") == F.col("__of")).drop("__of")
+    mixed = (
+        colored.groupBy("__token", "__color").agg(F.count(F.lit(1)).alias("__n"))
+        .groupBy("__token").agg(F.max(F.struct("__n", "__color")).alias("__top"), F.count(F.lit(1)).alias("__colors"))
+        .where("__colors > 1").select("__token", F.col("__top.__color").alias("__main"))
     )
-    more = shared.kept(_linked(_enough(across, info), docs, id, text, classes, "across"), "links-across")
-    found = components(found.select(F.col("__component").alias("__node")).distinct(), _between(more, found), "__x", "__y") \
-        .join(found.select(F.col("__node").alias("__class"), F.col("__component").alias("__node")), "__node").select("__class", "__component")
-    rows = signed.select("__id", "__size", "__a", "__b").join(classes.select("__a", "__b", "__class", "__first"), ["__a", "__b"], "left").select("__id", "__size", "__class")
+    colored = shared.kept(colored.join(mixed, "__token"), "colored")
+    minor = colored.where("__color <> __main").select("__token", F.col("y").alias("x"), F.col("__color").alias("__color_x"))
+    across = minor.join(
+        colored, (minor["__token"] == colored["__token"]) & (F.col("__color_x") != F.col("__color"))
+        & ((F.col("__color") == F.col("__main")) | (F.col("x.class") < F.col("y.class"))) & _may_link("x", "y"),
+    ).select("x", "y")
+    more = _linked(_pairs(across), docs, id, text, classes, "across")
+    wider = components(found.select(F.col("__component").alias("__node")).distinct(), _between(more, found), "__x", "__y")
+    found = found.select(F.col("__node").alias("__class"), F.col("__component").alias("__node")).join(wider, "__node").select("__class", "__component")
+    rows = signed.select("__id", "__size", "__a", "__b").join(classes.select("__a", "__b", "__class"), ["__a", "__b"], "left").select("__id", "__size", "__class")
     smallest = found.join(classes.select("__class", "__first"), "__class").groupBy("__component").agg(F.min("__first").alias("__smallest"))
     return rows, found.join(smallest, "__component").select("__class", "__component", "__smallest")
 
 
-def _enough(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix shingles as both ask for, and are alike in size."""
-    one = info.select(F.col("__class").alias("__x"), F.col("__size").alias("__size_x"), F.col("__least").alias("__least_x"))
-    other = info.select(F.col("__class").alias("__y"), F.col("__size").alias("__size_y"), F.col("__least").alias("__least_y"))
-    joined = pairs.join(one, "__x").join(other, "__y")
-    return joined.where(_alike_in_size("__size_x", "__size_y") & (F.col("__shared") >= F.least("__least_x", "__least_y"))).select("__x", "__y")
-
-
 def _between(links: DataFrame, found: DataFrame) -> DataFrame:
     """Links between classes as links between their components."""
     one = found.select(F.col("__node").alias("__x"), F.col("__component").alias("__cx"))

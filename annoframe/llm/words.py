@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 _RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)

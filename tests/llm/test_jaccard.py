@@ -56,14 +56,14 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
 
 def test_prefixes_of_linked_sets_share_what_both_ask_for():
     draw = np.random.default_rng(3)
+    counts = draw.integers(1, 200, jaccard.SKETCH)
     for _ in range(300):
-        counts = draw.integers(1, 200, jaccard.SKETCH)
         n = int(draw.integers(1, 120))
         a = np.unique(draw.integers(0, 1 << 63, n, np.uint64))
         b = np.unique(np.concatenate([a[draw.random(len(a)) > draw.uniform(0, 0.2)], draw.integers(0, 1 << 63, int(draw.integers(0, 12)), np.uint64)]))
         common = len(np.intersect1d(a, b))
         if common and 100 * common >= 80 * (len(a) + len(b) - common):
-            (x, l), (y, m) = jaccard.prefix(a, counts, 40.0), jaccard.prefix(b, counts, 40.0)
+            (x, l, _), (y, m, _) = jaccard.prefix(a, counts, 40.0), jaccard.prefix(b, counts, 40.0)
             assert len(np.intersect1d(x, y)) >= min(l, m)
 
 
@@ -71,9 +71,9 @@ def test_frequent_rare_ends_ask_for_more():
     counts = np.ones(jaccard.SKETCH, np.int64)
     shingles = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 100, np.uint64))
     assert jaccard.prefix(shingles, counts, 10.0)[1] == 1
-    counts[:] = 5000
-    tokens, least = jaccard.prefix(shingles, counts, 10.0)
-    assert least > 1 and len(tokens) == 20 + least
+    counts[jaccard._bucket(shingles)] = np.where(np.arange(len(shingles)) < 15, 1, 5000)
+    tokens, least, met = jaccard.prefix(shingles, counts, 10.0)
+    assert least > 1 and len(tokens) == 20 + least and met > 0
 
 
 def test_components_of_long_chains(spark):
