@@ -54,7 +54,8 @@ def run_resumable(
 
     The rows are worked off in ``rounds`` appends, parted by a hash of the key; an
     append is committed whole or not at all, so after a crash the same call goes
-    on with the first round that is not complete.
+    on with the first round that is not complete. Every round reads ``todo``: with
+    more than one, give it a saved table.
     """
     spark = todo.sparkSession
     turn = F.pmod(F.xxhash64(*[F.col(name) for name in on]), F.lit(rounds))
