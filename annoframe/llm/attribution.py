@@ -58,7 +58,8 @@ def attribute(
                 values = [[t or "" for t in shared.column(piece, f"__{f}").to_pylist()] for f in fields]
                 texts = [separator.join(row) for row in zip(*values, strict=True)]
                 rows, names, numbers, starts, ends, counts = [], [], [], [], [], []
-                for row, (text, raw) in enumerate(zip(texts, coder.encode(texts), strict=True)):
+                every, bounds = coder.encode(pa.array(texts, pa.large_string()))
+                for row, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
                     parts = []
                     for k, f in enumerate(fields):
                         value = values[k][row] + (separator if k + 1 < len(fields) else "")
@@ -67,7 +68,7 @@ def attribute(
                         parts += [(f, number, line) for number, line in enumerate(lines)]
                     bytes_upto = np.cumsum([len(p[2].encode()) for p in parts])
                     chars_upto = np.cumsum([len(p[2]) for p in parts])
-                    found = joined(np.cumsum(widths[np.frombuffer(raw, coder.kind)]), bytes_upto, rule)[: len(parts)]
+                    found = joined(np.cumsum(widths[every[a:b]]), bytes_upto, rule)[: len(parts)]
                     rows += [row] * len(parts)
                     names += [p[0] for p in parts]
                     numbers += [p[1] for p in parts]

@@ -28,7 +28,7 @@ ISLANDS = 2
 ROUNDS = 2
 POPULATION = 4
 GENERATIONS = 4
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 
 
 def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], capacity: int, as_given: bool = False) -> list[list[int]]:
@@ -154,8 +154,10 @@ def pieces_of(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
         for batch in batches:
             for part in shared.slices(batch, text, _SLICE):
                 rows, numbers, starts, lengths, sums = [], [], [], [], []
-                for row, raw in enumerate(coder.encode(shared.column(part, text).to_pylist())):
-                    ids = np.concatenate([np.frombuffer(raw, coder.kind).astype("<u4"), end])
+                every, bounds = coder.encode(shared.column(part, text))
+                every = every.astype("<u4")
+                for row, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                    ids = np.concatenate([every[a:b], end])
                     first = len(ids) % capacity or capacity
                     for number, start in enumerate([0, *range(first, len(ids), capacity)]):
                         own = ids[start : start + (capacity if number else first)]

@@ -22,7 +22,7 @@ from annoframe.llm import shared, tokens, wavelet
 #: Ids of a file (a document is never split), and bytes of text of a range.
 SHARD_TOKENS = 4 << 20
 RANGE_BYTES = 16 << 20
-_SLICE = 2 << 20
+_SLICE = 4 << 20
 
 
 def _put(folder: str, name: str, raw: bytes) -> None:
@@ -67,9 +67,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
         total = 0
         for batch in batches:
             for piece in shared.slices(batch, "__text", _SLICE):
-                for name, raw in zip(piece.column(0).to_pylist(), coder.encode(piece.column(1).to_pylist()), strict=True):
+                ids, bounds = coder.encode(piece.column(1))
+                for name, a, b in zip(piece.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
                     names.append(name)
-                    held.append(np.concatenate([np.frombuffer(raw, coder.kind), end]))
+                    held.append(np.concatenate([ids[a:b], end]))
                     total += len(held[-1])
                     if total >= SHARD_TOKENS:
                         flush()

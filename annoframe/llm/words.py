@@ -7,6 +7,8 @@ import numpy as np
 _BLOCK = 1 << 20
 _RANDOM = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_OTHER = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
 _STEPS = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -66,6 +68,18 @@ def words_of(data: np.ndarray, bounds: np.ndarray, members: np.ndarray, lower: b
     return starts, ends, hashes, firsts
 
 
+def other_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the same words by other numbers: two words that agree in both kinds are the same but for one chance in 2**128."""
+    lengths = ends - starts
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    if not upto[-1]:
+        return np.zeros(len(starts), np.uint64)
+    place = np.arange(upto[-1]) - np.repeat(upto[:-1], lengths)
+    values = data[np.repeat(starts, lengths) + place]
+    powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(lengths.max()) - 1, _OTHER_BASE, np.uint64)]))
+    return mixed(np.add.reduceat(_OTHER[values] * powers[place], upto[:-1]) + lengths.astype(np.uint64))
+
+
 def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), _BASE, np.uint64)]))
 
