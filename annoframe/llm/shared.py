@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -59,10 +60,23 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: the worker process stays, and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(task, schema)
 
 
 def crc_of_id(doc_id: Column) -> Column:
