@@ -23,6 +23,9 @@ from annoframe.llm.words import SPACES
 #: Bits of each filter (8 MB), a power of two; bits set by a hash.
 FILTER_BITS = 1 << 26
 PROBES = 2
+#: Keys that hold more than this part of all suspected lines are sent to every task; there are no more than so many.
+HOT_KEYS = 1000
+HOT_KEY_BYTES = 4096
 #: Bytes of a filter that travel in one row.
 _CHUNK = 1 << 17
 
@@ -135,13 +138,21 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
     kind = dict(docs.dtypes)[id]
     suspects = shared.kept(shared.in_batches(plain, suspect, f"__id {kind}, __key binary"), "lines")
     # MAX leaves NULL out: a NULL id keeps a line only if no other document holds it.
-    crowded = (
+    crowded = shared.kept(
         suspects.groupBy("__key", "__id").agg(F.lit(1).alias("__one"))
         .groupBy("__key").agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__keeper"))
-        .where(F.col("__n") >= documents)
+        .where(F.col("__n") >= documents),
+        "crowded-lines",
+    )
+    # A key in more than a thousandth of all suspected lines: there are a thousand at most (4 MB),
+    # which are sent to every task; the lines of the others meet in tasks by key.
+    hot = (F.col("__n") * HOT_KEYS > suspects.count()) & (F.octet_length("__key") <= HOT_KEY_BYTES)
+    frequent = F.broadcast(crowded.where(hot))
+    found = suspects.join(frequent, "__key").unionByName(
+        suspects.join(frequent.select("__key"), "__key", "left_anti").join(crowded.where(~hot), "__key")
     )
     lost = (
-        suspects.join(crowded, "__key").where(~F.col("__id").eqNullSafe(F.col("__keeper")))
+        found.where(~F.col("__id").eqNullSafe(F.col("__keeper")))
         .groupBy(F.col("__id").alias("__lost_by")).agg(F.collect_set("__key").alias("__lost"))
     )
 

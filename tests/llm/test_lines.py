@@ -30,8 +30,9 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert [r["text"] for r in out.where("doc_id = 4").collect()] == [None]
 
 
-@pytest.mark.parametrize("bits", [8, 1 << 12])
-def test_a_full_filter_changes_no_result(spark, bits):
+@pytest.mark.parametrize(("bits", "hot"), [(8, 1000), (1 << 12, 3), (1 << 12, 1000)])
+def test_full_filters_and_hot_keys_change_no_result(spark, monkeypatch, bits, hot):
+    monkeypatch.setattr(lines, "HOT_KEYS", hot)
     rows = list(enumerate(cases.odd_texts()))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert result(lines.dedup_lines(df, bits=bits)) == sorted(cases.lines_plain(rows), key=str)
