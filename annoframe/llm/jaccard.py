@@ -150,13 +150,17 @@ def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
     """The pairs (__x, __y) whose sets are similar enough: first by the bound of their parts, then by exact comparison."""
-    one = classes.select(F.col("__class").alias("__x"), F.col("__size").alias("__size_x"), F.col("__parts").alias("__parts_x"))
-    other = classes.select(F.col("__class").alias("__y"), F.col("__size").alias("__size_y"), F.col("__parts").alias("__parts_y"))
+    pairs = shared.kept(pairs, f"candidates-{label}")
+    # Of the classes only those of some pair are looked at again.
+    ends = pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
+    members = shared.kept(classes.select("__class", "__first", "__a", "__b", "__size", "__parts").join(ends, "__class", "left_semi"), f"members-{label}")
+    one = members.select(F.col("__class").alias("__x"), F.col("__size").alias("__size_x"), F.col("__parts").alias("__parts_x"))
+    other = members.select(F.col("__class").alias("__y"), F.col("__size").alias("__size_y"), F.col("__parts").alias("__parts_y"))
     most = F.aggregate(F.zip_with("__parts_x", "__parts_y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, n: total + n)
     likely = pairs.join(one, "__x").join(other, "__y").where(9 * most >= 4 * (F.col("__size_x") + F.col("__size_y")))
     pairs = shared.kept(likely.select("__x", "__y"), f"pairs-{label}")
     ends = pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
-    wanted = classes.join(ends, "__class").select("__class", "__first", "__a", "__b")
+    wanted = members.join(ends, "__class", "left_semi").select("__class", "__first", "__a", "__b")
     sets = shared.kept(_sets(docs, id, text, wanted), f"sets-{label}")
     one = sets.select(F.col("__class").alias("__x"), F.col("__set").alias("__set_x"))
     other = sets.select(F.col("__class").alias("__y"), F.col("__set").alias("__set_y"))
@@ -166,14 +170,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: Data
     return shared.kept(linked, f"links-{label}")
 
 
-def _may_link(x: str, y: str):
+def _may_link(x: str, y: str, least=None):
     """Whether a shingle that two prefixes share, at its places there, can count for a pair of these sizes.
 
     Linked sets overlap in t = 4/9 of both sizes, rounded up; they share l shingles among the
-    first (size - t + l) of each.
+    first (size - t + l) of each. ``least`` is l; by default what both documents ask for.
     """
     size_x, size_y = F.col(f"{x}.size"), F.col(f"{y}.size")
-    least = F.least(F.col(f"{x}.least"), F.col(f"{y}.least"))
+    least = F.least(F.col(f"{x}.least"), F.col(f"{y}.least")) if least is None else F.lit(least)
     overlap = F.ceil(4 * (size_x + size_y) / 9)
     return (
         (5 * F.least(size_x, size_y) >= 4 * F.greatest(size_x, size_y))
@@ -191,6 +195,17 @@ def _pairs(rows: DataFrame) -> DataFrame:
     )
 
 
+def _sharing(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """(__x, __y) of the rows (x, y), one for each pair found, whose prefixes share as many shingles as both ask for."""
+    least = F.least("x.least", "y.least").alias("__least")
+    pairs = shared.kept(rows.select(F.least("x.class", "y.class").alias("__x"), F.greatest("x.class", "y.class").alias("__y"), least).distinct(), "found")
+    ends = pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
+    # What two prefixes share stands in lists; a class has no more tokens there than its prefix.
+    tokens = listed.select(F.col("y.class").alias("__class"), "__token").join(ends, "__class", "left_semi").groupBy("__class").agg(F.collect_set("__token").alias("__tokens"))
+    one, other = tokens.toDF("__x", "__tokens_x"), tokens.toDF("__y", "__tokens_y")
+    return pairs.join(one, "__x").join(other, "__y").where(F.size(F.array_intersect("__tokens_x", "__tokens_y")) >= F.col("__least")).select("__x", "__y")
+
+
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, size, class) of every row with an id, and (class, component, smallest id) of every class."""
     spark = docs.sparkSession
@@ -212,6 +227,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     postings = reps.select("__class", "__size", "__least", "__met", F.posexplode("__prefix").alias("__at", "__token"))
     frequent = np.flatnonzero(sketch > LIST_ROWS + noise)
     lists = spark.createDataFrame([(int(k), -(-int(sketch[k]) // LIST_ROWS)) for k in frequent], "__bucket int, __lists int")
+    del sketch
     bucket = F.shiftrightunsigned("__token", 64 - SKETCH_BITS).cast("int")
     postings = (
         postings.withColumn("__bucket", bucket).join(F.broadcast(lists), "__bucket", "left").drop("__bucket")
@@ -235,7 +251,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     found = components(classes.select(F.col("__class").alias("__node")), links, "__x", "__y")
 
     # Lists that still hold several components: each document that isn't of the largest one there
-    # against all documents of other components.
+    # against all documents of other components. The first shingle that a linked pair shares finds it.
     colors = found.select(F.col("__node").alias("__of"), F.col("__component").alias("__color"))
     colored = listed.select("__token", "y").join(colors, F.col("y.class") == F.col("__of")).drop("__of")
     mixed = (
@@ -247,9 +263,9 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     minor = colored.where("__color <> __main").select("__token", F.col("y").alias("x"), F.col("__color").alias("__color_x"))
     across = minor.join(
         colored, (minor["__token"] == colored["__token"]) & (F.col("__color_x") != F.col("__color"))
-        & ((F.col("__color") == F.col("__main")) | (F.col("x.class") < F.col("y.class"))) & _may_link("x", "y"),
+        & ((F.col("__color") == F.col("__main")) | (F.col("x.class") < F.col("y.class"))) & _may_link("x", "y", 1),
     ).select("x", "y")
-    more = _linked(_pairs(across), docs, id, text, classes, "across")
+    more = _linked(_sharing(across, listed), docs, id, text, classes, "across")
     wider = components(found.select(F.col("__component").alias("__node")).distinct(), _between(more, found), "__x", "__y")
     found = found.select(F.col("__node").alias("__class"), F.col("__component").alias("__node")).join(wider, "__node").select("__class", "__component")
     rows = signed.select("__id", "__size", "__a", "__b").join(classes.select("__a", "__b", "__class"), ["__a", "__b"], "left").select("__id", "__size", "__class")
