@@ -1,19 +1,26 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary documents.
 
-A class model gives a word its continuation count, the number of different words that it
-follows in documents of the class, less a discount. What the discount frees goes to a
-backoff that both classes share, the continuation counts of the whole corpus; a word that
-a class has met too rarely gets about the same probability in both. The score compares
-both log-likelihoods, divided by the number of words. Words whose ratio stays within
-``GATE`` count as equal: there the smaller class knows too little.
-
-Words and pairs of words are counted by hash in vectors of fixed width, over every
-document. A pair that stands c times in a class adds 1/c at each place, so that every
-different pair adds one.
+A class model gives a word after another its count there, less a discount; what the
+discount frees goes to the word's continuation count, the number of different words that
+it follows in documents of the class, less a discount; what that one frees goes to a
+backoff that both classes share, the continuation counts of the whole corpus. A word that
+a class has met too rarely gets about the same probability in both.
+
+A text is scored by both models: the differences of log-likelihood, divided by the number
+of words, once of its words alone and once of what the word before adds. Both signs count.
+A difference within ``GATE`` counts as none and greater ones as what they have above it:
+there the smaller class knows too little. How much each of the two means weighs is fitted
+on labelled rows that the counts don't hold, as weights of orders are.
+
+Counts are rows of tables keyed by 64-bit hashes of words and of pairs of words; they grow
+with the vocabulary. Rows whose difference is none are left out of what scores.
 """
 
 from __future__ import annotations
 
+import itertools
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +31,9 @@ from pyspark.sql import functions as F
 
 from annoframe.llm import shared
 from annoframe.llm.words import ALPHANUMERIC, mixed, words_of
+from annoframe.operators.lookup import lookup_join
 
-#: Counters of words and of pairs of words; a few times the different pairs of the labelled rows.
-WORDS = 1 << 18
-PAIRS = 1 << 21
-#: Taken from each continuation count of a class; log ratio within which a word counts as equal in both.
+#: Taken from each count of a class; log ratio within which a word or a pair counts as equal in both.
 DISCOUNT = 1.5
 GATE = 1.5
 #: The label whose rows the calibration is fitted on: one in so many labelled rows.
@@ -36,30 +41,40 @@ CALIBRATION = 4
 THRESHOLD = 0.3
 #: Label rows up to this number are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
-_UNIT = 1 << 20
-_BINS = 400
+#: Rows of words or of pairs up to this number are broadcast once they are counted; more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+#: Pairs that a task gathers before it sends the different ones on; bytes of text for which there are eight buckets of pairs.
+GATHERED = 1_000_000
+BUCKET_BYTES = 512 << 20
+#: Means are put on a scale that is linear below ``_FLOOR`` and logarithmic above, with so many bins a unit, up to ``_BINS`` on each side.
+_FLOOR = 1e-3
+_STEPS = 20
+_BINS = 256
 
 
 @dataclass
 class Model:
-    """The gated log ratio of each word, and what turns a document's mean of it into a probability."""
+    """The differences of words and of pairs, as tables (key, value), and what turns a document's means of them into a probability."""
 
-    ratio: np.ndarray
-    weights: tuple[float, float, float] = (0.0, 1.0, 1.0)
-
-    def probability(self, mean: np.ndarray) -> np.ndarray:
-        bias, slope, floor = self.weights
-        return 1 / (1 + np.exp(-np.clip(bias + slope * np.log(mean + floor), -30, 30)))
+    words: DataFrame | None = None
+    pairs: DataFrame | None = None
+    #: The difference of words that stand in no table.
+    other: float = 0.0
+    #: Bias, weight of words, weight of pairs.
+    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
 
 def _places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The counters of all words and of their pairs with the word before, and the first word of each text."""
+    """Hashes of all words and of the words before them (1 at the start of a text), and the first word of each text."""
     _, _, hashes, firsts = words_of(*shared.utf8(texts), ALPHANUMERIC, lower=True)
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
     before[firsts[:-1][np.diff(firsts) > 0]] = np.uint64(1)
-    pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
-    return (hashes >> np.uint64(46)).astype(np.int64), (pairs >> np.uint64(43)).astype(np.int64), firsts
+    return hashes, before, firsts
+
+
+def _paired(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> DataFrame:
@@ -69,6 +84,102 @@ def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str)
     return docs.select(F.col(id).alias("__id"), F.col(text)).join(F.broadcast(known) if few else known, F.col("__id") == F.col("__of"), "left").drop("__of")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Small numbers, compressed byte by byte."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _packed(word: np.ndarray, before: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Pairs in order of their words: each different hash stands once, in full."""
+    words, per_word = np.unique(word, return_counts=True)
+    befores, of = np.unique(before, return_inverse=True)
+    return pickle.dumps((words.tobytes(), _planes(per_word), befores.tobytes(), _planes(of), [_planes(n) for n in counts]), 5)
+
+
+def _unpacked(blob: bytes) -> tuple:
+    words, per_word, befores, of, counts = pickle.loads(blob)
+    return np.repeat(np.frombuffer(words, np.uint64), _numbers(per_word)), np.frombuffer(befores, np.uint64)[_numbers(of)], *map(_numbers, counts)
+
+
+def _added(parts: list[tuple]) -> tuple:
+    """The different pairs of (word, before, counts ...), with the sums of their counts."""
+    word, before, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, first, of = np.unique(_paired(before, word), return_index=True, return_inverse=True)
+    return word[first], before[first], *(np.bincount(of, n, len(first)).astype(np.int64) for n in counts)
+
+
+def _merged(rows: DataFrame, text: str, n_bytes: int, classes: bool, result, schema: str) -> DataFrame:
+    """``result`` of every bucket of different pairs, of which each stands in one: (word, before), for classes with the counts of both.
+
+    Tasks send what they hold packed, by buckets of about equal size: a word has eight.
+    """
+    groups = max(4, -(-n_bytes // BUCKET_BYTES))
+
+    def rows_of(pairs: tuple) -> pa.RecordBatch:
+        word, before, *counts = pairs
+        bucket = ((word >> np.uint64(8)) % np.uint64(groups) * np.uint64(8) + before % np.uint64(8)).astype(np.int64)
+        order = np.lexsort((before, word, bucket))
+        word, before, bucket, *counts = (x[order] for x in (word, before, bucket, *counts))
+        edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        blobs = [_packed(word[x:y], before[x:y], *(n[x:y] for n in counts)) for x, y in zip(edges, edges[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for piece in shared.slices(batch, text, 2 << 20):
+                word, before, firsts = _places(shared.column(piece, text))
+                own = np.repeat(shared.column(piece, "__class").to_numpy(zero_copy_only=False), np.diff(firsts))
+                parts.append(_added([(word, before, *((own == c).astype(np.int64) for c in (0, 1) if classes))]))
+                size += len(parts[-1][0])
+                if size > GATHERED:
+                    parts = [_added(parts)]
+                    size = len(parts[0][0])
+                    if 2 * size > GATHERED:
+                        yield rows_of(parts[0])
+                        parts, size = [], 0
+        if size:
+            yield rows_of(_added(parts))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = ((k, blob) for batch in batches for k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, bucket in itertools.groupby(every, lambda row: row[0]):
+            yield result(*_added([_unpacked(blob) for _, blob in bucket]))
+
+    packed = shared.in_batches(rows.select(text, "__class"), count, "bucket long, blob binary")
+    return shared.in_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), merge, schema)
+
+
+def _following(word: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+    """How many words each word follows."""
+    words, n = np.unique(word, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "every"])
+
+
+def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["word", "before", "n0", "n1"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        before, word = (shared.column(batch, name).to_numpy().view(np.uint64) for name in ("before", "word"))
+        yield pa.RecordBatch.from_arrays([pa.array(_paired(before, word).view(np.int64)), shared.column(batch, "value")], names=["key", "value"])
+
+
+def _looked_up(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Left join to a table with one row a key: broadcast if it has few rows, else with frequent keys dealt out."""
+    few = right.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    return left.join(F.broadcast(right), on, "left") if few else lookup_join(left, right, [on])
+
+
+def _gated(ratio: Column) -> Column:
+    return F.signum(ratio) * F.greatest(F.abs(ratio) - GATE, F.lit(0.0))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Count words over all documents, learn classes from labelled rows where ``learn`` holds, fit the calibration.
 
@@ -84,84 +195,156 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     use = F.when(learn & F.col("__label").isNotNull(), F.when(reserved, F.lit(-1)).otherwise(F.col("__label"))).otherwise(F.lit(-1))
     rows = rows.select(text, "__label", F.coalesce(use, F.lit(-1)).alias("__class"), F.coalesce(learn & reserved, F.lit(False)).alias("__calibrates"))
 
-    def by_class(piece: pa.RecordBatch, firsts: np.ndarray) -> np.ndarray:
-        return np.repeat(shared.column(piece, "__class").to_numpy(zero_copy_only=False), np.diff(firsts))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        out = {name: np.zeros(PAIRS, np.int32) for name in ("all", "0", "1")}
-        for batch in batches:
-            for piece in shared.slices(batch, text, 2 << 20):
-                _, pairs, firsts = _places(shared.column(piece, text))
-                classes = by_class(piece, firsts)
-                out["all"] += np.bincount(pairs, minlength=PAIRS).astype(np.int32)
-                for c in (0, 1):
-                    out[str(c)] += np.bincount(pairs[classes == c], minlength=PAIRS).astype(np.int32)
-        return out
-
-    totals = shared.summed(rows.select(text, "__class"), count, dict.fromkeys(("all", "0", "1"), PAIRS))
-    given = spark.sparkContext.broadcast({name: np.minimum(x, np.iinfo(np.int32).max).astype(np.int32) for name, x in totals.items()})
-
-    def continue_(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        out = {name: np.zeros(WORDS) for name in ("all", "0", "1")}
-        for batch in batches:
-            for piece in shared.slices(batch, text, 2 << 20):
-                words, pairs, firsts = _places(shared.column(piece, text))
-                classes = by_class(piece, firsts)
-                for name, here in (("all", slice(None)), ("0", classes == 0), ("1", classes == 1)):
-                    out[name] += np.bincount(words[here], 1.0 / given.value[name][pairs[here]], WORDS)
-        return {name: np.rint(x * _UNIT).astype(np.int64) for name, x in out.items()}
-
-    follows = {name: x / _UNIT for name, x in shared.summed(rows.select(text, "__class"), continue_, dict.fromkeys(("all", "0", "1"), WORDS)).items()}
-    backoff = (follows["all"] + 0.5) / (follows["all"].sum() + 0.5 * WORDS)
-    if not follows["0"].any() or not follows["1"].any():
-        share = float(follows["1"].any())
-        return Model(np.zeros(WORDS, np.float32), (30.0 * (2 * share - 1), 0.0, 1.0))
-    logs = []
-    for name in ("1", "0"):
-        own = follows[name]
-        freed = np.minimum(own, DISCOUNT).sum() / own.sum()
-        logs.append(np.log(np.maximum(own - DISCOUNT, 0) / own.sum() + freed * backoff))
-    model = Model(np.maximum(logs[0] - logs[1] - GATE, 0).astype(np.float32))
-    model.weights = _calibrated(rows.where("__calibrates AND __label IS NOT NULL"), model, text)
+    # Counts of pairs in the classes, and continuation counts of every word in the whole corpus and in each class.
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    counted = shared.kept(_merged(rows.where("__class >= 0"), text, n_bytes, True, _pairs, "word long, before long, n0 long, n1 long"), "pairs")
+    follows = _merged(rows, text, n_bytes, False, _following, "word long, every long").groupBy("word").agg(F.sum("every").alias("every"))
+    in_class = counted.groupBy("word").agg(*(F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"c{c}") for c in (0, 1)))
+    follows = shared.kept(follows.join(in_class, "word", "left").na.fill(0, ["c0", "c1"]), "continuations")
+    sums = follows.agg(
+        F.count("*").alias("words"), F.sum("every").alias("every"),
+        *(F.sum(f"c{c}").alias(f"c{c}") for c in (0, 1)), *(F.sum(F.least(F.col(f"c{c}").cast("double"), F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)),
+    ).first()
+    if not sums["c0"] or not sums["c1"]:
+        share = float(bool(sums["c1"]))
+        return Model(weights=(30.0 * (2 * share - 1), 0.0, 0.0))
+    backoff = (F.col("every") + 0.5) / float(sums["every"] + 0.5 * sums["words"])
+    known = follows.where("c0 > 0 OR c1 > 0").select(
+        "word", *((F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) / float(sums[f"c{c}"]) + float(sums[f"f{c}"] / sums[f"c{c}"]) * backoff).alias(f"p{c}") for c in (0, 1))
+    )
+    ratio = F.log("p1") - F.log("p0")
+    other = float(np.log(sums["f1"] / sums["c1"]) - np.log(sums["f0"] / sums["c0"]))
+    model = Model(other=float(np.sign(other) * max(abs(other) - GATE, 0)))
+    model.words = shared.kept(known.select(F.col("word").alias("key"), (_gated(ratio) - model.other).alias("value")).where("abs(value) > 1e-9"), "words")
+
+    # What the word before adds, for pairs that a class holds more often than the discount takes.
+    contexts = counted.groupBy("before").agg(
+        *(F.sum(f"n{c}").alias(f"all{c}") for c in (0, 1)), *(F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(DISCOUNT))).alias(f"freed{c}") for c in (0, 1))
+    )
+    pairs = _looked_up(_looked_up(counted.where(f"n0 > {DISCOUNT} OR n1 > {DISCOUNT}"), contexts, "before"), known, "word")
+
+    def after(c: int) -> Column:
+        n = F.col(f"all{c}")
+        return F.when(n > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / n + F.col(f"freed{c}") / n * F.col(f"p{c}")).otherwise(F.col(f"p{c}"))
+
+    values = pairs.select("before", "word", _gated(F.log(after(1)) - F.log(after(0)) - ratio).alias("value")).where("value <> 0")
+    model.pairs = shared.kept(shared.in_batches(values, _keyed, "key long, value double"), "pair-values")
+    model.weights = _calibrated(rows.where("__calibrates AND __label IS NOT NULL").select(text, "__label"), model, text)
     return model
 
 
-def _means(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
-    words, _, firsts = _places(texts)
-    sums = np.concatenate([[0.0], np.cumsum(ratio[words], dtype=np.float64)])
-    return np.maximum(sums[firsts[1:]] - sums[firsts[:-1]], 0) / np.maximum(np.diff(firsts), 1)
+def _table(values: DataFrame | None):
+    """The values in order of their keys, for all tasks; None if there are more than are broadcast."""
+    if values is None:
+        return np.zeros(0, np.int64), np.zeros(0)
+    if values.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return None
+    got = values.toArrow()
+    keys, numbers = got.column("key").to_numpy(), got.column("value").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return keys[order], numbers[order]
 
 
-def _calibrated(rows: DataFrame, model: Model, text: str) -> tuple[float, float, float]:
-    """Logistic regression of the label on log(mean + floor), over counts of all calibration rows by score."""
-    ratio = rows.sparkSession.sparkContext.broadcast(model.ratio)
-    floor = 1e-3
+def _looked(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    ordered, values = table
+    if not len(ordered):
+        return np.zeros(len(keys))
+    keys = keys.view(np.int64)
+    at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+    return np.where(ordered[at] == keys, values[at], 0.0)
+
+
+_MEANS = ("__of_words", "__of_pairs")
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _with_means(docs: DataFrame, model: Model, text: str, orders: tuple[bool, bool] = (True, True)) -> DataFrame:
+    """All columns, with the mean difference of a text's words and of its pairs; an order that is not asked for is 0.
+
+    Tables of few rows are broadcast. For a longer one, the different keys of each text
+    are joined to it, and texts find their sums by hash: equal texts share them.
+    """
+    tables = [_table(values if asked else None) for values, asked in zip((model.words, model.pairs), orders, strict=True)]
+    given = docs.sparkSession.sparkContext.broadcast((tables, model.other if orders[0] else 0.0))
+
+    def keys_of(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        words, before, firsts = _places(texts)
+        return (words, _paired(before, words)), firsts
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, other = given.value
+        for batch in batches:
+            for piece in shared.slices(batch, text, 2 << 20):
+                keys, firsts = keys_of(shared.column(piece, text))
+                n = np.maximum(np.diff(firsts), 1)
+                out = []
+                for table, own, start in zip(tables, keys, (other, 0.0), strict=True):
+                    values = np.zeros(len(own)) if table is None else _looked(table, own)
+                    of = np.repeat(np.arange(piece.num_rows), np.diff(firsts))
+                    out.append(np.bincount(of, values + start, piece.num_rows) / n)
+                yield pa.RecordBatch.from_arrays([*piece.columns, *map(pa.array, out)], names=[*piece.schema.names, *_MEANS])
+
+    means = shared.in_batches(docs, mean, ", ".join([*(f"`{n}` {k}" for n, k in docs.dtypes), *(f"{name} double" for name in _MEANS)]))
+    for k, values in enumerate((model.words, model.pairs)):
+        if tables[k] is None:
+            means = _joined(means, values, k, keys_of, text)
+    return means
+
+
+def _joined(docs: DataFrame, values: DataFrame, order: int, keys_of, text: str) -> DataFrame:
+    """The mean of the order plus that of ``values``, joined by shuffle."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in shared.slices(batch, text, 2 << 20):
-                x = np.log(_means(shared.column(piece, text), ratio.value) + floor)
-                at = np.clip(np.floor((x - np.log(floor)) * 40), 0, _BINS - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), shared.column(piece, "__label")], names=["bin", "label"])
-
-    counts = np.zeros((2, _BINS))
-    for row in shared.in_batches(rows.select(text, "__label"), bins, "bin int, label int").groupBy("bin", "label").count().collect():
-        counts[int(row["label"] > 0), row["bin"]] += row["count"]
-    x = (np.arange(_BINS) + 0.5) / 40 + np.log(floor)
-    counts += 1e-3 * np.stack([np.linspace(1, 0, _BINS), np.linspace(0, 1, _BINS)])  # finite also where classes part
-    n, positive = counts.sum(axis=0), counts[1]
-    center = x[0]
-    design = np.stack([np.ones(_BINS), x - center])
-    beta = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(beta @ design, -30, 30)))
-        hessian = (design * (n * p * (1 - p))) @ design.T + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, design @ (positive - n * p) - 1e-3 * beta)
-        beta += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+                keys, firsts = keys_of(shared.column(piece, text))
+                of = np.repeat(np.arange(piece.num_rows), np.diff(firsts))
+                own = keys[order].view(np.int64)
+                ordered = np.lexsort((own, of))
+                new = np.ones(len(own), bool)
+                new[1:] = (np.diff(of[ordered]) != 0) | (np.diff(own[ordered]) != 0)
+                starts = np.flatnonzero(new)
+                rows, parts = of[ordered][starts], np.diff(np.append(starts, len(own))) / np.diff(firsts)[of[ordered][starts]]
+                yield pa.RecordBatch.from_arrays(
+                    [shared.column(piece, "__a").take(pa.array(rows)), shared.column(piece, "__b").take(pa.array(rows)), pa.array(own[ordered][starts]), pa.array(parts)], names=["__a", "__b", "key", "part"]
+                )
+
+    marks = (F.xxhash64(F.lit(1), F.col(text)).alias("__a"), F.xxhash64(F.lit(2), F.col(text)).alias("__b"))
+    texts = docs.where(F.col(text).isNotNull()).select(text, *marks)
+    copies = texts.groupBy("__a", "__b").agg(F.count("*").alias("__copies"))
+    found = lookup_join(shared.in_batches(texts, spread, "__a long, __b long, key long, part double"), values, ["key"], "inner", ["__a", "__b"])
+    sums = found.groupBy("__a", "__b").agg(F.sum(F.col("part") * F.col("value")).alias("__sum"))
+    added = sums.join(copies, ["__a", "__b"]).select("__a", "__b", (F.col("__sum") / F.col("__copies")).alias("__added"))
+    marked = docs.select("*", *marks)
+    total = F.col(_MEANS[order]) + F.coalesce("__added", F.lit(0.0))
+    return marked.join(added, ["__a", "__b"], "left").withColumn(_MEANS[order], total).select(docs.columns)
+
+
+def _scaled(mean: Column) -> Column:
+    return F.asinh(mean / _FLOOR)
+
+
+def _calibrated(rows: DataFrame, model: Model, text: str) -> tuple[float, float, float]:
+    """Logistic regression of the label on both means, scaled, over counts of all calibration rows by bin; no weight is negative."""
+    places = [F.least(F.greatest(F.round(_scaled(F.col(name)) * _STEPS), F.lit(-_BINS)), F.lit(_BINS)).alias(name) for name in _MEANS]
+    bins = _with_means(rows, model, text).select((F.col("__label") > 0).alias("toxic"), *places).groupBy("toxic", *_MEANS).count().toPandas()
+    if not len(bins):
+        return 0.0, 1.0, 0.0
+    scaled = bins[list(_MEANS)].to_numpy(float).T / _STEPS
+    weights, toxic = bins["count"].to_numpy(float), bins["toxic"].to_numpy(float)
+    for used in ([0, 1], [0], [1], []):
+        design = np.stack([np.ones(len(bins)), *scaled[used]])
+        beta = np.zeros(len(design))
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(beta @ design, -30, 30)))
+            hessian = (design * (weights * p * (1 - p))) @ design.T + 1e-2 * np.eye(len(design))
+            step = np.linalg.solve(hessian, design @ (weights * (toxic - p)) - 1e-2 * beta)
+            beta += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-9:
+                break
+        if (beta[1:] > 0).all():
             break
-    beta[1] = max(beta[1], 0.0)
-    return float(beta[0] - beta[1] * center), float(beta[1]), floor
+    of = dict(zip(used, beta[1:].tolist(), strict=True))
+    return float(beta[0]), of.get(0, 0.0), of.get(1, 0.0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -171,17 +354,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     lower-cased. NULL, empty texts and texts without words get the score of a text whose
     words say nothing. Equal texts have equal scores; an empty table gives none.
     """
-    spark = docs.sparkSession
-    shared.ship(spark)
-    given = spark.sparkContext.broadcast(model)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in shared.slices(batch, text, 2 << 20):
-                scores = given.value.probability(_means(shared.column(piece, text), given.value.ratio))
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(scores)], names=[*piece.schema.names, "__score"])
-
-    return shared.in_batches(docs, rate, ", ".join([*(f"`{n}` {k}" for n, k in docs.dtypes), "__score double"]))
+    bias, of_words, of_pairs = model.weights
+    means = _with_means(docs, model, text, (of_words != 0, of_pairs != 0))
+    sums = F.lit(bias) + of_words * _scaled(F.col(_MEANS[0])) + of_pairs * _scaled(F.col(_MEANS[1]))
+    return means.select(*(F.col(f"`{name}`") for name in docs.columns), (1 / (1 + F.exp(-F.least(F.greatest(sums, F.lit(-30.0)), F.lit(30.0))))).alias("__score"))
 
 
 def not_held_out() -> Column:

@@ -139,3 +139,41 @@ def test_license_size_bounds_lose_no_match(least):
         every = [(2 * len(np.intersect1d(s, unit)) / (len(s) + len(unit)), n) for n, s in known.sets]
         want = min(((-d, n) for d, n in every if d >= least), default=None)
         assert known.best(unit) == (None if want is None else (-want[0], want[1]))
+
+
+def test_toxicity_learns_phrases_of_ordinary_words(spark):
+    def text(k, toxic):
+        words = cases.prose(k, 40).split()
+        for at in (10, 25):
+            words[at : at + 3] = ["plainly", "spoken", words[at]] if toxic else ["plainly", words[at], "spoken"]
+        return " ".join(words)
+
+    rows = [(k, text(k, k < 150)) for k in range(450)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 150)) for k in range(450)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, toxicity.not_held_out())
+    out = toxicity.score(docs, model).toPandas()
+    mine = out[held(out.doc_id)]
+    assert area(mine["__score"].to_numpy(), (mine.doc_id < 150).to_numpy()) > 0.95
+    # Both signs count, and tables that are too large for a broadcast give the same scores.
+    assert model.pairs.where("value < 0").count() and model.pairs.where("value > 0").count()
+
+
+def test_toxicity_tables_by_shuffle(spark, monkeypatch):
+    texts = [f"{cases.prose(k, 25)} vile{k % 3} mean word" for k in range(40)] + [cases.prose(k, 30) for k in range(60, 160)] + [None, "", "vile1 vile1 mean word", "vile1 vile1 mean word"]
+    docs = spark.createDataFrame([(k if k % 9 else None, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, `key` int")
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(140)], "doc_id long, toxic int")
+
+    def scores():
+        model = toxicity.fit(docs, labels)
+        out = toxicity.score(docs, toxicity.Model(model.words, model.pairs, model.other, (-3.0, 1.0, 0.5)))
+        assert out.columns == [*docs.columns, "__score"]
+        return model.words.count(), model.pairs.count(), sorted(((str(r["text"]), r["__score"]) for r in out.collect()))
+
+    n_words, n_pairs, few = scores()
+    assert n_words and n_pairs
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    many = scores()
+    assert many[:2] == (n_words, n_pairs)
+    assert [t for t, _ in many[2]] == [t for t, _ in few]
+    assert np.allclose([s for _, s in many[2]], [s for _, s in few])
