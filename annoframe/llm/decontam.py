@@ -8,7 +8,7 @@ so numpy cuts the stream at them first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ from annoframe.llm import shared
 from annoframe.llm.words import ALPHANUMERIC, runs, words_of
 
 WINDOW = 10
-#: Most words of items in one automaton; more items make more automata, run one after another.
+#: Most words of items in one automaton; more items make more automata, whose hits are put together.
 AUTOMATON_WORDS = 2_000_000
 
 
@@ -228,11 +228,13 @@ def _marking(automaton, text: str, width: int, again: bool):
     return mark
 
 
-def without_spans(text: bytes, automaton: Automaton, longest: int) -> tuple[bytes, int]:
-    """The text without runs of ``longest`` hit words or more, and the number of words that went; what closes up is scanned again."""
+def without_spans(text: bytes, automaton: Automaton, longest: int, others: Sequence[Automaton] = ()) -> tuple[bytes, int]:
+    """The text without runs of ``longest`` words or more that any automaton hits, and the number of words that went; what closes up is scanned again by all."""
     gone = 0
     while True:
-        starts, ends, _, hit, _ = scan(automaton, pa.array([text], pa.binary()).cast(pa.string()))
+        starts, ends, _, hit, _ = scan(automaton, given := pa.array([text], pa.binary()).cast(pa.string()))
+        for other in others:
+            hit |= scan(other, given)[3]
         doomed = [(a, b) for a, b in spans_of(hit) if b - a >= longest]
         if not doomed:
             return text, gone
@@ -249,28 +251,30 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     Runs of ``longest`` hit words or more are cut out of the text (a run has at least a
     window's words, or those of a whole short item). A document of whose words more than
     the share ``coverage`` is hit goes altogether. All other rows and columns stay as
-    they are; NULL and empty texts stay. Without items nothing changes.
+    they are; NULL and empty texts stay. Without items nothing changes. What is cut does
+    not depend on how the items are dealt to automata.
     """
     schema = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
     spark = docs.sparkSession
     shared.ship(spark)
-    for automaton in automata(items, window=window):
-        docs = shared.in_batches(docs, _cleaning(spark.sparkContext.broadcast(automaton), text, longest, coverage), schema)
-    return docs
+    given = [spark.sparkContext.broadcast(automaton) for automaton in automata(items, window=window)]
+    return shared.in_batches(docs, _cleaning(given, text, longest, coverage), schema)
 
 
-def _cleaning(automaton, text: str, longest: int, coverage: float):
+def _cleaning(given: list, text: str, longest: int, coverage: float):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, *others = (automaton.value for automaton in given)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for piece in shared.slices(batch, text):
-                _, _, firsts, _, items = scan(automaton.value, piece.column(at))
-                if not items:
+                _, _, firsts, _, items = scan(first, piece.column(at))
+                hit = sorted(set(items).union(*(scan(other, piece.column(at))[4] for other in others)))
+                if not hit:
                     yield piece
                     continue
                 texts, stay = piece.column(at).cast(pa.binary()).to_pylist(), np.ones(piece.num_rows, bool)
-                for row in items:
-                    texts[row], gone = without_spans(texts[row], automaton.value, longest)
+                for row in hit:
+                    texts[row], gone = without_spans(texts[row], first, longest, others)
                     stay[row] = gone <= coverage * (firsts[row + 1] - firsts[row])
                 columns = [pa.array(texts, pa.binary()).cast(c.type) if k == at else c for k, c in enumerate(piece.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names).filter(pa.array(stay))

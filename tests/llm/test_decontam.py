@@ -71,3 +71,27 @@ def test_no_items(spark):
     df = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert sorted(decontam.decontaminate(df, none).collect()) == sorted(df.collect(), key=str)
+
+
+def test_cleaning_does_not_depend_on_the_number_of_automata(spark, monkeypatch):
+    a, b, own = (cases.prose(seed, 40).split() for seed in (50, 51, 52))
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string")
+    texts = [
+        " ".join([*a, *own[:15], *b[:30], *own[15:30]]),  # 70 of 100 words, 40 and 30 for themselves
+        " ".join([*own, *a[:5], *b[:12], *a[5:15], *own]),  # the last cut closes a window of the first item
+        " ".join([*own, *b[:5], *a[:12], *b[5:15], *own]),
+        " ".join(own), None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def cleaned():
+        return {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, items).collect()}
+
+    one = cleaned()
+    assert set(one) == {1, 2, 3, 4, 5}
+    monkeypatch.setattr(decontam.automata, "__defaults__", ("item_id", "text", 10, 20))
+    assert len(list(decontam.automata(items))) >= 2
+    several = cleaned()
+    assert several == one
+    rows = [(k, t) for k, t in several.items()]
+    assert not any(hit for _, _, hit, _ in cases.hits_plain(rows, [(1, " ".join(a)), (2, " ".join(b))]))
