@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from annoframe.llm import shared
+from annoframe.llm.license_texts import TEXTS
 from annoframe.llm.words import ALPHANUMERIC, runs, words_of
 
 LEAST_DICE = 0.8
@@ -73,6 +74,17 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 ]
 
+#: Titles in short notices, by SPDX name.
+_TITLES = [
+    ("Apache-2.0", "the Apache License 2.0"), ("MIT", "the MIT License"), ("BSD-2-Clause", "the BSD 2-Clause License"), ("BSD-3-Clause", "the BSD 3-Clause License"), ("ISC", "the ISC License"),
+    ("GPL-2.0", "the GNU General Public License v2.0"), ("GPL-3.0", "the GNU General Public License v3.0"), ("LGPL-2.1", "the GNU Lesser General Public License v2.1"),
+    ("LGPL-3.0", "the GNU Lesser General Public License v3.0"), ("AGPL-3.0", "the GNU Affero General Public License v3.0"), ("MPL-2.0", "the Mozilla Public License 2.0"), ("Unlicense", "the Unlicense"),
+    ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"), ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"), ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"), ("CC0-1.0", "CC0 1.0"),
+]
+TEMPLATES += [(name, f"{verb} under {title}.") for name, title in _TITLES for verb in ("Licensed", "Released") if (name, verb) != ("MIT", "Licensed")]
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(name for name, _ in _TITLES)]
+TEMPLATES += TEXTS
+
 
 def _bigrams(hashes: np.ndarray) -> np.ndarray:
     return np.unique(runs(hashes, 2))

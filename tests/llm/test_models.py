@@ -177,3 +177,14 @@ def test_toxicity_tables_by_shuffle(spark, monkeypatch):
     assert many[:2] == (n_words, n_pairs)
     assert [t for t, _ in many[2]] == [t for t, _ in few]
     assert np.allclose([s for _, s in many[2]], [s for _, s in few])
+
+
+def test_license_short_notices_and_whole_texts(spark):
+    whole = {name: text for name, text in licenses.TEMPLATES if len(text) > 600}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT"} <= set(whole)
+    short = [("MIT", "Released under the MIT License."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("BSD-3-Clause", "// SPDX-License-Identifier: BSD-3-Clause")]
+    rows = [(name, f"some words before\n{text}\nand some words after it") for name, text in short]
+    rows += [(name, "Copyright (c) 2020 Somebody\n\n" + text.replace(". ", ".\n\n")) for name, text in whole.items()]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["__license"] for r in licenses.scan(docs).collect()}
+    assert [found[k] for k in range(len(rows))] == [name for name, _ in rows]
