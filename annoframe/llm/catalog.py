@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import attribution, decontam, jaccard, language, licenses, lines, packing, quality, shared, token_files, toxicity
+from annoframe.llm import attribution, decontam, fim, jaccard, language, licenses, lines, packing, quality, shared, token_files, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -176,3 +176,30 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = shared.new_path(spark, "tokens")
     manifest = token_files.write_files(table(spark, folder, "documents"), files)
     return token_files.read_files(spark, files, manifest).select(F.col("__id").alias("doc_id"), F.col("__start").alias("start"), F.col("__n_tokens").alias("n_tokens"), F.col("__crc32").alias("ids_crc32"))
+
+
+_HEX = "CAST('0x' || substr(digest, {}, 8) AS BIGINT)"
+
+
+@query(f"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || CAST(doc_id AS VARCHAR)) AS digest,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, {_HEX.format(1)} % (len(units) + 1) AS a, {_HEX.format(9)} % (len(units) + 1) AS b, {_HEX.format(17)} AS h3, {_HEX.format(25)} AS h4 FROM doc),
+cut AS (
+  SELECT doc_id, text, n, array_to_string(list_slice(units, 1, least(a, b)), '') AS prefix, array_to_string(list_slice(units, least(a, b) + 1, greatest(a, b)), '') AS middle,
+    array_to_string(list_slice(units, greatest(a, b) + 1, n), '') AS suffix,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut""")
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    moved = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    back = fim.restore(moved.withColumn("__output", F.sha2(F.col("text").cast("binary"), 256)))
+    return back.select(
+        "doc_id", F.col("__n").alias("n"), F.col("__form").alias("form"), F.col("__prefix_chars").alias("prefix_chars"), F.col("__middle_chars").alias("middle_chars"),
+        F.col("__output").alias("output_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"),
+    )

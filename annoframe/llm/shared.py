@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -79,6 +79,13 @@ def in_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
+def refuse(df: DataFrame, names: Sequence[str]) -> None:
+    """An error where the table has a column that an operator adds."""
+    taken = [c for c in df.columns if c.lower() in {name.lower() for name in names}]
+    if taken:
+        raise ValueError(f"the table already has columns that are added here: {', '.join(taken)}")
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; NULL where the id is NULL."""
     return F.crc32(doc_id.cast("string").cast("binary"))
