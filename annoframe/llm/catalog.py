@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import attribution, decontam, fim, jaccard, language, licenses, lines, packing, quality, shared, token_files, toxicity
+from annoframe.llm import alignment, attribution, decontam, fim, jaccard, language, licenses, lines, packing, quality, shared, token_files, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -203,3 +203,8 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.col("__n").alias("n"), F.col("__form").alias("form"), F.col("__prefix_chars").alias("prefix_chars"), F.col("__middle_chars").alias("middle_chars"),
         F.col("__output").alias("output_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"),
     )
+
+
+@query()
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.aligned_documents(table(spark, folder, "documents").select("doc_id", "text"))

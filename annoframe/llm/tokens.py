@@ -3,8 +3,8 @@
 A byte-level BPE never merges across a single space between two printable characters. So
 texts are cut there, the different words of a batch are looked up once, and only words
 that a worker has not met are encoded; arrays then put the ids of each text together.
-Texts with any other kind of space at a cut are encoded as they are. The ids are those
-of the whole text; ``tests/llm`` compares both. Words of a batch are told apart by 64-bit
+Texts with any other kind of space at a cut, or with the string of an added token, are
+encoded as they are. The ids are those of the whole text; ``tests/llm`` compares both. Words of a batch are told apart by 64-bit
 hashes, remembered ones by 128 bits.
 """
 
@@ -16,6 +16,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from annoframe.llm import shared
 from annoframe.llm.words import byte_table, other_hashes, words_of
@@ -49,14 +50,19 @@ def default_path() -> str:
 
 
 class Encoder:
-    """One tokenizer of a worker process, and the words it has met."""
+    """One tokenizer of a worker process, and the words it has met.
 
-    def __init__(self, path: str):
+    The strings of added tokens in a text are those tokens, as the library has it by
+    default, or plain text with ``special_as_text``.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
@@ -71,6 +77,12 @@ class Encoder:
         """The bytes that each token covers: a byte-level vocabulary writes one character for each."""
         return np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
 
+    def entries(self) -> list[bytes]:
+        """The bytes of each token."""
+        byte_of = {chr(b): b for b in _PRINTABLE} | {chr(c): b for b, c in _WRITTEN.items()}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        return [bytes(map(byte_of.__getitem__, name)) if all(c in byte_of for c in name) else name.encode() for name in names]
+
     def plain(self, text: str) -> bytes:
         """The ids of a text as bytes, by the library alone."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -166,6 +178,11 @@ class Encoder:
             self.begins, self.sizes = np.insert(self.begins, places, begins[keep]), np.insert(self.sizes, places, sizes[keep])
         return begins, sizes
 
+    def odd(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """Words whose text has to be encoded as a whole: they begin or end with other than plain signs, or follow several spaces."""
+        head, tail, second = data[starts], data[ends - 1], data[np.maximum(ends - 2, 0)]
+        return ~((_GRAPHIC[head] | _LATIN[head]) & (_GRAPHIC[tail] | (((tail & 0xC0) == 0x80) & _LATIN[second]))) | (gaps > 1)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the bounds between them (one more than texts); NULL has none."""
         data, bounds = shared.utf8(texts)
@@ -175,11 +192,11 @@ class Encoder:
         gaps = starts - np.concatenate([[0], ends[:-1]])
         leads = firsts[:-1][counts > 0]
         gaps[leads] = starts[leads] - bounds[:-1][counts > 0]
-        head, tail, second = data[starts], data[ends - 1], data[np.maximum(ends - 2, 0)]
-        odd = ~((_GRAPHIC[head] | _LATIN[head]) & (_GRAPHIC[tail] | (((tail & 0xC0) == 0x80) & _LATIN[second]))) | (gaps > 1)
-        simple = np.diff(np.concatenate([[0], np.cumsum(odd)])[firsts]) == 0
+        simple = np.diff(np.concatenate([[0], np.cumsum(self.odd(data, starts, ends, gaps))])[firsts]) == 0
         simple[counts > 0] &= ends[firsts[1:][counts > 0] - 1] == bounds[1:][counts > 0]
         simple[counts == 0] = np.diff(bounds)[counts == 0] == 0
+        for string in self.added:
+            simple &= ~pc.fill_null(pc.match_substring(texts, string), False).to_numpy(zero_copy_only=False)
 
         raw = data.tobytes()
         used = np.repeat(simple, counts)

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from annoframe.llm import attribution, packing, shared, token_files, tokens, wavelet
 from tests.llm import cases
@@ -13,9 +14,12 @@ from tests.llm import cases
 PATH = tokens.default_path()
 
 
+FRESH = Tokenizer.from_file(PATH)
+
+
 def ids(text):
-    coder = tokens.encoder(PATH)
-    return np.frombuffer(coder.plain(text or ""), coder.kind).tolist()
+    """By a tokenizer of the library with all its defaults."""
+    return FRESH.encode(text or "", add_special_tokens=False).ids
 
 
 def crc(values):
@@ -29,6 +33,17 @@ def test_ids_are_those_of_the_whole_text(texts):
     assert encoded(coder, texts) == [ids(t) for t in texts]
 
 
+def test_strings_of_added_tokens():
+    special = "<|endoftext|>"
+    assert ids(special) == [50256]
+    texts = [special, f"{special} at the start", f"at the end {special}", f"in{special}side", f"a {special} b", f"twice {special}{special} in a row", f"  {special}\n{special} ", f"{special[:-1]} cut", "none"]
+    coder = tokens.encoder(PATH)
+    assert encoded(coder, texts) == [ids(t) for t in texts]
+    as_text = tokens.Encoder(PATH, special_as_text=True)
+    assert all(50256 not in x for x in encoded(as_text, texts))
+    assert [b"".join(as_text.entries()[i] for i in x).decode() for x in encoded(as_text, texts)] == texts
+
+
 def encoded(coder, texts):
     every, bounds = coder.encode(pa.array(texts, pa.string()))
     return [every[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
