@@ -6,6 +6,9 @@ so runs of one-to-one groups are jumped. Where a stretch differs, it is halved d
 first difference; the tokens from there to the next common end are one irregular group,
 which is walked token by token and gives the new shift.
 
+Ids and group sizes travel as bytes: ids in the smallest unsigned type that holds the
+vocabulary, sizes in one byte each, a larger one as bytes of 255 and the rest.
+
 Links are pairs of tokens that share a byte. How often two ids are linked is counted over
 the whole corpus, as rows of a table keyed by both ids.
 """
@@ -29,7 +32,9 @@ BROADCAST_ROWS = 2_000_000
 #: Pairs of ids that a task gathers before it sends the different ones on.
 GATHERED = 2_000_000
 ALIGNED = ("__a", "__b", "__groups_a", "__groups_b")
-_SLICE = 2 << 20
+_SLICE = 1 << 20
+#: Tokens that are compared one by one before stretches are.
+_NEAR = 8
 _BLANK = "▁"
 
 
@@ -90,29 +95,27 @@ def diagonal(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     runs: list[int] = []
     of_a: list[int] = []
     of_b: list[int] = []
-    i, shift, width = 0, 0, 1
+    i, shift = 0, 0
     while i < n:
         begin = i
-        while True:  # exponential probing at this shift
-            j = i + shift
-            most = min(n - i, m - j)
-            if width > most:
-                width = most
-            if not width:
+        for a, b in zip(list_a[i : i + _NEAR], list_b[i + shift : i + shift + _NEAR], strict=False):
+            if a != b:
                 break
-            if raw_a[8 * i : 8 * (i + width)] == raw_b[8 * j : 8 * (j + width)]:
+            i += 1
+        width = _NEAR if i == begin + _NEAR else 0
+        while width:  # exponential probing at this shift
+            width = min(width, n - i, m - i - shift)
+            if width and raw_a[8 * i : 8 * (i + width)] == raw_b[8 * (i + shift) : 8 * (i + shift + width)]:
                 i += width
                 width *= 2
                 continue
-            while width > 1:  # halve down to the first difference
+            while width > 1:  # halved down to the first difference
                 width //= 2
                 if raw_a[8 * i : 8 * (i + width)] == raw_b[8 * (i + shift) : 8 * (i + shift + width)]:
                     i += width
-            if list_a[i] == list_b[i + shift]:
+            while i < n and i + shift < m and list_a[i] == list_b[i + shift]:
                 i += 1
-                width = 1
-                continue
-            break
+            width = 0
         runs.append(i - begin)
         if i == n:
             of_a.append(0), of_b.append(0)
@@ -128,7 +131,7 @@ def diagonal(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
                 y += 1
                 b = list_b[y]
         of_a.append(x + 1 - i), of_b.append(y + 1 - j)
-        i, shift, width = x + 1, y - x, 1
+        i, shift = x + 1, y - x
     if i + shift != m:
         raise ValueError("both sides don't end together")
     runs, of_a, of_b = (np.array(v, np.int64) for v in (runs, of_a, of_b))
@@ -142,10 +145,35 @@ def diagonal(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[0], out[1]
 
 
-def _bounds(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all lists in a row, and the bounds between them."""
-    offsets = np.asarray(lists.offsets, np.int64)
-    return np.asarray(lists.values)[offsets[0] : offsets[-1]], offsets - offsets[0]
+def packed(values: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    """The values as bytes, so many for each row."""
+    bounds = np.concatenate([[0], np.cumsum(per_row)]) * values.dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(per_row), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
+def unpacked(blobs: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows, and the bounds between the rows."""
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32, len(blobs) + 1, blobs.offset * 4).astype(np.int64) if len(blobs) else np.zeros(1, np.int64)
+    raw = np.frombuffer(blobs.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(raw.tobytes(), kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def packed_sizes(sizes: np.ndarray, per_row: np.ndarray) -> pa.Array:
+    """Sizes from 1 on, in one byte each; from 255 on in several."""
+    n_bytes = sizes // 255 + 1
+    out = np.full(int(n_bytes.sum()), 255, np.uint8)
+    upto = np.cumsum(n_bytes)
+    out[upto - 1] = sizes % 255
+    ends = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(per_row)])]
+    return packed(out, np.diff(ends))
+
+
+def unpacked_sizes(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of all rows, and the bounds between the rows."""
+    raw, bounds = unpacked(blobs, np.uint8)
+    last = np.flatnonzero(raw != 255)
+    sizes = np.diff(np.concatenate([[0], np.cumsum(raw, dtype=np.int64)[last]]))
+    return sizes, np.searchsorted(last, bounds)
 
 
 def align(docs: DataFrame, id: str = "doc_id", text: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -196,24 +224,25 @@ def align(docs: DataFrame, id: str = "doc_id", text: str = "text", path_a: str |
                 if len(group_a):
                     firsts = np.cumsum(group_a) - group_a  # a group never runs over the end of a text
                     groups_of = np.diff(np.searchsorted(firsts, np.concatenate([[0], np.cumsum(counts[0])])))
-                present = full.to_numpy(zero_copy_only=False)
-                lists = []
-                for values, per_text in ((kept[0], counts[0]), (kept[1], counts[1]), (group_a, groups_of), (group_b, groups_of)):
-                    per_row = np.zeros(len(own), np.int64)
-                    per_row[present] = per_text
-                    offsets = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32))))
+                rows = np.zeros((3, len(own)), np.int64)
+                rows[:, full.to_numpy(zero_copy_only=False)] = *counts, groups_of
+                lists = [packed(ids.astype(coder.kind), n) for ids, n, coder in zip(kept, rows, coders, strict=False)] + [packed_sizes(sizes, rows[2]) for sizes in (group_a, group_b)]
                 yield pa.RecordBatch.from_arrays([shared.column(piece, id), *lists], names=["__id", *ALIGNED])
 
     kind = dict(docs.dtypes)[id]
-    return shared.in_batches(docs.select(id, text), encode, f"__id {kind}, " + ", ".join(f"{name} array<int>" for name in ALIGNED))
+    return shared.in_batches(docs.select(id, text), encode, f"__id {kind}, " + ", ".join(f"{name} binary" for name in ALIGNED))
 
 
-def _links(a: np.ndarray, b: np.ndarray, width_a: np.ndarray, width_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ids of both tokens of every link in order, and the byte where what they share ends."""
-    ends_a, ends_b = np.cumsum(width_a[a]), np.cumsum(width_b[b])
+def links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, widths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of both tokens of every link and its group: first those of one-to-one groups, then the others."""
+    odd = (group_a != 1) | (group_b != 1)
+    odd_a, odd_b, groups = np.repeat(odd, group_a), np.repeat(odd, group_b), np.flatnonzero(odd)
+    own_a, own_b = a[odd_a], b[odd_b]
+    ends_a, ends_b = np.cumsum(widths[0][own_a]), np.cumsum(widths[1][own_b])
     ends = np.union1d(ends_a, ends_b)
-    return a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)], ends
+    at = np.searchsorted(ends_a, ends)
+    of = np.repeat(groups, group_a[groups])
+    return np.concatenate([a[~odd_a], own_a[at]]), np.concatenate([b[~odd_b], own_b[np.searchsorted(ends_b, ends)]]), np.concatenate([np.flatnonzero(~odd), of[at]])
 
 
 def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -222,14 +251,24 @@ def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _rows(aligned: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a bounded number of tokens; a longer row is a run of its own."""
-    upto = np.asarray(shared.column(aligned, "__a").offsets, np.int64)
+    _, upto = unpacked(shared.column(aligned, "__a"), np.uint8)
     at = 0
     while at < aligned.num_rows:
-        to = max(at + 1, int(np.searchsorted(upto, upto[at] + (_SLICE >> 2), "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + _SLICE, "right")) - 1)
         yield aligned.slice(at, to - at)
         at = to
 
 
+def _sides(piece: pa.RecordBatch, kinds: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Values and bounds of the ids of both sides and of the sizes of their groups."""
+    a, b, group_a, group_b = (shared.column(piece, name) for name in ALIGNED)
+    return [unpacked(a, kinds[0]), unpacked(b, kinds[1]), unpacked_sizes(group_a), unpacked_sizes(group_b)]
+
+
+def _kinds(path_a: str, path_b: str) -> list:
+    return [encoder(p).kind for p in (path_a, path_b)]
+
+
 def _widths(path_a: str, path_b: str) -> list[np.ndarray]:
     return [np.array([len(x) for x in encoder(p).entries()], np.int64) for p in (path_a, path_b)]
 
@@ -244,11 +283,10 @@ def link_counts(aligned: DataFrame, path_a: str | None = None, path_b: str | Non
         return different, np.bincount(of, counts, len(different)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widths, parts, size = _widths(path_a, path_b), [], 0
+        widths, kinds, parts, size = _widths(path_a, path_b), _kinds(path_a, path_b), [], 0
         for batch in batches:
             for piece in _rows(batch):
-                (a, _), (b, _) = (_bounds(shared.column(piece, name)) for name in ALIGNED[:2])
-                linked_a, linked_b, _ = _links(a, b, *widths)
+                linked_a, linked_b, _ = links(*(x for x, _ in _sides(piece, kinds)), widths)
                 parts.append(np.unique(_keys(linked_a, linked_b), return_counts=True))
                 size += len(parts[-1][0])
                 if size > GATHERED:
@@ -260,7 +298,7 @@ def link_counts(aligned: DataFrame, path_a: str | None = None, path_b: str | Non
         if parts:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, summed(parts))), names=["__pair", "__n"])
 
-    every = shared.in_batches(aligned.select(*ALIGNED[:2]), count, "__pair long, __n long").groupBy("__pair").agg(F.sum("__n").alias("__count"))
+    every = shared.in_batches(aligned.select(*ALIGNED), count, "__pair long, __n long").groupBy("__pair").agg(F.sum("__n").alias("__count"))
     every = shared.kept(every, "pairs")
     b_id = F.col("__pair").bitwiseAND(0xFFFFFFFF).alias("__of")
     most = every.groupBy(b_id).agg(F.max("__count").alias("__most"))
@@ -322,22 +360,23 @@ def summarise(aligned: DataFrame, counts: DataFrame, path_a: str | None = None,
     schema = f"__id {dict(aligned.dtypes)['__id']}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widths = _widths(path_a, path_b)
+        widths, kinds = _widths(path_a, path_b), _kinds(path_a, path_b)
         for batch in batches:
             for piece in _rows(batch):
-                (a, a_upto), (b, b_upto), (group_a, g_upto), (group_b, _) = (_bounds(shared.column(piece, name)) for name in ALIGNED)
-                linked_a, linked_b, ends = _links(a, b, *widths)
-                text_ends = np.concatenate([[0], np.cumsum(widths[0][a])])[a_upto]
-                upto = np.searchsorted(ends, text_ends, "right")
+                (a, a_upto), (b, b_upto), (group_a, g_upto), (group_b, _) = _sides(piece, kinds)
+                linked_a, linked_b, groups = links(a, b, group_a, group_b, widths)
+                of = np.searchsorted(g_upto, groups, "right") - 1
                 best = total = np.zeros(piece.num_rows, np.int64)
-                if given.value is not None and len(ends):
+                if given.value is not None and len(groups):
                     pairs, count, tops = given.value
                     at = np.searchsorted(pairs, _keys(linked_a, linked_b))
-                    best, total = (np.diff(np.concatenate([[0], np.cumsum(x[at], dtype=np.int64)])[upto]) for x in (tops, count))
-                raw, bounds = _written(a.astype(np.int64), b.astype(np.int64), group_a.astype(np.int64), group_b.astype(np.int64), np.diff(g_upto))
+                    order = np.argsort(of, kind="stable")
+                    upto = np.searchsorted(of[order], np.arange(piece.num_rows + 1))
+                    best, total = (np.diff(np.concatenate([[0], np.cumsum(x[at[order]], dtype=np.int64)])[upto]) for x in (tops, count))
+                raw, bounds = _written(a, b, group_a, group_b, np.diff(g_upto))
                 view = memoryview(raw)
                 digests = [hashlib.sha256(view[x:y]).hexdigest() if y > x else "" for x, y in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
-                columns = [np.diff(x) for x in (a_upto, b_upto, g_upto, upto)] + [best, total]
+                columns = [np.diff(x) for x in (a_upto, b_upto, g_upto)] + [np.bincount(of, minlength=piece.num_rows), best, total]
                 yield pa.RecordBatch.from_arrays([shared.column(piece, "__id"), *(pa.array(c.astype(np.int64)) for c in columns), pa.array(digests, pa.string())], names=["__id", *SUMMARY])
 
     if few:
@@ -350,13 +389,12 @@ def _joined(aligned: DataFrame, counts: DataFrame, summary, schema: str, path_a:
     numbered = shared.kept(aligned.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widths = _widths(path_a, path_b)
+        widths, kinds = _widths(path_a, path_b), _kinds(path_a, path_b)
         for batch in batches:
             for piece in _rows(batch):
-                (a, a_upto), (b, _) = (_bounds(shared.column(piece, name)) for name in ALIGNED[:2])
-                linked_a, linked_b, ends = _links(a, b, *widths)
-                keys = _keys(linked_a, linked_b)
-                of = np.searchsorted(np.concatenate([[0], np.cumsum(widths[0][a])])[a_upto][1:], ends)
+                (a, _), (b, _), (group_a, g_upto), (group_b, _) = _sides(piece, kinds)
+                linked_a, linked_b, groups = links(a, b, group_a, group_b, widths)
+                keys, of = _keys(linked_a, linked_b), np.searchsorted(g_upto, groups, "right") - 1
                 order = np.lexsort((keys, of))
                 new = np.ones(len(order), bool)
                 new[1:] = (np.diff(of[order]) != 0) | (np.diff(keys[order]) != 0)
@@ -365,7 +403,7 @@ def _joined(aligned: DataFrame, counts: DataFrame, summary, schema: str, path_a:
                     [shared.column(piece, "__row").take(pa.array(of[order][starts])), pa.array(keys[order][starts]), pa.array(np.diff(np.append(starts, len(order))))], names=["__row", "__pair", "__times"]
                 )
 
-    pairs = shared.in_batches(numbered.select("__row", *ALIGNED[:2]), spread, "__row long, __pair long, __times long")
+    pairs = shared.in_batches(numbered.select("__row", *ALIGNED), spread, "__row long, __pair long, __times long")
     found = lookup_join(pairs, counts, ["__pair"], "inner", ["__row"]).groupBy("__row").agg(
         F.sum(F.when(F.col("__best"), F.col("__times")).otherwise(0)).alias("__links"), F.sum(F.col("__times") * F.col("__count")).alias("__total")
     )
