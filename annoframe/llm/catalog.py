@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import alignment, attribution, decontam, fim, jaccard, language, licenses, lines, packing, quality, shared, token_files, toxicity
+from annoframe.llm import alignment, attribution, decontam, fim, jaccard, language, licenses, lines, minhash, packing, quality, shared, token_files, toxicity
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -208,3 +208,25 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.aligned_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query(f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 2 THEN words[1] ELSE array_to_string(list_slice(words, pos, pos + 1), ' ') END AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1) + 1)) AS pos FROM doc WHERE len(words) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+rare AS (SELECT doc_id, shingle, row_number() OVER (PARTITION BY doc_id ORDER BY held, shingle) AS place, n FROM shingle JOIN size USING (doc_id) JOIN (SELECT shingle, count(*) AS held FROM shingle GROUP BY shingle) USING (shingle)),
+head AS (SELECT doc_id, shingle FROM rare WHERE place <= n - ceil(0.8 * n) + 1),
+may AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM head x JOIN head y ON x.shingle = y.shingle AND x.doc_id < y.doc_id),
+near AS (SELECT a, b, sa.n + sb.n AS both FROM may JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 5 * least(sa.n, sb.n) >= 4 * greatest(sa.n, sb.n)),
+half AS (
+  SELECT a, b, both, count(*) AS n FROM near JOIN shingle x ON x.doc_id = a JOIN shingle y ON y.doc_id = b AND x.shingle = y.shingle GROUP BY a, b, both HAVING 100 * count(*) >= 80 * (both - count(*))),
+link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM link) UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(r.component_id, d.doc_id) AS component_id, coalesce(r.component_id, d.doc_id) = d.doc_id AS kept
+FROM doc d LEFT JOIN size s ON d.doc_id = s.doc_id LEFT JOIN least r ON d.doc_id = r.doc_id""")
+def op13_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))

@@ -87,16 +87,16 @@ def lines_plain(rows):
     return out
 
 
-def shingles_plain(text):
+def shingles_plain(text, width=5):
     words = re.findall("[^\x20\x09-\x0d]+", lowered(text or ""))
-    if len(words) < 5:
+    if len(words) < width:
         return {tuple(words)} if words else set()
-    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
 
 
-def groups_plain(rows):
+def groups_plain(rows, width=5):
     """(id, set size, smallest id reached) of rows with different ids."""
-    sets = {doc: shingles_plain(text) for doc, text in rows}
+    sets = {doc: shingles_plain(text, width) for doc, text in rows}
     root = {doc: doc for doc in sets}
 
     def find(x):
