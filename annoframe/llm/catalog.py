@@ -220,9 +220,9 @@ size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
 rare AS (SELECT doc_id, shingle, row_number() OVER (PARTITION BY doc_id ORDER BY held, shingle) AS place, n FROM shingle JOIN size USING (doc_id) JOIN (SELECT shingle, count(*) AS held FROM shingle GROUP BY shingle) USING (shingle)),
 head AS (SELECT doc_id, shingle FROM rare WHERE place <= n - ceil(0.8 * n) + 1),
 may AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM head x JOIN head y ON x.shingle = y.shingle AND x.doc_id < y.doc_id),
-near AS (SELECT a, b, sa.n + sb.n AS both FROM may JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 5 * least(sa.n, sb.n) >= 4 * greatest(sa.n, sb.n)),
+near AS (SELECT a, b, sa.n + sb.n AS total FROM may JOIN size sa ON sa.doc_id = a JOIN size sb ON sb.doc_id = b WHERE 5 * least(sa.n, sb.n) >= 4 * greatest(sa.n, sb.n)),
 half AS (
-  SELECT a, b, both, count(*) AS n FROM near JOIN shingle x ON x.doc_id = a JOIN shingle y ON y.doc_id = b AND x.shingle = y.shingle GROUP BY a, b, both HAVING 100 * count(*) >= 80 * (both - count(*))),
+  SELECT a, b, total, count(*) AS n FROM near JOIN shingle x ON x.doc_id = a JOIN shingle y ON y.doc_id = b AND x.shingle = y.shingle GROUP BY a, b, total HAVING 100 * count(*) >= 80 * (total - count(*))),
 link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
 reach AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM link) UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other),
 least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
