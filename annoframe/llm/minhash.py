@@ -9,11 +9,12 @@ text with fewer shared posts than the threshold leaves at once. The others order
 from rare to frequent: two texts that agree in t of k stand together under one of the first
 k - t + 1 posts of each, and only these prefixes are joined.
 
-Pairs are not listed within a post. First every member is held against the head of its list.
-Then lists that still hold several components go to tasks, where the members outside of the
-largest one count their collisions with all others: the shortest lists of a member are
-merged, the long ones are skipped and only asked about what is left, until the threshold is
-out of reach. Lists have a bounded length; longer ones are dealt to blocks.
+Pairs are not listed within a post. First every member is held against the heads of three of
+its lists, then, where it is still apart from them, against those of all. Then lists that
+still hold several components go to tasks, where the members outside of the largest one
+count their collisions with all others whose first common post this is: the shortest lists
+of a member are merged, the long ones are skipped and only asked about what is left, until
+the threshold is out of reach. Lists have a bounded length; longer ones are dealt to blocks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from annoframe.llm import shared
 from annoframe.llm.components import components
 from annoframe.llm.words import NOT_SPACE, mixed, runs, whole, words_of
+from annoframe.operators.lookup import key_counts, sliced_join
 
 WIDTH = 2
 COORDINATES = 64
@@ -114,20 +116,35 @@ def collisions(signature: np.ndarray, lists: list[np.ndarray], matrix: np.ndarra
     return left[have >= least]
 
 
-def block_pairs(classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (smaller class, larger class) of members that ask and members of another color that agree often enough and whose sizes allow it."""
+def earlier_partners(prefixes: list[np.ndarray], post: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The posts of all prefixes in order, who has each of them, and of every prefix what stands before ``post``."""
+    own = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
+    flat = np.concatenate(prefixes)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], own[order], [p[: int(np.flatnonzero(p == post)[0])] for p in prefixes]
+
+
+def block_pairs(
+    classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, prefixes: list[np.ndarray], post: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (smaller class, larger class) of members that ask and members of another color that agree often enough.
+
+    Their sizes allow a link, and of the posts that both prefixes hold, ``post`` comes first.
+    """
     inverted = []
     for k in range(matrix.shape[1]):
         order = np.argsort(matrix[:, k], kind="stable")
-        values = matrix[order, k]
-        inverted.append((order, values))
+        inverted.append((order, matrix[order, k]))
+    posts, holders, before = earlier_partners(prefixes, post)
     probes = np.flatnonzero(asks)
     bounds = [(np.searchsorted(values, matrix[probes, k], "left"), np.searchsorted(values, matrix[probes, k], "right")) for k, (_, values) in enumerate(inverted)]
     out_x, out_y = [], []
     for at, probe in enumerate(probes.tolist()):
-        lists = [inverted[k][0][lo[at] : hi[at]] for k, (lo, hi) in enumerate(bounds)]
         wanted = (colors != colors[probe]) & (5 * np.minimum(sizes, sizes[probe]) >= 4 * np.maximum(sizes, sizes[probe]))
+        for lo, hi in zip(np.searchsorted(posts, before[probe], "left").tolist(), np.searchsorted(posts, before[probe], "right").tolist(), strict=True):
+            wanted[holders[lo:hi]] = False
         if wanted.any():
+            lists = [inverted[k][0][lo[at] : hi[at]] for k, (lo, hi) in enumerate(bounds)]
             found = classes[collisions(matrix[probe], lists, matrix, wanted)]
             out_x.append(np.minimum(found, classes[probe])), out_y.append(np.maximum(found, classes[probe]))
     if not out_x:
@@ -139,7 +156,9 @@ def block_pairs(classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes
 def _in_blocks(group: pa.Table) -> pa.Table:
     matrix = group["__sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
     classes, colors, sizes = (group[name].to_numpy() for name in ("__class", "__color", "__size"))
-    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix)
+    lists = group["__prefix"].combine_chunks()
+    prefixes = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
+    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, group["__post"][0].as_py())
     shared.release()
     return pa.table(list(map(pa.array, pairs)), names=["__x", "__y"])
 
@@ -152,9 +171,16 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
 
 
+def _both_ends(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """The pairs with a column of both classes, as ``name_x`` and ``name_y``; a class of very many pairs is dealt to slices."""
+    for own, other in (("__x", "__y"), ("__y", "__x")):
+        side = rows.select(F.col("__class").alias(own), F.col(name).alias(name + own[1:]))
+        pairs = sliced_join(pairs, side, [own], "inner", key_counts(pairs.select("__x", "__y"), [own]), [other])
+    return pairs
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
     """The pairs whose full sets are similar enough, by their sets made anew from one document of each class."""
-    pairs = shared.kept(pairs, f"pairs-{label}")
     wanted = classes.join(_ends(pairs), "__class", "left_semi").select(F.col("__first").alias("__wanted"), "__class", "__a", "__b")
     wanted = shared.kept(wanted, f"wanted-{label}")
     rows = docs.select(F.col(id), F.col(text)).join(F.broadcast(wanted) if _few(wanted) else wanted, F.col(id) == F.col("__wanted"))
@@ -170,14 +196,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: D
 
     made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, "__class long, __set array<long>").dropDuplicates(["__class"])
     sets = shared.kept(made, f"sets-{label}")
-    joined = pairs.join(sets.toDF("__x", "__set_x"), "__x").join(sets.toDF("__y", "__set_y"), "__y")
+    joined = _both_ends(pairs, sets, "__set")
     both = F.size(F.array_intersect("__set_x", "__set_y"))
     linked = joined.where(100 * both >= 80 * (F.size("__set_x") + F.size("__set_y") - both))
     return shared.kept(linked.select("__x", "__y"), f"links-{label}")
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
-    """(class, size, post, members of the post) of the prefix of every class that shares as many posts as a match takes."""
+def _shared_posts(classes: DataFrame) -> DataFrame:
+    """(class, size, posts, prefix) of every class that shares as many posts as a match takes; posts from rare to frequent, as (held, post)."""
     posted = classes.select("__class", "__size", F.posexplode("__sig").alias("__k", "__value"))
     post = (F.col("__k").cast("long") * (1 << 32) + F.col("__value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("__post")
     posts = shared.kept(posted.select("__class", "__size", post), "posts")
@@ -189,14 +215,43 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     # Posts that nobody shares come first in the order, and count for the prefix.
     alone = COORDINATES - F.size("__posts")
     mine = F.slice("__posts", F.lit(1), F.greatest(F.lit(PREFIX) - alone, F.lit(0)))
-    return shares.where(alone <= COORDINATES - LEAST_MATCHES).select("__class", "__size", F.explode(mine).alias("__own")).select("__class", "__size", "__own.__post", "__own.__held")
+    return shared.kept(shares.where(alone <= COORDINATES - LEAST_MATCHES).withColumn("__prefix", mine), "shares")
+
+
+def _beside_heads(listed: DataFrame, tops: DataFrame, colors: DataFrame | None = None) -> DataFrame:
+    """The different pairs (head, member) of the lists; with colors, those of different ones."""
+    tops = tops.select("__post", "__x", "__size_x", "__n")
+    own = listed.select("__post", "__class", "__size")
+    if colors is not None:
+        own = own.join(colors.select("__class", F.col("__color").alias("__of")), "__class")
+        tops = tops.join(colors.select(F.col("__class").alias("__x"), F.col("__color").alias("__of_x")), "__x")
+    frequent = tops.where(F.col("__n") > LIST_ROWS)
+    near = own.join(tops.where(F.col("__n") <= LIST_ROWS), "__post").unionByName(own.join(F.broadcast(frequent) if _few(frequent) else frequent, "__post"))
+    if colors is not None:
+        near = near.where("__of <> __of_x")
+    fits = 5 * F.least("__size", "__size_x") >= 4 * F.greatest("__size", "__size_x")
+    return near.where((F.col("__x") < F.col("__class")) & fits).select("__x", F.col("__class").alias("__y")).distinct()
+
+
+def _tops(listed: DataFrame, label: str) -> DataFrame:
+    """(post, head, its size, members) of the lists of two or more; the head is the smallest class."""
+    tops = listed.groupBy("__post").agg(F.min(F.struct("__class", "__size")).alias("__top"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return shared.kept(tops.select("__post", F.col("__top.__class").alias("__x"), F.col("__top.__size").alias("__size_x"), "__n"), label)
 
 
-def _matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _matches(pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """The pairs whose signatures agree often enough."""
-    one, other = classes.select(F.col("__class").alias("__x"), F.col("__sig").alias("__sig_x")), classes.select(F.col("__class").alias("__y"), F.col("__sig").alias("__sig_y"))
+    pairs = shared.kept(pairs, f"pairs-{label}")
     agree = F.aggregate(F.zip_with("__sig_x", "__sig_y", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same)
-    return pairs.join(one, "__x").join(other, "__y").where(agree >= LEAST_MATCHES).select("__x", "__y")
+    return shared.kept(_both_ends(pairs, classes, "__sig").where(agree >= LEAST_MATCHES).select("__x", "__y"), f"matches-{label}")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, color) after links between classes of several colors."""
+    one, other = found.toDF("__x", "__cx"), found.toDF("__y", "__cy")
+    between = links.join(one, "__x").join(other, "__y").select(F.col("__cx").alias("__x"), F.col("__cy").alias("__y")).distinct()
+    wider = components(found.select(F.col("__color").alias("__node")).distinct(), between, "__x", "__y")
+    return shared.kept(found.toDF("__class", "__node").join(wider, "__node").select("__class", F.col("__component").alias("__color")), "colors")
 
 
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -208,19 +263,19 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     # A row may repeat its id and its text: one of them stands for the class.
     classes = shared.kept(heads.join(keys, ["__a", "__b", "__first"]).dropDuplicates(["__class"]), "classes")
 
-    listed = shared.kept(_prefixes(classes).withColumn("__blocks", F.ceil(F.col("__held") / LIST_ROWS)), "prefixes")
-    # Every member against the head of its list: the smallest class of the post.
-    tops = listed.groupBy("__post").agg(F.min(F.struct("__class", "__size")).alias("__top"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    tops = shared.kept(tops.select("__post", "__top.*", "__n").toDF("__post", "__x", "__size_x", "__n"), "heads")
-    frequent = tops.where(F.col("__n") > LIST_ROWS).select("__post", "__x", "__size_x")
-    near = listed.join(tops.where(F.col("__n") <= LIST_ROWS).select("__post", "__x", "__size_x"), "__post").unionByName(listed.join(F.broadcast(frequent) if _few(frequent) else frequent, "__post"))
-    fits = 5 * F.least("__size", "__size_x") >= 4 * F.greatest("__size", "__size_x")
-    near = near.where((F.col("__x") < F.col("__class")) & fits).select("__x", F.col("__class").alias("__y")).distinct()
-    links = _confirmed(_matches(near, classes), docs, id, text, classes, "near")
-    found = components(classes.select(F.col("__class").alias("__node")), links, "__x", "__y")
+    shares = _shared_posts(classes)
+    chosen = F.array_distinct(F.array(F.element_at("__posts", -1), F.element_at("__prefix", -1), F.element_at("__prefix", F.floor((F.size("__prefix") + 1) / 2).cast("int"))))
+    listed = shares.where(F.size("__prefix") > 0).select("__class", "__size", F.explode("__prefix.__post").alias("__post"))
+    # Every member against the heads of its most frequent list, and of the last and the middle one of its prefix.
+    some = shared.kept(shares.where(F.size("__prefix") > 0).select("__class", "__size", F.explode(chosen).alias("__own")).select("__class", "__size", "__own.__post"), "some")
+    links = _confirmed(_matches(_beside_heads(some, _tops(some, "heads-some")), classes, "some"), docs, id, text, classes, "some")
+    found = components(classes.select(F.col("__class").alias("__node")), links, "__x", "__y").toDF("__class", "__color")
+    # Then against the heads of its whole prefix, where they are not yet together.
+    tops = _tops(listed, "heads")
+    links = _confirmed(_matches(_beside_heads(listed, tops, found), classes, "near"), docs, id, text, classes, "near")
+    colors = _merged(found, links)
 
     # Lists that still hold several components: members outside of the largest one against all others.
-    colors = found.toDF("__class", "__color")
     colored = shared.kept(listed.join(tops.select("__post"), "__post", "left_semi").join(colors, "__class"), "colored")
     mixed_lists = (
         colored.groupBy("__post", "__color").agg(F.count(F.lit(1)).alias("__n"))
@@ -235,13 +290,11 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     asks = members.where("__color <> __main").select("__post", "__class", "__color", F.pmod(place, asking).alias("__row"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__col"), F.lit(True).alias("__asks"))
     answers = members.select("__post", "__class", "__color", F.explode(F.sequence(F.lit(0), asking - 1)).alias("__row"), F.pmod(place, blocks).alias("__col"), F.lit(False).alias("__asks"))
     dealt = asks.unionByName(answers).groupBy("__post", "__row", "__col", "__class", "__color").agg(F.max("__asks").alias("__asks"))
-    rows = dealt.join(classes.select("__class", "__size", "__sig"), "__class")
+    prefixes = shares.select("__class", F.col("__prefix.__post").alias("__prefix"))
+    rows = dealt.join(classes.select("__class", "__size", "__sig"), "__class").join(prefixes, "__class")
     across = rows.groupBy("__post", "__row", "__col").applyInArrow(_in_blocks, "__x long, __y long").distinct()
-    more = _confirmed(across, docs, id, text, classes, "across")
-    one, other = found.toDF("__x", "__cx"), found.toDF("__y", "__cy")
-    between = more.join(one, "__x").join(other, "__y").select(F.col("__cx").alias("__x"), F.col("__cy").alias("__y")).distinct()
-    wider = components(found.select(F.col("__component").alias("__node")).distinct(), between, "__x", "__y")
-    found = found.toDF("__class", "__node").join(wider, "__node").select("__class", "__component").join(keys.select("__class", "__first"), "__class")
+    links = _confirmed(shared.kept(across, "pairs-across"), docs, id, text, classes, "across")
+    found = _merged(colors, links).toDF("__class", "__component").join(keys.select("__class", "__first"), "__class")
     smallest = found.groupBy("__component").agg(F.min("__first").alias("__smallest"))
     rows = signed.select("__id", "__size", "__a", "__b").join(keys.select("__a", "__b", "__class"), ["__a", "__b"], "left").select("__id", "__size", "__class")
     return rows, found.join(smallest, "__component").select("__class", "__smallest")

@@ -77,11 +77,14 @@ def test_merging_counts_all_collisions():
         matrix = np.where(draw.random((m, minhash.COORDINATES)) < draw.uniform(0.3, 1, (m, 1)), base, draw.integers(0, 50, (m, minhash.COORDINATES))).astype(np.int32)
         colors, sizes, asks = draw.integers(0, 4, m), draw.integers(80, 130, m), draw.random(m) < 0.6
         classes = draw.permutation(1000)[:m]
+        # Prefixes in the order of their numbers; all hold post 50.
+        prefixes = [np.unique(np.append(draw.integers(0, 100, draw.integers(0, 6)), 50)) for _ in range(m)]
         want = {
             (min(classes[x], classes[y]), max(classes[x], classes[y])) for x in np.flatnonzero(asks) for y in range(m)
             if colors[x] != colors[y] and 5 * min(sizes[x], sizes[y]) >= 4 * max(sizes[x], sizes[y]) and (matrix[x] == matrix[y]).sum() >= minhash.LEAST_MATCHES
+            and min(np.intersect1d(prefixes[x], prefixes[y])) == 50
         }
-        x, y = minhash.block_pairs(classes, colors, asks, sizes, matrix)
+        x, y = minhash.block_pairs(classes, colors, asks, sizes, matrix, prefixes, 50)
         assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(int(a), int(b)) for a, b in want}
 
 
