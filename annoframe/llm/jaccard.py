@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from annoframe.llm import shared
 from annoframe.llm.components import components
 from annoframe.llm.words import NOT_SPACE, runs, whole, words_of
+from annoframe.operators.lookup import key_counts, sliced_join
 
 WIDTH = 5
 #: Counters of the sketch (32 MB on the driver, 16 MB in a task).
@@ -148,24 +149,33 @@ def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
     return shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, "__class long, __set array<long>")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
-    """The pairs (__x, __y) whose sets are similar enough: first by the bound of their parts, then by exact comparison."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
+
+
+def _both_ends(pairs: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The pairs with the columns of both classes, ``names`` with ``_x`` and ``_y``; a class of very many pairs is dealt to slices."""
+    for own, other in (("__x", "__y"), ("__y", "__x")):
+        side = rows.select(F.col("__class").alias(own), *(F.col(a).alias(b + own[2:]) for a, b in names.items()))
+        pairs = sliced_join(pairs, side, [own], "inner", key_counts(pairs.select("__x", "__y"), [own]), [other])
+    return pairs
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """The pairs (__x, __y, ...) that the bound of their parts allows: one row of each class is read, and no shingle."""
     pairs = shared.kept(pairs, f"candidates-{label}")
-    # Of the classes only those of some pair are looked at again.
-    ends = pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
-    members = shared.kept(classes.select("__class", "__first", "__a", "__b", "__size", "__parts").join(ends, "__class", "left_semi"), f"members-{label}")
-    one = members.select(F.col("__class").alias("__x"), F.col("__size").alias("__size_x"), F.col("__parts").alias("__parts_x"))
-    other = members.select(F.col("__class").alias("__y"), F.col("__size").alias("__size_y"), F.col("__parts").alias("__parts_y"))
+    members = shared.kept(classes.select("__class", "__size", "__parts").join(_ends(pairs), "__class", "left_semi"), f"members-{label}")
     most = F.aggregate(F.zip_with("__parts_x", "__parts_y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, n: total + n)
-    likely = pairs.join(one, "__x").join(other, "__y").where(9 * most >= 4 * (F.col("__size_x") + F.col("__size_y")))
-    pairs = shared.kept(likely.select("__x", "__y"), f"pairs-{label}")
-    ends = pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
-    wanted = members.join(ends, "__class", "left_semi").select("__class", "__first", "__a", "__b")
+    likely = _both_ends(pairs, members, {"__size": "__size_", "__parts": "__parts_"}).where(9 * most >= 4 * (F.col("__size_x") + F.col("__size_y")))
+    return shared.kept(likely.select(pairs.columns), f"likely-{label}")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
+    """The pairs (__x, __y) whose sets are similar enough, by exact comparison."""
+    wanted = classes.join(_ends(pairs), "__class", "left_semi").select("__class", "__first", "__a", "__b")
     sets = shared.kept(_sets(docs, id, text, wanted), f"sets-{label}")
-    one = sets.select(F.col("__class").alias("__x"), F.col("__set").alias("__set_x"))
-    other = sets.select(F.col("__class").alias("__y"), F.col("__set").alias("__set_y"))
     both = F.size(F.array_intersect("__set_x", "__set_y"))
-    joined = pairs.join(one, "__x").join(other, "__y")
+    joined = _both_ends(pairs, sets, {"__set": "__set_"})
     linked = joined.where(100 * both >= 80 * (F.size("__set_x") + F.size("__set_y") - both)).select("__x", "__y").distinct()
     return shared.kept(linked, f"links-{label}")
 
@@ -195,15 +205,15 @@ def _pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _sharing(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """(__x, __y) of the rows (x, y), one for each pair found, whose prefixes share as many shingles as both ask for."""
+def _sharing(rows: DataFrame, listed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(__x, __y) of the rows (x, y), one for each pair found, that the bound of parts allows and whose prefixes share as many shingles as both ask for."""
     least = F.least("x.least", "y.least").alias("__least")
-    pairs = shared.kept(rows.select(F.least("x.class", "y.class").alias("__x"), F.greatest("x.class", "y.class").alias("__y"), least).distinct(), "found")
-    ends = pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
+    found = rows.select(F.least("x.class", "y.class").alias("__x"), F.greatest("x.class", "y.class").alias("__y"), least).distinct()
+    pairs = _likely(found, classes, "across")
     # What two prefixes share stands in lists; a class has no more tokens there than its prefix.
-    tokens = listed.select(F.col("y.class").alias("__class"), "__token").join(ends, "__class", "left_semi").groupBy("__class").agg(F.collect_set("__token").alias("__tokens"))
-    one, other = tokens.toDF("__x", "__tokens_x"), tokens.toDF("__y", "__tokens_y")
-    return pairs.join(one, "__x").join(other, "__y").where(F.size(F.array_intersect("__tokens_x", "__tokens_y")) >= F.col("__least")).select("__x", "__y")
+    tokens = listed.select(F.col("y.class").alias("__class"), "__token").join(_ends(pairs), "__class", "left_semi").groupBy("__class").agg(F.collect_set("__token").alias("__tokens"))
+    joined = _both_ends(pairs, shared.kept(tokens, "tokens"), {"__tokens": "__tokens_"})
+    return shared.kept(joined.where(F.size(F.array_intersect("__tokens_x", "__tokens_y")) >= F.col("__least")).select("__x", "__y"), "pairs-across")
 
 
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -247,7 +257,8 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     heads = listed.where("__lists > 1").groupBy("__token", "__deal").agg(F.max("x").alias("y"))
     tops = heads.groupBy("__token").agg(F.max("y").alias("x"))
     near = listed.select("x", "y").unionByName(heads.join(tops, "__token").select("x", "y"))
-    links = _linked(_pairs(near.where((F.col("x.class") != F.col("y.class")) & _may_link("x", "y"))), docs, id, text, classes, "near")
+    pairs = _likely(_pairs(near.where((F.col("x.class") != F.col("y.class")) & _may_link("x", "y"))), classes, "near")
+    links = _linked(pairs, docs, id, text, classes, "near")
     found = components(classes.select(F.col("__class").alias("__node")), links, "__x", "__y")
 
     # Lists that still hold several components: each document that isn't of the largest one there
@@ -265,7 +276,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         colored, (minor["__token"] == colored["__token"]) & (F.col("__color_x") != F.col("__color"))
         & ((F.col("__color") == F.col("__main")) | (F.col("x.class") < F.col("y.class"))) & _may_link("x", "y", 1),
     ).select("x", "y")
-    more = _linked(_sharing(across, listed), docs, id, text, classes, "across")
+    more = _linked(_sharing(across, listed, classes), docs, id, text, classes, "across")
     wider = components(found.select(F.col("__component").alias("__node")).distinct(), _between(more, found), "__x", "__y")
     found = found.select(F.col("__node").alias("__class"), F.col("__component").alias("__node")).join(wider, "__node").select("__class", "__component")
     rows = signed.select("__id", "__size", "__a", "__b").join(classes.select("__a", "__b", "__class"), ["__a", "__b"], "left").select("__id", "__size", "__class")
