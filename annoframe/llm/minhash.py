@@ -14,7 +14,9 @@ its lists, then, where it is still apart from them, against those of all. Then l
 still hold several components go to tasks, where the members outside of the largest one
 count their collisions with all others whose first common post this is: the shortest lists
 of a member are merged, the long ones are skipped and only asked about what is left, until
-the threshold is out of reach. Lists have a bounded length; longer ones are dealt to blocks.
+the threshold is out of reach. Whoever reaches it is compared by sets of short hashes, in the
+same task, so that texts which share a passage and no more don't leave it as pairs. Lists have
+a bounded length; longer ones are dealt to blocks.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ COORDINATES = 64
 LEAST_MATCHES = 38
 PREFIX = COORDINATES - LEAST_MATCHES + 1
 #: Members of a block of a list; longer lists are dealt to several blocks.
-LIST_ROWS = 4096
+LIST_ROWS = 1024
 #: Rows of classes up to this number are broadcast once they are counted (32 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _SLICE = 2 << 20
@@ -124,13 +126,24 @@ def earlier_partners(prefixes: list[np.ndarray], post: int) -> tuple[np.ndarray,
     return flat[order], own[order], [p[: int(np.flatnonzero(p == post)[0])] for p in prefixes]
 
 
+def _within(flat: np.ndarray, each: np.ndarray, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of all elements of the rows' sets, whether they stand in ``own``, which is sorted."""
+    lengths = np.diff(each)[rows]
+    places = np.repeat(each[rows] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    values = flat[places]
+    return own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+
+
 def block_pairs(
-    classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, prefixes: list[np.ndarray], post: int
+    classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, prefixes: list[np.ndarray], post: int, sets: list[np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (smaller class, larger class) of members that ask and members of another color that agree often enough.
 
-    Their sizes allow a link, and of the posts that both prefixes hold, ``post`` comes first.
+    Their sizes allow a link, of the posts that both prefixes hold ``post`` comes first, and
+    their sets of short hashes overlap enough; equal hashes can only add to that.
     """
+    each = np.cumsum([0, *map(len, sets)])
+    flat = np.concatenate(sets)
     inverted = []
     for k in range(matrix.shape[1]):
         order = np.argsort(matrix[:, k], kind="stable")
@@ -145,7 +158,9 @@ def block_pairs(
             wanted[holders[lo:hi]] = False
         if wanted.any():
             lists = [inverted[k][0][lo[at] : hi[at]] for k, (lo, hi) in enumerate(bounds)]
-            found = classes[collisions(matrix[probe], lists, matrix, wanted)]
+            found = collisions(matrix[probe], lists, matrix, wanted)
+            both = np.array([np.count_nonzero(held) for held in np.split(_within(flat, each, found, sets[probe]), np.cumsum(np.diff(each)[found])[:-1])]) if len(found) else found
+            found = classes[found[180 * both >= 80 * (sizes[found] + sizes[probe])]]
             out_x.append(np.minimum(found, classes[probe])), out_y.append(np.maximum(found, classes[probe]))
     if not out_x:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -158,7 +173,9 @@ def _in_blocks(group: pa.Table) -> pa.Table:
     classes, colors, sizes = (group[name].to_numpy() for name in ("__class", "__color", "__size"))
     lists = group["__prefix"].combine_chunks()
     prefixes = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
-    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, group["__post"][0].as_py())
+    lists = group["__short"].combine_chunks()
+    sets = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
+    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, group["__post"][0].as_py(), sets)
     shared.release()
     return pa.table(list(map(pa.array, pairs)), names=["__x", "__y"])
 
@@ -179,24 +196,29 @@ def _both_ends(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return pairs
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
-    """The pairs whose full sets are similar enough, by their sets made anew from one document of each class."""
-    wanted = classes.join(_ends(pairs), "__class", "left_semi").select(F.col("__first").alias("__wanted"), "__class", "__a", "__b")
+def _sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFrame, label: str, short: bool = False) -> DataFrame:
+    """(class, set) of the named classes, made anew from one document of each: whole hashes, or their lower halves, sorted."""
+    wanted = classes.join(named, "__class", "left_semi").select(F.col("__first").alias("__wanted"), "__class", "__a", "__b")
     wanted = shared.kept(wanted, f"wanted-{label}")
     rows = docs.select(F.col(id), F.col(text)).join(F.broadcast(wanted) if _few(wanted) else wanted, F.col(id) == F.col("__wanted"))
+    name, kind = ("__short", "int") if short else ("__set", "long")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in shared.slices(batch, text, _SLICE):
                 names, sets = [], []
-                for name, a, b, own in zip(*(shared.column(piece, c).to_pylist() for c in ("__class", "__a", "__b")), shingles_of(shared.column(piece, text)), strict=True):
+                for number, a, b, own in zip(*(shared.column(piece, c).to_pylist() for c in ("__class", "__a", "__b")), shingles_of(shared.column(piece, text)), strict=True):
                     if set_key(own) == (a, b):  # an id may stand at several texts
-                        names.append(name), sets.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, np.int64)], names=["__class", "__set"])
+                        names.append(number), sets.append(np.sort(own.astype(np.uint32).view(np.int32)) if short else own.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, np.int32 if short else np.int64)], names=["__class", name])
 
-    made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, "__class long, __set array<long>").dropDuplicates(["__class"])
-    sets = shared.kept(made, f"sets-{label}")
-    joined = _both_ends(pairs, sets, "__set")
+    made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, f"__class long, {name} array<{kind}>").dropDuplicates(["__class"])
+    return shared.kept(made, f"sets-{label}")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    joined = _both_ends(pairs, _sets(docs, id, text, classes, _ends(pairs), label), "__set")
     both = F.size(F.array_intersect("__set_x", "__set_y"))
     linked = joined.where(100 * both >= 80 * (F.size("__set_x") + F.size("__set_y") - both))
     return shared.kept(linked.select("__x", "__y"), f"links-{label}")
@@ -289,9 +311,10 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     place = F.xxhash64("__class")
     asks = members.where("__color <> __main").select("__post", "__class", "__color", F.pmod(place, asking).alias("__row"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__col"), F.lit(True).alias("__asks"))
     answers = members.select("__post", "__class", "__color", F.explode(F.sequence(F.lit(0), asking - 1)).alias("__row"), F.pmod(place, blocks).alias("__col"), F.lit(False).alias("__asks"))
+    short = _sets(docs, id, text, classes, members.select("__class").distinct(), "short", short=True)
     dealt = asks.unionByName(answers).groupBy("__post", "__row", "__col", "__class", "__color").agg(F.max("__asks").alias("__asks"))
     prefixes = shares.select("__class", F.col("__prefix.__post").alias("__prefix"))
-    rows = dealt.join(classes.select("__class", "__size", "__sig"), "__class").join(prefixes, "__class")
+    rows = dealt.join(classes.select("__class", "__size", "__sig"), "__class").join(prefixes, "__class").join(short, "__class")
     across = rows.groupBy("__post", "__row", "__col").applyInArrow(_in_blocks, "__x long, __y long").distinct()
     links = _confirmed(shared.kept(across, "pairs-across"), docs, id, text, classes, "across")
     found = _merged(colors, links).toDF("__class", "__component").join(keys.select("__class", "__first"), "__class")

@@ -79,12 +79,15 @@ def test_merging_counts_all_collisions():
         classes = draw.permutation(1000)[:m]
         # Prefixes in the order of their numbers; all hold post 50.
         prefixes = [np.unique(np.append(draw.integers(0, 100, draw.integers(0, 6)), 50)) for _ in range(m)]
+        sets = [np.flatnonzero(draw.random(120) < n / 135).astype(np.int32) for n in sizes]
+        sizes = np.array([len(x) for x in sets])
         want = {
             (min(classes[x], classes[y]), max(classes[x], classes[y])) for x in np.flatnonzero(asks) for y in range(m)
             if colors[x] != colors[y] and 5 * min(sizes[x], sizes[y]) >= 4 * max(sizes[x], sizes[y]) and (matrix[x] == matrix[y]).sum() >= minhash.LEAST_MATCHES
             and min(np.intersect1d(prefixes[x], prefixes[y])) == 50
+            and 100 * (both := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (sizes[x] + sizes[y] - both)
         }
-        x, y = minhash.block_pairs(classes, colors, asks, sizes, matrix, prefixes, 50)
+        x, y = minhash.block_pairs(classes, colors, asks, sizes, matrix, prefixes, 50, sets)
         assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(int(a), int(b)) for a, b in want}
 
 
