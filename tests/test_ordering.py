@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from annoframe.operators import ordering
 
 
-@pytest.fixture(params=[500_000, 40])
+@pytest.fixture(params=[(500_000, 1024), (40, 1024), (5, 4)])
 def bucket_rows(request, monkeypatch):
-    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", request.param)
+    """One range; one level of ranges; three and more levels."""
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", request.param[0])
+    monkeypatch.setattr(ordering, "FANOUT", request.param[1])
 
 
 def test_index_by_number(spark, bucket_rows):
@@ -30,14 +32,35 @@ def test_index_by_text_and_by_two_columns(spark, bucket_rows):
 
 
 def test_ranges_are_even(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 500)
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 500)
     df = spark.range(20000).select((F.col("id") * F.col("id")).alias("k"))
-    cuts = ordering.range_cuts(df, F.col("k"))
+    cuts = ordering.range_cuts(df, F.col("k"), 20000)
     sizes = [row["count"] for row in df.groupBy(ordering.range_of(F.col("k"), cuts).alias("r")).count().collect()]
     assert len(sizes) == 40
     assert max(sizes) < 1200
 
 
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_a_tree_of_three_levels(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(ordering, "ROWS_PER_RANGE", 5)
+    monkeypatch.setattr(ordering, "FANOUT", 4)
+    monkeypatch.setattr(ordering, "BROADCAST_CUTS", broadcast)
+    df = spark.range(300).select((F.col("id") * F.col("id")).alias("k"))
+    placed, path = ordering.in_ranges(df, F.col("k"), 300)
+    assert path == ["__range0", "__range1", "__range2"]
+    rows = sorted((row["k"], *(row[c] for c in path)) for row in placed.collect())
+    assert [r[0] for r in rows] == [k * k for k in range(300)]
+    assert [r[1:] for r in rows] == sorted(r[1:] for r in rows)  # leaves follow the keys
+    sizes = {}
+    for r in rows:
+        sizes[r[1:]] = sizes.get(r[1:], 0) + 1
+    assert max(sizes.values()) <= 25 and len(sizes) >= 30
+    below, want = {tuple(row[c] for c in path): row["__below"] for row in ordering.rows_below(placed, [], path).collect()}, 0
+    for leaf in sorted(sizes):
+        assert below[leaf] == want
+        want += sizes[leaf]
+
+
 def test_sequential_ids(spark, bucket_rows):
     df = spark.createDataFrame([("b",), ("a",), ("c",)], "segment_id string")
     rows = {row["segment_id"]: row["speaker"] for row in ordering.sequential_ids(df, ["segment_id"]).collect()}
