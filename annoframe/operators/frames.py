@@ -74,9 +74,48 @@ def speech_duration(
     return table.join(spoken, on, "left").withColumn(output, F.coalesce(F.col(output), F.lit(0.0)))
 
 
+def _levels(frames: DataFrame, frame: str, longest: int | None) -> int:
+    """How many times runs are gathered in runs, so that the last ones are no more than ``RUN``."""
+    if longest is None:
+        low, high = frames.agg(F.min(frame), F.max(frame)).first()
+        longest = 0 if low is None else int(high - low) + 1
+    levels = 1
+    while longest > RUN ** (levels + 1):
+        levels += 1
+    return levels
+
+
+def _carried(ends: DataFrame, on: str, levels: int) -> DataFrame:
+    """For each run: the last voiced frame of the runs before it and the first of those after it.
+
+    ``ends`` has the first and last voiced frame of every run. Marks are carried inside
+    groups of ``RUN`` runs; what none of them has comes from the ends of the groups, which
+    are carried in the same way.
+    """
+    grouped = ends.withColumn("__up", F.floor(F.col("__run") / RUN) if levels > 1 else F.lit(0))
+    own = [on, "__up"] if levels > 1 else [on]
+    # The next mark is the last one of the reversed order: a frame that only grows costs one step per row.
+    earlier = Window.partitionBy(*own).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*own).orderBy(F.col("__run").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    marks = {
+        "prev_at": F.last("last_at", ignorenulls=True).over(earlier), "prev": F.last("last_level", ignorenulls=True).over(earlier),
+        "next_at": F.last("first_at", ignorenulls=True).over(later), "next": F.last("first_level", ignorenulls=True).over(later),
+    }
+    inside = grouped.select(on, "__up", "__run", *(mark.alias(name) for name, mark in marks.items()))
+    if levels == 1:
+        return inside.drop("__up")
+    upper = grouped.groupBy(on, F.col("__up").alias("__run")).agg(
+        F.min("first_at").alias("first_at"), F.min_by("first_level", "first_at").alias("first_level"),
+        F.max("last_at").alias("last_at"), F.max_by("last_level", "last_at").alias("last_level"),
+    )
+    above = _carried(upper, on, levels - 1).select(on, F.col("__run").alias("__up"), *(F.col(name).alias(f"up_{name}") for name in marks))
+    return inside.join(above, [on, "__up"], "left").select(on, "__run", *(F.coalesce(name, f"up_{name}").alias(name) for name in marks))
+
+
 def interpolate_unvoiced(
     frames: DataFrame, value: str, periodicity: str, on: str = "segment_id", frame: str = "frame_idx",
     threshold: float = V.PERIODICITY_THRESHOLD, space: str = "linear", output: str | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Replace values of unvoiced frames by a straight line between the nearest voiced frames.
 
@@ -84,13 +123,15 @@ def interpolate_unvoiced(
     without voiced frames keeps its values. ``space="log2"`` draws the line between
     logarithms.
 
-    Frames are numbers that grow by steps of similar size. Each run of ``RUN``
-    frame numbers is a window of its own; only the first and last voiced frame of
-    every run are carried along the whole segment. A segment with a large part of
-    all frames is thus worked on by many tasks.
+    Frames are numbers that grow by steps of similar size. Each run of ``RUN`` frame numbers
+    is a window of its own; only the first and last voiced frame of every run are carried on,
+    along runs of ``RUN`` runs, and so forth until one of them holds the longest segment. No
+    window grows with a segment. ``longest`` is the span of frame numbers, if it is known;
+    otherwise one pass over the frame column finds it when the plan is built.
     """
     if space not in ("linear", "log2"):
         raise ValueError("space is linear or log2")
+    levels = _levels(frames, frame, longest)
     level = F.col(value).cast("double") if space == "linear" else F.log2(F.col(value))
     voiced = F.when(F.col(periodicity) >= threshold, level)
     runs = frames.withColumns({"__run": F.floor(F.col(frame) / RUN), "__level": voiced}).withColumn(
@@ -101,15 +142,8 @@ def interpolate_unvoiced(
         F.min("__at").alias("first_at"), F.min_by("__level", "__at").alias("first_level"),
         F.max("__at").alias("last_at"), F.max_by("__level", "__at").alias("last_level"),
     )
-    # The next mark is the last one of the reversed order: a frame that only grows costs one step per row.
-    earlier_runs = Window.partitionBy(on).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    later_runs = Window.partitionBy(on).orderBy(F.col("__run").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        on, "__run",
-        F.last("last_at", ignorenulls=True).over(earlier_runs).alias("__carried_prev_at"),
-        F.last("last_level", ignorenulls=True).over(earlier_runs).alias("__carried_prev"),
-        F.last("first_at", ignorenulls=True).over(later_runs).alias("__carried_next_at"),
-        F.last("first_level", ignorenulls=True).over(later_runs).alias("__carried_next"),
+    carried = _carried(ends, on, levels).withColumnsRenamed(
+        {"prev_at": "__carried_prev_at", "prev": "__carried_prev", "next_at": "__carried_next_at", "next": "__carried_next"}
     )
 
     so_far = Window.unboundedPreceding, Window.currentRow

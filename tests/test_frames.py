@@ -72,7 +72,7 @@ def test_array_statistics(spark):
     assert (rows[2]["m"], rows[2]["s"]) == (None, None)
 
 
-@pytest.mark.parametrize("run", [4096, 8, 1])
+@pytest.mark.parametrize("run", [4096, 8, 4])
 @pytest.mark.parametrize("space", ["linear", "log2"])
 def test_interpolation(spark, monkeypatch, run, space):
     monkeypatch.setattr(frames, "RUN", run)
