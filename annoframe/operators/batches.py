@@ -1,10 +1,13 @@
-"""User models over Arrow batches, with restart."""
+"""User models over Arrow batches, kept by their workers, with restart."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,25 +18,60 @@ from .lookup import unfinished
 BatchFunction = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+def model_key(factory: Callable[[], BatchFunction]) -> str:
+    """A name for what a factory loads: equal code with equal captured values has one name."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def device_profile(devices: float = 1, device: str = "gpu", cpus: int = 1) -> ResourceProfile:
+    """Resources of a stage whose tasks each need (a part of) a device; executors must offer it."""
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(cpus).resource(device, devices)).build
+
+
 def map_batches(
     df: DataFrame, factory: Callable[[], BatchFunction], schema: StructType | str, keep: Sequence[str],
-    batch_size: int = 1000, where=None,
+    batch_size: int = 1000, where=None, name: str | None = None, models: int = 2, profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Apply a model to every row.
 
-    ``factory`` runs once per task and returns the function for one batch, so a
-    model is loaded once per task. Spark cannot see into Python: rows are filtered
-    by ``where`` and cut to the ``keep`` columns first, so that both reach the scan.
+    ``factory`` loads a model and returns the function for one batch. A worker process
+    loads it once and keeps it for all its tasks, also those of later queries, under
+    ``name`` (by default the content of the factory: a model from a changed file needs a
+    new name). A worker keeps the ``models`` it used last; one that it gives up is closed if
+    its function has ``close``; with 0 every task loads its own and closes it. ``profile``
+    are the resources that a task of this stage needs, such as a device.
+
+    Spark cannot see into Python: rows are filtered by ``where`` and cut to the ``keep``
+    columns first, so that both reach the scan.
     """
     rows = df if where is None else df.where(where)
+    key = name or model_key(factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        apply = factory()
-        for frame in frames:
-            for begin in range(0, len(frame), batch_size):
-                yield apply(frame.iloc[begin : begin + batch_size])
+        import sys
+        from types import ModuleType
+
+        # The registry is a module of the worker process: functions are sent anew with every task, modules stay.
+        kept = sys.modules.setdefault("_annoframe_models", ModuleType("_annoframe_models")).__dict__.setdefault("kept", {})
+
+        def give_up(most: int) -> None:
+            while len(kept) > most:
+                close = getattr(kept.pop(next(iter(kept))), "close", None)
+                if close is not None:
+                    close()
+
+        if key not in kept:
+            give_up(max(models - 1, 0))
+            kept[key] = factory()
+        apply = kept[key] = kept.pop(key)  # the one used last stands last
+        try:
+            for frame in frames:
+                for begin in range(0, len(frame), batch_size):
+                    yield apply(frame.iloc[begin : begin + batch_size])
+        finally:
+            give_up(models)
 
-    return rows.select(*keep).mapInPandas(run, schema)
+    return rows.select(*keep).mapInPandas(run, schema, profile=profile)
 
 
 def finished(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -23,14 +23,72 @@ def factory():
     return load
 
 
-def test_model_is_loaded_once_per_task_and_batches_have_the_given_size(spark):
+LOADED = StructType().add("id", "long").add("model", "string").add("process", "long").add("closed", "string")
+
+
+def counting(label, log):
+    """A model that tells its process, and writes down when it is loaded and closed."""
+
+    def load():
+        import os
+        import uuid
+
+        token = f"{label}-{uuid.uuid4().hex}"
+
+        def note(what):
+            with open(f"{log}/{what}-{token}", "x") as out:
+                out.write(str(os.getpid()))
+
+        class Model:
+            def __call__(self, frame):
+                return pd.DataFrame({"id": frame["id"], "model": token, "process": os.getpid(), "closed": ""})
+
+            def close(self):
+                note("closed")
+
+        note("loaded")
+        return Model()
+
+    return load
+
+
+def test_batches_have_the_given_size(spark):
     df = spark.range(0, 1000, 1, 4)
     rows = batches.map_batches(df, factory(), SCHEMA, ["id"], batch_size=64).collect()
     assert sorted(row["id"] for row in rows) == list(range(1000))
-    assert len({row["loaded"] for row in rows}) == 4
     assert max(row["size"] for row in rows) == 64
 
 
+def test_a_model_is_loaded_once_a_process(spark, tmp_path):
+    load = counting("kept", tmp_path)
+    seen = set()
+    for _ in range(2):  # the second query finds the models of the first
+        rows = batches.map_batches(spark.range(0, 2000, 1, 20), load, LOADED, ["id"]).collect()
+        assert sorted(row["id"] for row in rows) == list(range(2000))
+        seen |= {(row["process"], row["model"]) for row in rows}
+    assert len({process for process, _ in seen}) == len(seen) < 20
+    assert len(list(tmp_path.glob("loaded-*"))) == len(seen) and not list(tmp_path.glob("closed-*"))
+
+
+def test_models_that_a_worker_gives_up_are_closed(spark, tmp_path):
+    one = spark.range(0, 50, 1, 1)
+    for label in "abc":
+        assert batches.map_batches(one, counting(label, tmp_path), LOADED, ["id"], models=1).count() == 50
+    # Workers hold one model each; whoever loaded another one has closed the one before.
+    by_process = {}
+    for path in tmp_path.glob("loaded-*"):
+        by_process.setdefault(path.read_text(), []).append(path.name)
+    assert len(list(tmp_path.glob("closed-*"))) == sum(len(loaded) - 1 for loaded in by_process.values())
+    own = batches.map_batches(spark.range(0, 90, 1, 9), counting("own", tmp_path), LOADED, ["id"], models=0).collect()
+    assert len({row["model"] for row in own}) == 9 == len(list(tmp_path.glob("closed-own-*")))
+
+
+def test_names_of_models():
+    assert batches.model_key(counting("a", "x")) == batches.model_key(counting("a", "x")) != batches.model_key(counting("b", "x"))
+    profile = batches.device_profile(0.5, cpus=2)
+    assert profile.taskResources["gpu"].amount == 0.5 and profile.taskResources["cpus"].amount == 2
+
+
 def test_filter_and_columns_reach_the_scan(spark, tables):
     documents = spark.read.parquet(f"{tables}/documents.parquet").withColumnRenamed("doc_id", "id")
     scored = batches.map_batches(documents, factory(), SCHEMA, ["id"], where=F.col("n_chars") > 500)
