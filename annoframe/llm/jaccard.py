@@ -205,15 +205,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
     )
 
 
-def _sharing(rows: DataFrame, listed: DataFrame, classes: DataFrame) -> DataFrame:
+def _sharing(rows: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
     """(__x, __y) of the rows (x, y), one for each pair found, that the bound of parts allows and whose prefixes share as many shingles as both ask for."""
     least = F.least("x.least", "y.least").alias("__least")
     found = rows.select(F.least("x.class", "y.class").alias("__x"), F.greatest("x.class", "y.class").alias("__y"), least).distinct()
     pairs = _likely(found, classes, "across")
-    # What two prefixes share stands in lists; a class has no more tokens there than its prefix.
-    tokens = listed.select(F.col("y.class").alias("__class"), "__token").join(_ends(pairs), "__class", "left_semi").groupBy("__class").agg(F.collect_set("__token").alias("__tokens"))
-    joined = _both_ends(pairs, shared.kept(tokens, "tokens"), {"__tokens": "__tokens_"})
-    return shared.kept(joined.where(F.size(F.array_intersect("__tokens_x", "__tokens_y")) >= F.col("__least")).select("__x", "__y"), "pairs-across")
+    # One row for each class of these pairs: its whole prefix.
+    named = classes.join(_ends(pairs), "__class", "left_semi").select("__a", "__b", F.col("__first").alias("__id"), "__class")
+    prefixes = signed.select("__a", "__b", "__id", "__prefix").join(named, ["__a", "__b", "__id"]).select("__class", "__prefix").dropDuplicates(["__class"])
+    joined = _both_ends(pairs, shared.kept(prefixes, "prefixes"), {"__prefix": "__prefix_"})
+    return shared.kept(joined.where(F.size(F.array_intersect("__prefix_x", "__prefix_y")) >= F.col("__least")).select("__x", "__y"), "pairs-across")
 
 
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -276,7 +277,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         colored, (minor["__token"] == colored["__token"]) & (F.col("__color_x") != F.col("__color"))
         & ((F.col("__color") == F.col("__main")) | (F.col("x.class") < F.col("y.class"))) & _may_link("x", "y", 1),
     ).select("x", "y")
-    more = _linked(_sharing(across, listed, classes), docs, id, text, classes, "across")
+    more = _linked(_sharing(across, signed, classes), docs, id, text, classes, "across")
     wider = components(found.select(F.col("__component").alias("__node")).distinct(), _between(more, found), "__x", "__y")
     found = found.select(F.col("__node").alias("__class"), F.col("__component").alias("__node")).join(wider, "__node").select("__class", "__component")
     rows = signed.select("__id", "__size", "__a", "__b").join(classes.select("__a", "__b", "__class"), ["__a", "__b"], "left").select("__id", "__size", "__class")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,10 +26,12 @@ _SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where no cluster names one (tests), a folder of this session."""
+    """``spark.checkpoint.dir``; a session on one machine that names none (tests) has a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not named and app not in _OWN:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         _OWN[app] = f"file://{tempfile.mkdtemp(prefix='annoframe-')}"
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return (named or _OWN[app]).rstrip("/")

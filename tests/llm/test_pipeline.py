@@ -56,5 +56,16 @@ def test_repeated_rows_null_ids_and_more_columns(spark, tmp_path):
         assert out.columns == docs.columns
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
-    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) == sorted([(1, text), (None, text), (None, None), (3, None), (4, "")], key=str)
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 5
+    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str) == sorted([(1, text), (None, None), (3, None), (4, "")], key=str)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 4
+
+
+def test_one_document_of_a_group_stays(spark):
+    """Also where an id stands at two texts, or is missing."""
+    text, other = cases.prose(3, 60), cases.prose(4, 60)
+    near = text + " end"
+    rows = [(7, text), (7, near), (None, text), (None, near + " more"), (9, other), (8, other + " end"), (None, None), (None, None), (5, "alone")]
+    docs = spark.createDataFrame([(a, b, len(b or "")) for a, b in rows], "doc_id long, text string, n_chars int").repartition(4)
+    left = [(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()]
+    assert len(left) == 4 and all(n == len(t or "") for _, t, n in left)
+    assert {(a, None if a == 7 else t) for a, t, _ in left} == {(7, None), (8, other + " end"), (None, None), (5, "alone")}
