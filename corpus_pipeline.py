@@ -38,11 +38,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id, once if it is repeated. Rows without an id stay."""
-    groups = jaccard.similar_documents(docs)
-    keepers = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keepers, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group: that with the smallest id, of equal ids that whose text has the smallest digest; rows without an id come last.
+
+    Rows are told apart by id and text, so that ids which are missing or stand at several
+    texts take part; a row that is repeated as a whole stays once.
+    """
+    doc = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("unnamed"), doc.alias("doc"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")))
+    groups = jaccard.similar_documents(keyed.select("__key", "text"), id="__key")
+    keepers = groups.where("__key = component_id").select("__key").distinct()
+    return keyed.join(keepers, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
