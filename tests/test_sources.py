@@ -130,3 +130,35 @@ def test_publish_and_read_a_split(spark):
     assert tables.read_split(spark, "plain").count() == 3
 
 
+
+
+def test_a_replaced_table_is_there_all_the_time(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.save_table(spark.range(5), path)
+    broken = spark.range(9).withColumn("id", F.when(F.col("id") < 8, F.col("id")).otherwise(F.raise_error(F.lit("half way")).cast("long")))
+    for _ in range(2):
+        with pytest.raises(Exception, match="half way"):
+            tables.save_table(broken, path, overwrite=True)
+        assert sorted(r["id"] for r in tables.read_table(spark, path).collect()) == list(range(5))
+    reading = tables.read_table(spark, path)
+    tables.save_table(reading.select((F.col("id") * 2).alias("id")), path, overwrite=True)  # made from the table itself
+    assert sorted(r["id"] for r in tables.read_table(spark, path).collect()) == [0, 2, 4, 6, 8]
+    reading = tables.read_table(spark, path)
+    tables.save_table(spark.range(3).withColumn("part", F.col("id") % 2), path, overwrite=True, partition_by=("part",))
+    assert reading.count() == 5  # whoever began with the snapshot before can end
+    assert sorted(tuple(r) for r in tables.read_table(spark, path).select("id", "part").collect()) == [(0, 0), (1, 1), (2, 0)]
+    tables.save_table(spark.range(1), path, overwrite=True)
+    assert len(list((tmp_path / "t").glob("_snapshot-*"))) == 2 and tables.read_table(spark, path).count() == 1
+
+
+def test_rows_are_counted_as_they_are_written(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.save_table(spark.range(100), path, expect=100)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("save", "save")
+    with pytest.raises(ValueError, match="99 rows written, 100 expected"):
+        tables.save_table(spark.range(100).where("id <> 7"), path, overwrite=True, expect=100)
+    jobs = len(tracker.getJobIdsForGroup("save"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs == 1
+    assert tables.read_table(spark, path).count() == 100
