@@ -41,6 +41,8 @@ PARTS = 64
 LIST_ROWS = 4096
 #: Up to so many ids are broadcast to the scan that fetches sets (16 bytes each); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
+#: Up to so many classes are broadcast with their keys to the prefixes (some 100 bytes each); beyond, they are joined.
+BROADCAST_NAMES = 100_000
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -212,7 +214,8 @@ def _sharing(rows: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFram
     pairs = _likely(found, classes, "across")
     # One row for each class of these pairs: its whole prefix.
     named = classes.join(_ends(pairs), "__class", "left_semi").select("__a", "__b", F.col("__first").alias("__id"), "__class")
-    prefixes = signed.select("__a", "__b", "__id", "__prefix").join(named, ["__a", "__b", "__id"]).select("__class", "__prefix").dropDuplicates(["__class"])
+    few = named.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
+    prefixes = signed.select("__a", "__b", "__id", "__prefix").join(F.broadcast(named) if few else named, ["__a", "__b", "__id"]).select("__class", "__prefix").dropDuplicates(["__class"])
     joined = _both_ends(pairs, shared.kept(prefixes, "prefixes"), {"__prefix": "__prefix_"})
     return shared.kept(joined.where(F.size(F.array_intersect("__prefix_x", "__prefix_y")) >= F.col("__least")).select("__x", "__y"), "pairs-across")
 
