@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annoframe.llm import decontam, jaccard, lines, packing, shared, toxicity as toxic
@@ -37,14 +37,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _as_documents(lines.dedup_lines(docs), docs)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Id and digest of the text as one string that sorts by id; rows without an id come last."""
+    doc = F.col("doc_id")
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        doc = F.lpad(F.hex(doc.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # in the order of the numbers
+    return F.concat(F.coalesce(F.concat(F.lit("0"), doc.cast("string")), F.lit("1")), F.lit(" "), F.md5(F.coalesce("text", F.lit(""))))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: that with the smallest id, of equal ids that whose text has the smallest digest; rows without an id come last.
 
     Rows are told apart by id and text, so that ids which are missing or stand at several
     texts take part; a row that is repeated as a whole stays once.
     """
-    doc = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
-    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("unnamed"), doc.alias("doc"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")))
+    keyed = docs.withColumn("__key", _row_key(docs))
     groups = jaccard.similar_documents(keyed.select("__key", "text"), id="__key")
     keepers = groups.where("__key = component_id").select("__key").distinct()
     return keyed.join(keepers, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
