@@ -43,9 +43,9 @@ THRESHOLD = 0.3
 BROADCAST_LABELS = 1_000_000
 #: Rows of words or of pairs up to this number are broadcast once they are counted; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-#: Pairs that a task gathers before it sends the different ones on; bytes of text for which there are eight buckets of pairs.
+#: Pairs that a task gathers before it adds them up; bytes of text for which there is a bucket of pairs.
 GATHERED = 1_000_000
-BUCKET_BYTES = 512 << 20
+BUCKET_BYTES = 32 << 20
 #: Means are put on a scale that is linear below ``_FLOOR`` and logarithmic above, with so many bins a unit, up to ``_BINS`` on each side.
 _FLOOR = 1e-3
 _STEPS = 20
@@ -108,20 +108,33 @@ def _unpacked(blob: bytes) -> tuple:
 def _added(parts: list[tuple]) -> tuple:
     """The different pairs of (word, before, counts ...), with the sums of their counts."""
     word, before, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    _, first, of = np.unique(_paired(before, word), return_index=True, return_inverse=True)
-    return word[first], before[first], *(np.bincount(of, n, len(first)).astype(np.int64) for n in counts)
+    keys = _paired(before, word)
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    first = order[starts]
+    return word[first], before[first], *(np.add.reduceat(n[order], starts) if len(n) else n for n in counts)
 
 
-def _merged(rows: DataFrame, text: str, n_bytes: int, classes: bool, result, schema: str) -> DataFrame:
-    """``result`` of every bucket of different pairs, of which each stands in one: (word, before), for classes with the counts of both.
+def _buckets(n_bytes: int) -> tuple[int, int]:
+    """Into how many buckets words are dealt, and the words before one word: a frequent word meets ever more of them."""
+    buckets = max(8, -(-n_bytes // BUCKET_BYTES))
+    before = 1 << max(1, int(np.log2(np.sqrt(buckets) / 2)))
+    return -(-buckets // before), before
 
-    Tasks send what they hold packed, by buckets of about equal size: a word has eight.
+
+def _counted(rows: DataFrame, text: str, n_bytes: int) -> DataFrame:
+    """Different pairs of a class (word, before, n0, n1), and rows of words (before is NULL): every, c0, c1.
+
+    These say how many words a word follows, in all documents and in each class; a word
+    has one such row for each bucket of the words before it. Tasks send the pairs they
+    hold packed, by buckets of about equal size, so that each pair meets in one.
     """
-    groups = max(4, -(-n_bytes // BUCKET_BYTES))
+    of_word, of_before = _buckets(n_bytes)
 
     def rows_of(pairs: tuple) -> pa.RecordBatch:
         word, before, *counts = pairs
-        bucket = ((word >> np.uint64(8)) % np.uint64(groups) * np.uint64(8) + before % np.uint64(8)).astype(np.int64)
+        bucket = ((word >> np.uint64(8)) % np.uint64(of_word) * np.uint64(of_before) + before % np.uint64(of_before)).astype(np.int64)
         order = np.lexsort((before, word, bucket))
         word, before, bucket, *counts = (x[order] for x in (word, before, bucket, *counts))
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
@@ -134,7 +147,7 @@ def _merged(rows: DataFrame, text: str, n_bytes: int, classes: bool, result, sch
             for piece in shared.slices(batch, text, 2 << 20):
                 word, before, firsts = _places(shared.column(piece, text))
                 own = np.repeat(shared.column(piece, "__class").to_numpy(zero_copy_only=False), np.diff(firsts))
-                parts.append(_added([(word, before, *((own == c).astype(np.int64) for c in (0, 1) if classes))]))
+                parts.append(_added([(word, before, *((own == c).astype(np.int64) for c in (0, 1)))]))
                 size += len(parts[-1][0])
                 if size > GATHERED:
                     parts = [_added(parts)]
@@ -145,23 +158,35 @@ def _merged(rows: DataFrame, text: str, n_bytes: int, classes: bool, result, sch
         if size:
             yield rows_of(_added(parts))
 
+    def of_bucket(blobs: Iterator[bytes]) -> tuple:
+        parts, fresh = [], 0
+        for blob in blobs:
+            parts.append(_unpacked(blob))
+            fresh += len(parts[-1][0])
+            if fresh > GATHERED:
+                parts, fresh = [_added(parts)], 0
+        return _added(parts)
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = ((k, blob) for batch in batches for k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         for _, bucket in itertools.groupby(every, lambda row: row[0]):
-            yield result(*_added([_unpacked(blob) for _, blob in bucket]))
+            word, before, *counts = of_bucket(blob for _, blob in bucket)
+            words, of, follows = np.unique(word, return_inverse=True, return_counts=True)
+            in_class = [np.bincount(of[n > 0], minlength=len(words)) for n in counts]
+            known = np.flatnonzero((counts[0] > 0) | (counts[1] > 0))
+            none, missing = pa.nulls(len(known), pa.int64()), pa.nulls(len(words), pa.int64())
+            yield _wide(word[known], before[known], *(n[known] for n in counts), none, none, none)
+            yield _wide(words, missing, missing, missing, follows, *in_class)
 
     packed = shared.in_batches(rows.select(text, "__class"), count, "bucket long, blob binary")
-    return shared.in_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), merge, schema)
+    return shared.in_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), merge, ", ".join(f"{n} long" for n in _WIDE))
 
 
-def _following(word: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
-    """How many words each word follows."""
-    words, n = np.unique(word, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "every"])
+_WIDE = ("word", "before", "n0", "n1", "every", "c0", "c1")
 
 
-def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["word", "before", "n0", "n1"])
+def _wide(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns], names=list(_WIDE))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +205,55 @@ def _gated(ratio: Column) -> Column:
     return F.signum(ratio) * F.greatest(F.abs(ratio) - GATE, F.lit(0.0))
 
 
+def _taken(count: Column) -> Column:
+    return F.least(count.cast("double"), F.lit(DISCOUNT))
+
+
+@dataclass
+class Likelihoods:
+    """Both models: the probabilities of class 0 and 1, as tables."""
+
+    #: (word, p0, p1) of words that a class has.
+    words: DataFrame | None
+    #: (before, word, n0, n1, p0, p1, q0, q1) of pairs that a class has more often than the discount takes; q: after the word before.
+    pairs: DataFrame | None
+    #: Logarithm of what the toxic class frees to the backoff over what the ordinary one does.
+    freed: float
+
+
+def likelihoods(rows: DataFrame, text: str, n_bytes: int) -> Likelihoods:
+    """The models of (text, ``__class``), class 0 and 1, and -1 for documents that the backoff alone counts.
+
+    Where a class has no word there are no tables, and ``freed`` is infinite with the sign of the other.
+    """
+    counted = shared.kept(_counted(rows, text, n_bytes), "pairs")
+    pairs = counted.where("before IS NOT NULL").select("word", "before", "n0", "n1")
+    follows = shared.kept(counted.where("before IS NULL").groupBy("word").agg(*(F.sum(n).alias(n) for n in _WIDE[4:])), "continuations")
+    of_words = follows.agg(F.count("*").alias("words"), *(F.sum(n).alias(n) for n in _WIDE[4:]), *(F.sum(_taken(F.col(n))).alias(f"of_{n}") for n in _WIDE[5:])).first()
+    if not of_words["c0"] or not of_words["c1"]:
+        return Likelihoods(None, None, np.inf if of_words["c1"] else -np.inf)
+
+    backoff = (F.col("every") + 0.5) / float(of_words["every"] + 0.5 * of_words["words"])
+    probabilities, freed = [], []
+    for c in ("c0", "c1"):
+        freed.append(float(of_words[f"of_{c}"] / of_words[c]))
+        probabilities.append((F.col(c) - _taken(F.col(c))) / float(of_words[c]) + freed[-1] * backoff)
+    words = follows.where("c0 > 0 OR c1 > 0").select("word", *(p.alias(f"p{c}") for c, p in enumerate(probabilities)))
+
+    # What the word before adds, for pairs that a class holds more often than the discount takes.
+    contexts = pairs.groupBy("before").agg(
+        *(F.sum(f"n{c}").alias(f"all{c}") for c in (0, 1)), *(F.sum(_taken(F.col(f"n{c}"))).alias(f"freed{c}") for c in (0, 1))
+    )
+    met = _looked_up(_looked_up(pairs.where(f"n0 > {DISCOUNT} OR n1 > {DISCOUNT}"), contexts, "before"), words, "word")
+
+    def after(c: int) -> Column:
+        n = F.col(f"all{c}")
+        return F.when(n > 0, (F.col(f"n{c}") - _taken(F.col(f"n{c}"))) / n + F.col(f"freed{c}") / n * F.col(f"p{c}")).otherwise(F.col(f"p{c}"))
+
+    met = met.select("before", "word", "n0", "n1", "p0", "p1", *(after(c).alias(f"q{c}") for c in (0, 1)))
+    return Likelihoods(words, met, float(np.log(freed[1]) - np.log(freed[0])))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Count words over all documents, learn classes from labelled rows where ``learn`` holds, fit the calibration.
 
@@ -187,47 +261,21 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     these rows calibrates, the rest is counted. A class without rows leaves all scores at
     the share of the other one.
     """
-    spark = docs.sparkSession
-    shared.ship(spark)
+    shared.ship(docs.sparkSession)
     rows = labelled(docs, labels, id, text, label)
     learn = F.lit(True) if learn is None else learn
     reserved = (F.floor(shared.crc_of_id(F.col("__id")) / 4) % CALIBRATION) == 0
-    use = F.when(learn & F.col("__label").isNotNull(), F.when(reserved, F.lit(-1)).otherwise(F.col("__label"))).otherwise(F.lit(-1))
+    use = F.when(learn & F.col("__label").isNotNull(), F.when(reserved, F.lit(-1)).otherwise((F.col("__label") > 0).cast("int"))).otherwise(F.lit(-1))
     rows = rows.select(text, "__label", F.coalesce(use, F.lit(-1)).alias("__class"), F.coalesce(learn & reserved, F.lit(False)).alias("__calibrates"))
 
-    # Counts of pairs in the classes, and continuation counts of every word in the whole corpus and in each class.
     n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    counted = shared.kept(_merged(rows.where("__class >= 0"), text, n_bytes, True, _pairs, "word long, before long, n0 long, n1 long"), "pairs")
-    follows = _merged(rows, text, n_bytes, False, _following, "word long, every long").groupBy("word").agg(F.sum("every").alias("every"))
-    in_class = counted.groupBy("word").agg(*(F.count(F.when(F.col(f"n{c}") > 0, 1)).alias(f"c{c}") for c in (0, 1)))
-    follows = shared.kept(follows.join(in_class, "word", "left").na.fill(0, ["c0", "c1"]), "continuations")
-    sums = follows.agg(
-        F.count("*").alias("words"), F.sum("every").alias("every"),
-        *(F.sum(f"c{c}").alias(f"c{c}") for c in (0, 1)), *(F.sum(F.least(F.col(f"c{c}").cast("double"), F.lit(DISCOUNT))).alias(f"f{c}") for c in (0, 1)),
-    ).first()
-    if not sums["c0"] or not sums["c1"]:
-        share = float(bool(sums["c1"]))
-        return Model(weights=(30.0 * (2 * share - 1), 0.0, 0.0))
-    backoff = (F.col("every") + 0.5) / float(sums["every"] + 0.5 * sums["words"])
-    known = follows.where("c0 > 0 OR c1 > 0").select(
-        "word", *((F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) / float(sums[f"c{c}"]) + float(sums[f"f{c}"] / sums[f"c{c}"]) * backoff).alias(f"p{c}") for c in (0, 1))
-    )
+    both = likelihoods(rows, text, n_bytes)
+    if both.words is None:
+        return Model(weights=(30.0 if both.freed > 0 else -30.0, 0.0, 0.0))
     ratio = F.log("p1") - F.log("p0")
-    other = float(np.log(sums["f1"] / sums["c1"]) - np.log(sums["f0"] / sums["c0"]))
-    model = Model(other=float(np.sign(other) * max(abs(other) - GATE, 0)))
-    model.words = shared.kept(known.select(F.col("word").alias("key"), (_gated(ratio) - model.other).alias("value")).where("abs(value) > 1e-9"), "words")
-
-    # What the word before adds, for pairs that a class holds more often than the discount takes.
-    contexts = counted.groupBy("before").agg(
-        *(F.sum(f"n{c}").alias(f"all{c}") for c in (0, 1)), *(F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(DISCOUNT))).alias(f"freed{c}") for c in (0, 1))
-    )
-    pairs = _looked_up(_looked_up(counted.where(f"n0 > {DISCOUNT} OR n1 > {DISCOUNT}"), contexts, "before"), known, "word")
-
-    def after(c: int) -> Column:
-        n = F.col(f"all{c}")
-        return F.when(n > 0, F.greatest(F.col(f"n{c}") - DISCOUNT, F.lit(0.0)) / n + F.col(f"freed{c}") / n * F.col(f"p{c}")).otherwise(F.col(f"p{c}"))
-
-    values = pairs.select("before", "word", _gated(F.log(after(1)) - F.log(after(0)) - ratio).alias("value")).where("value <> 0")
+    model = Model(other=float(np.sign(both.freed) * max(abs(both.freed) - GATE, 0)))
+    model.words = shared.kept(both.words.select(F.col("word").alias("key"), (_gated(ratio) - model.other).alias("value")).where("abs(value) > 1e-9"), "words")
+    values = both.pairs.select("before", "word", _gated(F.log("q1") - F.log("q0") - ratio).alias("value")).where("value <> 0")
     model.pairs = shared.kept(shared.in_batches(values, _keyed, "key long, value double"), "pair-values")
     model.weights = _calibrated(rows.where("__calibrates AND __label IS NOT NULL").select(text, "__label"), model, text)
     return model
