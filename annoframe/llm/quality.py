@@ -3,7 +3,8 @@
 Words and pairs of words are hashed into two multinomials, one over all documents and
 one over trusted ones, the latter smoothed by the former. A document's ratio is the mean
 over its words and pairs, so that its length does not matter. One threshold, found on
-labelled rows that were not counted as trusted, holds for every document.
+labelled rows that may be learned from but were not counted as trusted, holds for every
+document.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from annoframe.llm import shared
 from annoframe.llm.toxicity import labelled
 from annoframe.llm.words import NOT_SPACE, SPACES, byte_table, runs, words_of
 
+#: One in so many labelled rows is kept for the threshold.
+CALIBRATION = 4
 FEATURES = 1 << 16
 WIDTH = 5
 LEAST_WORDS = 10
@@ -63,13 +66,17 @@ def _ratios(hashes: np.ndarray, firsts: np.ndarray, ratio: np.ndarray) -> np.nda
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Count all documents as raw, and trusted ones (label above 0) where ``learn`` (of ``__id``) holds.
 
-    The labelled rows where ``learn`` does not hold give the threshold: the middle of the
-    ratios that part both labels best. Without rows of both labels nothing is rejected.
+    A quarter of the labelled rows where ``learn`` holds is not counted as trusted and gives
+    the threshold: the middle of the ratios that part both labels best; of several such
+    ranges, from the first to the last. Without rows of both labels there nothing is
+    rejected. Rows where ``learn`` does not hold are raw text alone.
     """
     spark = docs.sparkSession
     shared.ship(spark)
     learn = F.lit(True) if learn is None else learn
-    rows = labelled(docs, labels, id, text, label).select(text, "__label", F.coalesce(learn, F.lit(False)).alias("__learn"))
+    rows = labelled(docs, labels, id, text, label)
+    reserved = F.floor(shared.crc_of_id(F.col("__id")) / 4) % CALIBRATION == 0
+    rows = rows.select(text, "__label", *(F.coalesce(learn & x, F.lit(False)).alias(name) for name, x in (("__learn", ~reserved), ("__calibrates", reserved))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         out = {"raw": np.zeros(FEATURES, np.int64), "trusted": np.zeros(FEATURES, np.int64)}
@@ -96,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
                 enough = pa.array(np.diff(firsts) >= LEAST_WORDS)
                 yield pa.RecordBatch.from_arrays([pa.array(at), shared.column(piece, "__label")], names=["bin", "label"]).filter(enough)
 
-    judged = rows.where("NOT __learn AND __label IS NOT NULL").select(text, "__label")
+    judged = rows.where("__calibrates AND __label IS NOT NULL").select(text, "__label")
     seen = np.zeros((2, _BINS))
     for row in shared.in_batches(judged, bins, "bin int, label int").groupBy("bin", "label").count().collect():
         seen[int(row["label"] > 0), row["bin"]] += row["count"]
