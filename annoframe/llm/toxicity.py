@@ -12,8 +12,8 @@ A difference within ``GATE`` counts as none and greater ones as what they have a
 there the smaller class knows too little. How much each of the two means weighs is fitted
 on labelled rows that the counts don't hold, as weights of orders are.
 
-Counts are rows of tables keyed by 64-bit hashes of words and of pairs of words; they grow
-with the vocabulary. Rows whose difference is none are left out of what scores.
+Counts are rows of tables keyed by hashes of words (64 bits, 48 of the word before) and of
+pairs of words; they grow with the vocabulary. Rows whose difference is none are left out of what scores.
 """
 
 from __future__ import annotations
@@ -44,12 +44,14 @@ BROADCAST_LABELS = 1_000_000
 #: Rows of words or of pairs up to this number are broadcast once they are counted; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Pairs that a task gathers before it adds them up; bytes of text for which there is a bucket of pairs.
-GATHERED = 1_000_000
+GATHERED = 1_500_000
 BUCKET_BYTES = 32 << 20
 #: Means are put on a scale that is linear below ``_FLOOR`` and logarithmic above, with so many bins a unit, up to ``_BINS`` on each side.
 _FLOOR = 1e-3
 _STEPS = 20
 _BINS = 256
+#: Bytes of the hash of a word before.
+_SHORT = 6
 
 
 @dataclass
@@ -68,7 +70,7 @@ def _places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words and of the words before them (1 at the start of a text), and the first word of each text."""
     _, _, hashes, firsts = words_of(*shared.utf8(texts), ALPHANUMERIC, lower=True)
     before = np.empty_like(hashes)
-    before[1:] = hashes[:-1]
+    before[1:] = hashes[:-1] & np.uint64((1 << 8 * _SHORT) - 1)
     before[firsts[:-1][np.diff(firsts) > 0]] = np.uint64(1)
     return hashes, before, firsts
 
@@ -97,12 +99,15 @@ def _packed(word: np.ndarray, before: np.ndarray, *counts: np.ndarray) -> bytes:
     """Pairs in order of their words: each different hash stands once, in full."""
     words, per_word = np.unique(word, return_counts=True)
     befores, of = np.unique(before, return_inverse=True)
-    return pickle.dumps((words.tobytes(), _planes(per_word), befores.tobytes(), _planes(of), [_planes(n) for n in counts]), 5)
+    short = befores.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SHORT].tobytes()
+    return pickle.dumps((words.tobytes(), _planes(per_word), short, _planes(of), [_planes(n) for n in counts]), 5)
 
 
 def _unpacked(blob: bytes) -> tuple:
-    words, per_word, befores, of, counts = pickle.loads(blob)
-    return np.repeat(np.frombuffer(words, np.uint64), _numbers(per_word)), np.frombuffer(befores, np.uint64)[_numbers(of)], *map(_numbers, counts)
+    words, per_word, short, of, counts = pickle.loads(blob)
+    befores = np.zeros((len(short) // _SHORT, 8), np.uint8)
+    befores[:, :_SHORT] = np.frombuffer(short, np.uint8).reshape(-1, _SHORT)
+    return np.repeat(np.frombuffer(words, np.uint64), _numbers(per_word)), befores.view("<u8").ravel()[_numbers(of)], *map(_numbers, counts)
 
 
 def _added(parts: list[tuple]) -> tuple:
@@ -119,16 +124,19 @@ def _added(parts: list[tuple]) -> tuple:
 def _buckets(n_bytes: int) -> tuple[int, int]:
     """Into how many buckets words are dealt, and the words before one word: a frequent word meets ever more of them."""
     buckets = max(8, -(-n_bytes // BUCKET_BYTES))
-    before = 1 << max(1, int(np.log2(np.sqrt(buckets) / 2)))
+    before = 1 << max(1, int(np.log2(np.sqrt(buckets))))
     return -(-buckets // before), before
 
 
 def _counted(rows: DataFrame, text: str, n_bytes: int) -> DataFrame:
-    """Different pairs of a class (word, before, n0, n1), and rows of words (before is NULL): every, c0, c1.
-
-    These say how many words a word follows, in all documents and in each class; a word
-    has one such row for each bucket of the words before it. Tasks send the pairs they
-    hold packed, by buckets of about equal size, so that each pair meets in one.
+    """Three kinds of rows, from all different pairs.
+
+    Pairs that a class has more often than the discount takes: word, before, n0, n1. Words
+    (before is NULL): every, c0, c1, how many words they follow, in all documents and in
+    each class. Words before others (word is NULL): n0, n1, f0, f1, what stands after them
+    in each class and how much discounts take of it. Rows of words and of words before are
+    parts to be summed, one for each bucket. Tasks send the pairs they hold packed, by
+    buckets of about equal size, so that each pair meets in one.
     """
     of_word, of_before = _buckets(n_bytes)
 
@@ -147,7 +155,7 @@ def _counted(rows: DataFrame, text: str, n_bytes: int) -> DataFrame:
             for piece in shared.slices(batch, text, 2 << 20):
                 word, before, firsts = _places(shared.column(piece, text))
                 own = np.repeat(shared.column(piece, "__class").to_numpy(zero_copy_only=False), np.diff(firsts))
-                parts.append(_added([(word, before, *((own == c).astype(np.int64) for c in (0, 1)))]))
+                parts.append(_added([(word, before, *((own == c).astype(np.int32) for c in (0, 1)))]))
                 size += len(parts[-1][0])
                 if size > GATHERED:
                     parts = [_added(parts)]
@@ -173,20 +181,28 @@ def _counted(rows: DataFrame, text: str, n_bytes: int) -> DataFrame:
             word, before, *counts = of_bucket(blob for _, blob in bucket)
             words, of, follows = np.unique(word, return_inverse=True, return_counts=True)
             in_class = [np.bincount(of[n > 0], minlength=len(words)) for n in counts]
+            yield _wide(word=words, every=follows, c0=in_class[0], c1=in_class[1])
             known = np.flatnonzero((counts[0] > 0) | (counts[1] > 0))
-            none, missing = pa.nulls(len(known), pa.int64()), pa.nulls(len(words), pa.int64())
-            yield _wide(word[known], before[known], *(n[known] for n in counts), none, none, none)
-            yield _wide(words, missing, missing, missing, follows, *in_class)
+            word, before, counts = word[known], before[known], [n[known] for n in counts]
+            befores, of = np.unique(before, return_inverse=True)
+            after = [np.bincount(of, n, len(befores)) for n in counts]
+            taken = [np.bincount(of, np.minimum(n, DISCOUNT), len(befores)) for n in counts]
+            yield _wide(before=befores, n0=after[0], n1=after[1], f0=taken[0], f1=taken[1])
+            often = (counts[0] > DISCOUNT) | (counts[1] > DISCOUNT)
+            yield _wide(word=word[often], before=before[often], n0=counts[0][often], n1=counts[1][often])
 
     packed = shared.in_batches(rows.select(text, "__class"), count, "bucket long, blob binary")
-    return shared.in_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), merge, ", ".join(f"{n} long" for n in _WIDE))
+    return shared.in_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), merge, ", ".join(f"{n} {kind}" for n, kind in _WIDE.items()))
 
 
-_WIDE = ("word", "before", "n0", "n1", "every", "c0", "c1")
+_WIDE = {"word": "long", "before": "long", "n0": "long", "n1": "long", "every": "long", "c0": "long", "c1": "long", "f0": "double", "f1": "double"}
 
 
-def _wide(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(np.int64)) for c in columns], names=list(_WIDE))
+def _wide(**columns: np.ndarray) -> pa.RecordBatch:
+    size = len(next(iter(columns.values())))
+    kinds = {name: pa.int64() if kind == "long" else pa.float64() for name, kind in _WIDE.items()}
+    arrays = [pa.array(columns[name].astype(np.int64 if kind == pa.int64() else float)) if name in columns else pa.nulls(size, kind) for name, kind in kinds.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(_WIDE))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +217,13 @@ def _looked_up(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.join(F.broadcast(right), on, "left") if few else lookup_join(left, right, [on])
 
 
+def _met(table: DataFrame, pairs: DataFrame, on: str) -> DataFrame:
+    """The rows whose key stands in the pairs, if these keys are few enough for a broadcast; else all rows."""
+    keys = pairs.select(on).distinct()
+    few = keys.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2
+    return table.join(F.broadcast(keys), on, "left_semi") if few else table
+
+
 def _gated(ratio: Column) -> Column:
     return F.signum(ratio) * F.greatest(F.abs(ratio) - GATE, F.lit(0.0))
 
@@ -227,9 +250,9 @@ def likelihoods(rows: DataFrame, text: str, n_bytes: int) -> Likelihoods:
     Where a class has no word there are no tables, and ``freed`` is infinite with the sign of the other.
     """
     counted = shared.kept(_counted(rows, text, n_bytes), "pairs")
-    pairs = counted.where("before IS NOT NULL").select("word", "before", "n0", "n1")
-    follows = shared.kept(counted.where("before IS NULL").groupBy("word").agg(*(F.sum(n).alias(n) for n in _WIDE[4:])), "continuations")
-    of_words = follows.agg(F.count("*").alias("words"), *(F.sum(n).alias(n) for n in _WIDE[4:]), *(F.sum(_taken(F.col(n))).alias(f"of_{n}") for n in _WIDE[5:])).first()
+    pairs = counted.where("word IS NOT NULL AND before IS NOT NULL").select("word", "before", "n0", "n1")
+    follows = shared.kept(counted.where("before IS NULL").groupBy("word").agg(*(F.sum(n).alias(n) for n in ("every", "c0", "c1"))), "continuations")
+    of_words = follows.agg(F.count("*").alias("words"), *(F.sum(n).alias(n) for n in ("every", "c0", "c1")), *(F.sum(_taken(F.col(n))).alias(f"of_{n}") for n in ("c0", "c1"))).first()
     if not of_words["c0"] or not of_words["c1"]:
         return Likelihoods(None, None, np.inf if of_words["c1"] else -np.inf)
 
@@ -241,10 +264,10 @@ def likelihoods(rows: DataFrame, text: str, n_bytes: int) -> Likelihoods:
     words = follows.where("c0 > 0 OR c1 > 0").select("word", *(p.alias(f"p{c}") for c, p in enumerate(probabilities)))
 
     # What the word before adds, for pairs that a class holds more often than the discount takes.
-    contexts = pairs.groupBy("before").agg(
-        *(F.sum(f"n{c}").alias(f"all{c}") for c in (0, 1)), *(F.sum(_taken(F.col(f"n{c}"))).alias(f"freed{c}") for c in (0, 1))
+    contexts = _met(counted.where("word IS NULL").select("before", "n0", "n1", "f0", "f1"), pairs, "before").groupBy("before").agg(
+        *(F.sum(f"n{c}").alias(f"all{c}") for c in (0, 1)), *(F.sum(f"f{c}").alias(f"freed{c}") for c in (0, 1))
     )
-    met = _looked_up(_looked_up(pairs.where(f"n0 > {DISCOUNT} OR n1 > {DISCOUNT}"), contexts, "before"), words, "word")
+    met = _looked_up(_looked_up(pairs, shared.kept(contexts, "contexts"), "before"), _met(words, pairs, "word"), "word")
 
     def after(c: int) -> Column:
         n = F.col(f"all{c}")
