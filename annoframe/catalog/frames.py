@@ -178,6 +178,22 @@ def stem_mixdown(t: Tables) -> DataFrame:
     return mixed.select("segment_id", "t", F.round("vocals", 6).alias("vocals"), F.round("others", 6).alias("others"))
 
 
+@query(
+    """
+    WITH x AS (SELECT label, vec_id % 4 = 3 AS voice, vec_id // 4 % 3 AS channel,
+                 generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+    c AS (SELECT label, i, channel, sum(v) FILTER (WHERE voice) AS vocals, sum(v) FILTER (WHERE NOT voice) AS others
+          FROM x GROUP BY label, i, channel),
+    m AS (SELECT label, i, avg(vocals) AS vocals, avg(others) AS others FROM c GROUP BY label, i)
+    SELECT label, list(round(vocals, 6) ORDER BY i) AS vocals, list(round(others, 6) ORDER BY i) AS others FROM m GROUP BY label
+    """
+)
+def stem_mixdown_arrays(t: Tables) -> DataFrame:
+    stems = t.embeddings.select("label", "vec_id", F.floor(F.col("vec_id") / 4 % 3).alias("channel"), "embedding")
+    mixed = frames.stem_mixdown_arrays(stems, F.col("vec_id") % 4 == 3, "label", "channel", "embedding")
+    return mixed.withColumns({name: F.transform(name, lambda x: F.round(x, 6)) for name in ("vocals", "others")})
+
+
 SOUNDS = {"urgent": "ɜːdʒənt", "high": "haɪ", "medium": "miːdiəm", "low": "loʊ"}
 TRANSCRIBED_SQL = "o_orderpriority"
 for word, sounds in SOUNDS.items():

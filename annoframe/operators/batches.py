@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from .lookup import unfinished
+from .lookup import key_digest, unfinished
 
 BatchFunction = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -84,6 +85,21 @@ def finished(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+LEDGER_SCHEMA = "rounds int, round int, digest array<long>"
+
+
+def ledger_path(path: str) -> str:
+    """Where the finished rounds of the results in ``path`` are noted: beside them."""
+    return f"{path.rstrip('/')}-ledger"
+
+
+def round_digests(todo: DataFrame, turn: Column, on: Sequence[str], rounds: int) -> dict[int, list[int]]:
+    """For each round that has rows: how many, keys without a value, and the digest of all keys; ``rounds`` rows at most."""
+    missing = reduce(Column.__or__, [F.col(name).isNull() for name in on])
+    fields = [F.count(F.when(missing, True)).alias("nulls"), *key_digest(on)]
+    return {row["round"]: list(row)[1:] for row in todo.groupBy(turn.cast("int").alias("round")).agg(*fields).collect()}
+
+
 def run_resumable(
     todo: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, schema: StructType, on: Sequence[str],
     rounds: int = 1,
@@ -92,12 +108,25 @@ def run_resumable(
 
     The rows are worked off in ``rounds`` appends, parted by a hash of the key; an
     append is committed whole or not at all, so after a crash the same call goes
-    on with the first round that is not complete. Every round reads ``todo``: with
-    more than one, give it a saved table.
+    on with the first round that is not complete. A ledger beside the results notes each
+    finished round with the digest of its keys in ``todo``: a round that it knows with the same
+    digest is passed over, and neither its results nor its rows are read again. Only
+    another round (not noted, or with other rows by now) is held against the results. A
+    crash between an append and its note costs one such comparison. The ledger is believed:
+    delete it together with results. Every round reads ``todo``, and one pass over its keys
+    finds the digests: give it a saved table.
     """
     spark = todo.sparkSession
     turn = F.pmod(F.xxhash64(*[F.col(name) for name in on]), F.lit(rounds))
-    for number in range(rounds):
+    wanted = round_digests(todo, turn, on, rounds)
+    ledger = ledger_path(path)
+    notes = finished(spark, ledger, StructType.fromDDL(LEDGER_SCHEMA)).where(F.col("rounds") == rounds).collect()
+    known = {(note["round"], tuple(note["digest"])) for note in notes}
+    for number in sorted(wanted):
+        if (number, tuple(wanted[number])) in known:
+            continue
         rest = unfinished(todo.where(turn == number), finished(spark, path, schema), on)
         step(rest).write.mode("append").parquet(path)
+        note = spark.createDataFrame([(rounds, number, wanted[number])], LEDGER_SCHEMA)
+        note.coalesce(1).write.mode("append").parquet(ledger)
     return finished(spark, path, schema)

@@ -147,18 +147,66 @@ def histogram_all(df: DataFrame, specs: Sequence[BinSpec], bins: int = 100) -> D
     """
     clean = df.select(*[B.finite(F.col(f"`{spec.value}`")).alias(f"v{i}") for i, spec in enumerate(specs)])
     measured = bound(clean, "__stats", clean.agg(*[moments(F.col(f"v{i}")).alias(f"s{i}") for i in range(len(specs))]))
-    members, wanted = [], []
+    fields, wanted = [F.any_value("__stats").alias("stats")], []
     for i, spec in enumerate(specs):
         value = F.col(f"v{i}")
-        kept = near_mean(value, F.col("__stats")[f"s{i}"], spec.tolerance)
-        for series, mine in (("before", value.isNotNull()), ("after", kept)):
-            members.append(F.when(mine, F.struct(F.lit(f"{i} {series}").alias("series"), value.alias("value"))))
-            wanted.append((f"{i} {series}", len(spec.labels), spec.lower_range))
-    values = measured.select(F.explode(F.filter(F.array(*members), lambda m: m.isNotNull())).alias("m")).select("m.series", "m.value")
-    counted = _histogram(values, [name for name, _, _ in wanted], bins)
-    parts = F.split("series", " ")
-    label = F.element_at(F.array(*[F.lit(spec.label) for spec in specs]), parts[0].cast("int") + 1)
-    return _marked(counted, values, wanted).select(label.alias("label"), parts[1].alias("series"), "slot", "slot_from", "slot_to", "rows", "edges")
+        kept = F.when(near_mean(value, F.col("__stats")[f"s{i}"], spec.tolerance), value)
+        for number, part in ((2 * i, value), (2 * i + 1, kept)):
+            fields += [F.min(part).alias(f"lo{number}"), F.max(part).alias(f"hi{number}")]
+            wanted.append((f"e{number}", len(spec.labels), spec.lower_range))
+    spans = F.array(*[_span(F.col(f"lo{number}"), F.col(f"hi{number}")) for number in range(len(wanted))])
+    found = edge_row(measured.agg(*fields).withColumn("spans", spans), wanted)
+    found = found.select("stats", "spans", F.array(*[F.col(name) for name, _, _ in wanted]).alias("edges"))
+
+    # One number a value holds its column, its slot before the filter and its slot after it (or none), so that
+    # a row gives one number a column and the counts combine on numbers alone.
+    ranged, codes, own = bound(clean, "__found", found), [], bins * (bins + 1)
+    for i, spec in enumerate(specs):
+        value = F.col(f"v{i}")
+        before, after = (
+            B.histogram_slot(value, F.col("__found.spans")[number]["lo"], F.col("__found.spans")[number]["hi"], bins)
+            for number in (2 * i, 2 * i + 1)
+        )
+        kept = near_mean(value, F.col("__found.stats")[f"s{i}"], spec.tolerance)
+        code = F.lit(i * own) + before * (bins + 1) + F.when(kept, after).otherwise(bins)
+        codes.append(F.when(value.isNotNull(), code))
+    coded = ranged.select(F.array(*codes).alias("codes")).select(F.explode("codes").alias("code")).where(F.col("code").isNotNull())
+    pairs = coded.groupBy("code").agg(F.count(F.lit(1)).alias("rows"))
+    column, rest = _quotient(F.col("code"), own), F.col("code") % own
+    places = F.array(
+        F.struct((column * 2).alias("number"), _quotient(rest, bins + 1).alias("slot")),
+        F.struct((column * 2 + 1).alias("number"), (rest % (bins + 1)).alias("slot")),
+    )
+    counts = pairs.select(F.explode(places).alias("place"), "rows").where(F.col("place.slot") < bins)
+    counts = counts.groupBy("place.number", "place.slot").agg(F.sum("rows").alias("rows"))
+
+    slots = df.sparkSession.range(bins).select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(wanted) - 1).cast("long"))).alias("number"), F.col("id").alias("slot")
+    )
+    listed = bound(slots.join(counts, ["number", "slot"], "left"), "__found", found)
+    span = F.get("__found.spans", F.col("number").cast("int"))
+    width = (span["hi"] - span["lo"]) / F.lit(bins)
+    return listed.select(
+        F.get(F.array(*[F.lit(spec.label) for spec in specs]), _quotient(F.col("number"), 2).cast("int")).alias("label"),
+        F.when(F.col("number") % 2 == 0, "before").otherwise("after").alias("series"),
+        "slot",
+        (span["lo"] + F.col("slot") * width).alias("slot_from"),
+        F.when(F.col("slot") == bins - 1, span["hi"]).otherwise(span["lo"] + (F.col("slot") + 1) * width).alias("slot_to"),
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+        F.get("__found.edges", F.col("number").cast("int")).alias("edges"),
+    )
+
+
+def _quotient(number: Column, by: int) -> Column:
+    """Whole part of a division of numbers that are not negative."""
+    return ((number - number % by) / by).cast("long")
+
+
+def _span(low: Column, high: Column) -> Column:
+    """Range of a histogram: nothing gives 0..1, a single value is widened by a half on each side."""
+    low, high = F.coalesce(low, F.lit(0.0)), F.coalesce(high, F.lit(1.0))
+    single = low == high
+    return F.struct(F.when(single, low - 0.5).otherwise(low).alias("lo"), F.when(single, high + 0.5).otherwise(high).alias("hi"))
 
 
 def histogram_by_before_after(
@@ -181,19 +229,6 @@ def histogram_by_before_after(
     return counted.select(name.alias("category"), parts[1].alias("series"), "slot", "slot_from", "slot_to", "rows")
 
 
-def _marked(counted: DataFrame, values: DataFrame, wanted: Sequence[tuple[str, int, float | None]]) -> DataFrame:
-    """The counts with the equal-width edges of their series, fitted on its values."""
-    bounds = []
-    for i, (name, _, _) in enumerate(wanted):
-        value = F.when(F.col("series") == name, F.col("value"))
-        bounds += [F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
-    marked = bound(counted, "__edges", edge_row(values.agg(*bounds), wanted))
-    own = F.lit(None).cast("array<double>")
-    for name, _, _ in wanted:
-        own = F.when(F.col("series") == name, F.col("__edges")[name]).otherwise(own)
-    return marked.withColumn("edges", own).drop("__edges")
-
-
 def _histogram(values: DataFrame, names: Sequence[str], bins: int) -> DataFrame:
     """Counts per series and slot: ``series, slot, slot_from, slot_to, rows``.
 

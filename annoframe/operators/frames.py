@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoframe.functions import vocabulary as V
@@ -12,6 +12,9 @@ from annoframe.functions import vocabulary as V
 WORD = 64
 RUN = 4096
 
+# Samples of a signal that are columns of one row while stems are added up.
+CHUNK = 32
+
 
 def mean_and_std(frames: DataFrame, value: str, output: str, on: str = "segment_id") -> DataFrame:
     """Mean and sample standard deviation of a frame value per segment."""
@@ -189,3 +192,45 @@ def stem_mixdown(
         F.sum(F.when(vocals, F.col(amplitude))).alias("vocals"), F.sum(F.when(~vocals, F.col(amplitude))).alias("others")
     )
     return by_channel.groupBy(on, sample).agg(F.avg("vocals").alias("vocals"), F.avg("others").alias("others"))
+
+
+def stem_mixdown_arrays(
+    stems: DataFrame, vocals: Column, on: str = "segment_id", channel: str = "channel", samples: str = "samples",
+    length: str | None = None,
+) -> DataFrame:
+    """As :func:`stem_mixdown` for signals as arrays: one row a segment with the arrays ``vocals`` and ``others``.
+
+    ``vocals`` tells the rows of the last stem. Arrays are cut into chunks of ``CHUNK``
+    samples, whose columns are summed and averaged in compiled code and combine before
+    each shuffle, so there is no row a sample, and a segment of any number of stems
+    never stands in one task. A sample that a part lacks is NULL there; a segment without
+    samples has no row.
+    """
+    size = F.size(F.coalesce(F.col(samples), F.array()))
+    if length is not None:
+        size = F.least(size, F.col(length))
+    sized = stems.select(F.col(on), F.col(channel).alias("__channel"), vocals.alias("__vocals"), F.col(samples).alias("__x"), size.alias("__size"))
+    numbers = F.when(F.col("__size") > 0, F.sequence(F.lit(0), F.floor((F.col("__size") - 1) / CHUNK).cast("int")))
+
+    def chunk(number: Column) -> Column:
+        at = number * CHUNK
+        inside = F.sequence(F.lit(0), F.lit(CHUNK - 1))
+        cut = F.transform(inside, lambda k: F.when(at + k < F.col("__size"), F.get("__x", at + k)).cast("double"))
+        return F.struct(number.alias("chunk"), F.least(F.lit(CHUNK), F.col("__size") - at).alias("size"), cut.alias("x"))
+
+    cells = sized.select(on, "__channel", "__vocals", F.explode(F.transform(numbers, chunk)).alias("c"))
+    places = range(CHUNK)
+    by_channel = cells.groupBy(on, "c.chunk", "__channel", "__vocals").agg(
+        F.max("c.size").alias("size"), *[F.sum(F.col("c.x")[k]).alias(f"x{k}") for k in places]
+    )
+    heard = F.col("__vocals")
+    mixed = by_channel.groupBy(on, "chunk").agg(
+        F.max("size").alias("size"),
+        *[F.avg(F.when(heard, F.col(f"x{k}"))).alias(f"v{k}") for k in places],
+        *[F.avg(F.when(~heard, F.col(f"x{k}"))).alias(f"o{k}") for k in places],
+    )
+    rows = mixed.select(on, F.struct(
+        "chunk", *[F.slice(F.array(*[F.col(f"{part}{k}") for k in places]), F.lit(1), F.col("size")).alias(part) for part in "vo"]
+    ).alias("c"))
+    whole = rows.groupBy(on).agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return whole.select(on, F.flatten("c.v").alias("vocals"), F.flatten("c.o").alias("others"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoframe.functions import vocabulary as V
@@ -146,7 +146,7 @@ def annotate(
     """
     wide = stack_sides(sides, on)
     if strict:
-        df = covered(df, wide, list(sides), on)
+        df = covered(df, sides, on)
     joined = df.drop(*[f"{name}{end}" for name in sides for end in ("", "_ori", "_value")]).join(
         wide.drop(*[f"__{name}_rows" for name in sides]), on, "left"
     )
@@ -161,30 +161,75 @@ def annotate(
     )
 
 
-def covered(df: DataFrame, wide: DataFrame, names: Sequence[str], on: str) -> DataFrame:
-    """``df``, failing unless every side has exactly its ids, each once and none of them NULL."""
-    rows = [f"__{name}_rows" for name in names]
-    mine = df.select(on, F.lit(1).alias("__main"), *[F.lit(0).cast("long").alias(name) for name in rows])
-    both = mine.unionByName(wide.select(on, F.lit(0).alias("__main"), *rows))
-    counted = both.groupBy(on).agg(F.sum("__main").alias("__main"), *[F.sum(name).alias(name) for name in rows])
-    bad = reduce(Column.__or__, [F.col(name) != 1 for name in rows], (F.col("__main") != 1) | F.col(on).isNull())
+def key_digest(on: Sequence[str], weight: Column | None = None) -> list[Column]:
+    """Sums that tell multisets of keys apart, in any order: the rows, and both halves of two hashes of the key.
+
+    Each row counts ``weight`` times; with 1 for one table and -1 for another all sums are 0 if
+    both hold the same keys equally often. Sums combine before anything is shuffled. Halves are
+    signed numbers of 32 bits, so their sums stay far from the end of a long. NULLs are not
+    hashed: count them beside.
+    """
+    weight = (F.lit(1) if weight is None else weight).cast("long")
+    keys = [F.col(name) for name in on]
+    parts = []
+    for value in (F.xxhash64(*keys), F.xxhash64(F.lit("second"), *keys)):
+        parts += [F.shiftright(value, 32), F.shiftright(F.shiftleft(value, 32), 32)]
+    sums = [F.sum(weight), *[F.sum(weight * part) for part in parts]]
+    return [F.coalesce(total, F.lit(0)).alias(f"__digest{number}") for number, total in enumerate(sums)]
+
+
+def where_digests_differ(both: DataFrame, on: Sequence[str], weights: Sequence[Column]) -> DataFrame:
+    """All rows if a digest under one of the ``weights`` is not 0 or a key is NULL, else none.
+
+    The digests are one pass over the keys without a shuffle of them; what compares key by
+    key after this has rows only where something is wrong.
+    """
+    fields, odd = [], F.col("__nulls") > 0
+    for number, weight in enumerate(weights):
+        named = [column.alias(f"__digest{number}_{part}") for part, column in enumerate(key_digest(on, weight))]
+        fields += named
+        odd = reduce(Column.__or__, [F.col(f"__digest{number}_{part}") != 0 for part in range(len(named))], odd)
+    missing = reduce(Column.__or__, [F.col(name).isNull() for name in on])
+    return both.where(both.agg(F.count(F.when(missing, True)).alias("__nulls"), *fields).select(odd).scalar())
+
+
+def covered(df: DataFrame, sides: Mapping[str, DataFrame], on: str) -> DataFrame:
+    """``df``, failing unless every side has exactly its ids and none of them is NULL.
+
+    That no id stands twice follows from sides with one row an id, which ``stack_sides`` checks.
+    """
+    tables = [df, *sides.values()]
+    both = reduce(DataFrame.unionAll, [table.select(on, F.lit(number).alias("__table")) for number, table in enumerate(tables)])
+    mine, numbers = F.col("__table") == 0, range(1, len(tables))
+    weights = [F.when(mine, 1).when(F.col("__table") == number, -1).otherwise(0) for number in numbers]
+    rows = [F.count(F.when(F.col("__table") == number, True)).alias(f"__rows{number}") for number in (0, *numbers)]
+    counted = where_digests_differ(both, [on], weights).groupBy(on).agg(*rows)
+    bad = reduce(Column.__or__, [F.col(f"__rows{number}") != 1 for number in (0, *numbers)], F.col(on).isNull())
     wrong = counted.where(bad).agg(F.count(F.lit(1))).scalar()
-    return without_wrong(df, wrong, f"attributes {', '.join(names)}")
+    return without_wrong(df, wrong, f"attributes {', '.join(sides)}")
 
 
-def same_ids(left: DataFrame, right: DataFrame, on: Sequence[str], what: str = "tables") -> DataFrame:
-    """``left``, failing unless both tables hold the same keys, each exactly once and none of them NULL.
+def ids_that_differ(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Column:
+    """A scalar: 0 if both tables hold the same keys, equally often and none of them NULL.
 
-    One aggregation over the keys alone answers for missing keys on either side, for
-    duplicates and for NULL keys; it runs as a scalar subquery before the rows are read.
+    Digests of the keys answer that without a shuffle; only where they differ are the keys
+    themselves compared and the wrong ones counted. Keys that both tables repeat alike are
+    not found here.
     """
     both = left.select(*on, F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
         right.select(*on, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
-    counted = both.groupBy(*on).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    differing = where_digests_differ(both, on, [F.col("l") - F.col("r")])
+    counted = differing.groupBy(*on).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     missing = reduce(Column.__or__, [F.col(name).isNull() for name in on])
-    wrong = counted.where((F.col("l") != 1) | (F.col("r") != 1) | missing).agg(F.count(F.lit(1))).scalar()
-    return without_wrong(left, wrong, what)
+    return counted.where((F.col("l") != 1) | (F.col("r") != 1) | missing).agg(F.count(F.lit(1))).scalar()
+
+
+def without_repeats(df: DataFrame, on: Sequence[str], what: str) -> DataFrame:
+    """``df``, failing where a key stands twice; a join on the same keys needs no further shuffle."""
+    rows = df.withColumn("__rows", F.count(F.lit(1)).over(Window.partitionBy(*on)))
+    key = F.concat_ws(" ", *[F.coalesce(F.col(name).cast("string"), F.lit("NULL")) for name in on])
+    return failing_unless(rows, F.col("__rows") == 1, F.concat(F.lit(f"{what}: more than one row for id "), key)).drop("__rows")
 
 
 def without_wrong(df: DataFrame, wrong: Column, what: str) -> DataFrame:
@@ -199,6 +244,8 @@ def merge_verified(
     """Put two tables with the same ids side by side; the right id stays as ``metadata_{id}``.
 
     Any id missing on either side, any duplicate, any missing split and any NULL is an error.
+    Digests compare the ids of both sides; that none is repeated is seen on the right rows,
+    which the join has by key anyway.
     """
     names = drop.split("+") if isinstance(drop, str) else list(drop)
     right = right.drop(*names)
@@ -206,8 +253,9 @@ def merge_verified(
     shared = sorted((set(left.columns) & set(right.columns)) - set(keys))
     if shared:
         raise ValueError(f"both tables have the columns {shared}; drop them on one side")
-    checked = same_ids(left, right, keys, "merge")
-    return checked.join(right.withColumn(f"metadata_{on}", F.col(on)), keys, "inner")
+    wrong = ids_that_differ(left, right, keys)
+    checked, single = without_wrong(left, wrong, "merge"), without_repeats(without_wrong(right, wrong, "merge"), keys, "merge")
+    return checked.join(single.withColumn(f"metadata_{on}", F.col(on)), keys, "inner")
 
 
 def last_tags(tags: DataFrame, on: str, tag: str, position: str) -> DataFrame:
@@ -225,30 +273,37 @@ def add_tag(
     return joined.withColumn(output, F.coalesce(F.col("__tag"), F.lit(V.MISSING_LABEL))).drop("__tag")
 
 
-def one_row_each(table: DataFrame, on: str, what: str) -> DataFrame:
-    """The table by key, with an error for a key that stands twice."""
-    values = [name for name in table.columns if name != on]
-    rows = table.groupBy(on).agg(*[F.first(name).alias(name) for name in values], F.count(F.lit(1)).alias("__rows"))
-    message = F.concat(F.lit(f"{what}: more than one row for id "), F.coalesce(F.col(on).cast("string"), F.lit("NULL")))
-    return failing_unless(rows, F.col("__rows") == 1, message).drop("__rows")
-
-
 def combine_branches(base: DataFrame, branches: Sequence[DataFrame], on: str = "segment_id") -> DataFrame:
     """Side by side results of independent measurements of the same rows.
 
     Every branch must have exactly one row for each row of the base table: a base row
-    without a branch row, a key that a branch repeats, and a NULL key are errors. Every
-    branch keeps only the key and its own columns, so the checks and all joins share one
-    partitioning by key.
+    without a branch row, a key that a branch repeats, and a NULL key are errors. The rows
+    of all branches are one aggregation by key, which counts them too, and meet the base
+    table in one join.
     """
-    table = base
-    for number, branch in enumerate(branches, 1):
-        found = f"__found{number}"
-        marked = one_row_each(branch, on, f"branch {number}").withColumn(found, F.lit(True))
-        joined = table.join(marked, on, "left")
-        message = F.concat(F.lit(f"branch {number}: no row for id "), F.coalesce(F.col(on).cast("string"), F.lit("NULL")))
-        table = failing_unless(joined, F.col(found).isNotNull(), message).drop(found)
-    return table
+    if not branches:
+        return base
+    names = [[name for name in branch.columns if name != on] for branch in branches]
+    every = [name for own in names for name in own]
+    if len(set(every)) < len(every):
+        raise ValueError(f"branches share the columns {sorted({name for name in every if every.count(name) > 1})}")
+    stacked = reduce(
+        lambda left, right: left.unionByName(right, allowMissingColumns=True),
+        [branch.withColumn("__branch", F.lit(number)) for number, branch in enumerate(branches, 1)],
+    )
+    id_text = F.coalesce(F.col(on).cast("string"), F.lit("NULL"))
+    counts = {number: f"__rows{number}" for number in range(1, len(branches) + 1)}
+    wide = stacked.groupBy(on).agg(
+        *[F.first(f"`{name}`", ignorenulls=True).alias(name) for name in every],
+        *[F.count(F.when(F.col("__branch") == number, True)).alias(name) for number, name in counts.items()],
+    )
+    for number, name in counts.items():
+        wide = failing_unless(wide, F.col(name) <= 1, F.concat(F.lit(f"branch {number}: more than one row for id "), id_text))
+    joined = base.join(wide, on, "left")
+    for number, name in counts.items():
+        found = F.coalesce(F.col(name), F.lit(0)) == 1
+        joined = failing_unless(joined, found, F.concat(F.lit(f"branch {number}: no row for id "), id_text))
+    return joined.drop(*counts.values())
 
 
 def unfinished(df: DataFrame, done: DataFrame, on: Sequence[str] = ("segment_id",)) -> DataFrame:

@@ -127,3 +127,37 @@ def test_a_stopped_run_goes_on_where_it_stopped(spark, tmp_path):
 
 def test_nothing_finished_yet(spark, tmp_path):
     assert batches.finished(spark, str(tmp_path / "absent"), SCHEMA).isEmpty()
+
+
+def test_finished_rounds_are_not_read_again(spark, tmp_path, monkeypatch):
+    path, kept = str(tmp_path / "done"), StructType().add("id", "long").add("twice", "long")
+    compared, worked = [], []
+    plain = batches.unfinished
+    monkeypatch.setattr(batches, "unfinished", lambda todo, done, on: compared.append(len(done.inputFiles())) or plain(todo, done, on))
+
+    def step(rows):
+        worked.append(rows.count())
+        return rows.select("id", (F.col("id") * 2).alias("twice"))
+
+    todo = spark.range(400)
+    first = batches.run_resumable(todo, step, path, kept, ["id"], rounds=4)
+    assert first.count() == 400 and sum(worked) == 400 and len(compared) == 4
+    compared.clear(), worked.clear()
+    assert batches.run_resumable(todo.orderBy(F.desc("id")), step, path, kept, ["id"], rounds=4).count() == 400
+    assert compared == [] and worked == []
+    # One more row: only its round is compared, and only that row is worked on.
+    assert batches.run_resumable(spark.range(401), step, path, kept, ["id"], rounds=4).count() == 401
+    assert len(compared) == 1 and worked == [1]
+    # Another number of rounds knows nothing of these, and still repeats no row.
+    worked.clear()
+    again = batches.run_resumable(spark.range(401), step, path, kept, ["id"], rounds=2)
+    assert again.count() == 401 == again.select("id").distinct().count() and worked == [0, 0]
+
+
+def test_a_round_without_its_note_is_compared(spark, tmp_path):
+    path, kept = str(tmp_path / "done"), StructType().add("id", "long")
+    spark.range(100).write.parquet(path)  # appended, and stopped before the note
+    seen = []
+    rows = batches.run_resumable(spark.range(150), lambda rest: seen.append(rest.count()) or rest, path, kept, ["id"])
+    assert rows.count() == 150 and seen == [50]
+    assert batches.run_resumable(spark.range(0), lambda rest: rest, str(tmp_path / "no"), kept, ["id"]).isEmpty()

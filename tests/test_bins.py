@@ -132,3 +132,26 @@ def test_histogram_per_category_lists_empty_series(spark):
     filled = {(row["series"], row["slot"]): row["rows"] for row in rows if row["rows"]}
     assert filled == {("m", 0): 1, ("m", 3): 1, ("f", 2): 1}
     assert len(rows) == 12
+
+
+def test_histograms_of_all_columns_equal_numpy(spark):
+    columns = {
+        "a": RANDOM.normal(10, 3, 1500).round(1).tolist() + [90.0],
+        "b": [None, math.nan] + RANDOM.uniform(-5, 5, 1499).tolist(),
+        "c": [4.0] * 1501,
+        "d": [None] * 1501,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), ", ".join(f"{name} double" for name in columns))
+    tolerances = {"a": 4.0, "b": 1.0, "c": None, "d": 2.0}
+    specs = [bins.BinSpec(name, f"{name} label", ("x", "y", "z"), tolerances[name]) for name in columns]
+    rows = bins.histogram_all(df, specs, 20).collect()
+    assert len(rows) == 4 * 2 * 20
+    for name, values in columns.items():
+        clean = np.array([value for value in values if value is not None and not math.isnan(value)])
+        near = clean if tolerances[name] is None else clean[np.abs(clean - clean.mean()) < tolerances[name] * clean.std()] if len(clean) else clean
+        for series, part in (("before", clean), ("after", near)):
+            own = sorted((row for row in rows if (row["label"], row["series"]) == (f"{name} label", series)), key=lambda row: row["slot"])
+            counts, edges = np.histogram(part, bins=20)
+            assert [row["rows"] for row in own] == counts.tolist()
+            assert [row["slot_from"] for row in own] + [own[-1]["slot_to"]] == pytest.approx(edges.tolist())
+            assert all(row["edges"] == pytest.approx(np.histogram_bin_edges(part, 3).tolist()) for row in own)

@@ -118,6 +118,36 @@ def test_mixdown_of_many_channels(spark):
         assert (row["others"], row["vocals"]) == (49.5 + row["t"], 149.5 + row["t"])
 
 
+@pytest.mark.parametrize("chunk", [32, 3, 1])
+def test_stems_as_arrays(spark, monkeypatch, chunk):
+    monkeypatch.setattr(frames, "CHUNK", chunk)
+    rows, expected = [], {}
+    for name, stems, channels, samples in (("a", 4, 2, 70), ("b", 2, 1, 32), ("one", 1, 3, 1), ("long", 3, 2, 200)):
+        x = RANDOM.normal(0, 1, (stems, channels, samples))
+        rows += [(name, s, c, x[s, c].tolist(), min(samples, 90)) for s in range(stems) for c in range(channels)]
+        others = x[:-1].sum(0).mean(0) if stems > 1 else np.full(samples, np.nan)
+        expected[name] = x[-1].mean(0)[:90], others[:90]
+        rows = [row if row[0] != name else (*row[:4], row[4]) for row in rows]
+    last = {"a": 3, "b": 1, "one": 0, "long": 2}
+    df = spark.createDataFrame([(*row, row[1] == last[row[0]]) for row in rows] + [("empty", 0, 0, [], 9, True), ("none", 0, 0, None, 9, True)],
+                               "segment_id string, stem int, channel int, samples array<double>, n int, voice boolean")
+    mixed = {row["segment_id"]: row for row in frames.stem_mixdown_arrays(df.repartition(5), F.col("voice"), length="n").collect()}
+    assert mixed.keys() == expected.keys()
+    for name, (vocals, others) in expected.items():
+        np.testing.assert_allclose(np.array(mixed[name]["vocals"], float), vocals)
+        np.testing.assert_allclose(np.array(mixed[name]["others"], float), others)
+
+
+def test_stems_as_arrays_of_different_lengths_equal_the_long_form(spark):
+    rows = [("s", s, c, RANDOM.normal(0, 1, 5 + 31 * s + 7 * c).tolist()) for s in range(3) for c in range(2)]
+    df = spark.createDataFrame(rows, "segment_id string, stem int, channel int, samples array<double>")
+    long = df.select("segment_id", "stem", "channel", F.posexplode("samples").alias("t", "amp"))
+    plain = frames.stem_mixdown(long, 2).toPandas().sort_values("t")
+    row = frames.stem_mixdown_arrays(df, F.col("stem") == 2).first()
+    np.testing.assert_allclose(np.array(row["vocals"], float), plain.vocals)
+    np.testing.assert_allclose(np.array(row["others"], float), plain.others)
+
+
 def test_rates_and_durations(spark):
     df = spark.createDataFrame(
         [("hɛloʊ", 2.0, [0.0] * 32, 16), ("abc", 0.0, [0.0] * 8, 0), ("", 3.0, [], 16), (None, None, None, 16)],

@@ -76,6 +76,39 @@ def test_merge(spark):
             lookup.merge_verified(left, case, split="split").collect()
 
 
+def test_ids_that_both_sides_repeat_are_found(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, x string")
+    right = spark.createDataFrame([(2, 7), (1, 8), (1, 9)], "id int, y int")
+    with pytest.raises(PySparkException, match="merge: more than one row for id 1"):
+        lookup.merge_verified(left, right).collect()
+    swapped = spark.createDataFrame([(2, 7), (2, 8), (1, 9)], "id int, y int")
+    with pytest.raises(PySparkException, match="merge: ids that do not match: 2"):
+        lookup.merge_verified(left, swapped).collect()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_keys_are_compared_only_where_digests_differ(spark, kind):
+    ids = spark.range(5000).select(F.expr(f"cast(id - 2500 AS {kind})").alias("k"), (F.col("id") % 7).alias("m"))
+    cases = {
+        "same": (ids.orderBy("m"), False),
+        "twice": (ids.unionAll(ids.limit(1)), True),
+        "one for another": (ids.withColumn("k", F.when(F.col("k") == "7", F.lit("8").cast(kind)).otherwise(F.col("k"))), True),
+        "no key": (ids.withColumn("k", F.when(F.col("k") != "7", F.col("k"))), True),
+        "none": (ids.limit(0), True),
+    }
+    for name, (other, differs) in cases.items():
+        both = ids.select("k", "m", F.lit(1).alias("w")).unionAll(other.select("k", "m", F.lit(-1).alias("w")))
+        rows = lookup.where_digests_differ(both, ["k", "m"], [F.col("w")]).count()
+        assert (rows > 0) == differs, name
+        assert rows in (0, both.count()), name
+
+
+def test_digests_are_the_same_in_any_order_and_partitioning(spark):
+    ids = spark.range(3000).select((F.col("id") * 977 % 3000).alias("k"))
+    found = {tuple(df.agg(*lookup.key_digest(["k"])).first()) for df in (ids, ids.repartition(5), ids.orderBy("k"), ids.coalesce(1))}
+    assert len(found) == 1 and found.pop()[0] == 3000
+
+
 def test_lookup_join_with_hot_and_null_keys(spark, monkeypatch):
     monkeypatch.setattr(lookup, "TARGET_ROWS", 300)
     keys = F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 500)
@@ -176,3 +209,16 @@ def test_combine_branches_needs_every_row_once(spark, segments):
         lookup.combine_branches(segments, [branch.where("a < 8")]).collect()
     with pytest.raises(PySparkException, match="branch 2: more than one row for id s1"):
         lookup.combine_branches(segments, [branch, branch.where("a = 2").unionAll(branch).withColumnRenamed("a", "b")]).collect()
+
+
+def test_branches_keep_missing_values_and_names(spark, segments):
+    a = segments.select("segment_id", *[F.when(F.col("n") != 3, value).alias(name) for name, value in (("a", F.when(F.col("n") > 1, F.col("n"))), ("t", F.lit("x")))])
+    b = segments.select(F.array(F.col("n")).alias("b"), "segment_id")
+    rows = {row["segment_id"]: (row["n"], row["a"], row["t"], row["b"]) for row in lookup.combine_branches(segments, [a, b]).collect()}
+    assert rows["s0"] == (0, None, "x", [0]) and rows["s3"] == (3, None, None, [3]) and rows["s4"] == (4, 4, "x", [4])
+    assert lookup.combine_branches(segments, []).count() == 5
+    with pytest.raises(ValueError, match="share the columns"):
+        lookup.combine_branches(segments, [a, a])
+    # A key that the base table lacks is not of interest, unless it stands twice.
+    more = b.unionAll(b.limit(1).withColumn("segment_id", F.lit("zz")))
+    assert lookup.combine_branches(segments, [a, more]).count() == 5
