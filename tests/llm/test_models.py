@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -126,15 +127,70 @@ def test_language_of_odd_rows(spark):
     assert {r["__lang"] for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
-def test_language_scores_equal_sums(spark):
-    rows = [(1, "abc abd", "x"), (2, "bcd", "y"), (3, "éa 中", "y")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language.fit(docs)
-    for text, row in zip(("ab", "éabc"), (0, 1), strict=True):
+def test_language_features_of_texts():
+    for text in ("ab", "éabc", ""):
         parts = [f.tolist() for f, _ in language.features(pa.array([text]))]
         assert [len(p) for p in parts] == [max(0, len(text) - n + 1) for n in language.SIZES]
 
 
+def grams(text):
+    text = "".join(c.lower() if c.isascii() else c for c in text)
+    return [text[k : k + n] for n in language.SIZES for k in range(len(text) - n + 1)]
+
+
+LANGUAGE_ROWS = [
+    (1, "abc abd Cab", "x"), (2, "bcd bcd", "y"), (3, "éa 中 bc", "y"), (4, "zz top", "z"), (5, "cab ab", "x"),
+    (6, "le mot", "v"), (7, "der zug", "w"), (8, "le zug 7", None), (9, "", "v"),
+]
+
+
+def plain_posteriors(rows, text):
+    """P(language | text) by counting n-grams as strings; the rows have too few of them for two to share a feature."""
+    by = {}
+    for _, t, lang in rows:
+        if lang is not None and t is not None:
+            by.setdefault(lang, []).append(t)
+    logs = {}
+    for lang, texts in by.items():
+        counts = Counter(g for t in texts for g in grams(t))
+        total = sum(counts.values()) + 0.5 * language.FEATURES
+        logs[lang] = math.log(len(texts) / sum(map(len, by.values()))) + sum(math.log((counts[g] + 0.5) / total) for g in grams(text))
+    high = max(logs.values())
+    mass = sum(math.exp(v - high) for v in logs.values())
+    return {lang: math.exp(v - high) / mass for lang, v in logs.items()}
+
+
+@pytest.mark.parametrize("group", [256, 2, 1])
+def test_language_posteriors_equal_counting(spark, monkeypatch, group):
+    monkeypatch.setattr(language, "GROUP", group)
+    docs = spark.createDataFrame(LANGUAGE_ROWS, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert (model.languages, model.groups) == (list("vwxyz"), -(-5 // group))
+    asked = [t for _, t, _ in LANGUAGE_ROWS if t] + ["abc zug", "q", "中", "bcd der le top " * 3]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate([*asked, None, "", "12 ._"])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["__lang"], r["__score"]) for r in language.predict(table, model).collect()}
+    for k, text in enumerate(asked):
+        expected = plain_posteriors(LANGUAGE_ROWS, text)
+        assert got[k][1] == pytest.approx(expected[got[k][0]], rel=1e-3)
+        assert expected[got[k][0]] == pytest.approx(max(expected.values()), rel=1e-3)
+    assert [got[len(asked) + k] for k in range(3)] == [("und", 0.0)] * 3
+
+
+@pytest.mark.parametrize("group", [256, 1])
+def test_language_ties_go_to_the_first_name(spark, monkeypatch, group):
+    monkeypatch.setattr(language, "GROUP", group)
+    rows = [(k, "same text", name) for k, name in enumerate(["b", "c", "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.predict(docs.select("doc_id", "text"), language.fit(docs)).collect()
+    assert {(r["__lang"], round(r["__score"], 6)) for r in out} == {("a", 0.333333)}
+
+
+def test_language_columns_that_clash_are_errors(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", 0)], "doc_id long, text string, lang string, __Best int")
+    with pytest.raises(ValueError, match="added here: __Best"):
+        language.predict(docs, language.fit(docs))
+
+
 def base_plain(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
