@@ -71,13 +71,6 @@ def test_number_of_scans(name, table, times, spark, tables):
     assert scans(plan(spark, name, tables), table) == times
 
 
-def test_histograms_of_all_columns_combine_numbers(spark, tables):
-    """Each value is one number, counted before it is shuffled; no name of a series travels with it."""
-    text = plan(spark, "histogram_all_columns", tables)
-    assert re.search(r"HashAggregate\(keys=\[code#\d+L\], functions=\[partial_count\(1\)\]", text)
-    assert "Exchange hashpartitioning(code#" in text
-
-
 def test_strict_sides_have_one_check(spark):
     ids = spark.range(10).select(F.col("id").alias("segment_id"))
     sides = {name: ids.select("segment_id", F.lit("x").alias(name), F.lit(1.0).alias(f"{name}_value")) for name in ("a", "b", "c", "d")}
