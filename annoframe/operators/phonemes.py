@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookup import small_or_lookup_join
+from .lookup import measured_bytes, small_or_lookup_join
 
 # The signs a word is made of, and those between words.
 WORD = "[A-Za-z']+"
@@ -13,6 +13,9 @@ WORD = "[A-Za-z']+"
 # as soon as several threads of an executor match it.
 BETWEEN = r"[\x00-&(-@\[-`{-\x{10FFFF}]+"
 
+# Text that one task takes apart, in bytes: its words are sorted in memory, at some 30 bytes for each of the text.
+TASK_BYTES = 4 * 1024 * 1024
+
 
 def word_pieces(df: DataFrame, on: str, text: str) -> DataFrame:
     """One row per word of the whole text: position, word as written and in lower case, signs after it.
@@ -35,7 +38,8 @@ def transcribe(
 ) -> DataFrame:
     """Key and transcription of every row: known words become their sounds, all else stays as written.
 
-    The texts are dealt out by key before they are taken apart. With a lexicon
+    The texts are dealt out by key before they are taken apart, to as many tasks as their
+    measured size asks for, so that no task has more words than it can sort in memory. With a lexicon
     that measures small enough to be broadcast, splitting, lookup and putting
     together then stay in one task per text, and the only thing shuffled is the
     plain text; the result is already partitioned for joins on the key. A larger
@@ -43,7 +47,9 @@ def transcribe(
     no transcription.
     """
     entries = lexicon.groupBy(F.lower(F.col(word)).alias("word")).agg(F.min(F.col(sounds)).alias("sounds"))
-    pieces = word_pieces(df.select(on, text).repartition(on), on, text)
+    texts = df.select(on, text)
+    tasks = -(-measured_bytes(texts.select(text)) // TASK_BYTES) or 1
+    pieces = word_pieces(texts.repartition(tasks, on), on, text)
     found = small_or_lookup_join(pieces, entries, ["word"], [on, "pos"])
     spoken = F.concat(F.coalesce("sounds", "written"), F.col("tail"))
     own = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", spoken.alias("spoken"))))

@@ -97,6 +97,16 @@ def test_transcription(spark, monkeypatch, limit):
     }
 
 
+def test_long_tables_are_transcribed_by_more_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([(str(k), "one two " * 20) for k in range(64)], "segment_id string, text string")
+    lexicon = spark.createDataFrame([("one", "1")], "word string, phonemes string")
+    monkeypatch.setattr(phonemes, "TASK_BYTES", 1024)
+    whole = phonemes.transcribe(df, lexicon)
+    assert whole.rdd.getNumPartitions() == 64 * (160 + lookup.ROW_BYTES) / 1024
+    assert {row["phonemes"] for row in whole.collect()} == {"1 two " * 20}
+    assert phonemes.transcribe(df.limit(0), lexicon).collect() == []
+
+
 def test_transcription_rejects_two_texts_for_an_id(spark):
     df = spark.createDataFrame([("a", "x y"), ("a", "z")], "segment_id string, text string")
     lexicon = spark.createDataFrame([("x", "y")], "word string, phonemes string")
