@@ -73,7 +73,11 @@ def variants_to_columns(
     rows: DataFrame, value: str, on: str = "segment_id", variants: int = V.VARIANTS, number: str = "variant",
     name: str = "text_description",
 ) -> DataFrame:
-    """Variant rows back to one row per key, with one column per variant."""
-    return rows.groupBy(on).agg(
+    """Variant rows back to one row per key, with one column per variant.
+
+    Maxima of strings are found in sorted rows. The rows are dealt out by key before, so that
+    a task sorts its part of the keys and not all the variants of what it has read.
+    """
+    return rows.repartition(on).groupBy(on).agg(
         *[F.max(F.when(F.col(number) == k, F.col(value))).alias(f"{name}{k}") for k in range(1, variants + 1)]
     )

@@ -81,6 +81,14 @@ def test_variants(spark):
     assert wide.columns == ["segment_id", *[f"text_description{k}" for k in range(1, 6)]]
 
 
+def test_variants_are_sorted_only_after_they_are_dealt_out(spark):
+    rows = prompts.variant_rows(spark.range(50).select(F.col("id").cast("string").alias("segment_id")), lambda k: F.lit(str(k)), "text")
+    plan = prompts.variants_to_columns(rows, "text")._jdf.queryExecution().sparkPlan().toString()
+    executed = prompts.variants_to_columns(rows, "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 2  # maxima of strings
+    assert executed.count("Exchange") == 1 and "Sort" not in executed[executed.index("Exchange"):]
+
+
 TEXTS = {
     "a": "Hello, WORLD! it's  fine", "b": "  ...lead", "c": "", "d": None, "e": "123 ?", "f": "été hello\nhello",
 }
