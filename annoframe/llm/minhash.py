@@ -17,6 +17,11 @@ of a member are merged, the long ones are skipped and only asked about what is l
 the threshold is out of reach. Whoever reaches it is compared by sets of short hashes, in the
 same task, so that texts which share a passage and no more don't leave it as pairs. Lists have
 a bounded length; longer ones are dealt to blocks.
+
+What goes to blocks and pairs is short, as it goes there once for every list or pair: hashes
+of 16 bits for a set, a byte for each coordinate of a prefix, and a byte of each minimum where
+two signatures are held against each other. Short hashes can only add to an agreement; links
+are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -168,11 +173,17 @@ def block_pairs(
     return pairs[0], pairs[1]
 
 
+def posts_of(matrix: np.ndarray, rows: np.ndarray, coordinates: np.ndarray) -> np.ndarray:
+    """The posts of signatures of a matrix, one for each row number and coordinate."""
+    return (coordinates.astype(np.int64) << 32) + (matrix[rows, coordinates].astype(np.int64) & 0xFFFFFFFF)
+
+
 def _in_blocks(group: pa.Table) -> pa.Table:
     matrix = group["__sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
     classes, colors, sizes = (group[name].to_numpy() for name in ("__class", "__color", "__size"))
     lists = group["__prefix"].combine_chunks()
-    prefixes = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
+    bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    prefixes = np.split(posts_of(matrix, np.repeat(np.arange(len(lists)), np.diff(bounds)), lists.flatten().to_numpy()), bounds[1:-1])
     lists = group["__short"].combine_chunks()
     sets = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
     pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, group["__post"][0].as_py(), sets)
@@ -197,11 +208,11 @@ def _both_ends(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFrame, label: str, short: bool = False) -> DataFrame:
-    """(class, set) of the named classes, made anew from one document of each: whole hashes, or their lower halves, sorted."""
+    """(class, set) of the named classes, made anew from one document of each: whole hashes, or their lowest 16 bits, sorted."""
     wanted = classes.join(named, "__class", "left_semi").select(F.col("__first").alias("__wanted"), "__class", "__a", "__b")
     wanted = shared.kept(wanted, f"wanted-{label}")
     rows = docs.select(F.col(id), F.col(text)).join(F.broadcast(wanted) if _few(wanted) else wanted, F.col(id) == F.col("__wanted"))
-    name, kind = ("__short", "int") if short else ("__set", "long")
+    name, kind = ("__short", "smallint") if short else ("__set", "long")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +220,8 @@ def _sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFr
                 names, sets = [], []
                 for number, a, b, own in zip(*(shared.column(piece, c).to_pylist() for c in ("__class", "__a", "__b")), shingles_of(shared.column(piece, text)), strict=True):
                     if set_key(own) == (a, b):  # an id may stand at several texts
-                        names.append(number), sets.append(np.sort(own.astype(np.uint32).view(np.int32)) if short else own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, np.int32 if short else np.int64)], names=["__class", name])
+                        names.append(number), sets.append(np.sort(own.astype(np.uint16).view(np.int16)) if short else own.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, np.int16 if short else np.int64)], names=["__class", name])
 
     made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, f"__class long, {name} array<{kind}>").dropDuplicates(["__class"])
     return shared.kept(made, f"sets-{label}")
@@ -225,7 +236,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: D
 
 
 def _shared_posts(classes: DataFrame) -> DataFrame:
-    """(class, size, posts, prefix) of every class that shares as many posts as a match takes; posts from rare to frequent, as (held, post)."""
+    """(class, size, last, prefix) of every class that shares as many posts as a match takes; posts from rare to frequent, as (held, post)."""
     posted = classes.select("__class", "__size", F.posexplode("__sig").alias("__k", "__value"))
     post = (F.col("__k").cast("long") * (1 << 32) + F.col("__value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("__post")
     posts = shared.kept(posted.select("__class", "__size", post), "posts")
@@ -237,7 +248,8 @@ def _shared_posts(classes: DataFrame) -> DataFrame:
     # Posts that nobody shares come first in the order, and count for the prefix.
     alone = COORDINATES - F.size("__posts")
     mine = F.slice("__posts", F.lit(1), F.greatest(F.lit(PREFIX) - alone, F.lit(0)))
-    return shared.kept(shares.where(alone <= COORDINATES - LEAST_MATCHES).withColumn("__prefix", mine), "shares")
+    few = shares.where(alone <= COORDINATES - LEAST_MATCHES)
+    return shared.kept(few.select("__class", "__size", F.element_at("__posts", -1).alias("__last"), mine.alias("__prefix")), "shares")
 
 
 def _beside_heads(listed: DataFrame, tops: DataFrame, colors: DataFrame | None = None) -> DataFrame:
@@ -262,8 +274,9 @@ def _tops(listed: DataFrame, label: str) -> DataFrame:
 
 
 def _matches(pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
-    """The pairs whose signatures agree often enough."""
+    """The pairs whose signatures agree often enough, by the lowest byte of each minimum; by chance a byte agrees once in 256."""
     pairs = shared.kept(pairs, f"pairs-{label}")
+    classes = classes.select("__class", F.transform("__sig", lambda value: (value.bitwiseAND(255) - 128).cast("tinyint")).alias("__sig"))
     agree = F.aggregate(F.zip_with("__sig_x", "__sig_y", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same)
     return shared.kept(_both_ends(pairs, classes, "__sig").where(agree >= LEAST_MATCHES).select("__x", "__y"), f"matches-{label}")
 
@@ -286,7 +299,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     classes = shared.kept(heads.join(keys, ["__a", "__b", "__first"]).dropDuplicates(["__class"]), "classes")
 
     shares = _shared_posts(classes)
-    chosen = F.array_distinct(F.array(F.element_at("__posts", -1), F.element_at("__prefix", -1), F.element_at("__prefix", F.floor((F.size("__prefix") + 1) / 2).cast("int"))))
+    chosen = F.array_distinct(F.array("__last", F.element_at("__prefix", -1), F.element_at("__prefix", F.floor((F.size("__prefix") + 1) / 2).cast("int"))))
     listed = shares.where(F.size("__prefix") > 0).select("__class", "__size", F.explode("__prefix.__post").alias("__post"))
     # Every member against the heads of its most frequent list, and of the last and the middle one of its prefix.
     some = shared.kept(shares.where(F.size("__prefix") > 0).select("__class", "__size", F.explode(chosen).alias("__own")).select("__class", "__size", "__own.__post"), "some")
@@ -313,7 +326,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     answers = members.select("__post", "__class", "__color", F.explode(F.sequence(F.lit(0), asking - 1)).alias("__row"), F.pmod(place, blocks).alias("__col"), F.lit(False).alias("__asks"))
     short = _sets(docs, id, text, classes, members.select("__class").distinct(), "short", short=True)
     dealt = asks.unionByName(answers).groupBy("__post", "__row", "__col", "__class", "__color").agg(F.max("__asks").alias("__asks"))
-    prefixes = shares.select("__class", F.col("__prefix.__post").alias("__prefix"))
+    prefixes = shares.select("__class", F.transform("__prefix.__post", lambda post: F.shiftright(post, 32).cast("tinyint")).alias("__prefix"))
     rows = dealt.join(classes.select("__class", "__size", "__sig"), "__class").join(prefixes, "__class").join(short, "__class")
     across = rows.groupBy("__post", "__row", "__col").applyInArrow(_in_blocks, "__x long, __y long").distinct()
     links = _confirmed(shared.kept(across, "pairs-across"), docs, id, text, classes, "across")

@@ -91,6 +91,24 @@ def test_merging_counts_all_collisions():
         assert set(zip(x.tolist(), y.tolist(), strict=True)) == {(int(a), int(b)) for a, b in want}
 
 
+def test_posts_of_coordinates_keep_their_order():
+    matrix = np.array([[-1] * minhash.COORDINATES, list(range(minhash.COORDINATES))], np.int32)
+    rows, coordinates = np.array([0, 1, 1]), np.array([63, 5, 0], np.int8)
+    assert minhash.posts_of(matrix, rows, coordinates).tolist() == [(63 << 32) + 0xFFFFFFFF, (5 << 32) + 5, 0]
+
+
+def test_rows_for_blocks_are_short(spark, monkeypatch):
+    """One byte a coordinate of a prefix, two a shingle: these rows go to every list of a class."""
+    seen = {}
+    plain = minhash.shared.kept
+    monkeypatch.setattr(minhash.shared, "kept", lambda df, label: seen.setdefault(label, plain(df, label)))
+    texts = [cases.prose(k % 7, 40) + " " + cases.prose(50 + k, 12 + k % 5) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    minhash.near_duplicates(df).collect()
+    assert dict(seen["sets-short"].dtypes)["__short"] == "array<smallint>"
+    assert "__posts" not in seen["shares"].columns
+
+
 def test_sets_of_texts():
     texts = [None, "", " \n", "One", "one TWO", "a b a b a", "é\xa0ü b\tc"]
     assert [len(s) for s in minhash.shingles_of(pa.array(texts))] == [0, 0, 0, 1, 1, 2, 2]
