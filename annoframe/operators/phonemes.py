@@ -39,7 +39,7 @@ def transcribe(
     """Key and transcription of every row: known words become their sounds, all else stays as written.
 
     The texts are dealt out by key before they are taken apart, to as many tasks as their
-    measured size asks for, so that no task has more words than it can sort in memory. With a lexicon
+    measured size asks for, at least one a core, so that no task has more words than it can sort in memory. With a lexicon
     that measures small enough to be broadcast, splitting, lookup and putting
     together then stay in one task per text, and the only thing shuffled is the
     plain text; the result is already partitioned for joins on the key. A larger
@@ -48,7 +48,7 @@ def transcribe(
     """
     entries = lexicon.groupBy(F.lower(F.col(word)).alias("word")).agg(F.min(F.col(sounds)).alias("sounds"))
     texts = df.select(on, text)
-    tasks = -(-measured_bytes(texts.select(text)) // TASK_BYTES) or 1
+    tasks = max(-(-measured_bytes(texts.select(text)) // TASK_BYTES), df.sparkSession.sparkContext.defaultParallelism)
     pieces = word_pieces(texts.repartition(tasks, on), on, text)
     found = small_or_lookup_join(pieces, entries, ["word"], [on, "pos"])
     spoken = F.concat(F.coalesce("sounds", "written"), F.col("tail"))
