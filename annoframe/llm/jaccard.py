@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from annoframe.llm import shared
 from annoframe.llm.components import components
+from annoframe.llm.confirm import both_ends, linked
 from annoframe.llm.words import NOT_SPACE, runs, whole, words_of
-from annoframe.operators.lookup import key_counts, sliced_join
 
 WIDTH = 5
 #: Counters of the sketch (32 MB on the driver, 16 MB in a task).
@@ -39,7 +39,7 @@ VERIFICATION = 0.5
 PARTS = 64
 #: Postings of a list that are held against one head; longer lists are dealt to several.
 LIST_ROWS = 4096
-#: Up to so many ids are broadcast to the scan that fetches sets (16 bytes each); beyond, they are joined.
+#: Up to so many classes are broadcast to the scan that fetches texts, or to the postings with their components; beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 #: Up to so many classes are broadcast with their keys to the prefixes (some 100 bytes each); beyond, they are joined.
 BROADCAST_NAMES = 100_000
@@ -133,53 +133,22 @@ def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, kind)))
 
 
-def _sets(docs: DataFrame, id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(class, set) of the wanted classes, made anew from one document of each."""
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = wanted.select(F.col("__first").alias("__wanted"), "__class", "__a", "__b")
-    rows = docs.select(F.col(id), F.col(text)).join(F.broadcast(wanted) if few else wanted, F.col(id) == F.col("__wanted"))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in shared.slices(batch, text, 2 << 20):
-                classes, sets = [], []
-                for name, a, b, shingles in zip(*(shared.column(piece, c).to_pylist() for c in ("__class", "__a", "__b")), shingle_sets(shared.column(piece, text)), strict=True):
-                    if signature(shingles) == (a, b):  # an id may stand at several texts
-                        classes.append(name), sets.append(shingles.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), _lists(sets, np.int64)], names=["__class", "__set"])
-
-    return shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, "__class long, __set array<long>")
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
 
 
-def _both_ends(pairs: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFrame:
-    """The pairs with the columns of both classes, ``names`` with ``_x`` and ``_y``; a class of very many pairs is dealt to slices."""
-    for own, other in (("__x", "__y"), ("__y", "__x")):
-        side = rows.select(F.col("__class").alias(own), *(F.col(a).alias(b + own[2:]) for a, b in names.items()))
-        pairs = sliced_join(pairs, side, [own], "inner", key_counts(pairs.select("__x", "__y"), [own]), [other])
-    return pairs
-
-
 def _likely(pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     """The pairs (__x, __y, ...) that the bound of their parts allows: one row of each class is read, and no shingle."""
     pairs = shared.kept(pairs, f"candidates-{label}")
     members = shared.kept(classes.select("__class", "__size", "__parts").join(_ends(pairs), "__class", "left_semi"), f"members-{label}")
     most = F.aggregate(F.zip_with("__parts_x", "__parts_y", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda total, n: total + n)
-    likely = _both_ends(pairs, members, {"__size": "__size_", "__parts": "__parts_"}).where(9 * most >= 4 * (F.col("__size_x") + F.col("__size_y")))
+    likely = both_ends(pairs, members, members, {"__size": "__size_", "__parts": "__parts_"}).where(9 * most >= 4 * (F.col("__size_x") + F.col("__size_y")))
     return shared.kept(likely.select(pairs.columns), f"likely-{label}")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
     """The pairs (__x, __y) whose sets are similar enough, by exact comparison."""
-    wanted = classes.join(_ends(pairs), "__class", "left_semi").select("__class", "__first", "__a", "__b")
-    sets = shared.kept(_sets(docs, id, text, wanted), f"sets-{label}")
-    both = F.size(F.array_intersect("__set_x", "__set_y"))
-    joined = _both_ends(pairs, sets, {"__set": "__set_"})
-    linked = joined.where(100 * both >= 80 * (F.size("__set_x") + F.size("__set_y") - both)).select("__x", "__y").distinct()
-    return shared.kept(linked, f"links-{label}")
+    return linked(pairs, docs, id, text, classes, shingle_sets, signature, BROADCAST_IDS, label)
 
 
 def _may_link(x: str, y: str, least=None):
@@ -216,7 +185,8 @@ def _sharing(rows: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFram
     named = classes.join(_ends(pairs), "__class", "left_semi").select("__a", "__b", F.col("__first").alias("__id"), "__class")
     few = named.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     prefixes = signed.select("__a", "__b", "__id", "__prefix").join(F.broadcast(named) if few else named, ["__a", "__b", "__id"]).select("__class", "__prefix").dropDuplicates(["__class"])
-    joined = _both_ends(pairs, shared.kept(prefixes, "prefixes"), {"__prefix": "__prefix_"})
+    prefixes = shared.kept(prefixes, "prefixes")
+    joined = both_ends(pairs, prefixes, prefixes, {"__prefix": "__prefix_"})
     return shared.kept(joined.where(F.size(F.array_intersect("__prefix_x", "__prefix_y")) >= F.col("__least")).select("__x", "__y"), "pairs-across")
 
 
@@ -267,17 +237,20 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     # Lists that still hold several components: each document that isn't of the largest one there
     # against all documents of other components. The first shingle that a linked pair shares finds it.
-    colors = found.select(F.col("__node").alias("__of"), F.col("__component").alias("__color"))
-    colored = listed.select("__token", "y").join(colors, F.col("y.class") == F.col("__of")).drop("__of")
-    mixed = (
+    # A class that no link has moved is its own component, so only the others are looked up.
+    moved = found.where("__node <> __component").select(F.col("__node").alias("__of"), F.col("__component").alias("__color"))
+    few = moved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    slim = listed.select("__token", F.struct(*(F.col(f"y.{c}").alias(c) for c in ("class", "size", "least", "at"))).alias("y"))
+    colored = slim.join(F.broadcast(moved) if few else moved, F.col("y.class") == F.col("__of"), "left").select("__token", "y", F.coalesce("__color", "y.class").alias("__color"))
+    several = colored.groupBy("__token").agg(F.min("__color").alias("__lo"), F.max("__color").alias("__hi")).where("__lo < __hi").select("__token")
+    colored = shared.kept(colored.join(several, "__token"), "colored")
+    tops = (
         colored.groupBy("__token", "__color").agg(F.count(F.lit(1)).alias("__n"))
-        .groupBy("__token").agg(F.max(F.struct("__n", "__color")).alias("__top"), F.count(F.lit(1)).alias("__colors"))
-        .where("__colors > 1").select("__token", F.col("__top.__color").alias("__main"))
+        .groupBy("__token").agg(F.max(F.struct("__n", "__color")).alias("__top")).select("__token", F.col("__top.__color").alias("__main"))
     )
-    colored = shared.kept(colored.join(mixed, "__token"), "colored")
-    minor = colored.where("__color <> __main").select("__token", F.col("y").alias("x"), F.col("__color").alias("__color_x"))
-    across = minor.join(
-        colored, (minor["__token"] == colored["__token"]) & (F.col("__color_x") != F.col("__color"))
+    asking = colored.join(tops, "__token").where("__color <> __main").select("__token", F.col("y").alias("x"), F.col("__color").alias("__color_x"), "__main")
+    across = asking.join(
+        colored, (asking["__token"] == colored["__token"]) & (F.col("__color_x") != F.col("__color"))
         & ((F.col("__color") == F.col("__main")) | (F.col("x.class") < F.col("y.class"))) & _may_link("x", "y", 1),
     ).select("x", "y")
     more = _linked(_sharing(across, signed, classes), docs, id, text, classes, "across")
