@@ -2,9 +2,9 @@
 
 The ends of both sides are walked along a diagonal: while the k-th token of one side and the
 (k + shift)-th of the other end together, stretches of doubling length are compared at once,
-so runs of one-to-one groups are jumped. Where a stretch differs, it is halved down to the
-first difference; the tokens from there to the next common end are one irregular group,
-which is walked token by token and gives the new shift.
+so runs of one-to-one groups are jumped up to the first difference. The tokens from there to
+the next common end are one irregular group, which is walked token by token and gives the new
+shift. Walks begin at a common end every so many tokens and go on side by side as arrays.
 
 Ids and group sizes travel as bytes: ids in the smallest unsigned type that holds the
 vocabulary, sizes in one byte each, a larger one as bytes of 255 and the rest.
@@ -15,6 +15,7 @@ the whole corpus, as rows of a table keyed by both ids.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,8 +34,10 @@ BROADCAST_ROWS = 2_000_000
 GATHERED = 2_000_000
 ALIGNED = ("__a", "__b", "__groups_a", "__groups_b")
 _SLICE = 1 << 20
-#: Tokens that are compared one by one before stretches are.
-_NEAR = 8
+#: Tokens of the first stretch that is compared; each further one is twice as long.
+_NEAR = 4
+#: Tokens of a that a walk goes over; walks over a slice of texts go on side by side.
+_WALK = 64
 _BLANK = "▁"
 
 
@@ -86,63 +89,56 @@ def encoder(path: str) -> tokens.Encoder:
     return _ENCODERS[path]
 
 
+def _common(ends_a: np.ndarray, ends_b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From tokens x of a and y of b on, token by token to the first that end together."""
+    x, y, left = x.copy(), y.copy(), np.arange(len(x))
+    while len(left):
+        a, b = ends_a[x[left]], ends_b[y[left]]
+        x[left] += a < b
+        y[left] += b < a
+        left = left[a != b]
+    return x, y
+
+
 def diagonal(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of a and of b each group has; both cover the same bytes, and the last tokens end together."""
-    raw_a, raw_b = np.ascontiguousarray(ends_a, "<i8").tobytes(), np.ascontiguousarray(ends_b, "<i8").tobytes()
-    list_a, list_b = ends_a.tolist(), ends_b.tolist()
-    n, m = len(list_a), len(list_b)
-    # Runs of one-to-one groups, and the irregular group after each of them.
-    runs: list[int] = []
-    of_a: list[int] = []
-    of_b: list[int] = []
-    i, shift = 0, 0
-    while i < n:
-        begin = i
-        for a, b in zip(list_a[i : i + _NEAR], list_b[i + shift : i + shift + _NEAR], strict=False):
-            if a != b:
-                break
-            i += 1
-        width = _NEAR if i == begin + _NEAR else 0
-        while width:  # exponential probing at this shift
-            width = min(width, n - i, m - i - shift)
-            if width and raw_a[8 * i : 8 * (i + width)] == raw_b[8 * (i + shift) : 8 * (i + shift + width)]:
-                i += width
-                width *= 2
-                continue
-            while width > 1:  # halved down to the first difference
-                width //= 2
-                if raw_a[8 * i : 8 * (i + width)] == raw_b[8 * (i + shift) : 8 * (i + shift + width)]:
-                    i += width
-            while i < n and i + shift < m and list_a[i] == list_b[i + shift]:
-                i += 1
-            width = 0
-        runs.append(i - begin)
-        if i == n:
-            of_a.append(0), of_b.append(0)
-            break
-        j = i + shift
-        x, y = i, j
-        a, b = list_a[x], list_b[y]
-        while a != b:
-            if a < b:
-                x += 1
-                a = list_a[x]
-            else:
-                y += 1
-                b = list_b[y]
-        of_a.append(x + 1 - i), of_b.append(y + 1 - j)
-        i, shift = x + 1, y - x
-    if i + shift != m:
+    n, m = len(ends_a), len(ends_b)
+    if (n == 0) != (m == 0) or n and ends_a[-1] != ends_b[-1]:
         raise ValueError("both sides don't end together")
-    runs, of_a, of_b = (np.array(v, np.int64) for v in (runs, of_a, of_b))
-    real = of_a > 0
-    places = np.cumsum(runs + real) - 1
-    out = []
-    for own in (of_a, of_b):
-        sizes = np.ones(int(runs.sum() + real.sum()), np.int64)
-        sizes[places[real]] = own[real]
-        out.append(sizes)
-    return out[0], out[1]
+    # Many walks go side by side, each from the common end after so many tokens to that of the next one.
+    x = np.arange(_WALK - 1, n - 1, _WALK)
+    x, y = _common(ends_a, ends_b, x, np.searchsorted(ends_b, ends_a[x]))
+    i, first = np.unique(np.concatenate([[0], x + 1]), return_index=True)
+    j = np.concatenate([[0], y + 1])[first]
+    stops = np.append(i[1:], n)
+    i, j, stops = (v[i < n] for v in (i, j, stops))
+    # Beyond the last tokens nothing ends together.
+    far_a, far_b = np.concatenate([ends_a, [-1]]), np.concatenate([ends_b, [-2]])
+    closes_a, closes_b = np.zeros(n, bool), np.zeros(m, bool)
+    while len(i):
+        # Runs of one-to-one groups at the shift of each walk: stretches of doubling length.
+        probing, width = np.arange(len(i)), _NEAR
+        while len(probing):
+            at = np.arange(width)
+            of_a, of_b = i[probing, None] + at, j[probing, None] + at
+            same = np.logical_and.accumulate(far_a[np.minimum(of_a, n)] == far_b[np.minimum(of_b, m)], axis=1)
+            closes_a[of_a[same]] = True
+            closes_b[of_b[same]] = True
+            length = same.sum(axis=1)
+            i[probing] += length
+            j[probing] += length
+            probing = probing[(length == width) & (i[probing] < stops[probing])]
+            width *= 2
+        left = i < stops
+        i, j, stops = i[left], j[left], stops[left]
+        # The irregular group after each run, which gives the new shift.
+        x, y = _common(ends_a, ends_b, i, j)
+        closes_a[x] = True
+        closes_b[y] = True
+        i, j = x + 1, y + 1
+        left = i < stops
+        i, j, stops = i[left], j[left], stops[left]
+    return np.diff(np.flatnonzero(closes_a), prepend=-1), np.diff(np.flatnonzero(closes_b), prepend=-1)
 
 
 def packed(values: np.ndarray, per_row: np.ndarray) -> pa.Array:
@@ -160,6 +156,8 @@ def unpacked(blobs: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
 
 def packed_sizes(sizes: np.ndarray, per_row: np.ndarray) -> pa.Array:
     """Sizes from 1 on, in one byte each; from 255 on in several."""
+    if sizes.max(initial=0) < 255:
+        return packed(sizes.astype(np.uint8), per_row)
     n_bytes = sizes // 255 + 1
     out = np.full(int(n_bytes.sum()), 255, np.uint8)
     upto = np.cumsum(n_bytes)
@@ -171,6 +169,8 @@ def packed_sizes(sizes: np.ndarray, per_row: np.ndarray) -> pa.Array:
 def unpacked_sizes(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The sizes of all rows, and the bounds between the rows."""
     raw, bounds = unpacked(blobs, np.uint8)
+    if raw.max(initial=0) < 255:
+        return raw.astype(np.int64), bounds
     last = np.flatnonzero(raw != 255)
     sizes = np.diff(np.concatenate([[0], np.cumsum(raw, dtype=np.int64)[last]]))
     return sizes, np.searchsorted(last, bounds)
@@ -197,9 +197,9 @@ def align(docs: DataFrame, id: str = "doc_id", text: str = "text", path_a: str |
                 texts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), own.filter(full).cast(pa.large_string()), pa.scalar(" ", pa.large_string()))
                 data, bounds = shared.utf8(texts)
                 good = np.ones(len(texts), bool)
-                sides = []
+                sides, cut = [], tokens.cut(texts)
                 for coder, flat, width, begin in zip(coders, raw, widths, begins, strict=True):
-                    ids, upto = coder.encode(texts)
+                    ids, upto = coder.encode(texts, cut)
                     ends = np.cumsum(width[ids])
                     text_ends = np.concatenate([[0], ends])[upto]
                     sizes = np.diff(text_ends)
@@ -239,7 +239,9 @@ def links(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray
     odd_a, odd_b, groups = np.repeat(odd, group_a), np.repeat(odd, group_b), np.flatnonzero(odd)
     own_a, own_b = a[odd_a], b[odd_b]
     ends_a, ends_b = np.cumsum(widths[0][own_a]), np.cumsum(widths[1][own_b])
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.concatenate([ends_a, ends_b])
+    ends.sort(kind="stable")  # two runs in order are merged
+    ends = ends[np.diff(ends, prepend=0) > 0]
     at = np.searchsorted(ends_a, ends)
     of = np.repeat(groups, group_a[groups])
     return np.concatenate([a[~odd_a], own_a[at]]), np.concatenate([b[~odd_b], own_b[np.searchsorted(ends_b, ends)]]), np.concatenate([np.flatnonzero(~odd), of[at]])
@@ -305,6 +307,18 @@ def link_counts(aligned: DataFrame, path_a: str | None = None, path_b: str | Non
     return shared.kept(every.withColumn("__of", b_id).join(most, "__of").select("__pair", "__count", (F.col("__count") == F.col("__most")).alias("__best")), "pair-counts")
 
 
+@functools.cache
+def _decimals(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of up to so many digits in ASCII, as eight bytes with zeros before them and one after, and how many digits each has."""
+    if width > 7:
+        raise ValueError("ids of more than seven digits")
+    numbers, powers = np.arange(10**width), 10 ** np.arange(width - 1, -1, -1)
+    lengths = 1 + (numbers[:, None] >= powers[None, :-1]).sum(axis=1)
+    cells = np.zeros((len(numbers), 8), np.uint8)
+    cells[:, 7 - width : 7] = np.where(np.arange(width) < width - lengths[:, None], 0, 48 + numbers[:, None] // powers % 10)
+    return cells.view(np.uint64).ravel(), lengths
+
+
 def _written(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The groups of all rows as ``a1,a2|b1;a3|b2,b3`` in bytes, and the bounds between the rows."""
     before_a, before_b = np.cumsum(group_a) - group_a, np.cumsum(group_b) - group_b
@@ -317,26 +331,14 @@ def _written(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndar
     signs[before_a + group_a + before_b - 1] = ord("|")
     closes = before_a + group_a + before_b + group_b - 1
     signs[closes] = ord(";")
-    digits = np.ones(len(ids), np.int64)
-    for power in range(1, 10):
-        digits += ids >= 10**power
     rows = np.concatenate([[0], np.cumsum(groups)])
-    last = np.zeros(len(ids), bool)
-    last[closes[rows[1:][groups > 0] - 1]] = True  # no sign after the last group of a row
-    upto = np.cumsum(digits + ~last)
-    out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint8)
-    out[upto[~last] - 1] = signs[~last]
-    rest, place = ids.copy(), upto - 1 - ~last
-    for _ in range(10):
-        out[place] = 48 + rest % 10
-        rest //= 10
-        more = rest > 0
-        if not more.any():
-            break
-        rest, place = rest[more], place[more] - 1
-    ends = np.concatenate([[0], upto])
+    signs[closes[rows[1:][groups > 0] - 1]] = 0  # no sign after the last group of a row
+    digits, lengths = _decimals(len(str(int(ids.max(initial=0)))))
+    cells = digits[ids].view(np.uint8)
+    cells[7::8] = signs
+    ends = np.concatenate([[0], np.cumsum(lengths[ids] + (signs > 0))])
     tokens_upto = np.concatenate([[0], (closes + 1)])[rows] if len(closes) else np.zeros(len(rows), np.int64)
-    return out, ends[tokens_upto]
+    return cells[cells > 0], ends[tokens_upto]
 
 
 SUMMARY = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -355,7 +357,12 @@ def summarise(aligned: DataFrame, counts: DataFrame, path_a: str | None = None,
     table = None
     if few:
         got = counts.orderBy("__pair").toArrow()
-        table = tuple(got.column(name).combine_chunks().to_numpy(zero_copy_only=False) for name in ("__pair", "__count", "__best"))
+        pairs, count, tops = (got.column(name).combine_chunks().to_numpy(zero_copy_only=False) for name in ("__pair", "__count", "__best"))
+        # Where the most frequent pair of each id of a stands: most links are of that pair.
+        order = np.lexsort((count, pairs >> 32))
+        usual = np.zeros(int(pairs[-1] >> 32) + 1 if len(pairs) else 0, np.int64)
+        usual[pairs[order] >> 32] = order
+        table = pairs, count, tops, usual
     given = spark.sparkContext.broadcast(table)
     schema = f"__id {dict(aligned.dtypes)['__id']}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -368,8 +375,10 @@ def summarise(aligned: DataFrame, counts: DataFrame, path_a: str | None = None,
                 of = np.searchsorted(g_upto, groups, "right") - 1
                 best = total = np.zeros(piece.num_rows, np.int64)
                 if given.value is not None and len(groups):
-                    pairs, count, tops = given.value
-                    at = np.searchsorted(pairs, _keys(linked_a, linked_b))
+                    pairs, count, tops, usual = given.value
+                    keys, at = _keys(linked_a, linked_b), usual[linked_a]
+                    other = np.flatnonzero(pairs[at] != keys)
+                    at[other] = np.searchsorted(pairs, keys[other])
                     order = np.argsort(of, kind="stable")
                     upto = np.searchsorted(of[order], np.arange(piece.num_rows + 1))
                     best, total = (np.diff(np.concatenate([[0], np.cumsum(x[at[order]], dtype=np.int64)])[upto]) for x in (tops, count))

@@ -49,6 +49,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cut(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Starts, ends and hashes of the words of all texts, and the first word of every text."""
+    return words_of(*shared.utf8(texts), _NOT_BLANK, lower=False)
+
+
 class Encoder:
     """One tokenizer of a worker process, and the words it has met.
 
@@ -183,10 +188,13 @@ class Encoder:
         head, tail, second = data[starts], data[ends - 1], data[np.maximum(ends - 2, 0)]
         return ~((_GRAPHIC[head] | _LATIN[head]) & (_GRAPHIC[tail] | (((tail & 0xC0) == 0x80) & _LATIN[second]))) | (gaps > 1)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and the bounds between them (one more than texts); NULL has none."""
+    def encode(self, texts: pa.Array, words: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and the bounds between them (one more than texts); NULL has none.
+
+        ``words``: what :func:`cut` gives for these texts, where several encoders need it.
+        """
         data, bounds = shared.utf8(texts)
-        starts, ends, hashes, firsts = words_of(data, bounds, _NOT_BLANK, lower=False)
+        starts, ends, hashes, firsts = words or cut(texts)
         counts, n = np.diff(firsts), len(texts)
         # The space before each word; the first of a text may have none.
         gaps = starts - np.concatenate([[0], ends[:-1]])

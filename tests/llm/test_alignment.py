@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -99,6 +100,41 @@ def test_diagonal_of_long_runs_and_none():
         alignment.diagonal(np.array([2, 4]), np.array([2, 4, 6]))
 
 
+def test_walks_side_by_side_beat_token_by_token():
+    """Groups of some tokens each, as two tokenizers make them: many short runs."""
+    draw = np.random.default_rng(4)
+    ends = np.cumsum(draw.integers(1, 6, 300_000))
+    a, b = (np.append(ends[draw.random(len(ends)) < 0.75], ends[-1] + 3) for _ in range(2))
+    began = time.process_time()
+    group_a, group_b = alignment.diagonal(a, b)
+    took = time.process_time() - began
+    began = time.process_time()
+    common, x, y, list_a, list_b = [], 0, 0, a.tolist(), b.tolist()
+    while x < len(list_a):
+        if list_a[x] == list_b[y]:
+            common.append(list_a[x])
+            x, y = x + 1, y + 1
+        elif list_a[x] < list_b[y]:
+            x += 1
+        else:
+            y += 1
+    plain_took = time.process_time() - began
+    assert a[np.cumsum(group_a) - 1].tolist() == b[np.cumsum(group_b) - 1].tolist() == common
+    assert took < plain_took
+
+
+def test_groups_as_text():
+    draw = np.random.default_rng(6)
+    group_a, group_b = (draw.integers(1, 4, 500) for _ in range(2))
+    a, b = (draw.integers(0, 10 ** draw.integers(1, 7, g.sum())) for g in (group_a, group_b))
+    groups = np.array([0, 1, 120, 0, 0, 379, 0])
+    raw, bounds = alignment._written(a, b, group_a, group_b, groups)
+    cut_a, cut_b = (np.split(v, np.cumsum(g)[:-1]) for v, g in ((a, group_a), (b, group_b)))
+    every = [",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in zip(cut_a, cut_b, strict=True)]
+    upto = np.concatenate([[0], np.cumsum(groups)])
+    assert [raw[x:y].tobytes().decode() for x, y in zip(bounds, bounds[1:], strict=False)] == [";".join(every[x:y]) for x, y in zip(upto, upto[1:], strict=False)]
+
+
 @pytest.mark.parametrize("broadcast", [2_000_000, 3])
 def test_documents_equal_brute_force(spark, monkeypatch, broadcast):
     monkeypatch.setattr(alignment, "BROADCAST_ROWS", broadcast)
