@@ -14,7 +14,8 @@ its lists, then, where it is still apart from them, against those of all. Then l
 still hold several components go to tasks, where the members outside of the largest one
 count their collisions with all others whose first common post this is: the shortest lists
 of a member are merged, the long ones are skipped and only asked about what is left, until
-the threshold is out of reach. Whoever reaches it is compared by sets of short hashes, in the
+the threshold is out of reach. Short lists with the same smallest class go there together,
+as a passage makes many lists with the same members. Whoever reaches it is compared by sets of short hashes, in the
 same task, so that texts which share a passage and no more don't leave it as pairs. Lists have
 a bounded length; longer ones are dealt to blocks.
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 
 from annoframe.llm import shared
 from annoframe.llm.components import components
+from annoframe.llm.confirm import both_ends, linked
 from annoframe.llm.words import NOT_SPACE, mixed, runs, whole, words_of
-from annoframe.operators.lookup import key_counts, sliced_join
 
 WIDTH = 2
 COORDINATES = 64
@@ -44,6 +45,8 @@ LEAST_MATCHES = 38
 PREFIX = COORDINATES - LEAST_MATCHES + 1
 #: Members of a block of a list; longer lists are dealt to several blocks.
 LIST_ROWS = 1024
+#: Lists of up to so many members are met together with those of the same head; at most ``LIST_ROWS``.
+SHORT_ROWS = 256
 #: Rows of classes up to this number are broadcast once they are counted (32 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 _SLICE = 2 << 20
@@ -140,12 +143,13 @@ def _within(flat: np.ndarray, each: np.ndarray, rows: np.ndarray, own: np.ndarra
 
 
 def block_pairs(
-    classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, prefixes: list[np.ndarray], post: int, sets: list[np.ndarray]
+    classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, prefixes: list[np.ndarray], post: int | None, sets: list[np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (smaller class, larger class) of members that ask and members of another color that agree often enough.
 
-    Their sizes allow a link, of the posts that both prefixes hold ``post`` comes first, and
-    their sets of short hashes overlap enough; equal hashes can only add to that.
+    Their sizes allow a link, of the posts that both prefixes hold ``post`` comes first (None:
+    members of several lists, whose pairs may stand elsewhere too), and their sets of short
+    hashes overlap enough; equal hashes can only add to that.
     """
     each = np.cumsum([0, *map(len, sets)])
     flat = np.concatenate(sets)
@@ -153,7 +157,7 @@ def block_pairs(
     for k in range(matrix.shape[1]):
         order = np.argsort(matrix[:, k], kind="stable")
         inverted.append((order, matrix[order, k]))
-    posts, holders, before = earlier_partners(prefixes, post)
+    posts, holders, before = earlier_partners(prefixes, post) if post is not None else (np.zeros(0, np.int64),) * 2 + ([np.zeros(0, np.int64)] * len(prefixes),)
     probes = np.flatnonzero(asks)
     bounds = [(np.searchsorted(values, matrix[probes, k], "left"), np.searchsorted(values, matrix[probes, k], "right")) for k, (_, values) in enumerate(inverted)]
     out_x, out_y = [], []
@@ -186,7 +190,9 @@ def _in_blocks(group: pa.Table) -> pa.Table:
     prefixes = np.split(posts_of(matrix, np.repeat(np.arange(len(lists)), np.diff(bounds)), lists.flatten().to_numpy()), bounds[1:-1])
     lists = group["__short"].combine_chunks()
     sets = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
-    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, group["__post"][0].as_py(), sets)
+    post = group["__list"][0].as_py()
+    post = post if post >= 0 else None  # short lists of one head
+    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, post, sets)
     shared.release()
     return pa.table(list(map(pa.array, pairs)), names=["__x", "__y"])
 
@@ -195,24 +201,11 @@ def _few(table: DataFrame) -> bool:
     return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("__x").alias("__class")).union(pairs.select(F.col("__y").alias("__class"))).distinct()
-
-
-def _both_ends(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """The pairs with a column of both classes, as ``name_x`` and ``name_y``; a class of very many pairs is dealt to slices."""
-    for own, other in (("__x", "__y"), ("__y", "__x")):
-        side = rows.select(F.col("__class").alias(own), F.col(name).alias(name + own[1:]))
-        pairs = sliced_join(pairs, side, [own], "inner", key_counts(pairs.select("__x", "__y"), [own]), [other])
-    return pairs
-
-
-def _sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFrame, label: str, short: bool = False) -> DataFrame:
-    """(class, set) of the named classes, made anew from one document of each: whole hashes, or their lowest 16 bits, sorted."""
+def _short_sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """(class, set) of the named classes, made anew from one document of each: the lowest 16 bits of its hashes, sorted."""
     wanted = classes.join(named, "__class", "left_semi").select(F.col("__first").alias("__wanted"), "__class", "__a", "__b")
-    wanted = shared.kept(wanted, f"wanted-{label}")
+    wanted = shared.kept(wanted, "wanted-short")
     rows = docs.select(F.col(id), F.col(text)).join(F.broadcast(wanted) if _few(wanted) else wanted, F.col(id) == F.col("__wanted"))
-    name, kind = ("__short", "smallint") if short else ("__set", "long")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,19 +213,16 @@ def _sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFr
                 names, sets = [], []
                 for number, a, b, own in zip(*(shared.column(piece, c).to_pylist() for c in ("__class", "__a", "__b")), shingles_of(shared.column(piece, text)), strict=True):
                     if set_key(own) == (a, b):  # an id may stand at several texts
-                        names.append(number), sets.append(np.sort(own.astype(np.uint16).view(np.int16)) if short else own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, np.int16 if short else np.int64)], names=["__class", name])
+                        names.append(number), sets.append(np.sort(own.astype(np.uint16).view(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, np.int16)], names=["__class", "__short"])
 
-    made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, f"__class long, {name} array<{kind}>").dropDuplicates(["__class"])
-    return shared.kept(made, f"sets-{label}")
+    made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, "__class long, __short array<smallint>").dropDuplicates(["__class"])
+    return shared.kept(made, "sets-short")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    joined = _both_ends(pairs, _sets(docs, id, text, classes, _ends(pairs), label), "__set")
-    both = F.size(F.array_intersect("__set_x", "__set_y"))
-    linked = joined.where(100 * both >= 80 * (F.size("__set_x") + F.size("__set_y") - both))
-    return shared.kept(linked.select("__x", "__y"), f"links-{label}")
+    return linked(pairs, docs, id, text, classes, shingles_of, set_key, BROADCAST_ROWS, label)
 
 
 def _shared_posts(classes: DataFrame) -> DataFrame:
@@ -278,7 +268,7 @@ def _matches(pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
     pairs = shared.kept(pairs, f"pairs-{label}")
     classes = classes.select("__class", F.transform("__sig", lambda value: (value.bitwiseAND(255) - 128).cast("tinyint")).alias("__sig"))
     agree = F.aggregate(F.zip_with("__sig_x", "__sig_y", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, same: n + same)
-    return shared.kept(_both_ends(pairs, classes, "__sig").where(agree >= LEAST_MATCHES).select("__x", "__y"), f"matches-{label}")
+    return shared.kept(both_ends(pairs, classes, classes, {"__sig": "__sig_"}).where(agree >= LEAST_MATCHES).select("__x", "__y"), f"matches-{label}")
 
 
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
@@ -313,22 +303,25 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     # Lists that still hold several components: members outside of the largest one against all others.
     colored = shared.kept(listed.join(tops.select("__post"), "__post", "left_semi").join(colors, "__class"), "colored")
     mixed_lists = (
-        colored.groupBy("__post", "__color").agg(F.count(F.lit(1)).alias("__n"))
-        .groupBy("__post").agg(F.max(F.struct("__n", "__color")).alias("__most"), F.count(F.lit(1)).alias("__colors"), F.sum("__n").alias("__members"))
-        .where("__colors > 1").select("__post", F.col("__most.__color").alias("__main"), (F.col("__members") - F.col("__most.__n")).alias("__outside"), "__members")
+        colored.groupBy("__post", "__color").agg(F.count(F.lit(1)).alias("__n"), F.min("__class").alias("__low"))
+        .groupBy("__post").agg(F.max(F.struct("__n", "__color")).alias("__most"), F.count(F.lit(1)).alias("__colors"), F.sum("__n").alias("__members"), F.min("__low").alias("__head"))
+        .where("__colors > 1").select("__post", F.col("__most.__color").alias("__main"), (F.col("__members") - F.col("__most.__n")).alias("__outside"), "__members", "__head")
     )
     mixed_lists = shared.kept(mixed_lists, "mixed")
     members = colored.join(F.broadcast(mixed_lists) if _few(mixed_lists) else mixed_lists, "__post")
+    # Short lists of the same head have much the same members, so these go there once for all of them;
+    # a class is the head of no more than PREFIX lists.
+    own = F.when(F.col("__members") <= SHORT_ROWS, -1 - F.col("__head")).otherwise(F.col("__post")).alias("__list")
     # A block of those that ask meets every block of the list once.
     asking, blocks = F.ceil(F.col("__outside") / LIST_ROWS).cast("int"), F.ceil(F.col("__members") / LIST_ROWS).cast("int")
     place = F.xxhash64("__class")
-    asks = members.where("__color <> __main").select("__post", "__class", "__color", F.pmod(place, asking).alias("__row"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__col"), F.lit(True).alias("__asks"))
-    answers = members.select("__post", "__class", "__color", F.explode(F.sequence(F.lit(0), asking - 1)).alias("__row"), F.pmod(place, blocks).alias("__col"), F.lit(False).alias("__asks"))
-    short = _sets(docs, id, text, classes, members.select("__class").distinct(), "short", short=True)
-    dealt = asks.unionByName(answers).groupBy("__post", "__row", "__col", "__class", "__color").agg(F.max("__asks").alias("__asks"))
+    asks = members.where("__color <> __main").select(own, "__class", "__color", F.pmod(place, asking).alias("__row"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__col"), F.lit(True).alias("__asks"))
+    answers = members.select(own, "__class", "__color", F.explode(F.sequence(F.lit(0), asking - 1)).alias("__row"), F.pmod(place, blocks).alias("__col"), F.lit(False).alias("__asks"))
+    short = _short_sets(docs, id, text, classes, members.select("__class").distinct())
+    dealt = asks.unionByName(answers).groupBy("__list", "__row", "__col", "__class", "__color").agg(F.max("__asks").alias("__asks"))
     prefixes = shares.select("__class", F.transform("__prefix.__post", lambda post: F.shiftright(post, 32).cast("tinyint")).alias("__prefix"))
     rows = dealt.join(classes.select("__class", "__size", "__sig"), "__class").join(prefixes, "__class").join(short, "__class")
-    across = rows.groupBy("__post", "__row", "__col").applyInArrow(_in_blocks, "__x long, __y long").distinct()
+    across = rows.groupBy("__list", "__row", "__col").applyInArrow(_in_blocks, "__x long, __y long").distinct()
     links = _confirmed(shared.kept(across, "pairs-across"), docs, id, text, classes, "across")
     found = _merged(colors, links).toDF("__class", "__component").join(keys.select("__class", "__first"), "__class")
     smallest = found.groupBy("__component").agg(F.min("__first").alias("__smallest"))

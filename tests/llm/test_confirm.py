@@ -4,7 +4,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from annoframe.llm import confirm, jaccard, shared
+from annoframe.llm import confirm, jaccard, minhash, shared
 from tests.llm import cases
 
 
@@ -15,7 +15,7 @@ def edited(words, draw, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("operator, sets_of, key_of", [(jaccard.similar_documents, jaccard.shingle_sets, jaccard.signature)])
+@pytest.mark.parametrize("operator, sets_of, key_of", [(jaccard.similar_documents, jaccard.shingle_sets, jaccard.signature), (minhash.near_duplicates, minhash.shingles_of, minhash.set_key)])
 def test_what_meets_at_pairs_is_smaller_than_sets(spark, monkeypatch, operator, sets_of, key_of):
     draw, rows = random.Random(3), []
     for k in range(8):

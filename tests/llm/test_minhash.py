@@ -114,3 +114,39 @@ def test_sets_of_texts():
     assert [len(s) for s in minhash.shingles_of(pa.array(texts))] == [0, 0, 0, 1, 1, 2, 2]
     keys = [minhash.set_key(s) for s in minhash.shingles_of(pa.array(["a b c a", "b c a b", "a b c", "c a b c a"]))]
     assert len({keys[0], keys[1], keys[3]}) == 1 and keys[2] != keys[0]
+
+
+def test_lists_of_one_head_find_pairs_of_any_post():
+    """Members of several lists that are met together: pairs are found whatever their first common post is, or none."""
+    draw = np.random.default_rng(12)
+    base = np.unique(draw.integers(0, 1 << 63, 200, np.uint64))
+    full = [base, base[5:], np.unique(draw.integers(0, 1 << 63, 200, np.uint64)), base[:-5]]
+    matrix = minhash.signatures(full).view(np.int32)
+    prefixes = [minhash.posts_of(matrix, np.full(3, k), np.arange(3) + 3 * k) for k in range(4)]
+    short = [np.sort(s.astype(np.uint16).view(np.int16)) for s in full]
+    pairs = minhash.block_pairs(np.arange(4), np.arange(4), np.array([True, True, True, False]), np.array(list(map(len, full))), matrix, prefixes, None, short)
+    assert list(zip(*map(np.ndarray.tolist, pairs), strict=True)) == [(0, 1), (0, 3), (1, 3)]
+
+
+def test_a_passage_sends_its_members_once(spark, monkeypatch):
+    """Texts that share a passage share many lists; each goes to one group of them all, with the exact result."""
+    groups = []
+    apply = type(spark.range(1).groupBy("id")).applyInArrow
+
+    def counted(self, function, schema):
+        if function is minhash._in_blocks:
+            groups.append(self._df.select("__list", "__row", "__col", "__class").count())
+        return apply(self, function, schema)
+
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", counted)
+    passage = cases.prose(999, 300)
+    rows = [(k, passage + " " + cases.prose(400 + k, 60 + 3 * k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def found():
+        return sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect())
+
+    got = found()
+    monkeypatch.setattr(minhash, "SHORT_ROWS", 0)
+    assert got == found()
+    assert groups[0] < groups[1]
