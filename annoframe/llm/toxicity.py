@@ -44,8 +44,12 @@ BROADCAST_LABELS = 1_000_000
 #: Rows of words or of pairs up to this number are broadcast once they are counted; more are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Pairs that a task gathers before it adds them up; bytes of text for which there is a bucket of pairs.
-GATHERED = 1_500_000
+GATHERED = 2_000_000
 BUCKET_BYTES = 32 << 20
+#: Parts in which a task holds these pairs; one at a time is added up, so that sorting takes memory for one.
+PARTS = 16
+#: Bytes of text whose words are hashed at a time.
+PIECE = 1 << 19
 #: Means are put on a scale that is linear below ``_FLOOR`` and logarithmic above, with so many bins a unit, up to ``_BINS`` on each side.
 _FLOOR = 1e-3
 _STEPS = 20
@@ -121,6 +125,45 @@ def _added(parts: list[tuple]) -> tuple:
     return word[first], before[first], *(np.add.reduceat(n[order], starts) if len(n) else n for n in counts)
 
 
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple:
+    """The different keys in order, and the sums of their values."""
+    keys, of = np.unique(keys, return_inverse=True)
+    return keys, *(np.bincount(of, n, len(keys)) for n in values)
+
+
+class _Gathered:
+    """Pairs in ``PARTS`` parts, each added up by itself."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[tuple]] = [[] for _ in range(PARTS)]
+        self.size = 0  # pairs that are held
+        self.fresh = 0  # those that have come since all were added up
+
+    def take(self, pairs: tuple, part: np.ndarray) -> None:
+        """Pairs, and for each the number of its part."""
+        order = np.argsort(part.astype(np.uint8), kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(part, minlength=PARTS)))
+        for held, x, y in zip(self.parts, edges, edges[1:], strict=False):
+            if y > x:
+                held.append(tuple(values[order[x:y]] for values in pairs))
+        self.size += len(part)
+        self.fresh += len(part)
+
+    def add_up(self) -> None:
+        for k, held in enumerate(self.parts):
+            if len(held) > 1:
+                self.parts[k] = [_added(held)]
+        self.size, self.fresh = sum(len(pairs[0]) for held in self.parts for pairs in held), 0
+
+    def given(self) -> Iterator[tuple]:
+        """The different pairs of each part that has some, in order of the parts; nothing is held afterwards."""
+        parts, self.parts, self.size, self.fresh = self.parts, [[] for _ in range(PARTS)], 0, 0
+        while parts:
+            held = parts.pop(0)
+            if held:
+                yield _added(held)
+
+
 def _buckets(n_bytes: int) -> tuple[int, int]:
     """Into how many buckets words are dealt, and the words before one word: a frequent word meets ever more of them."""
     buckets = max(8, -(-n_bytes // BUCKET_BYTES))
@@ -140,9 +183,12 @@ def _counted(rows: DataFrame, text: str, n_bytes: int) -> DataFrame:
     """
     of_word, of_before = _buckets(n_bytes)
 
+    def bucket_of(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return ((word >> np.uint64(8)) % np.uint64(of_word) * np.uint64(of_before) + before % np.uint64(of_before)).astype(np.int64)
+
     def rows_of(pairs: tuple) -> pa.RecordBatch:
         word, before, *counts = pairs
-        bucket = ((word >> np.uint64(8)) % np.uint64(of_word) * np.uint64(of_before) + before % np.uint64(of_before)).astype(np.int64)
+        bucket = bucket_of(word, before)
         order = np.lexsort((before, word, bucket))
         word, before, bucket, *counts = (x[order] for x in (word, before, bucket, *counts))
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
@@ -150,46 +196,40 @@ def _counted(rows: DataFrame, text: str, n_bytes: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        gathered = _Gathered()
         for batch in batches:
-            for piece in shared.slices(batch, text, 2 << 20):
+            for piece in shared.slices(batch, text, PIECE):
                 word, before, firsts = _places(shared.column(piece, text))
                 own = np.repeat(shared.column(piece, "__class").to_numpy(zero_copy_only=False), np.diff(firsts))
-                parts.append(_added([(word, before, *((own == c).astype(np.int32) for c in (0, 1)))]))
-                size += len(parts[-1][0])
-                if size > GATHERED:
-                    parts = [_added(parts)]
-                    size = len(parts[0][0])
-                    if 2 * size > GATHERED:
-                        yield rows_of(parts[0])
-                        parts, size = [], 0
-        if size:
-            yield rows_of(_added(parts))
-
-    def of_bucket(blobs: Iterator[bytes]) -> tuple:
-        parts, fresh = [], 0
-        for blob in blobs:
-            parts.append(_unpacked(blob))
-            fresh += len(parts[-1][0])
-            if fresh > GATHERED:
-                parts, fresh = [_added(parts)], 0
-        return _added(parts)
+                pairs = _added([(word, before, *((own == c).astype(np.int32) for c in (0, 1)))])
+                gathered.take(pairs, bucket_of(*pairs[:2]) % PARTS)  # all pairs of a bucket are in one part
+                if gathered.size > GATHERED:
+                    gathered.add_up()
+                    if 2 * gathered.size > GATHERED:
+                        yield from map(rows_of, gathered.given())
+        yield from map(rows_of, gathered.given())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = ((k, blob) for batch in batches for k, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        every = ((k.as_py(), blob.as_buffer()) for batch in batches for k, blob in zip(*batch.columns, strict=True))
         for _, bucket in itertools.groupby(every, lambda row: row[0]):
-            word, before, *counts = of_bucket(blob for _, blob in bucket)
-            words, of, follows = np.unique(word, return_inverse=True, return_counts=True)
-            in_class = [np.bincount(of[n > 0], minlength=len(words)) for n in counts]
-            yield _wide(word=words, every=follows, c0=in_class[0], c1=in_class[1])
-            known = np.flatnonzero((counts[0] > 0) | (counts[1] > 0))
-            word, before, counts = word[known], before[known], [n[known] for n in counts]
-            befores, of = np.unique(before, return_inverse=True)
-            after = [np.bincount(of, n, len(befores)) for n in counts]
-            taken = [np.bincount(of, np.minimum(n, DISCOUNT), len(befores)) for n in counts]
-            yield _wide(before=befores, n0=after[0], n1=after[1], f0=taken[0], f1=taken[1])
-            often = (counts[0] > DISCOUNT) | (counts[1] > DISCOUNT)
-            yield _wide(word=word[often], before=before[often], n0=counts[0][often], n1=counts[1][often])
+            gathered = _Gathered()
+            for _, blob in bucket:
+                pairs = _unpacked(blob)
+                gathered.take(pairs, (pairs[0] >> np.uint64(60)).astype(np.int64))  # all pairs of a word are in one part
+                if gathered.fresh > GATHERED:
+                    gathered.add_up()
+            contexts = []
+            for word, before, *counts in gathered.given():
+                words, of, follows = np.unique(word, return_inverse=True, return_counts=True)
+                in_class = [np.bincount(of[n > 0], minlength=len(words)) for n in counts]
+                yield _wide(word=words, every=follows, c0=in_class[0], c1=in_class[1])
+                known = np.flatnonzero((counts[0] > 0) | (counts[1] > 0))
+                word, before, counts = word[known], before[known], [n[known] for n in counts]
+                contexts.append(_summed(before, *counts, *(np.minimum(n, DISCOUNT) for n in counts)))
+                often = (counts[0] > DISCOUNT) | (counts[1] > DISCOUNT)
+                yield _wide(word=word[often], before=before[often], n0=counts[0][often], n1=counts[1][often])
+            before, *sums = _summed(*(np.concatenate(x) for x in zip(*contexts, strict=True)))
+            yield _wide(before=before, n0=sums[0], n1=sums[1], f0=sums[2], f1=sums[3])
 
     packed = shared.in_batches(rows.select(text, "__class"), count, "bucket long, blob binary")
     return shared.in_batches(packed.repartition("bucket").sortWithinPartitions("bucket"), merge, ", ".join(f"{n} {kind}" for n, kind in _WIDE.items()))
@@ -344,7 +384,7 @@ def _with_means(docs: DataFrame, model: Model, text: str, orders: tuple[bool, bo
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, other = given.value
         for batch in batches:
-            for piece in shared.slices(batch, text, 2 << 20):
+            for piece in shared.slices(batch, text, PIECE):
                 keys, firsts = keys_of(shared.column(piece, text))
                 n = np.maximum(np.diff(firsts), 1)
                 out = []

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -104,6 +105,56 @@ def test_toxicity_likelihoods_by_counting(spark):
     assert all(got[before[v], key[w]] == pytest.approx((second0(v, w), second1(v, w))) for v, w in twice)
 
 
+def counting(monkeypatch, n_bytes):
+    """What tasks of the counting run, first before and then after the shuffle."""
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *given, **named: self
+
+    tasks = []
+    monkeypatch.setattr(toxicity.shared, "in_batches", lambda df, function, schema: tasks.append(function) or df)
+    toxicity._counted(Rows(), "text", n_bytes)
+    return tasks
+
+
+def random_words(draw, n, most):
+    texts = [" ".join(f"w{k}" for k in draw.integers(0, most, 2000)) for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(texts), pa.array(draw.integers(-1, 2, n), pa.int32())], names=["text", "__class"])
+
+
+def merged(merge, rows):
+    """The sums of all rows that the tasks after the shuffle make, by word and word before."""
+    names = ["bucket", "blob"]
+    rows = sorted((row for batch in rows for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True)), key=lambda row: row[0])
+    out = merge(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)]))
+    return pa.Table.from_batches(out).to_pandas().groupby(["word", "before"], dropna=False).sum().sort_index()
+
+
+def test_toxicity_counts_the_same_in_small_portions(monkeypatch):
+    batch = random_words(np.random.default_rng(5), 12, 300)
+    count, merge = counting(monkeypatch, 1 << 30)
+    whole = merged(merge, count(iter([batch])))
+    monkeypatch.setattr(toxicity, "GATHERED", 500)
+    monkeypatch.setattr(toxicity, "PIECE", 2000)
+    parted = merged(merge, list(count(iter([batch.slice(0, 5), batch.slice(5)]))))
+    pd.testing.assert_frame_equal(whole, parted)
+    assert whole.n0.sum() > 0 and whole.every.sum() > 10_000
+
+
+def test_toxicity_counts_in_little_memory(monkeypatch):
+    batch = random_words(np.random.default_rng(6), 150, 1_000_000)  # 300,000 different pairs of 24 bytes
+    monkeypatch.setattr(toxicity, "GATHERED", 400_000)
+    monkeypatch.setattr(toxicity, "PIECE", 1 << 15, raising=False)
+    count, _ = counting(monkeypatch, 1 << 30)
+    tracemalloc.start()
+    try:
+        pairs = sum(batch.num_rows for batch in count(iter([batch])))
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert pairs and most < 3 * 24 * 300_000
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
