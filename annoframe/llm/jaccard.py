@@ -196,8 +196,14 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     shared.ship(spark)
     sketch = sketch_of(docs, text)
     noise = float(sketch.mean() + 4 * np.sqrt(sketch.mean()) + 1)
-    counts = spark.sparkContext.broadcast(np.minimum(sketch, 0xFFFFFFFF).astype(np.uint32))
+    frequent = [(int(k), -(-int(sketch[k]) // LIST_ROWS)) for k in np.flatnonzero(sketch > LIST_ROWS + noise)]
+    np.minimum(sketch, 0xFFFFFFFF, out=sketch)
+    sketch = sketch.astype(np.uint32)
+    counts = spark.sparkContext.broadcast(sketch)
+    del sketch
     signed = shared.kept(_signed(docs.where(F.col(id).isNotNull()), id, text, counts, noise), "signed")
+    counts.destroy()  # what it gave is written
+    del counts
     own = ["__a", "__b", "__size", "__least", "__met", "__parts"]  # equal for equal sets
     classes = shared.kept(
         signed.where("__size > 0").groupBy("__a", "__b").agg(F.min("__id").alias("__first"), *(F.first(c).alias(c) for c in own[2:]))
@@ -209,9 +215,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         classes.select("__a", "__b", F.col("__first").alias("__id"), "__class", "__size", "__least", "__met"), ["__a", "__b", "__id"]
     )
     postings = reps.select("__class", "__size", "__least", "__met", F.posexplode("__prefix").alias("__at", "__token"))
-    frequent = np.flatnonzero(sketch > LIST_ROWS + noise)
-    lists = spark.createDataFrame([(int(k), -(-int(sketch[k]) // LIST_ROWS)) for k in frequent], "__bucket int, __lists int")
-    del sketch
+    lists = spark.createDataFrame(frequent, "__bucket int, __lists int")
     bucket = F.shiftrightunsigned("__token", 64 - SKETCH_BITS).cast("int")
     postings = (
         postings.withColumn("__bucket", bucket).join(F.broadcast(lists), "__bucket", "left").drop("__bucket")

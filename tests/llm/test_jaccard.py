@@ -1,4 +1,6 @@
+import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -81,3 +83,21 @@ def test_components_of_long_chains(spark):
     nodes = spark.createDataFrame([(k,) for k in (*range(61), 100, 101, 102, 103, 200)], "__node long")
     found = {r["__node"]: r["__component"] for r in components(nodes, spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert found == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 103: 100, 102: 102, 200: 200}
+
+
+def large_files(folder):
+    return {e.name for e in os.scandir(folder) if e.stat().st_size > 1 << 20}
+
+
+def test_the_sketch_is_held_once_and_given_up(spark):
+    docs = spark.createDataFrame([(k, cases.prose(k % 7, 40)) for k in range(20)], "doc_id long, text string")
+    folder = spark.sparkContext._temp_dir  # broadcast values wait here for executors
+    before = large_files(folder)
+    tracemalloc.start()
+    try:
+        jaccard.similar_classes(docs)
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert most < 2 * 8 * jaccard.SKETCH  # 8 bytes a counter
+    assert large_files(folder) == before
