@@ -15,19 +15,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.llm import shared
-from annoframe.operators.lookup import key_counts, sliced_join
+from annoframe.operators import lookup
 
 #: Pairs whose sets a task holds at once.
 TOGETHER = 256
 _SLICE = 2 << 20
 
 
+def _frequent(pairs: DataFrame) -> set[str]:
+    """The sides of the pairs on which a class stands in so many that they are dealt to slices."""
+    if pairs.count() <= lookup.TARGET_ROWS:  # then no class has more
+        return set()
+    most = {side: lookup.key_counts(pairs, [side]).agg(F.max("rows")).first()[0] for side in ("__x", "__y")}
+    return {side for side, rows in most.items() if rows > lookup.TARGET_ROWS}
+
+
 def both_ends(pairs: DataFrame, x: DataFrame, y: DataFrame, names: dict[str, str]) -> DataFrame:
-    """The pairs with the columns of both classes, ``names`` with ``_x`` and ``_y``; a class of very many pairs is dealt to slices."""
+    """The pairs with the columns of both classes, ``names`` with ``_x`` and ``_y``; a class of very many pairs is dealt to slices.
+
+    Whether there is such a class is counted first: without one, slices only make the plan
+    longer, by four broadcasts that the driver builds. ``pairs`` is a table that was written.
+    """
+    frequent, joined = _frequent(pairs), pairs
     for own, other, rows in (("__x", "__y", x), ("__y", "__x", y)):
         side = rows.select(F.col("__class").alias(own), *(F.col(a).alias(b + own[2:]) for a, b in names.items()))
-        pairs = sliced_join(pairs, side, [own], "inner", key_counts(pairs.select("__x", "__y"), [own]), [other])
-    return pairs
+        joined = lookup.sliced_join(joined, side, [own], "inner", lookup.key_counts(pairs, [own]), [other]) if own in frequent else joined.join(side, own)
+    return joined
 
 
 def _sides(pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from annoframe.llm import confirm, jaccard, minhash, shared
+from annoframe.operators import lookup
 from tests.llm import cases
 
 
@@ -59,3 +60,21 @@ def test_pairs_are_compared_by_whole_sets(spark, monkeypatch, broadcast_rows):
     want = [(x, y) for x, y in pairs if 100 * both[x, y] >= 80 * (len(sets[x]) + len(sets[y]) - both[x, y])]
     assert 0 < len(want) < len(pairs)
     assert sorted((r["__x"], r["__y"]) for r in got) == want
+
+
+def test_pairs_are_dealt_to_slices_only_where_a_class_has_very_many(spark, monkeypatch):
+    """Every slicing join adds two broadcasts that the driver builds; the pairs are the same with and without."""
+    pairs = [(0, k) for k in range(1, 30)] + [(k, 40) for k in range(1, 5)] + [(50, 51)]
+    table = spark.createDataFrame(pairs, "__x long, __y long")
+    rows = spark.range(45).selectExpr("id AS __class", "id * 10 AS __value")
+    want = sorted((x, y, 10 * x, 10 * y) for x, y in pairs if y < 45)
+    sliced, plain = [], lookup.sliced_join
+    monkeypatch.setattr(lookup, "sliced_join", lambda left, right, on, *rest: sliced.append(on[0]) or plain(left, right, on, *rest))
+    for most, sides in ((1_000_000, []), (30, []), (20, ["__x"]), (2, ["__x", "__y"])):
+        monkeypatch.setattr(lookup, "TARGET_ROWS", most)
+        sliced.clear()
+        got = confirm.both_ends(table, rows, rows, {"__value": "__value_"}).select("__x", "__y", "__value_x", "__value_y")
+        assert sliced == sides
+        assert sorted(map(tuple, got.collect())) == want
+        if not sides:
+            assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
