@@ -17,7 +17,10 @@ of a member are merged, the long ones are skipped and only asked about what is l
 the threshold is out of reach. Short lists with the same smallest class go there together,
 as a passage makes many lists with the same members. Whoever reaches it is compared by sets of short hashes, in the
 same task, so that texts which share a passage and no more don't leave it as pairs. Lists have
-a bounded length; longer ones are dealt to blocks.
+a bounded length; longer ones are dealt to blocks. Of its pairs a block gives no more than
+hold together what all of them would, so a group of near copies costs its size here too.
+Where one of these is no link on full sets, what it held together may be linked by pairs that
+were not given: such blocks are met again, by whole sets, where every pair found is a link.
 
 What goes to blocks and pairs is short, as it goes there once for every list or pair: hashes
 of 16 bits for a set, a byte for each coordinate of a prefix, and a byte of each minimum where
@@ -28,6 +31,7 @@ are confirmed on full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,11 @@ LIST_ROWS = 1024
 SHORT_ROWS = 256
 #: Rows of classes up to this number are broadcast once they are counted (32 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: What names a block, and the pairs it gives.
+BLOCK = ["__list", "__row", "__col"]
+BLOCK_PAIRS = "__x long, __y long, __list long, __row long, __col long"
+#: How hashes are cut where whole lists meet, and where a block is met again: bits, the same with a sign, and in SQL.
+SETS = {"short": (np.uint16, np.int16, "smallint"), "whole": (np.uint64, np.int64, "long")}
 _SLICE = 2 << 20
 _FACTORS = np.random.default_rng(131).integers(1, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.random.default_rng(137).integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -143,14 +152,18 @@ def _within(flat: np.ndarray, each: np.ndarray, rows: np.ndarray, own: np.ndarra
 
 
 def block_pairs(
-    classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, prefixes: list[np.ndarray], post: int | None, sets: list[np.ndarray]
+    classes: np.ndarray, colors: np.ndarray, asks: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, prefixes: list[np.ndarray], post: int | None, sets: list[np.ndarray],
+    spanning: bool = False,
 ) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (smaller class, larger class) of members that ask and members of another color that agree often enough.
 
     Their sizes allow a link, of the posts that both prefixes hold ``post`` comes first (None:
     members of several lists, whose pairs may stand elsewhere too), and their sets of short
-    hashes overlap enough; equal hashes can only add to that.
+    hashes overlap enough; equal hashes can only add to that. ``spanning``: only so many of
+    them that they join the same colors. A member gives its best pair with each color that it
+    finds, and all of these are one color from then on.
     """
+    colors = colors.copy()
     each = np.cumsum([0, *map(len, sets)])
     flat = np.concatenate(sets)
     inverted = []
@@ -169,7 +182,13 @@ def block_pairs(
             lists = [inverted[k][0][lo[at] : hi[at]] for k, (lo, hi) in enumerate(bounds)]
             found = collisions(matrix[probe], lists, matrix, wanted)
             both = np.array([np.count_nonzero(held) for held in np.split(_within(flat, each, found, sets[probe]), np.cumsum(np.diff(each)[found])[:-1])]) if len(found) else found
-            found = classes[found[180 * both >= 80 * (sizes[found] + sizes[probe])]]
+            fits = 180 * both >= 80 * (sizes[found] + sizes[probe])
+            found, both = found[fits], both[fits]
+            if spanning:
+                found = found[np.lexsort((classes[found], -both / (sizes[found] + sizes[probe])))]
+                found = found[np.unique(colors[found], return_index=True)[1]]
+                colors[np.isin(colors, colors[found])] = colors[probe]
+            found = classes[found]
             out_x.append(np.minimum(found, classes[probe])), out_y.append(np.maximum(found, classes[probe]))
     if not out_x:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -182,29 +201,40 @@ def posts_of(matrix: np.ndarray, rows: np.ndarray, coordinates: np.ndarray) -> n
     return (coordinates.astype(np.int64) << 32) + (matrix[rows, coordinates].astype(np.int64) & 0xFFFFFFFF)
 
 
-def _in_blocks(group: pa.Table) -> pa.Table:
+def _spanning_pairs(group: pa.Table, name: str) -> pa.Table:
+    """The spanning pairs of a block whose sets are in the column of this name, each with its block."""
     matrix = group["__sig"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
     classes, colors, sizes = (group[name].to_numpy() for name in ("__class", "__color", "__size"))
     lists = group["__prefix"].combine_chunks()
     bounds = np.asarray(lists.offsets) - lists.offsets[0].as_py()
     prefixes = np.split(posts_of(matrix, np.repeat(np.arange(len(lists)), np.diff(bounds)), lists.flatten().to_numpy()), bounds[1:-1])
-    lists = group["__short"].combine_chunks()
+    lists = group[name].combine_chunks()
     sets = np.split(lists.flatten().to_numpy(), np.asarray(lists.offsets)[1:-1] - lists.offsets[0].as_py())
     post = group["__list"][0].as_py()
     post = post if post >= 0 else None  # short lists of one head
-    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, post, sets)
+    pairs = block_pairs(classes, colors, group["__asks"].to_numpy(), sizes, matrix, prefixes, post, sets, spanning=True)
     shared.release()
-    return pa.table(list(map(pa.array, pairs)), names=["__x", "__y"])
+    block = [np.full(len(pairs[0]), group[c][0].as_py(), np.int64) for c in BLOCK]
+    return pa.table(list(map(pa.array, [*pairs, *block])), names=["__x", "__y", *BLOCK])
+
+
+def _in_blocks(group: pa.Table) -> pa.Table:
+    return _spanning_pairs(group, "__short")
+
+
+def _in_whole_blocks(group: pa.Table) -> pa.Table:
+    return _spanning_pairs(group, "__whole")
 
 
 def _few(table: DataFrame) -> bool:
     return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def _short_sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFrame) -> DataFrame:
-    """(class, set) of the named classes, made anew from one document of each: the lowest 16 bits of its hashes, sorted."""
+def _sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named: DataFrame, name: str = "short") -> DataFrame:
+    """(class, set) of the named classes, made anew from one document of each: its hashes, or the lowest 16 bits of them (``short``), sorted."""
+    bits, kind, sql = SETS[name]
     wanted = classes.join(named, "__class", "left_semi").select(F.col("__first").alias("__wanted"), "__class", "__a", "__b")
-    wanted = shared.kept(wanted, "wanted-short")
+    wanted = shared.kept(wanted, f"wanted-{name}")
     rows = docs.select(F.col(id), F.col(text)).join(F.broadcast(wanted) if _few(wanted) else wanted, F.col(id) == F.col("__wanted"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,11 +243,11 @@ def _short_sets(docs: DataFrame, id: str, text: str, classes: DataFrame, named:
                 names, sets = [], []
                 for number, a, b, own in zip(*(shared.column(piece, c).to_pylist() for c in ("__class", "__a", "__b")), shingles_of(shared.column(piece, text)), strict=True):
                     if set_key(own) == (a, b):  # an id may stand at several texts
-                        names.append(number), sets.append(np.sort(own.astype(np.uint16).view(np.int16)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, np.int16)], names=["__class", "__short"])
+                        names.append(number), sets.append(np.sort(own.astype(bits).view(kind)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), _lists(sets, kind)], names=["__class", f"__{name}"])
 
-    made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, "__class long, __short array<smallint>").dropDuplicates(["__class"])
-    return shared.kept(made, "sets-short")
+    made = shared.in_batches(rows.select(text, "__class", "__a", "__b"), make, f"__class long, __{name} array<{sql}>").dropDuplicates(["__class"])
+    return shared.kept(made, f"sets-{name}")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame, label: str) -> DataFrame:
@@ -279,6 +309,31 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return shared.kept(found.toDF("__class", "__node").join(wider, "__node").select("__class", F.col("__component").alias("__color")), "colors")
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """(block, class, color, asks) of the members of lists: a block of those that ask meets every block of the list once."""
+    asking, blocks = F.ceil(F.col("__outside") / LIST_ROWS).cast("int"), F.ceil(F.col("__members") / LIST_ROWS).cast("int")
+    place = F.xxhash64("__class")
+    asks = members.where("__color <> __main").select("__list", "__class", "__color", F.pmod(place, asking).alias("__row"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__col"), F.lit(True).alias("__asks"))
+    answers = members.select("__list", "__class", "__color", F.explode(F.sequence(F.lit(0), asking - 1)).alias("__row"), F.pmod(place, blocks).alias("__col"), F.lit(False).alias("__asks"))
+    return asks.unionByName(answers).groupBy(*BLOCK, "__class", "__color").agg(F.max("__asks").alias("__asks"))
+
+
+def _finer(dealt: DataFrame) -> DataFrame:
+    """The blocks in parts that hold no more bytes of whole hashes than a block holds of short ones; each pair of a block is met in one of them."""
+    parts = F.ceil(F.col("__n") / max(1, LIST_ROWS // 4)).cast("int")
+    rows = dealt.join(dealt.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("__n")), BLOCK)
+    place, every = F.pmod(F.xxhash64("__class", F.lit("part")), parts), F.explode(F.sequence(F.lit(0), parts - 1))
+    asks = rows.where("__asks").select(*BLOCK, "__class", "__color", "__asks", place.alias("__part_x"), every.alias("__part_y"))
+    answers = rows.select(*BLOCK, "__class", "__color", F.lit(False).alias("__asks"), every.alias("__part_x"), place.alias("__part_y"))
+    return asks.unionByName(answers).groupBy(*BLOCK, "__part_x", "__part_y", "__class", "__color").agg(F.max("__asks").alias("__asks"))
+
+
+def _torn(given: DataFrame, colors: DataFrame) -> DataFrame:
+    """The blocks that gave a pair which is no link and whose ends no link has joined."""
+    x, y = (colors.toDF(side, f"__of{side[2:]}") for side in ("__x", "__y"))
+    return shared.kept(given.join(x, "__x").join(y, "__y").where("__ofx <> __ofy").select(*BLOCK).distinct(), "torn")
+
+
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, size, class) of every row with an id, and (class, smallest id of its component) of every class of equal sets."""
     signed = shared.kept(_signed(docs.where(F.col(id).isNotNull()), id, text), "signed")
@@ -311,19 +366,25 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     members = colored.join(F.broadcast(mixed_lists) if _few(mixed_lists) else mixed_lists, "__post")
     # Short lists of the same head have much the same members, so these go there once for all of them;
     # a class is the head of no more than PREFIX lists.
-    own = F.when(F.col("__members") <= SHORT_ROWS, -1 - F.col("__head")).otherwise(F.col("__post")).alias("__list")
-    # A block of those that ask meets every block of the list once.
-    asking, blocks = F.ceil(F.col("__outside") / LIST_ROWS).cast("int"), F.ceil(F.col("__members") / LIST_ROWS).cast("int")
-    place = F.xxhash64("__class")
-    asks = members.where("__color <> __main").select(own, "__class", "__color", F.pmod(place, asking).alias("__row"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("__col"), F.lit(True).alias("__asks"))
-    answers = members.select(own, "__class", "__color", F.explode(F.sequence(F.lit(0), asking - 1)).alias("__row"), F.pmod(place, blocks).alias("__col"), F.lit(False).alias("__asks"))
-    short = _short_sets(docs, id, text, classes, members.select("__class").distinct())
-    dealt = asks.unionByName(answers).groupBy("__list", "__row", "__col", "__class", "__color").agg(F.max("__asks").alias("__asks"))
-    prefixes = shares.select("__class", F.transform("__prefix.__post", lambda post: F.shiftright(post, 32).cast("tinyint")).alias("__prefix"))
-    rows = dealt.join(classes.select("__class", "__size", "__sig"), "__class").join(prefixes, "__class").join(short, "__class")
-    across = rows.groupBy("__list", "__row", "__col").applyInArrow(_in_blocks, "__x long, __y long").distinct()
-    links = _confirmed(shared.kept(across, "pairs-across"), docs, id, text, classes, "across")
-    found = _merged(colors, links).toDF("__class", "__component").join(keys.select("__class", "__first"), "__class")
+    members = members.withColumn("__list", F.when(F.col("__members") <= SHORT_ROWS, -1 - F.col("__head")).otherwise(F.col("__post")))
+    short = _sets(docs, id, text, classes, members.select("__class").distinct())
+    own = [classes.select("__class", "__size", "__sig"), shares.select("__class", F.transform("__prefix.__post", lambda post: F.shiftright(post, 32).cast("tinyint")).alias("__prefix"))]
+    rows = reduce(lambda rows, side: rows.join(side, "__class"), [*own, short], _dealt(members))
+    given = shared.kept(rows.groupBy(*BLOCK).applyInArrow(_in_blocks, BLOCK_PAIRS), "given")
+    links = _confirmed(shared.kept(given.select("__x", "__y").distinct(), "pairs-across"), docs, id, text, classes, "across")
+    colors = _merged(colors, links)
+    # Blocks that a pair which is no link held together, once more by whole sets: there every pair is a link.
+    torn = _torn(given, colors)
+    if not torn.isEmpty():
+        again = members.join(torn.select("__list").distinct(), "__list", "left_semi")
+        again = _dealt(again).join(torn, BLOCK, "left_semi").drop("__color").join(colors, "__class")
+        again = shared.kept(again, "again")
+        whole_sets = _sets(docs, id, text, classes, again.select("__class").distinct(), "whole")
+        rows = reduce(lambda rows, side: rows.join(side, "__class"), [*own, whole_sets], _finer(again))
+        links = rows.groupBy(*BLOCK, "__part_x", "__part_y").applyInArrow(_in_whole_blocks, BLOCK_PAIRS).select("__x", "__y").distinct()
+        links = shared.kept(links, "links-torn")
+        colors = colors if links.isEmpty() else _merged(colors, links)
+    found = colors.toDF("__class", "__component").join(keys.select("__class", "__first"), "__class")
     smallest = found.groupBy("__component").agg(F.min("__first").alias("__smallest"))
     rows = signed.select("__id", "__size", "__a", "__b").join(keys.select("__a", "__b", "__class"), ["__a", "__b"], "left").select("__id", "__size", "__class")
     return rows, found.join(smallest, "__component").select("__class", "__smallest")

@@ -150,3 +150,51 @@ def test_a_passage_sends_its_members_once(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SHORT_ROWS", 0)
     assert got == found()
     assert groups[0] < groups[1]
+
+
+def tables_kept(monkeypatch):
+    """Rows of each table that is written from now on."""
+    seen = {}
+    plain = minhash.shared.kept
+
+    def kept(df, label):
+        out = plain(df, label)
+        seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.shared, "kept", kept)
+    return seen
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    draw = np.random.default_rng(6)
+    base = np.unique(draw.integers(0, 1 << 63, 300, np.uint64))
+    full = [np.delete(base, draw.integers(0, len(base), 12)) for _ in range(40)] + [np.unique(draw.integers(0, 1 << 63, 300, np.uint64))]
+    short = [np.sort(s.astype(np.uint16).view(np.int16)) for s in full]
+    n = len(full)
+    block = (np.arange(n), np.arange(n), np.ones(n, bool), np.array(list(map(len, full))), minhash.signatures(full).view(np.int32), [np.array([50])] * n, 50, short)
+    every, few = (list(zip(*map(np.ndarray.tolist, minhash.block_pairs(*block, spanning=spanning)), strict=True)) for spanning in (False, True))
+    assert set(few) <= set(every) and len(every) > 10 * n
+
+    def joined(pairs):
+        found = list(range(n))
+        for x, y in pairs:
+            found = [found[x] if c == found[y] else c for c in found]
+        return [found.index(c) for c in found]
+
+    assert joined(few) == joined(every) and len(few) == n - len(set(joined(every)))
+
+
+def test_pairs_that_are_no_link_tear_nothing(spark, monkeypatch):
+    """With hashes of 8 bits many pairs of blocks are no link; what they held together is met again, and links are found there."""
+    monkeypatch.setitem(minhash.SETS, "short", (np.uint8, np.int8, "tinyint"))
+    seen = tables_kept(monkeypatch)
+    draw, texts = random.Random(5), []
+    for group in range(12):
+        base = cases.prose(900 + group, 60).split()
+        texts += [edited(base, draw, 1 + draw.randrange(5)) for _ in range(20)]
+    draw.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(minhash.near_duplicates(df)) == sorted((doc, n, c, doc == c) for doc, n, c in groups_plain(rows))
+    assert seen["torn"] > 0 and seen["links-torn"] > 0
