@@ -21,6 +21,9 @@ SLICE_BYTES = 8 << 20
 #: Counters of a distributed vector that travel in one row.
 CHUNK = 1 << 14
 
+#: Whether shuffle files are deleted at the end of the query that wrote them.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -43,10 +46,19 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """The table, written to the shared folder and read again: a lost executor costs nothing of it."""
-    path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table, written to the shared folder and read again: a lost executor costs nothing of it.
+
+    What was shuffled for it goes once it is written, not when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

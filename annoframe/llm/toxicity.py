@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from annoframe.llm import shared
 from annoframe.llm.words import ALPHANUMERIC, mixed, words_of
-from annoframe.operators.lookup import lookup_join
+from annoframe.operators.lookup import TARGET_ROWS, key_counts, lookup_join, sliced_join
 
 #: Taken from each count of a class; log ratio within which a word or a pair counts as equal in both.
 DISCOUNT = 1.5
@@ -41,8 +41,16 @@ CALIBRATION = 4
 THRESHOLD = 0.3
 #: Label rows up to this number are broadcast (24 bytes each); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
-#: Rows of words or of pairs up to this number are broadcast once they are counted; more are joined by shuffle.
+#: Rows of words or of pairs up to this number are broadcast once they are counted; of more, the most frequent half of
+#: this number is broadcast and the others are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Bits for each key of the filter that holds these others, and for all of them at most (32 MB); parts in which it is made; bits set by a key.
+FILTER_BITS_A_KEY = 8
+FILTER_BITS = 1 << 28
+FILTER_PARTS = 128
+PROBES = 3
+#: Slots in which the rows of keys are counted, to see whether any key can have very many.
+SLOTS = 4096
 #: Pairs that a task gathers before it adds them up; bytes of text for which there is a bucket of pairs.
 GATHERED = 2_000_000
 BUCKET_BYTES = 32 << 20
@@ -60,7 +68,10 @@ _SHORT = 6
 
 @dataclass
 class Model:
-    """The differences of words and of pairs, as tables (key, value), and what turns a document's means of them into a probability."""
+    """The differences of words and of pairs, as tables (key, value, seen), and what turns a document's means of them into a probability.
+
+    ``seen`` tells frequent keys from rare ones: the words that a word follows, the times that a class has a pair.
+    """
 
     words: DataFrame | None = None
     pairs: DataFrame | None = None
@@ -83,11 +94,19 @@ def _paired(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str) -> DataFrame:
-    """(text, __id, __label) of every document; ``__label`` is NULL where there is none. Several labels of an id: the largest."""
+def labelled(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, asked: Column | None = None) -> DataFrame:
+    """(text, __id, __label) of every document; ``__label`` is NULL where there is none. Several labels of an id: the largest.
+
+    ``asked`` is an expression of ``__id``: where it doesn't hold, nobody uses the label, and
+    it may be NULL. If labels are too many for a broadcast, these rows are not shuffled.
+    """
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("__of")).agg(F.max(F.col(label).cast("int")).alias("__label"))
-    few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return docs.select(F.col(id).alias("__id"), F.col(text)).join(F.broadcast(known) if few else known, F.col("__id") == F.col("__of"), "left").drop("__of")
+    rows = docs.select(F.col(id).alias("__id"), F.col(text))
+    if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        return rows.join(F.broadcast(known), F.col("__id") == F.col("__of"), "left").drop("__of")
+    asked = F.coalesce(F.col("__id").isNotNull() & (F.lit(True) if asked is None else asked), F.lit(False))
+    found = rows.where(asked).join(known, F.col("__id") == F.col("__of"), "left").drop("__of")
+    return found.unionByName(rows.where(~asked).withColumn("__label", F.lit(None).cast("int")))
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -248,7 +267,7 @@ def _wide(**columns: np.ndarray) -> pa.RecordBatch:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         before, word = (shared.column(batch, name).to_numpy().view(np.uint64) for name in ("before", "word"))
-        yield pa.RecordBatch.from_arrays([pa.array(_paired(before, word).view(np.int64)), shared.column(batch, "value")], names=["key", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(_paired(before, word).view(np.int64)), shared.column(batch, "value"), shared.column(batch, "seen")], names=["key", "value", "seen"])
 
 
 def _looked_up(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -276,7 +295,7 @@ def _taken(count: Column) -> Column:
 class Likelihoods:
     """Both models: the probabilities of class 0 and 1, as tables."""
 
-    #: (word, p0, p1) of words that a class has.
+    #: (word, every, p0, p1) of words that a class has.
     words: DataFrame | None
     #: (before, word, n0, n1, p0, p1, q0, q1) of pairs that a class has more often than the discount takes; q: after the word before.
     pairs: DataFrame | None
@@ -301,7 +320,7 @@ def likelihoods(rows: DataFrame, text: str, n_bytes: int) -> Likelihoods:
     for c in ("c0", "c1"):
         freed.append(float(of_words[f"of_{c}"] / of_words[c]))
         probabilities.append((F.col(c) - _taken(F.col(c))) / float(of_words[c]) + freed[-1] * backoff)
-    words = follows.where("c0 > 0 OR c1 > 0").select("word", *(p.alias(f"p{c}") for c, p in enumerate(probabilities)))
+    words = follows.where("c0 > 0 OR c1 > 0").select("word", "every", *(p.alias(f"p{c}") for c, p in enumerate(probabilities)))
 
     # What the word before adds, for pairs that a class holds more often than the discount takes.
     contexts = _met(counted.where("word IS NULL").select("before", "n0", "n1", "f0", "f1"), pairs, "before").groupBy("before").agg(
@@ -325,8 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
     the share of the other one.
     """
     shared.ship(docs.sparkSession)
-    rows = labelled(docs, labels, id, text, label)
     learn = F.lit(True) if learn is None else learn
+    rows = labelled(docs, labels, id, text, label, learn)
     reserved = (F.floor(shared.crc_of_id(F.col("__id")) / 4) % CALIBRATION) == 0
     use = F.when(learn & F.col("__label").isNotNull(), F.when(reserved, F.lit(-1)).otherwise((F.col("__label") > 0).cast("int"))).otherwise(F.lit(-1))
     rows = rows.select(text, "__label", F.coalesce(use, F.lit(-1)).alias("__class"), F.coalesce(learn & reserved, F.lit(False)).alias("__calibrates"))
@@ -337,32 +356,85 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id: str
         return Model(weights=(30.0 if both.freed > 0 else -30.0, 0.0, 0.0))
     ratio = F.log("p1") - F.log("p0")
     model = Model(other=float(np.sign(both.freed) * max(abs(both.freed) - GATE, 0)))
-    model.words = shared.kept(both.words.select(F.col("word").alias("key"), (_gated(ratio) - model.other).alias("value")).where("abs(value) > 1e-9"), "words")
-    values = both.pairs.select("before", "word", _gated(F.log("q1") - F.log("q0") - ratio).alias("value")).where("value <> 0")
-    model.pairs = shared.kept(shared.in_batches(values, _keyed, "key long, value double"), "pair-values")
+    model.words = shared.kept(both.words.select(F.col("word").alias("key"), (_gated(ratio) - model.other).alias("value"), F.col("every").alias("seen")).where("abs(value) > 1e-9"), "words")
+    values = both.pairs.select("before", "word", _gated(F.log("q1") - F.log("q0") - ratio).alias("value"), (F.col("n0") + F.col("n1")).alias("seen")).where("value <> 0")
+    model.pairs = shared.kept(shared.in_batches(values, _keyed, "key long, value double, seen long"), "pair-values")
     model.weights = _calibrated(rows.where("__calibrates AND __label IS NOT NULL").select(text, "__label"), model, text)
     return model
 
 
-def _table(values: DataFrame | None):
-    """The values in order of their keys, for all tasks; None if there are more than are broadcast."""
+def _table(values: DataFrame | None) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None]:
+    """The values in order of their keys, for all tasks. If there are more than are broadcast: the most frequent ones, and a table of the others."""
     if values is None:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return (np.zeros(0, np.int64), np.zeros(0)), None
+    others = None
     if values.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return None
-    got = values.toArrow()
+        step = F.floor(F.log2("seen") * 8)
+        sizes = sorted(((row["step"], row["count"]) for row in values.groupBy(step.alias("step")).count().collect()), reverse=True)
+        within = [at for (at, _), upto in zip(sizes, itertools.accumulate(n for _, n in sizes), strict=True) if upto <= BROADCAST_ROWS // 2]
+        least = min(within, default=sizes[0][0] + 1)
+        values, others = values.where(step >= least), values.where(step < least)
+    got = values.select("key", "value").toArrow()
     keys, numbers = got.column("key").to_numpy(), got.column("value").to_numpy()
     order = np.argsort(keys, kind="stable")
-    return keys[order], numbers[order]
+    return (keys[order], numbers[order]), others
 
 
-def _looked(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-    ordered, values = table
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would stand in the table, and whether it does."""
+    ordered, keys = table[0], keys.view(np.int64)
     if not len(ordered):
-        return np.zeros(len(keys))
-    keys = keys.view(np.int64)
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
-    return np.where(ordered[at] == keys, values[at], 0.0)
+    return at, ordered[at] == keys
+
+
+def _looked(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    at, stands = _found(table, keys)
+    return np.where(stands, table[1][at], 0.0) if len(table[1]) else np.zeros(len(keys))
+
+
+def _bits(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of each key in its part of a filter, a probe at a time; a part has ``bits``."""
+    for k in range(PROBES):
+        yield ((keys >> np.uint64(18 * k)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _part(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(57)).astype(np.int64)  # 128 parts, by bits that no probe takes
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """Bits of all keys, a row for each part. A full filter holds more than its keys, never less."""
+    bits = FILTER_BITS_A_KEY * keys.count() // FILTER_PARTS
+    bits = 1 << min(max(10, bits.bit_length()), (FILTER_BITS // FILTER_PARTS).bit_length() - 1)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            own = shared.column(batch, "key").to_numpy().view(np.uint64)
+            parts = _part(own)
+            for part in np.unique(parts).tolist():
+                bitmap = held.setdefault(part, np.zeros(bits, bool))
+                for places in _bits(own[parts == part], bits):
+                    bitmap[places] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], names=["part", "blob"])
+
+    dealt = keys.select("key").repartition(F.shiftrightunsigned("key", 57))
+    out = np.zeros((FILTER_PARTS, bits // 8), np.uint8)
+    for row in shared.in_batches(dealt, fill, "part int, blob binary").collect():
+        out[row["part"]] |= np.frombuffer(row["blob"], np.uint8)
+    return out
+
+
+def _may_hold(bitmaps: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The places of the keys that the filter holds."""
+    left = np.arange(len(keys))
+    for k in range(PROBES):
+        own = keys[left]
+        at = next(itertools.islice(_bits(own, bitmaps.shape[1] * 8), k, None))
+        left = left[(bitmaps[_part(own), at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+    return left
 
 
 _MEANS = ("__of_words", "__of_pairs")
@@ -371,63 +443,86 @@ _MEANS = ("__of_words", "__of_pairs")
 def _with_means(docs: DataFrame, model: Model, text: str, orders: tuple[bool, bool] = (True, True)) -> DataFrame:
     """All columns, with the mean difference of a text's words and of its pairs; an order that is not asked for is 0.
 
-    Tables of few rows are broadcast. For a longer one, the different keys of each text
-    are joined to it, and texts find their sums by hash: equal texts share them.
+    Tables of few rows are broadcast. Of a longer one the most frequent keys are; those of
+    the others that a text has are joined to it, and texts find their sums by hash: equal texts share them.
     """
-    tables = [_table(values if asked else None) for values, asked in zip((model.words, model.pairs), orders, strict=True)]
+    tables, others = zip(*(_table(values if asked else None) for values, asked in zip((model.words, model.pairs), orders, strict=True)), strict=True)
     given = docs.sparkSession.sparkContext.broadcast((tables, model.other if orders[0] else 0.0))
 
-    def keys_of(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-        words, before, firsts = _places(texts)
-        return (words, _paired(before, words)), firsts
-
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, other = given.value
         for batch in batches:
             for piece in shared.slices(batch, text, PIECE):
-                keys, firsts = keys_of(shared.column(piece, text))
+                keys, firsts = _keys(shared.column(piece, text))
                 n = np.maximum(np.diff(firsts), 1)
-                out = []
-                for table, own, start in zip(tables, keys, (other, 0.0), strict=True):
-                    values = np.zeros(len(own)) if table is None else _looked(table, own)
-                    of = np.repeat(np.arange(piece.num_rows), np.diff(firsts))
-                    out.append(np.bincount(of, values + start, piece.num_rows) / n)
+                of = np.repeat(np.arange(piece.num_rows), np.diff(firsts))
+                out = [np.bincount(of, _looked(table, own) + start, piece.num_rows) / n for table, own, start in zip(tables, keys, (other, 0.0), strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *map(pa.array, out)], names=[*piece.schema.names, *_MEANS])
 
     means = shared.in_batches(docs, mean, ", ".join([*(f"`{n}` {k}" for n, k in docs.dtypes), *(f"{name} double" for name in _MEANS)]))
-    for k, values in enumerate((model.words, model.pairs)):
-        if tables[k] is None:
-            means = _joined(means, values, k, keys_of, text)
-    return means
+    if others == (None, None):
+        return means
+    added = _added_means(docs, others, given, text)
+    more = [(F.col(name) + F.coalesce(f"__more{k}", F.lit(0.0))).alias(name) for k, name in enumerate(_MEANS)]
+    return means.select("*", *_marks(text)).join(added, ["__a", "__b"], "left").select(*(F.col(f"`{name}`") for name in docs.columns), *more)
+
+
+def _keys(texts: pa.Array) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The keys of all words and of all pairs, and the first word of each text."""
+    words, before, firsts = _places(texts)
+    return (words, _paired(before, words)), firsts
 
 
-def _joined(docs: DataFrame, values: DataFrame, order: int, keys_of, text: str) -> DataFrame:
-    """The mean of the order plus that of ``values``, joined by shuffle."""
+def _marks(text: str) -> tuple[Column, Column]:
+    """Two hashes that stand for a text."""
+    return F.xxhash64(F.lit(1), F.col(text)).alias("__a"), F.xxhash64(F.lit(2), F.col(text)).alias("__b")
+
+
+def _added_means(docs: DataFrame, others: tuple[DataFrame | None, ...], given, text: str) -> DataFrame:
+    """What the values of ``others`` add to both means of a text, by its marks; a text without them may be missing.
+
+    A text sends the different keys that the filter of all these values may hold and that
+    ``given``, the broadcast tables, don't have. A key of very many rows is dealt to slices.
+    """
+    values = [table.select("key", F.lit(order).alias("order"), "value") for order, table in enumerate(others) if table is not None]
+    values = values[0].unionAll(values[1]) if len(values) > 1 else values[0]
+    asked = tuple(table is not None for table in others)
+    held = docs.sparkSession.sparkContext.broadcast(_filter(values))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, _ = given.value
         for batch in batches:
-            for piece in shared.slices(batch, text, 2 << 20):
-                keys, firsts = keys_of(shared.column(piece, text))
+            for piece in shared.slices(batch, text, PIECE):
+                keys, firsts = _keys(shared.column(piece, text))
                 of = np.repeat(np.arange(piece.num_rows), np.diff(firsts))
-                own = keys[order].view(np.int64)
-                ordered = np.lexsort((own, of))
-                new = np.ones(len(own), bool)
-                new[1:] = (np.diff(of[ordered]) != 0) | (np.diff(own[ordered]) != 0)
-                starts = np.flatnonzero(new)
-                rows, parts = of[ordered][starts], np.diff(np.append(starts, len(own))) / np.diff(firsts)[of[ordered][starts]]
-                yield pa.RecordBatch.from_arrays(
-                    [shared.column(piece, "__a").take(pa.array(rows)), shared.column(piece, "__b").take(pa.array(rows)), pa.array(own[ordered][starts]), pa.array(parts)], names=["__a", "__b", "key", "part"]
-                )
-
-    marks = (F.xxhash64(F.lit(1), F.col(text)).alias("__a"), F.xxhash64(F.lit(2), F.col(text)).alias("__b"))
-    texts = docs.where(F.col(text).isNotNull()).select(text, *marks)
-    copies = texts.groupBy("__a", "__b").agg(F.count("*").alias("__copies"))
-    found = lookup_join(shared.in_batches(texts, spread, "__a long, __b long, key long, part double"), values, ["key"], "inner", ["__a", "__b"])
-    sums = found.groupBy("__a", "__b").agg(F.sum(F.col("part") * F.col("value")).alias("__sum"))
-    added = sums.join(copies, ["__a", "__b"]).select("__a", "__b", (F.col("__sum") / F.col("__copies")).alias("__added"))
-    marked = docs.select("*", *marks)
-    total = F.col(_MEANS[order]) + F.coalesce("__added", F.lit(0.0))
-    return marked.join(added, ["__a", "__b"], "left").withColumn(_MEANS[order], total).select(docs.columns)
+                rows, parts = [], []
+                for order in np.flatnonzero(asked):
+                    left = _may_hold(held.value, keys[order])
+                    left = left[~_found(tables[order], keys[order][left])[1]]
+                    own, mine = keys[order][left].view(np.int64), of[left]
+                    ordered = np.lexsort((own, mine))
+                    own, mine = own[ordered], mine[ordered]
+                    starts = np.flatnonzero(np.append(True, (np.diff(mine) != 0) | (np.diff(own) != 0))[: len(own)])
+                    rows.append((mine[starts], np.full(len(starts), order, np.int32), own[starts]))
+                    parts.append(np.diff(np.append(starts, len(own))) / np.diff(firsts)[mine[starts]])
+                # A row without a key for each text that sends keys: so many copies there are of it.
+                texts = np.unique(np.concatenate([x[0] for x in rows]))
+                rows.append((texts, np.full(len(texts), -1, np.int32), np.zeros(len(texts), np.int64)))
+                mine, order, own = (np.concatenate(x) for x in zip(*rows, strict=True))
+                marks = [shared.column(piece, name).take(pa.array(mine)) for name in ("__a", "__b")]
+                yield pa.RecordBatch.from_arrays([*marks, pa.array(order), pa.array(own), pa.array(np.concatenate([*parts, np.ones(len(texts))]))], names=["__a", "__b", "order", "key", "part"])
+
+    texts = docs.where(F.col(text).isNotNull()).select(text, *_marks(text))
+    sent = shared.kept(shared.in_batches(texts, spread, "__a long, __b long, order int, key long, part double"), "keys")
+    keyed, slot = sent.where("order >= 0"), F.pmod("key", F.lit(SLOTS))
+    full = [row["slot"] for row in keyed.groupBy(slot.alias("slot")).count().where(F.col("count") > TARGET_ROWS).collect()]
+    on = ["key", "order"]
+    met = sliced_join(keyed, values, on, "inner", key_counts(keyed.where(slot.isin(full)), on), ["__a", "__b"]) if full else keyed.join(values, on)
+    terms = met.select("__a", "__b", "order", (F.col("part") * F.col("value")).alias("term"))
+    sums = terms.unionAll(sent.where("order < 0").select("__a", "__b", "order", F.col("part").alias("term"))).groupBy("__a", "__b").agg(
+        *(F.sum(F.when(F.col("order") == k, F.col("term")).otherwise(0.0)).alias(f"sum{k}") for k in (0, 1)), F.count(F.when(F.col("order") < 0, 1)).alias("copies")
+    )
+    return shared.kept(sums.select("__a", "__b", *((F.col(f"sum{k}") / F.col("copies")).alias(f"__more{k}") for k in (0, 1))), "added-means")
 
 
 def _scaled(mean: Column) -> Column:
@@ -437,7 +532,7 @@ def _scaled(mean: Column) -> Column:
 def _calibrated(rows: DataFrame, model: Model, text: str) -> tuple[float, float, float]:
     """Logistic regression of the label on both means, scaled, over counts of all calibration rows by bin; no weight is negative."""
     places = [F.least(F.greatest(F.round(_scaled(F.col(name)) * _STEPS), F.lit(-_BINS)), F.lit(_BINS)).alias(name) for name in _MEANS]
-    bins = _with_means(rows, model, text).select((F.col("__label") > 0).alias("toxic"), *places).groupBy("toxic", *_MEANS).count().toPandas()
+    bins = shared.kept(_with_means(rows, model, text).select((F.col("__label") > 0).alias("toxic"), *places).groupBy("toxic", *_MEANS).count(), "bins").toPandas()
     if not len(bins):
         return 0.0, 1.0, 0.0
     scaled = bins[list(_MEANS)].to_numpy(float).T / _STEPS

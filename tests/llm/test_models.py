@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from annoframe.llm import catalog, language, licenses, quality, toxicity
+from annoframe.llm import catalog, language, licenses, quality, shared, toxicity
+from annoframe.operators import lookup
 from tests.llm import cases
 
 
@@ -342,6 +344,91 @@ def test_toxicity_tables_by_shuffle(spark, monkeypatch):
     assert np.allclose([s for _, s in many[2]], [s for _, s in few])
 
 
+def test_toxicity_long_tables_send_few_keys(spark, monkeypatch):
+    """Only keys that stand in a long table and are not among its frequent ones; the scores are those of broadcast tables and labels."""
+    draw = np.random.default_rng(9)
+    texts = [" ".join([*(f"w{k}" for k in draw.integers(0, 4000, 120)), *(["vile", f"mean{k % 20}", "word"] if k < 80 else ["kind", f"fine{k % 20}", "word"])]) for k in range(240)] + [None, "", "..."]
+    texts += texts[:3]
+    docs = spark.createDataFrame([(k if k % 9 else None, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k < 80)) for k in range(240)] + [(5, 0), (None, 1)], "doc_id long, toxic int")
+
+    def scores():
+        model = toxicity.fit(docs, labels, toxicity.not_held_out())
+        weighed = toxicity.Model(model.words, model.pairs, model.other, (-3.0, 1.0, 0.5))
+        return model, sorted((str(r["doc_id"]), str(r["text"]), r["__score"]) for r in toxicity.score(docs, weighed).collect())
+
+    model, few = scores()
+    sent, plain = spark.sparkContext.accumulator(0), toxicity.shared.in_batches
+
+    def watched(df, function, schema):
+        def task(batches):
+            for batch in function(batches):
+                if {"__a", "key"} <= set(batch.schema.names):
+                    sent.add(batch.num_rows)
+                yield batch
+
+        return plain(df, task, schema)
+
+    monkeypatch.setattr(toxicity.shared, "in_batches", watched)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 8)
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    many_model, many = scores()
+    assert model.words.count() > 8 and model.pairs.count() > 8
+    assert sorted(map(tuple, many_model.words.select("key", "value").collect())) == sorted(map(tuple, model.words.select("key", "value").collect()))
+    assert [row[:2] for row in many] == [row[:2] for row in few]
+    assert np.allclose([row[2] for row in many], [row[2] for row in few])
+    different = sum(len({*t.split()}) + len({*zip(t.split(), t.split()[1:])}) for t in texts if t)
+    assert 0 < sent.value < different / 2
+
+
+@pytest.mark.parametrize("most", [1, 1_000_000])
+def test_toxicity_frequent_keys_of_long_tables(spark, monkeypatch, most):
+    """A key of more rows than a task joins is dealt out; an overfull filter changes nothing."""
+    texts = [f"vile mean word{k % 7} vile" if k < 50 else f"kind fine word{k % 7}" for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys, _ = toxicity._keys(pa.array(["vile mean kind fine"]))
+    words, pairs = ([(int(k), v, 3) for k, v in zip(x.view(np.int64), (2.0, 1.0, -1.0, -2.0), strict=True)] for x in keys)
+    model = toxicity.Model(*(spark.createDataFrame(rows, "key long, value double, seen long") for rows in (words, pairs)), 0.25, (-1.0, 0.5, 0.25))
+    want = sorted(tuple(r) for r in toxicity.score(docs, model).collect())
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(toxicity, "TARGET_ROWS", most)
+    monkeypatch.setattr(lookup, "TARGET_ROWS", most)
+    monkeypatch.setattr(toxicity, "FILTER_BITS", toxicity.FILTER_PARTS * 1024)
+    got = sorted(tuple(r) for r in toxicity.score(docs, model).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+
+
+def test_toxicity_filter_holds_its_keys(spark):
+    draw = np.random.default_rng(4)
+    keys = draw.integers(0, 1 << 64, 20_000, np.uint64)
+    bitmaps = toxicity._filter(spark.createDataFrame([(k,) for k in keys.view(np.int64).tolist()], "key long").repartition(3))
+    assert toxicity._may_hold(bitmaps, keys).tolist() == list(range(len(keys)))
+    assert len(toxicity._may_hold(bitmaps, draw.integers(0, 1 << 64, 20_000, np.uint64))) < 2_000
+
+
+def test_labels_by_shuffle(spark, monkeypatch):
+    """Rows whose label nobody uses, or without an id, are not shuffled; all rows return."""
+    docs = spark.createDataFrame([(k if k % 5 else None, f"t{k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    want = sorted(tuple(r) for r in toxicity.labelled(docs, labels, "doc_id", "text", "toxic").select("text", "__label").fillna(-1).collect())
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert sorted(tuple(r) for r in toxicity.labelled(docs, labels, "doc_id", "text", "toxic").select("text", "__label").fillna(-1).collect()) == want
+    got = toxicity.labelled(docs, labels, "doc_id", "text", "toxic", F.col("__id") > 20).select("text", "__label", "__id").collect()
+    assert sorted((r["text"], -1 if r["__label"] is None else r["__label"]) for r in got) == [(t, n if int(t[1:]) > 20 else -1) for t, n in want]
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    table = spark.range(1000).repartition(7, "id").groupBy("id").count()
+    kept = shared.kept(table, "counts")
+    assert not shuffled() - before
+    assert kept.count() == table.count() == 1000 and spark.conf.get(shared._CLEANUP) == "false"
+
+
 def test_license_short_notices_and_whole_texts(spark):
     whole = {name: text for name, text in licenses.TEMPLATES if len(text) > 600}
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT"} <= set(whole)
